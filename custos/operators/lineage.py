@@ -36,8 +36,12 @@ def _edges(cat: Catalog, direction: str) -> DataFrame:
     return e.distinct()
 
 
+HOPS_PER_JOB = 8
+
+
 def reachability(cat: Catalog, roots: DataFrame | None = None, direction: str = "DOWNSTREAM",
-                 max_hops: int | None = DEFAULT_MAX_HOPS) -> DataFrame:
+                 max_hops: int | None = DEFAULT_MAX_HOPS,
+                 hops_per_job: int = HOPS_PER_JOB) -> DataFrame:
     """G1: (root, node, degree) for every node reachable from each root.
 
     ``roots`` is a frame with a ``root`` column (asset ids); ``None`` means every
@@ -45,33 +49,52 @@ def reachability(cat: Catalog, roots: DataFrame | None = None, direction: str =
     because the closure can be far larger than the edge list). A rooted call may
     pass ``max_hops=None`` to run to the fixed point. The root itself is never
     part of its own result.
+
+    Each Spark job expands up to ``hops_per_job`` levels: every level is a join
+    of the previous level to the edges, de-duplicated and anti-joined against
+    all pairs already checkpointed. At the end of the job each new pair keeps
+    its minimum degree; pairs first reached at the job's last level are the
+    frontier of the next job (pairs reached earlier were already expanded
+    inside the job). The result equals a hop-by-hop breadth-first search.
     """
     if roots is None and max_hops is None:
         raise ValueError("the all-roots form needs max_hops")
     spark = cat.spark
     ensure_checkpoint_dir(spark)
-    edges = _edges(cat, direction)
+    # Every hop re-reads the edge list: materialise its distinct form once.
+    edges = _edges(cat, direction).checkpoint(eager=True)
     if roots is None:
-        level = edges.select(F.col("src").alias("root"), F.col("dst").alias("node"))
+        frontier = edges.select(F.col("src").alias("root"), F.col("src").alias("node")).distinct()
     else:
-        r = roots.select(F.col("root")).distinct()
-        level = r.join(edges, r.root == edges.src, "inner").select("root", F.col("dst").alias("node"))
-    level = (level.where(F.col("root") != F.col("node")).distinct()
-             .withColumn("degree", F.lit(1)).checkpoint(eager=True))
-    levels = [level]
-    hop = 1
-    while (max_hops is None or hop < max_hops) and not level.isEmpty():
-        hop += 1
-        seen = reduce(DataFrame.unionByName, [lv.select("root", "node") for lv in levels])
-        nxt = (level.join(edges, level.node == edges.src, "inner")
-               .select("root", F.col("dst").alias("node"))
-               .where(F.col("root") != F.col("node"))
-               .distinct()
-               .join(seen, ["root", "node"], "left_anti")
-               .withColumn("degree", F.lit(hop)))
-        level = nxt.checkpoint(eager=True)
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
+        frontier = roots.select(F.col("root"), F.col("root").alias("node")).distinct()
+    found: list[DataFrame] = []
+    done = 0
+    while max_hops is None or done < max_hops:
+        k = hops_per_job if max_hops is None else min(hops_per_job, max_hops - done)
+        seen = (reduce(DataFrame.unionByName, [f.select("root", "node") for f in found])
+                if found else None)
+        level, levels = frontier.select("root", "node"), []
+        for i in range(1, k + 1):
+            level = (level.join(edges, level.node == edges.src, "inner")
+                     .select("root", F.col("dst").alias("node"))
+                     .where(F.col("root") != F.col("node"))
+                     .distinct())
+            if seen is not None:
+                level = level.join(seen, ["root", "node"], "left_anti")
+            levels.append(level.withColumn("degree", F.lit(done + i)))
+        batch = (reduce(DataFrame.unionByName, levels)
+                 .groupBy("root", "node").agg(F.min("degree").alias("degree"))
+                 .checkpoint(eager=True))
+        done += k
+        if batch.isEmpty():
+            break
+        found.append(batch)
+        frontier = batch.where(F.col("degree") == done)
+        if frontier.isEmpty():
+            break
+    if not found:
+        return spark.createDataFrame([], "root bigint, node bigint, degree int")
+    return reduce(DataFrame.unionByName, found)
 
 
 def lineage_nodes(cat: Catalog, reach: DataFrame, direction: str) -> DataFrame:
@@ -95,6 +118,25 @@ def lineage_root(cat: Catalog) -> DataFrame:
             .orderBy("has_owner", "root").limit(1))
 
 
+def blast_radius_hub(downstream: DataFrame) -> DataFrame:
+    """The asset with the largest bounded blast radius (ties: lowest id), as a
+    one-row ``root`` frame - a top-1, so no task holds more than its share."""
+    return (downstream.orderBy(F.desc("downstream_count"), "asset_id").limit(1)
+            .select(F.col("asset_id").alias("root")))
+
+
+def lineage_totals(cat: Catalog, root: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """J7 input: upstream and downstream totals of the traced root (0 when it
+    has no lineage at all)."""
+    imp = lineage_impact(cat, max_hops, root)
+    t = imp.groupBy("root").agg(
+        F.count_if(F.col("direction") == "DOWNSTREAM").alias("downstream_total"),
+        F.count_if(F.col("direction") == "UPSTREAM").alias("upstream_total"))
+    return root.select("root").join(t, "root", "left").select(
+        "root", F.coalesce("downstream_total", F.lit(0)).alias("downstream_total"),
+        F.coalesce("upstream_total", F.lit(0)).alias("upstream_total"))
+
+
 def lineage_from_root(cat: Catalog, direction: str = "DOWNSTREAM",
                       max_hops: int | None = None, root: DataFrame | None = None) -> DataFrame:
     """G1 for one root (default: W6's choice), to the fixed point unless bounded."""

@@ -96,3 +96,256 @@ FROM govr""")
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
+
+
+# --- rooted lineage (W6 root, recursion to the fixed point) ------------------------
+W6ROOT = """
+w6 AS (
+ SELECT asset_id AS root, urn AS root_urn, asset_id IN (SELECT asset_id FROM od) AS has_owner FROM ca
+ ORDER BY has_owner, asset_id LIMIT 1),
+w6dn(node, degree) AS (
+ SELECT e.dst, 1 FROM lineage_edges e JOIN w6 ON e.src = w6.root WHERE e.dst <> w6.root
+ UNION
+ SELECT e.dst, r.degree + 1 FROM w6dn r JOIN lineage_edges e ON e.src = r.node JOIN w6 ON e.dst <> w6.root),
+w6up(node, degree) AS (
+ SELECT e.src, 1 FROM lineage_edges e JOIN w6 ON e.dst = w6.root WHERE e.src <> w6.root
+ UNION
+ SELECT e.src, r.degree + 1 FROM w6up r JOIN lineage_edges e ON e.dst = r.node JOIN w6 ON e.src <> w6.root)"""
+
+ROOT = """
+droot AS (
+ SELECT ds.asset_id AS root, ca.urn AS root_urn FROM ds JOIN ca USING (asset_id)
+ ORDER BY ds.downstream_count DESC, ds.asset_id LIMIT 1),
+dn(node, degree) AS (
+ SELECT e.dst, 1 FROM lineage_edges e JOIN droot ON e.src = droot.root WHERE e.dst <> droot.root
+ UNION
+ SELECT e.dst, r.degree + 1 FROM dn r JOIN lineage_edges e ON e.src = r.node JOIN droot ON e.dst <> droot.root),
+up(node, degree) AS (
+ SELECT e.src, 1 FROM lineage_edges e JOIN droot ON e.dst = droot.root WHERE e.src <> droot.root
+ UNION
+ SELECT e.src, r.degree + 1 FROM up r JOIN lineage_edges e ON e.dst = r.node JOIN droot ON e.src <> droot.root),
+dnodes AS (
+ SELECT droot.root, d.node, ca.urn AS node_urn, ca.display_name AS node_name, 'DATASET' AS entity_type, ca.platform,
+  d.degree, ca.deprecated, 'DOWNSTREAM' AS direction
+ FROM (SELECT node, min(degree) AS degree FROM dn GROUP BY node) d JOIN ca ON ca.asset_id = d.node JOIN droot ON TRUE),
+unodes AS (
+ SELECT droot.root, d.node, ca.urn AS node_urn, ca.display_name AS node_name, 'DATASET' AS entity_type, ca.platform,
+  d.degree, ca.deprecated, 'UPSTREAM' AS direction
+ FROM (SELECT node, min(degree) AS degree FROM up GROUP BY node) d JOIN ca ON ca.asset_id = d.node JOIN droot ON TRUE),
+impact AS (
+ SELECT b.*, count(*) OVER (PARTITION BY b.direction) AS direction_total
+ FROM (SELECT * FROM dnodes UNION ALL SELECT * FROM unodes) b)"""
+
+sql("lineage_root", "SELECT root, root_urn, has_owner FROM w6", W6ROOT)
+sql("lineage_downstream", "SELECT * FROM dnodes", ROOT)
+sql("lineage_upstream", "SELECT * FROM unodes", ROOT)
+sql("lineage_impact", "SELECT * FROM impact", ROOT)
+
+KIND = """CASE WHEN lower({p}) IN ('dbt','airflow','spark','kafka') THEN 'pipeline'
+ WHEN lower({p}) IN ('looker','tableau','powerbi','superset') THEN 'dashboard' ELSE 'dataset' END"""
+
+sql("lineage_nodes", """
+SELECT node_urn AS id, CASE WHEN direction = 'UPSTREAM' THEN 0 ELSE 2 END AS "column", node_name AS name,
+ COALESCE(platform, 'unknown') AS platform, """ + KIND.format(p="COALESCE(platform, 'unknown')") + """ AS kind,
+ CASE WHEN deprecated THEN 'high' ELSE 'low' END AS severity,
+ CASE WHEN deprecated THEN 'Marked deprecated but still present in this lineage path.'
+      ELSE 'dataset at hop ' || CAST(degree AS VARCHAR) || ' from the traced asset.' END AS summary,
+ FALSE AS is_root, direction, root
+FROM impact
+UNION ALL
+SELECT root_urn, 1, string_split(string_split(regexp_extract(root_urn, '\\(([^)]*)\\)', 1), ',')[2], '.')[-1],
+ COALESCE(NULLIF(regexp_extract(root_urn, 'dataPlatform:([a-zA-Z0-9_-]+)', 1), ''), 'unknown'), 'dataset', 'medium',
+ 'The asset this lineage was traced from.', TRUE, NULL, root
+FROM droot""", ROOT)
+
+sql("lineage_edges", """
+SELECT CASE WHEN direction = 'UPSTREAM' THEN node_urn || '->' || droot.root_urn ELSE droot.root_urn || '->' || node_urn END AS id,
+ CASE WHEN direction = 'UPSTREAM' THEN node_urn ELSE droot.root_urn END AS source,
+ CASE WHEN direction = 'UPSTREAM' THEN droot.root_urn ELSE node_urn END AS target
+FROM impact JOIN droot ON TRUE""", ROOT)
+
+sql("lineage_neighbours", """
+SELECT x.asset_id, ca.urn FROM (
+ SELECT src AS asset_id FROM lineage_edges, droot WHERE src = droot.root OR dst = droot.root
+ UNION SELECT dst FROM lineage_edges, droot WHERE src = droot.root OR dst = droot.root) x
+LEFT JOIN ca USING (asset_id)""", ROOT)
+
+# --- roll-ups ---------------------------------------------------------------------
+sql("owner_facet", """
+SELECT c.owner_urn, CASE WHEN starts_with(c.owner_urn, 'urn:li:corpuser:') THEN 'USER'
+ WHEN starts_with(c.owner_urn, 'urn:li:corpGroup:') THEN 'GROUP' ELSE 'UNKNOWN' END AS kind,
+ pc.name, pc.display_name, pc.active, c.asset_count, pc.owner_urn IS NULL AS dangling
+FROM (SELECT owner_urn, count(DISTINCT asset_id) AS asset_count FROM od GROUP BY owner_urn) c
+LEFT JOIN pc ON pc.owner_urn = c.owner_urn""")
+
+sql("domain_counts", """
+SELECT dc.domain_urn, dc.domain_name, CAST(COALESCE(n.c, 0) AS BIGINT) AS entity_count
+FROM dc LEFT JOIN (SELECT domain_urn, count(*) AS c FROM ca WHERE domain_urn IS NOT NULL GROUP BY domain_urn) n
+ ON n.domain_urn = dc.domain_urn""")
+
+sql("domain_names", "SELECT domain_name AS name FROM dc WHERE domain_name IS NOT NULL")
+
+sql("tag_list", """
+SELECT 'urn:li:tag:' || tag AS tag_urn, tag, count(DISTINCT asset_id) AS asset_count FROM asset_tags GROUP BY tag""")
+
+sql("asset_search", """
+SELECT asset_id, urn, display_name AS name, platform FROM ca
+WHERE instr(lower(concat_ws(' ', display_name, urn, description)), 'steel') > 0""")
+
+LEVELS = """lv(severity, level_order) AS (VALUES ('critical', 0), ('high', 1), ('medium', 2), ('low', 3)),
+sc AS (SELECT lv.severity, lv.level_order, CAST(COALESCE(c.n, 0) AS BIGINT) AS count
+ FROM lv LEFT JOIN (SELECT severity, count(*) AS n FROM govr GROUP BY severity) c ON c.severity = lv.severity)"""
+
+sql("severity_counts", "SELECT * FROM sc", LEVELS)
+sql("severity_share", """
+SELECT severity, level_order, count, (SELECT count(*) FROM govr) AS total,
+ COALESCE(CASE WHEN (SELECT count(*) FROM govr) > 0 THEN CAST(floor((count * 200 + (SELECT count(*) FROM govr)) / ((SELECT count(*) FROM govr) * 2)) AS BIGINT) END, 0) AS share
+FROM sc""", LEVELS)
+sql("severity_filter", """
+SELECT asset_id, urn, name, platform, domain, owner, has_owner, has_description, deprecated,
+ CAST(tag_count AS BIGINT) AS tag_count, CAST(coverage AS BIGINT) AS coverage, CAST(documentation AS BIGINT) AS documentation,
+ CAST(health AS BIGINT) AS health, severity, CAST(downstream_count AS BIGINT) AS downstream_count, last_modified, description
+FROM govr WHERE severity = 'critical'""")
+
+
+def _pct(c, t):
+    return f"CASE WHEN {t} > 0 THEN CAST(floor(({c} * 200 + {t}) / ({t} * 2)) AS BIGINT) END"
+
+
+sql("overview_metrics", f"""
+SELECT COALESCE(CAST(floor((sum(health) * 2 + count(*)) / (count(*) * 2)) AS BIGINT), 0) AS score,
+ count(*) AS total_assets, count_if(health >= 80) AS healthy_assets, count_if(severity = 'critical') AS critical_issues,
+ COALESCE(CAST(floor((sum(coverage) * 2 + count(*)) / (count(*) * 2)) AS BIGINT), 0) AS coverage,
+ COALESCE({_pct("count_if(description IS NOT NULL)", "count(*)")}, 0) AS documentation_coverage,
+ COALESCE({_pct("count_if(downstream_count > 0)", "count(*)")}, 0) AS lineage_coverage,
+ count_if(owner IS NULL) AS missing_owners,
+ (SELECT count(DISTINCT owner_urn) FROM od) AS owners, (SELECT count(*) FROM dc) AS domain_count
+FROM govr""")
+
+sql("facet_coverage", f"""
+SELECT ord, label, covered, total, {_pct("covered", "total")} AS percent FROM (
+ SELECT 1 AS ord, 'Ownership' AS label, count_if(has_owner) AS covered, count(*) AS total FROM govr
+ UNION ALL SELECT 2, 'Documentation', count_if(has_description), count(*) FROM govr
+ UNION ALL SELECT 3, 'Tags', count_if(tag_count > 0), count(*) FROM govr
+ UNION ALL SELECT 4, 'Domain assignment', count_if(domain <> 'Unassigned'), count(*) FROM govr)""")
+
+sql("platform_counts", "SELECT platform, count(*) AS count FROM ca WHERE platform IS NOT NULL GROUP BY platform")
+
+sql("entity_counts", """
+SELECT 1 AS ord, 'Datasets' AS label, CAST(count(*) AS BIGINT) AS count FROM ca
+UNION ALL SELECT 2, 'Owners', CAST(count(DISTINCT owner_urn) AS BIGINT) FROM od
+UNION ALL SELECT 3, 'Domains', CAST(count(*) AS BIGINT) FROM dc
+UNION ALL SELECT 4, 'Platforms', CAST(NULLIF(count(DISTINCT platform), 0) AS BIGINT) FROM ca""")
+
+sql("risk_breakdown", """
+SELECT asset_key, asset_name, raw_total, score,
+ CASE WHEN score >= 70 THEN 'critical' WHEN score >= 40 THEN 'high' WHEN score >= 20 THEN 'medium' ELSE 'low' END AS risk_level,
+ raw_total > score AS capped, n_findings,
+ row_number() OVER (ORDER BY score DESC, first_asset_id) = 1 AS is_worst,
+ count(*) OVER () > 1 AS multi_asset
+FROM (SELECT COALESCE(asset_urn, asset_name, 'catalogue') AS asset_key,
+  COALESCE((list(asset_name ORDER BY asset_id, rule_order))[1], 'Catalogue-wide') AS asset_name,
+  min(asset_id) AS first_asset_id, CAST(sum(points) AS BIGINT) AS raw_total, count(*) AS n_findings,
+  CAST(least(100, sum(points)) AS BIGINT) AS score
+ FROM fnd GROUP BY 1)""")
+
+sql("findings_by_severity", "SELECT severity, count(*) AS count FROM fnd GROUP BY severity")
+sql("findings_by_title", """
+SELECT title, count(*) AS count, (list(asset_id ORDER BY asset_id, rule_order))[1] AS first_asset_id,
+ (list(rule_order ORDER BY asset_id, rule_order))[1] AS first_rule_order FROM fnd GROUP BY title""")
+sql("top_findings", """
+SELECT asset_id, asset_name, rule, title, severity, CAST(points AS BIGINT) AS points FROM fnd
+ORDER BY points DESC, asset_id, rule_order LIMIT 8""")
+sql("alert_count", """
+SELECT count_if(severity IN ('critical', 'high')) AS alerts, count_if(severity = 'critical') AS critical FROM fnd""")
+sql("critical_findings", """
+SELECT asset_id, asset_urn, asset_name, rule_order, rule, title, severity, CAST(points AS BIGINT) AS points, detail
+FROM fnd WHERE severity = 'critical'""")
+sql("top_risk_assets", """
+SELECT asset_id, urn, name, CAST(health AS BIGINT) AS health, severity FROM govr ORDER BY health, asset_id LIMIT 6""")
+sql("business_impact", """
+SELECT count_if(n_findings > 0) AS affected_assets, CAST(COALESCE(sum(downstream), 0) AS BIGINT) AS downstream_consumers,
+ CAST(COALESCE(sum(n_findings), 0) AS BIGINT) AS total_findings FROM risk""")
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+from custos.functions import fixed  # noqa: E402
+
+DOCS = "docs(rule, rationale, metadata_used, consequence) AS (VALUES " + ", ".join(
+    f"({_q(k)}, {_q(a)}, {_q(b)}, {_q(c)})" for k, (a, b, c) in fixed.RULE_DOCS.items()) + ")"
+G0, G1_, G2 = fixed.GENERIC_RULE_DOC
+sql("finding_rule_docs", f"""
+SELECT f.asset_id, f.rule, f.title, f.severity, CAST(f.points AS BIGINT) AS points,
+ COALESCE(d.rationale, {_q(G0)}) AS rationale, COALESCE(d.metadata_used, {_q(G1_)}) AS metadata_used,
+ COALESCE(d.consequence, {_q(G2)}) AS consequence
+FROM fnd f LEFT JOIN docs d ON d.rule = f.rule""", DOCS)
+
+ACTS = "acts(rule, action_text, rationale) AS (VALUES " + ", ".join(
+    f"({_q(k)}, {_q(a)}, {_q(r)})" for k, (a, r) in fixed.FALLBACK_ACTIONS.items()) + ")"
+sql("recommendations", """
+SELECT t.rank, t.rule, CASE WHEN t.asset_name IS NOT NULL THEN a.action_text || ' for ' || t.asset_name ELSE a.action_text END AS action,
+ a.rationale, t.priority, t.asset_urn, t.rank <= 3 AS next_step
+FROM (SELECT *, row_number() OVER (ORDER BY points DESC, asset_id, rule_order) AS rank FROM (
+  SELECT rule, (list(asset_id ORDER BY asset_id, rule_order))[1] AS asset_id, min(rule_order) AS rule_order,
+   (list(asset_name ORDER BY asset_id, rule_order))[1] AS asset_name, (list(asset_urn ORDER BY asset_id, rule_order))[1] AS asset_urn,
+   (list(points ORDER BY asset_id, rule_order))[1] AS points, (list(severity ORDER BY asset_id, rule_order))[1] AS priority
+  FROM fnd GROUP BY rule)) t JOIN acts a ON a.rule = t.rule
+WHERE t.rank <= 5""", ACTS)
+
+sql("name_to_urn", """
+SELECT n.name, f.urn FROM (SELECT DISTINCT upper(display_name) AS name FROM ca) n
+LEFT JOIN (SELECT lower(asset_name) AS lname, (list(asset_urn ORDER BY asset_id, rule_order))[1] AS urn
+ FROM fnd WHERE asset_name IS NOT NULL GROUP BY 1) f ON lower(n.name) = f.lname""")
+
+EC = """
+latest AS (SELECT run_id, node, (list(status ORDER BY seq DESC, status DESC))[1] AS status FROM run_trace GROUP BY run_id, node),
+src(ord, node, label) AS (VALUES (1, 'datasets', 'Schema & tags'), (2, 'owners', 'Ownership'), (3, 'lineage', 'Lineage'), (4, 'statistics', 'Usage & profiling')),
+ec AS (
+ SELECT r.run_id, src.ord, src.node, src.label,
+  CASE WHEN l.status IS NULL OR l.status = 'skipped' THEN 'not-required' WHEN l.status = 'failed' THEN 'unavailable' ELSE 'collected' END AS state
+ FROM (SELECT DISTINCT run_id FROM run_trace) r CROSS JOIN src LEFT JOIN latest l ON l.run_id = r.run_id AND l.node = src.node)"""
+sql("evidence_completeness", "SELECT * FROM ec", EC)
+sql("evidence_totals", """
+SELECT e.run_id, e.collected, e.unavailable, r.degraded, r.tools_used FROM
+ (SELECT run_id, count_if(state = 'collected') AS collected, count_if(state = 'unavailable') AS unavailable FROM ec GROUP BY run_id) e
+ JOIN (SELECT run_id, bool_or(status = 'failed') AS degraded,
+   array_to_string(list_sort(list_distinct(list(node) FILTER (WHERE status = 'ok'))), ',') AS tools_used
+  FROM run_trace GROUP BY run_id) r USING (run_id)""", EC)
+
+sql("notification_feed", """
+SELECT *, row_number() OVER (ORDER BY timestamp DESC NULLS LAST, id) AS feed_position FROM (
+ SELECT 'alert-' || CAST(f.asset_id AS VARCHAR) || '-' || f.rule AS id, g.last_modified AS timestamp, f.title,
+  f.asset_name || ' · ' || CAST(g.downstream_count AS VARCHAR) || ' downstream' AS detail, f.severity, 'finding' AS kind
+ FROM fnd f JOIN govr g USING (asset_id) WHERE f.severity IN ('critical', 'high')
+ UNION ALL
+ SELECT 'activity-' || CAST(event_id AS VARCHAR), strftime(ts, '%Y-%m-%dT%H:%M:%S'), title, NULL, NULL, kind FROM activity_events)""")
+
+sql("asset_page", """
+SELECT asset_id, urn, name, CAST(health AS BIGINT) AS health, rn - 1 AS row_index, 40 AS page_start, 25 AS page_count,
+ (SELECT count(*) FROM govr) AS total, 65 < (SELECT count(*) FROM govr) AS has_more
+FROM (SELECT *, row_number() OVER (ORDER BY name NULLS FIRST, urn NULLS FIRST) AS rn FROM govr) WHERE rn > 40 AND rn <= 65""")
+
+sql("governance_sorted", """
+SELECT asset_id, urn, name, owner, CAST(health AS BIGINT) AS health, severity,
+ row_number() OVER (ORDER BY health, urn) AS sort_rank FROM govr""")
+
+sql("unowned_first", """
+SELECT asset_id, urn, has_owner, row_number() OVER (ORDER BY has_owner, asset_id) AS position
+FROM (SELECT asset_id, urn, asset_id IN (SELECT asset_id FROM od) AS has_owner FROM ca)""")
+
+sql("evidence", """
+SELECT r.asset_id, r.display_name AS name, r.urn, r.platform, r.owner AS first_owner, CAST(r.owner_count AS BIGINT) AS owner_count,
+ r.description IS NOT NULL AS has_description, CAST(r.tag_count AS BIGINT) AS tag_count,
+ list_filter([CASE WHEN r_missing_owner THEN 'missing_owner' END, CASE WHEN r_missing_documentation THEN 'missing_documentation' END,
+  CASE WHEN r_untagged_pii THEN 'untagged_pii' END, CASE WHEN r_large_downstream_impact THEN 'large_downstream_impact' END,
+  CASE WHEN r_deprecated_in_use THEN 'deprecated_in_use' END, CASE WHEN r_schema_drift THEN 'schema_drift' END], lambda x: x IS NOT NULL) AS triggered_rules,
+ r.domain_name AS domain, t.downstream_total, t.upstream_total,
+ COALESCE(NULLIF(concat_ws(' · ', CASE WHEN r.owner_count > 0 THEN 'owned by ' || COALESCE(r.owner, 'null') ELSE 'no owner' END,
+  CASE WHEN r.description IS NULL THEN 'undocumented' END,
+  CASE WHEN t.downstream_total IS NOT NULL THEN CAST(t.downstream_total AS VARCHAR) || ' downstream' END), ''), 'no issues found') AS description_line
+FROM risk r LEFT JOIN (SELECT w6.root,
+  (SELECT count(DISTINCT node) FROM w6dn) AS downstream_total,
+  (SELECT count(DISTINCT node) FROM w6up) AS upstream_total FROM w6) t ON t.root = r.asset_id""", W6ROOT)

@@ -148,3 +148,227 @@ def q_governance_assets(spark, sf_dir):
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
+
+
+# --- phase 3b: rooted lineage ----------------------------------------------------------
+
+ROOTED_MAX_HOPS = None  # rooted traversals run to the fixed point
+
+
+@query("lineage_root")
+def q_lineage_root(spark, sf_dir):
+    return G.lineage_root(cat_of(spark, sf_dir))
+
+
+def _hub(spark, sf_dir):
+    cat, ds = _with_downstream(spark, sf_dir)
+    return cat, G.blast_radius_hub(ds)
+
+
+@query("lineage_downstream")
+def q_lineage_downstream(spark, sf_dir):
+    cat, hub = _hub(spark, sf_dir)
+    return G.lineage_from_root(cat, "DOWNSTREAM", ROOTED_MAX_HOPS, hub)
+
+
+@query("lineage_upstream")
+def q_lineage_upstream(spark, sf_dir):
+    cat, hub = _hub(spark, sf_dir)
+    return G.lineage_from_root(cat, "UPSTREAM", ROOTED_MAX_HOPS, hub)
+
+
+@query("lineage_impact")
+def q_lineage_impact(spark, sf_dir):
+    cat, hub = _hub(spark, sf_dir)
+    return G.lineage_impact(cat, ROOTED_MAX_HOPS, hub)
+
+
+@query("lineage_nodes")
+def q_lineage_nodes(spark, sf_dir):
+    cat, hub = _hub(spark, sf_dir)
+    return G.lineage_graph(cat, ROOTED_MAX_HOPS, hub)[0]
+
+
+@query("lineage_edges")
+def q_lineage_edges(spark, sf_dir):
+    cat, hub = _hub(spark, sf_dir)
+    return G.lineage_graph(cat, ROOTED_MAX_HOPS, hub)[1]
+
+
+@query("lineage_neighbours")
+def q_lineage_neighbours(spark, sf_dir):
+    cat, hub = _hub(spark, sf_dir)
+    return G.lineage_neighbours(cat, hub.select(F.col("root").alias("node")))
+
+
+# --- phase 5: roll-ups -------------------------------------------------------------------
+
+from custos.operators import rollups as U  # noqa: E402
+
+
+def _gov(spark, sf_dir):
+    cat, ds = _with_downstream(spark, sf_dir)
+    return cat, ds, A.governance_assets(cat, ds)
+
+
+def _fnd(spark, sf_dir):
+    cat, ds = _with_downstream(spark, sf_dir)
+    return cat, ds, R.findings(cat, ds)
+
+
+@query("owner_facet")
+def q_owner_facet(spark, sf_dir):
+    return U.owner_facet(cat_of(spark, sf_dir))
+
+
+@query("domain_counts")
+def q_domain_counts(spark, sf_dir):
+    return U.domain_counts(cat_of(spark, sf_dir))
+
+
+@query("domain_names")
+def q_domain_names(spark, sf_dir):
+    return U.domain_names(cat_of(spark, sf_dir))
+
+
+@query("tag_list")
+def q_tag_list(spark, sf_dir):
+    return A.tag_list(cat_of(spark, sf_dir))
+
+
+@query("asset_search")
+def q_asset_search(spark, sf_dir):
+    return A.asset_search(cat_of(spark, sf_dir), "steel")
+
+
+@query("severity_counts")
+def q_severity_counts(spark, sf_dir):
+    return U.severity_counts(_gov(spark, sf_dir)[2])
+
+
+@query("severity_share")
+def q_severity_share(spark, sf_dir):
+    return U.severity_share(_gov(spark, sf_dir)[2])
+
+
+@query("severity_filter")
+def q_severity_filter(spark, sf_dir):
+    return U.severity_filter(_gov(spark, sf_dir)[2], "critical")
+
+
+@query("overview_metrics")
+def q_overview_metrics(spark, sf_dir):
+    cat, _ds, gov = _gov(spark, sf_dir)
+    return U.overview_metrics(cat, gov)
+
+
+@query("facet_coverage")
+def q_facet_coverage(spark, sf_dir):
+    return U.facet_coverage(_gov(spark, sf_dir)[2])
+
+
+@query("platform_counts")
+def q_platform_counts(spark, sf_dir):
+    return U.platform_counts(cat_of(spark, sf_dir))
+
+
+@query("entity_counts")
+def q_entity_counts(spark, sf_dir):
+    return U.entity_counts(cat_of(spark, sf_dir))
+
+
+@query("risk_breakdown")
+def q_risk_breakdown(spark, sf_dir):
+    return U.risk_breakdown(_fnd(spark, sf_dir)[2])
+
+
+@query("findings_by_severity")
+def q_findings_by_severity(spark, sf_dir):
+    return U.findings_by_severity(_fnd(spark, sf_dir)[2])
+
+
+@query("findings_by_title")
+def q_findings_by_title(spark, sf_dir):
+    return U.findings_by_title(_fnd(spark, sf_dir)[2])
+
+
+@query("top_findings")
+def q_top_findings(spark, sf_dir):
+    return U.top_findings(_fnd(spark, sf_dir)[2])
+
+
+@query("alert_count")
+def q_alert_count(spark, sf_dir):
+    return U.alert_count(_fnd(spark, sf_dir)[2])
+
+
+@query("critical_findings")
+def q_critical_findings(spark, sf_dir):
+    return U.critical_findings(_fnd(spark, sf_dir)[2])
+
+
+@query("top_risk_assets")
+def q_top_risk_assets(spark, sf_dir):
+    return U.top_risk_assets(_gov(spark, sf_dir)[2])
+
+
+@query("business_impact")
+def q_business_impact(spark, sf_dir):
+    cat, ds = _with_downstream(spark, sf_dir)
+    return U.business_impact(R.scored_facts(cat, ds))
+
+
+@query("finding_rule_docs")
+def q_finding_rule_docs(spark, sf_dir):
+    return U.finding_rule_docs(_fnd(spark, sf_dir)[2])
+
+
+@query("recommendations")
+def q_recommendations(spark, sf_dir):
+    return U.recommendations(_fnd(spark, sf_dir)[2])
+
+
+@query("name_to_urn")
+def q_name_to_urn(spark, sf_dir):
+    cat, _ds, f = _fnd(spark, sf_dir)
+    names = A.clean_assets(cat).select(F.upper("display_name").alias("name")).distinct()
+    return U.name_to_urn(names, f)
+
+
+@query("evidence_completeness")
+def q_evidence_completeness(spark, sf_dir):
+    return U.evidence_completeness(cat_of(spark, sf_dir).run_trace)
+
+
+@query("evidence_totals")
+def q_evidence_totals(spark, sf_dir):
+    return U.evidence_totals(cat_of(spark, sf_dir).run_trace)
+
+
+@query("notification_feed")
+def q_notification_feed(spark, sf_dir):
+    cat, ds = _with_downstream(spark, sf_dir)
+    return U.notification_feed(cat, R.findings(cat, ds), A.governance_assets(cat, ds))
+
+
+@query("asset_page")
+def q_asset_page(spark, sf_dir):
+    return A.asset_page(_gov(spark, sf_dir)[2].select("asset_id", "urn", "name", "health"), 40, 25)
+
+
+@query("governance_sorted")
+def q_governance_sorted(spark, sf_dir):
+    g = _gov(spark, sf_dir)[2].select("asset_id", "urn", "name", "owner", "health", "severity")
+    return A.governance_sorted(g, "health", "asc")
+
+
+@query("unowned_first")
+def q_unowned_first(spark, sf_dir):
+    return R.unowned_first(cat_of(spark, sf_dir))
+
+
+@query("evidence")
+def q_evidence(spark, sf_dir):
+    cat, ds = _with_downstream(spark, sf_dir)
+    totals = G.lineage_totals(cat, G.lineage_root(cat).select("root"), ROOTED_MAX_HOPS)
+    return R.evidence(cat, ds, root_totals=totals)
