@@ -349,3 +349,84 @@ SELECT r.asset_id, r.display_name AS name, r.urn, r.platform, r.owner AS first_o
 FROM risk r LEFT JOIN (SELECT w6.root,
   (SELECT count(DISTINCT node) FROM w6dn) AS downstream_total,
   (SELECT count(DISTINCT node) FROM w6up) AS upstream_total FROM w6) t ON t.root = r.asset_id""", W6ROOT)
+
+
+# --- profiling and usage -----------------------------------------------------------
+# FIXED VALUES: the column lists of the profiled test tables, in schema order.
+PROFILED = {
+    "customer": [("c_custkey", "n"), ("c_name", "s"), ("c_nationkey", "n"), ("c_acctbal", "n"),
+                 ("c_mktsegment", "s")],
+    "orders": [("o_orderkey", "n"), ("o_custkey", "n"), ("o_orderstatus", "s"), ("o_totalprice", "n"),
+               ("o_orderdate", "t"), ("o_orderpriority", "s")],
+    "lineitem": [("l_orderkey", "n"), ("l_partkey", "n"), ("l_suppkey", "n"), ("l_linenumber", "n"),
+                 ("l_quantity", "n"), ("l_extendedprice", "n"), ("l_discount", "n"), ("l_tax", "n"),
+                 ("l_returnflag", "s"), ("l_linestatus", "s"), ("l_shipdate", "t")],
+}
+
+
+def _profile_sql() -> str:
+    parts = []
+    for table, cols in PROFILED.items():
+        for i, (c, kind) in enumerate(cols):
+            if kind == "t":
+                mn, mx = f"strftime(min({c}), '%Y-%m-%d %H:%M:%S')", f"strftime(max({c}), '%Y-%m-%d %H:%M:%S')"
+            else:
+                mn, mx = f"CAST(min({c}) AS VARCHAR)", f"CAST(max({c}) AS VARCHAR)"
+            num = kind == "n"
+            parts.append(
+                f"SELECT '{table}' AS table_name, {i + 1} AS pos, '{c}' AS column_name, count(*) AS row_count, "
+                f"{len(cols)} AS column_count, count(*) - count({c}) AS null_count, "
+                f"CASE WHEN count(*) > 0 THEN (count(*) - count({c})) / count(*) END AS null_proportion, "
+                f"count(DISTINCT {c}) AS unique_count, "
+                f"CASE WHEN count({c}) > 0 THEN count(DISTINCT {c}) / count({c}) END AS unique_proportion, "
+                f"{mn} AS min, {mx} AS max, "
+                + (f"round(avg({c}::DOUBLE), 4) AS mean, median({c}::DOUBLE) AS median, round(stddev_samp({c}::DOUBLE), 4) AS stdev"
+                   if num else "CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS median, CAST(NULL AS DOUBLE) AS stdev")
+                + f" FROM {table}")
+    return "\nUNION ALL ".join(parts)
+
+
+ORACLE["column_profile"] = _profile_sql()
+
+sql("profile_history", """
+SELECT asset_id, snapshot, strftime(profiled_at, '%Y-%m-%dT%H:%M:%S') AS profiled_at, row_count, size_in_bytes FROM (
+ SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY profiled_at DESC NULLS LAST, row_count DESC, size_in_bytes DESC) AS snapshot
+ FROM profiles) WHERE snapshot <= 3""")
+
+sql("profile_latest", """
+SELECT asset_id, strftime(profiled_at, '%Y-%m-%dT%H:%M:%S') AS profiled_at, row_count, size_in_bytes FROM (
+ SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY profiled_at IS NOT NULL DESC, profiled_at DESC, row_count DESC, size_in_bytes DESC) AS rn
+ FROM profiles) WHERE rn = 1""")
+
+
+def _range(days: int) -> str:
+    return (f"rng AS (SELECT * FROM usage_events WHERE ts > (SELECT max(ts) FROM usage_events) - INTERVAL {days} DAY "
+            f"AND ts <= (SELECT max(ts) FROM usage_events))")
+
+
+sql("usage_summary", """
+SELECT asset_id, 'WEEK' AS time_range, count(*) AS total_queries, count(DISTINCT user_urn) AS unique_users,
+ CAST(NULL AS VARCHAR) AS usage_unavailable_reason FROM rng GROUP BY asset_id""", _range(7))
+
+sql("usage_top_users", """
+SELECT asset_id, user_rank, user_urn, split_part(user_urn, ':', 4) AS username, query_count FROM (
+ SELECT asset_id, user_urn, count(*) AS query_count,
+  row_number() OVER (PARTITION BY asset_id ORDER BY count(*) DESC, user_urn) AS user_rank
+ FROM rng GROUP BY asset_id, user_urn) WHERE user_rank <= 3""", _range(30))
+
+sql("usage_buckets", """
+SELECT asset_id, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS bucket, count(*) AS total_queries, count(DISTINCT user_urn) AS unique_users
+FROM rng GROUP BY asset_id, CAST(ts AS DATE)""", _range(7))
+
+sql("usage_fields", """
+SELECT asset_id, field_name, count(*) AS count FROM rng WHERE field_name IS NOT NULL GROUP BY asset_id, field_name""", _range(30))
+
+sql("statistics_summary", """
+SELECT ca.asset_id, ca.urn, l.profiled_at IS NOT NULL AS profiled, l.row_count, l.size_in_bytes,
+ strftime(l.profiled_at, '%Y-%m-%dT%H:%M:%S') AS profiled_at, TRUE AS usage_available,
+ COALESCE(u.total_queries, 0) AS total_queries, COALESCE(u.unique_users, 0) AS unique_users,
+ CAST(NULL AS VARCHAR) AS usage_unavailable_reason, 'MONTH' AS time_range
+FROM ca LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY profiled_at IS NOT NULL DESC,
+  profiled_at DESC, row_count DESC, size_in_bytes DESC) AS rn FROM profiles) WHERE rn = 1) l USING (asset_id)
+LEFT JOIN (SELECT asset_id, count(*) AS total_queries, count(DISTINCT user_urn) AS unique_users FROM rng GROUP BY asset_id) u USING (asset_id)""",
+    _range(30))

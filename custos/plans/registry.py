@@ -372,3 +372,49 @@ def q_evidence(spark, sf_dir):
     cat, ds = _with_downstream(spark, sf_dir)
     totals = G.lineage_totals(cat, G.lineage_root(cat).select("root"), ROOTED_MAX_HOPS)
     return R.evidence(cat, ds, root_totals=totals)
+
+
+# --- phase 6: profiling and usage ------------------------------------------------------------
+
+from custos.operators import profile as P  # noqa: E402
+from custos.operators import usage as S  # noqa: E402
+
+
+@query("column_profile")
+def q_column_profile(spark, sf_dir):
+    return P.profile_tables(spark, sf_dir)
+
+
+@query("profile_history")
+def q_profile_history(spark, sf_dir):
+    return P.profile_history(cat_of(spark, sf_dir), 3)
+
+
+@query("profile_latest")
+def q_profile_latest(spark, sf_dir):
+    return P.profile_latest(cat_of(spark, sf_dir))
+
+
+@query("usage_summary")
+def q_usage_summary(spark, sf_dir):
+    return S.usage_summary(cat_of(spark, sf_dir), "WEEK")
+
+
+@query("usage_top_users")
+def q_usage_top_users(spark, sf_dir):
+    return S.usage_top_users(cat_of(spark, sf_dir), 3, "MONTH")
+
+
+@query("usage_buckets")
+def q_usage_buckets(spark, sf_dir):
+    return S.usage_buckets(cat_of(spark, sf_dir), "WEEK")
+
+
+@query("usage_fields")
+def q_usage_fields(spark, sf_dir):
+    return S.usage_fields(cat_of(spark, sf_dir), "MONTH")
+
+
+@query("statistics_summary")
+def q_statistics_summary(spark, sf_dir):
+    return S.statistics_summary(cat_of(spark, sf_dir), "MONTH")
