@@ -300,9 +300,13 @@ def evidence_totals(run_trace: DataFrame) -> DataFrame:
     ec = evidence_completeness(run_trace).groupBy("run_id").agg(
         F.count_if(F.col("state") == "collected").alias("collected"),
         F.count_if(F.col("state") == "unavailable").alias("unavailable"))
-    runs = run_trace.groupBy("run_id").agg(
-        F.bool_or(F.col("status") == "failed").alias("degraded"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("status") == "ok", F.col("node")))), ",").alias("tools_used"))
+    degraded = run_trace.groupBy("run_id").agg(F.bool_or(F.col("status") == "failed").alias("degraded"))
+    # nodes that ran ok, each once, in first-seen order (bounded by the node vocabulary)
+    ok = (run_trace.where(F.col("status") == "ok").groupBy("run_id", "node").agg(F.min("seq").alias("s"))
+          .groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("s", "node"))).alias("t"))
+          .select("run_id", F.array_join(F.transform("t", lambda x: x["node"]), ",").alias("tools_used")))
+    runs = degraded.join(ok, "run_id", "left").select(
+        "run_id", "degraded", F.coalesce("tools_used", F.lit("")).alias("tools_used"))
     return ec.join(runs, "run_id", "inner")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from custos.plans.oracle_base import with_ctes
+from custos.plans.oracle_base import PII_RE as PII_RE_SQL, with_ctes
 
 W = with_ctes()
 
@@ -312,7 +312,8 @@ sql("evidence_totals", """
 SELECT e.run_id, e.collected, e.unavailable, r.degraded, r.tools_used FROM
  (SELECT run_id, count_if(state = 'collected') AS collected, count_if(state = 'unavailable') AS unavailable FROM ec GROUP BY run_id) e
  JOIN (SELECT run_id, bool_or(status = 'failed') AS degraded,
-   array_to_string(list_sort(list_distinct(list(node) FILTER (WHERE status = 'ok'))), ',') AS tools_used
+   COALESCE((SELECT array_to_string(list(o.node ORDER BY o.s, o.node), ',') FROM
+     (SELECT node, min(seq) AS s FROM run_trace t2 WHERE t2.run_id = run_trace.run_id AND t2.status = 'ok' GROUP BY node) o), '') AS tools_used
   FROM run_trace GROUP BY run_id) r USING (run_id)""", EC)
 
 sql("notification_feed", """
@@ -430,3 +431,133 @@ FROM ca LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asse
   profiled_at DESC, row_count DESC, size_in_bytes DESC) AS rn FROM profiles) WHERE rn = 1) l USING (asset_id)
 LEFT JOIN (SELECT asset_id, count(*) AS total_queries, count(DISTINCT user_urn) AS unique_users FROM rng GROUP BY asset_id) u USING (asset_id)""",
     _range(30))
+
+
+# --- questions (T1-T3) -------------------------------------------------------------
+
+
+def _list(vals) -> str:
+    return "[" + ", ".join(_q(v) for v in vals) + "]"
+
+
+def _questions_cte() -> str:
+    parts = []
+    for order, (intent, kws, excl, weight) in enumerate(fixed.INTENT_RULES):
+        hits = f"list_filter({_list(kws)}, lambda k: contains(low, k))"
+        if excl:
+            hits = f"CASE WHEN len(list_filter({_list(excl)}, lambda k: contains(low, k))) > 0 THEN []::VARCHAR[] ELSE {hits} END"
+        parts.append(f"{{'score': {weight} * len({hits}), 'neg': {-order}, 'intent': {_q(intent)}, 'hits': {hits}}}")
+    stop = _list(fixed.NAME_STOPWORDS)
+    nodes_case = "CASE intent " + " ".join(
+        f"WHEN {_q(k)} THEN {_list(v)}" for k, v in fixed.INTENT_NODES.items()) + f" ELSE {_list(fixed.INTENT_NODES['unknown'])} END"
+    return f"""
+qt AS (SELECT question_id, NULLIF(trim(question), '') AS text, lower(NULLIF(trim(question), '')) AS low FROM questions),
+qs AS (SELECT *, list_filter([{', '.join(parts)}], lambda s: s.score > 0) AS arr FROM qt),
+qr AS (SELECT *, list_sort(arr, 'DESC') AS ranked FROM qs),
+qi AS (
+ SELECT question_id, text, low,
+  CASE WHEN text IS NULL OR len(arr) = 0 THEN 'unknown' ELSE ranked[1].intent END AS intent,
+  CASE WHEN text IS NULL OR len(arr) = 0 THEN FALSE ELSE ranked[1].score >= 2 AND ranked[1].score > COALESCE(ranked[2].score, 0) END AS confident,
+  CASE WHEN text IS NULL THEN 'Empty question.' WHEN len(arr) = 0 THEN 'No governance keywords matched.'
+       ELSE 'Matched ''' || array_to_string(list_sort(ranked[1].hits), ', ') || ''' → ' || ranked[1].intent || '.' END AS reason,
+  NULLIF(regexp_extract(text, {_q(fixed.URN_PATTERN)}, 0), '') AS target_urn
+ FROM qr),
+qn AS (
+ SELECT *, CASE WHEN target_urn IS NULL AND text IS NOT NULL THEN
+   list_filter(regexp_extract_all(low, {_q(fixed.NAME_PATTERN)}, 1),
+     lambda c: NOT list_contains({stop}, split_part(c, '.', 1)) AND (contains(c, '_') OR contains(c, '.')))[1] END AS target_name
+ FROM qi),
+qp0 AS (SELECT *, {nodes_case} AS base, target_urn IS NOT NULL OR target_name IS NOT NULL AS has_target FROM qn),
+qp1 AS (SELECT *, CASE WHEN has_target AND NOT list_contains(base, 'lineage') AND list_contains(base, 'risk')
+   THEN list_concat(base[1:list_position(base, 'risk') - 1], ['lineage'], base[list_position(base, 'risk'):]) ELSE base END AS b1 FROM qp0),
+qp AS (SELECT *, array_to_string(CASE WHEN intent IN ({', '.join(_q(i) for i in fixed.RECOMMEND_FOR)}) AND NOT list_contains(b1, 'recommendation')
+   THEN list_concat(b1, ['recommendation']) ELSE b1 END, ',') AS plan FROM qp1)"""
+
+
+QCTE = _questions_cte()
+sql("question_intent", "SELECT question_id, intent, confident, reason FROM qp", QCTE)
+sql("question_target", "SELECT question_id, target_urn, target_name FROM qp", QCTE)
+sql("question_plan", "SELECT question_id, intent, plan FROM qp", QCTE)
+
+
+# --- reports ---------------------------------------------------------------------------
+BR = """
+tb AS (SELECT COALESCE(r.domain_name, 'Unassigned') AS domain, f.title, count(*) AS n,
+  min(f.asset_id * 10 + f.rule_order) AS first FROM fnd f JOIN risk r USING (asset_id) GROUP BY 1, 2),
+tball AS (SELECT '*' AS domain, title, count(*) AS n, min(asset_id * 10 + rule_order) AS first FROM fnd GROUP BY title),
+brk AS (SELECT domain, string_agg(title || ' (' || CAST(n AS VARCHAR) || ')', '; ' ORDER BY first) AS breakdown
+  FROM (SELECT * FROM tb UNION ALL SELECT * FROM tball) GROUP BY domain),
+sm AS (
+ SELECT COALESCE(domain_name, 'Unassigned') AS domain, count(*) AS assets, COALESCE(max(score), 0) AS score, sum(n_findings) AS n_findings
+ FROM risk GROUP BY 1
+ UNION ALL SELECT '*', count(*), COALESCE(max(score), 0), COALESCE(sum(n_findings), 0) FROM risk),
+sm2 AS (SELECT sm.*, brk.breakdown, CASE WHEN score >= 70 THEN 'critical' WHEN score >= 40 THEN 'high' WHEN score >= 20 THEN 'medium' ELSE 'low' END AS lvl
+ FROM sm LEFT JOIN brk USING (domain))"""
+sql("scan_summary", """
+SELECT domain, CAST(assets AS BIGINT) AS assets, CAST(score AS BIGINT) AS score, lvl AS risk_level,
+ CAST(COALESCE(n_findings, 0) AS BIGINT) AS findings,
+ CASE WHEN COALESCE(n_findings, 0) = 0 THEN 'Examined ' || CAST(assets AS VARCHAR) || ' asset(s) and found no rule violations. Risk level ' || lvl || ' (score ' || CAST(score AS VARCHAR) || ').'
+  ELSE 'Examined ' || CAST(assets AS VARCHAR) || ' asset(s) and found ' || CAST(n_findings AS VARCHAR) || ' rule violation(s): ' || breakdown || '. Risk level ' || lvl || ' (score ' || CAST(score AS VARCHAR) || '). AI explanation was unavailable, so this summary is generated directly from the rule engine.' END AS summary,
+ CASE WHEN COALESCE(n_findings, 0) = 0 THEN 'No governance issues were detected in this scan.'
+  ELSE 'Findings are listed below with the rule each one triggered. Review them directly — the narrative explanation could not be generated.' END AS business_impact
+FROM sm2""", BR)
+
+BRIEF = """
+opd AS (SELECT g.domain, count(DISTINCT od.owner_urn) AS owners FROM od JOIN govr g USING (asset_id) GROUP BY g.domain),
+dm AS (
+ SELECT g.domain, CAST(floor((sum(health) * 2 + count(*)) / (count(*) * 2)) AS BIGINT) AS score, count(*) AS total_assets,
+  count_if(health >= 80) AS healthy_assets, count_if(severity = 'critical') AS crit, count_if(owner IS NULL) AS miss,
+  CAST(floor((count_if(description IS NOT NULL) * 200 + count(*)) / (count(*) * 2)) AS BIGINT) AS doc,
+  COALESCE(max(opd.owners), 0) AS owner_count
+ FROM govr g LEFT JOIN opd USING (domain) GROUP BY g.domain),
+dm2 AS (SELECT *, format('{:,}', total_assets) || ' ' || CASE WHEN total_assets = 1 THEN 'asset' ELSE 'assets' END AS assets_txt,
+  (SELECT count(*) FROM dc) AS dcount FROM dm),
+acts AS (
+ SELECT domain, row_number() OVER (PARTITION BY domain ORDER BY k) AS ord, label, prompt FROM (
+  SELECT domain, 1 AS k, 'Investigate critical risks' AS label, 'Which datasets are highest risk?' AS prompt FROM dm2 WHERE crit > 0
+  UNION ALL SELECT domain, 2, 'Review ' || CAST(miss AS VARCHAR) || ' unowned ' || CASE WHEN miss = 1 THEN 'asset' ELSE 'assets' END, 'Find datasets without owners' FROM dm2 WHERE miss > 0
+  UNION ALL SELECT domain, 3, 'Scan for untagged PII', 'Find untagged PII across all datasets' FROM dm2
+  UNION ALL SELECT domain, 4, 'Generate executive report', 'Create a governance report' FROM dm2))"""
+sql("scan_brief", """
+SELECT domain, 'headline' AS kind, 0 AS ord,
+ CASE WHEN crit > 0 THEN 'I analysed ' || assets_txt || ' and found ' || CAST(crit AS VARCHAR) || ' at critical risk. Ownership and classification gaps are the largest contributors.'
+  WHEN miss > 0 THEN 'I analysed ' || assets_txt || '. Nothing is at critical risk, but ' || CAST(miss AS VARCHAR) || ' ' || CASE WHEN miss = 1 THEN 'asset has' ELSE 'assets have' END || ' no accountable owner.'
+  WHEN doc < 80 THEN 'I analysed ' || assets_txt || '. Ownership is complete; documentation coverage is ' || CAST(doc AS VARCHAR) || '% and is now the weakest signal.'
+  ELSE 'I analysed ' || assets_txt || ' and found no critical governance gaps. Metadata health is ' || CAST(score AS VARCHAR) || '/100.' END AS text,
+ NULL AS detail, NULL AS tone FROM dm2
+UNION ALL SELECT domain, 'finding', 1, CAST(crit AS VARCHAR) || ' critical ' || CASE WHEN crit = 1 THEN 'risk' ELSE 'risks' END,
+ CASE WHEN crit > 0 THEN 'Assets with health below 40 on the governance score' ELSE 'No asset has health below 40' END,
+ CASE WHEN crit > 0 THEN 'critical' ELSE 'positive' END FROM dm2
+UNION ALL SELECT domain, 'finding', 2, CAST(miss AS VARCHAR) || ' without an owner',
+ CASE WHEN miss > 0 THEN 'No accountable responder when these break' ELSE 'All assets have an owner across ' || CAST(owner_count AS VARCHAR) || ' people and groups' END,
+ CASE WHEN miss > 0 THEN 'warning' ELSE 'positive' END FROM dm2
+UNION ALL SELECT domain, 'finding', 3, CAST(doc AS VARCHAR) || '% documented',
+ 'Assets carrying a description · ' || CAST(dcount AS VARCHAR) || ' business ' || CASE WHEN dcount = 1 THEN 'domain' ELSE 'domains' END,
+ CASE WHEN doc >= 80 THEN 'positive' ELSE 'warning' END FROM dm2
+UNION ALL SELECT domain, 'finding', 4, CAST(score AS VARCHAR) || '/100 metadata health',
+ 'Composite of ownership, documentation, and classification · ' || CAST(healthy_assets AS VARCHAR) || ' assets above 80',
+ CASE WHEN score >= 80 THEN 'positive' WHEN score >= 50 THEN 'warning' ELSE 'critical' END FROM dm2
+UNION ALL SELECT domain, 'action', ord, label, prompt, NULL FROM acts WHERE ord <= 4""", BRIEF)
+
+sql("data_dictionary", """
+SELECT ca.asset_id, x.line_no, x.line FROM ca LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY profiled_at IS NOT NULL DESC,
+  profiled_at DESC, row_count DESC, size_in_bytes DESC) AS rn FROM profiles) WHERE rn = 1) l USING (asset_id),
+ LATERAL (SELECT unnest([-4, -3, -2, -1, 0]) AS line_no, unnest(['# Data dictionary: ' || ca.display_name, '`' || ca.urn || '`',
+  'Rows (latest profile): ' || COALESCE(format('{:,}', l.row_count), 'not profiled'), '| Column | Type | Description | PII |', '| --- | --- | --- | --- |']) AS line) x
+UNION ALL
+SELECT asset_id, pos, '| ' || field_path || ' | ' || COALESCE(native_data_type, '') || ' |  | ' ||
+ CASE WHEN regexp_matches(field_path, '(?i)""" + PII_RE_SQL + """') THEN 'yes' ELSE 'no' END || ' |'
+FROM schema_fields WHERE field_path IS NOT NULL""")
+
+sql("run_steps", """
+SELECT run_id, seq, COALESCE(m.label, node) || ' (' || CAST(CAST(round(duration_ms) AS BIGINT) AS VARCHAR) || 'ms)' AS step
+FROM run_trace LEFT JOIN (VALUES """ + ", ".join(f"({_q(k)}, {_q(v)})" for k, v in fixed.NODE_LABELS.items()) + """) m(node, label) USING (node)
+WHERE status = 'ok'
+UNION ALL
+SELECT f.run_id, l.last_seq + 1, 'Partial evidence: ' || f.node || ' node failed'
+FROM (SELECT run_id, (list(node ORDER BY seq))[1] AS node FROM run_trace WHERE status = 'failed' GROUP BY run_id) f
+JOIN (SELECT run_id, max(seq) AS last_seq FROM run_trace GROUP BY run_id) l USING (run_id)""")
+
+sql("findings_json", """
+SELECT to_json(struct_pack(asset_id := asset_id, asset_urn := asset_urn, asset_name := asset_name, rule_order := rule_order,
+ rule := rule, title := title, severity := severity, points := CAST(points AS BIGINT), detail := detail)) AS json FROM fnd""")

@@ -418,3 +418,70 @@ def q_usage_fields(spark, sf_dir):
 @query("statistics_summary")
 def q_statistics_summary(spark, sf_dir):
     return S.statistics_summary(cat_of(spark, sf_dir), "MONTH")
+
+
+# --- phase 7: questions --------------------------------------------------------------------
+
+from custos.operators import questions as Q  # noqa: E402
+
+
+@query("question_intent")
+def q_question_intent(spark, sf_dir):
+    return Q.question_intent(cat_of(spark, sf_dir).questions)
+
+
+@query("question_target")
+def q_question_target(spark, sf_dir):
+    return Q.question_target(cat_of(spark, sf_dir).questions)
+
+
+@query("question_plan")
+def q_question_plan(spark, sf_dir):
+    return Q.question_plan(cat_of(spark, sf_dir).questions)
+
+
+# --- phase 7b: reports and sinks -------------------------------------------------------------
+
+from custos.operators import reports as T  # noqa: E402
+
+
+@query("scan_summary")
+def q_scan_summary(spark, sf_dir):
+    cat, ds = _with_downstream(spark, sf_dir)
+    return T.scan_summary(R.scored_facts(cat, ds), R.findings(cat, ds))
+
+
+def owners_per_domain(cat, gov):
+    o = A.owners_dedup(cat).join(gov.select("asset_id", "domain"), "asset_id", "inner")
+    return o.groupBy("domain").agg(F.count_distinct("owner_urn").alias("owners"))
+
+
+@query("scan_brief")
+def q_scan_brief(spark, sf_dir):
+    cat, _ds, gov = _gov(spark, sf_dir)
+    n_domains = A.domains_clean(cat).select(F.count(F.lit(1))).scalar()
+    return T.scan_brief(gov, owners_per_domain(cat, gov), n_domains)
+
+
+@query("executive_report")
+def q_executive_report(spark, sf_dir):
+    cat, ds = _with_downstream(spark, sf_dir)
+    f = R.findings(cat, ds)
+    return T.executive_report(R.catalogue_verdict(cat, ds), f, U.recommendations(f),
+                              "Which datasets are highest risk?", "find_risky_datasets")
+
+
+@query("data_dictionary")
+def q_data_dictionary(spark, sf_dir):
+    return T.data_dictionary(cat_of(spark, sf_dir))
+
+
+@query("run_steps")
+def q_run_steps(spark, sf_dir):
+    return T.run_steps(cat_of(spark, sf_dir).run_trace)
+
+
+@query("findings_json")
+def q_findings_json(spark, sf_dir):
+    cat, ds = _with_downstream(spark, sf_dir)
+    return T.to_json_lines(R.findings(cat, ds))
