@@ -121,3 +121,13 @@ def looks_like_pii(field_path) -> Column:
 
 def is_pii_tag(tag) -> Column:
     return F.coalesce(F.lower(col_(tag)).rlike("|".join(fixed.PII_TAG_HINTS)), F.lit(False))
+
+
+JSON_OPTIONS = {"ignoreNullFields": "false",
+                "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss",
+                "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"}
+
+
+def json_of(*cols) -> Column:
+    """JSON object text of the given columns; nulls kept, timestamps ISO-8601."""
+    return F.to_json(F.struct(*cols), JSON_OPTIONS)

@@ -282,6 +282,4 @@ def report_filename(intent: str, as_of: str, prefix: str = "governance") -> str:
 def to_json_lines(df: DataFrame) -> DataFrame:
     """One JSON object per row; timestamps as ISO-8601, enums already strings,
     nested structs / arrays / maps serialised recursively."""
-    return df.select(F.to_json(F.struct(*df.columns),
-                               {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss",
-                                "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"}).alias("json"))
+    return df.select(C.json_of(*df.columns).alias("json"))

@@ -561,3 +561,54 @@ JOIN (SELECT run_id, max(seq) AS last_seq FROM run_trace GROUP BY run_id) l USIN
 sql("findings_json", """
 SELECT to_json(struct_pack(asset_id := asset_id, asset_urn := asset_urn, asset_name := asset_name, rule_order := rule_order,
  rule := rule, title := title, severity := severity, points := CAST(points AS BIGINT), detail := detail)) AS json FROM fnd""")
+
+
+# --- sinks and history --------------------------------------------------------------
+sql("aspect_upsert", """
+SELECT entity_urn, aspect, (list(version ORDER BY version DESC, payload DESC))[1] AS version,
+ (list(payload ORDER BY version DESC, payload DESC))[1] AS payload, count(*) AS changes FROM (
+ SELECT NULLIF(trim(urn), '') AS entity_urn, 'datasetProperties' AS aspect, COALESCE(CAST(last_modified_ms AS BIGINT), 0) AS version,
+  to_json(struct_pack(name := NULLIF(trim(name), ''), description := COALESCE(NULLIF(trim(editable_description), ''), NULLIF(trim(description), '')),
+   platform := NULLIF(trim(platform), ''))) AS payload FROM assets WHERE NULLIF(trim(urn), '') IS NOT NULL
+ UNION ALL SELECT ca.urn, 'ownership', o.pos, to_json(struct_pack(owner_urn := o.owner_urn, ownership_type := o.ownership_type))
+  FROM ownership o JOIN ca USING (asset_id)
+ UNION ALL SELECT ca.urn, 'globalTags', 0, to_json(struct_pack(tag := t.tag)) FROM asset_tags t JOIN ca USING (asset_id)
+ UNION ALL SELECT ca.urn, 'schemaMetadata', s.pos, to_json(struct_pack(field_path := s.field_path, native_data_type := s.native_data_type))
+  FROM schema_fields s JOIN ca USING (asset_id)) GROUP BY entity_urn, aspect""")
+
+PREV = """
+pps AS (SELECT asset_id, count(*) AS n_pii, array_to_string(list(field_path ORDER BY pos, field_path)[1:5], ', ') AS shown
+ FROM schema_fields_prev WHERE regexp_matches(field_path, '(?i)""" + PII_RE_SQL + """') GROUP BY asset_id),
+prevf AS (
+ SELECT f.asset_id, 'missing_owner' AS rule, 'high' AS severity FROM fired f WHERE r_missing_owner
+ UNION ALL SELECT asset_id, 'missing_documentation', 'medium' FROM fired WHERE r_missing_documentation
+ UNION ALL SELECT f.asset_id, 'untagged_pii', 'critical' FROM fired f JOIN pps USING (asset_id) WHERE pps.n_pii > 0 AND NOT f.pii_tagged
+ UNION ALL SELECT asset_id, 'large_downstream_impact', 'high' FROM fired WHERE r_large_downstream_impact
+ UNION ALL SELECT asset_id, 'deprecated_in_use', 'high' FROM fired WHERE r_deprecated_in_use
+ UNION ALL SELECT asset_id, 'schema_drift', 'medium' FROM fired WHERE r_schema_drift)"""
+
+sql("risk_trend", """
+SELECT scan_date, count_if(severity = 'critical') AS critical, count_if(severity = 'high') AS high,
+ count_if(severity = 'medium') AS medium, count_if(severity = 'low') AS low FROM (
+ SELECT 'previous' AS scan_date, severity FROM prevf UNION ALL SELECT 'current', severity FROM fnd) GROUP BY scan_date""", PREV)
+
+sql("finding_diff", """
+SELECT COALESCE(p.asset_id, c.asset_id) AS asset_id, COALESCE(p.rule, c.rule) AS rule,
+ CASE WHEN p.asset_id IS NULL THEN 'new' WHEN c.asset_id IS NULL THEN 'resolved' ELSE 'persisting' END AS status
+FROM prevf p FULL OUTER JOIN fnd c ON p.asset_id = c.asset_id AND p.rule = c.rule""", PREV)
+
+sql("schema_diff", """
+SELECT * FROM (
+ SELECT COALESCE(p.asset_id, c.asset_id) AS asset_id, COALESCE(p.field_path, c.field_path) AS field_path,
+  p.native_data_type AS prev_type, c.native_data_type AS curr_type,
+  CASE WHEN p.native_data_type IS NULL AND c.native_data_type IS NOT NULL THEN 'added'
+       WHEN c.native_data_type IS NULL AND p.native_data_type IS NOT NULL THEN 'removed'
+       WHEN p.native_data_type IS DISTINCT FROM c.native_data_type THEN 'retyped' END AS change
+ FROM schema_fields_prev p FULL OUTER JOIN schema_fields c ON p.asset_id = c.asset_id AND p.field_path = c.field_path)
+WHERE change IS NOT NULL""")
+
+sql("stale_assets", """
+SELECT asset_id, urn, strftime(last_modified, '%Y-%m-%dT%H:%M:%S') AS last_modified,
+ date_diff('day', CAST(last_modified AS DATE), CAST((SELECT max(last_modified) FROM ca) AS DATE)) AS days_stale
+FROM ca WHERE last_modified IS NOT NULL
+ AND date_diff('day', CAST(last_modified AS DATE), CAST((SELECT max(last_modified) FROM ca) AS DATE)) > 30""")

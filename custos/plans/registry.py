@@ -485,3 +485,41 @@ def q_run_steps(spark, sf_dir):
 def q_findings_json(spark, sf_dir):
     cat, ds = _with_downstream(spark, sf_dir)
     return T.to_json_lines(R.findings(cat, ds))
+
+
+# --- phase 8: sinks and history ----------------------------------------------------------------
+
+from custos.operators import history as H  # noqa: E402
+
+
+@query("aspect_upsert")
+def q_aspect_upsert(spark, sf_dir):
+    return H.latest_aspects(H.aspect_events(cat_of(spark, sf_dir)))
+
+
+def _two_scans(spark, sf_dir):
+    """Findings of the previous scan (previous schema snapshot) and the current one."""
+    cat, ds = _with_downstream(spark, sf_dir)
+    prev = R.findings(cat.with_tables(schema_fields=cat.schema_fields_prev), ds)
+    return prev, R.findings(cat, ds)
+
+
+@query("risk_trend")
+def q_risk_trend(spark, sf_dir):
+    prev, curr = _two_scans(spark, sf_dir)
+    return H.risk_trend(H.findings_history(prev, curr, "previous", "current"))
+
+
+@query("finding_diff")
+def q_finding_diff(spark, sf_dir):
+    return H.finding_diff(*_two_scans(spark, sf_dir))
+
+
+@query("schema_diff")
+def q_schema_diff(spark, sf_dir):
+    return H.schema_diff(cat_of(spark, sf_dir))
+
+
+@query("stale_assets")
+def q_stale_assets(spark, sf_dir):
+    return H.stale_assets(cat_of(spark, sf_dir), 30)
