@@ -76,17 +76,20 @@ def asset_kind(cat: Catalog) -> DataFrame:
 # --- P2: principals ----------------------------------------------------------------
 
 def principals_clean(cat: Catalog) -> DataFrame:
+    """Principal attributes; kind from the source when given, else from the
+    URN prefix; name falls back to the URN tail; display name editable >
+    ingested > name."""
     p = cat.principals
-    urn = C.clean_text("owner_urn")
-    name = F.substring_index(urn, ":", -1)
     cols = set(p.columns)
+    urn = C.clean_text("owner_urn")
+    name = F.coalesce(C.clean_text("name"), F.substring_index(urn, ":", -1)) if "name" in cols \
+        else F.substring_index(urn, ":", -1)
+    kind = F.coalesce(C.clean_text("kind"), C.owner_kind(urn)) if "kind" in cols else C.owner_kind(urn)
     editable = C.clean_text("editable_display_name") if "editable_display_name" in cols else F.lit(None)
     return p.select(
-        urn.alias("owner_urn"),
-        C.owner_kind(urn).alias("kind"),
-        name.alias("name"),
+        urn.alias("owner_urn"), kind.alias("kind"), name.alias("name"),
         F.coalesce(editable, C.clean_text("display_name"), name).alias("display_name"),
-        F.col("active") if "active" in cols else F.lit(None).cast("boolean").alias("active"),
+        (F.col("active") if "active" in cols else F.lit(None).cast("boolean")).alias("active"),
     ).where(F.col("owner_urn").isNotNull())
 
 
