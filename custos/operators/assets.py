@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custos.functions import columns as C
+from custos.functions.joins import small_side
 from custos.functions.ranking import global_rank
 from custos.sources.catalog import Catalog
 
@@ -114,7 +115,7 @@ def asset_owners(cat: Catalog) -> DataFrame:
     """Each asset with each of its (deduplicated) owners; unowned assets keep one
     row with null owner columns. Dangling owners keep their URN, kind from prefix."""
     a = clean_assets(cat).select("asset_id", "urn")
-    owners = owners_dedup(cat).join(principals_clean(cat).drop("kind"), "owner_urn", "left")
+    owners = owners_dedup(cat).join(small_side(principals_clean(cat).drop("kind")), "owner_urn", "left")
     return a.join(owners, "asset_id", "left").select(
         "asset_id", "urn", "owner_urn", "pos", "ownership_type",
         F.when(F.col("owner_urn").isNotNull(), C.owner_kind("owner_urn")).alias("kind"),
@@ -123,7 +124,7 @@ def asset_owners(cat: Catalog) -> DataFrame:
 
 def owner_stats(cat: Catalog) -> DataFrame:
     """Per asset: number of distinct owners and the first owner's label."""
-    o = owners_dedup(cat).join(principals_clean(cat).select("owner_urn", "name", "display_name"),
+    o = owners_dedup(cat).join(small_side(principals_clean(cat).select("owner_urn", "name", "display_name")),
                                "owner_urn", "left")
     return o.groupBy("asset_id").agg(
         F.count(F.lit(1)).alias("n_owners"),
@@ -178,7 +179,7 @@ def asset_domain(cat: Catalog) -> DataFrame:
     """Asset with its domain (left, one); domains is a small dimension and AQE
     broadcasts it after measuring it."""
     a = clean_assets(cat).select("asset_id", "urn", "domain_urn")
-    return a.join(domains_clean(cat), "domain_urn", "left").select(
+    return a.join(small_side(domains_clean(cat)), "domain_urn", "left").select(
         "asset_id", "urn", "domain_urn", "domain_name")
 
 
@@ -219,12 +220,13 @@ def asset_facts(cat: Catalog, downstream: DataFrame | None = None) -> DataFrame:
     a = clean_assets(cat)
     facts = (a.join(owner_stats(cat), "asset_id", "left")
              .join(tag_stats(cat), "asset_id", "left")
-             .join(pii_stats(cat), "asset_id", "left")
-             .join(domains_clean(cat), "domain_urn", "left"))
+             .join(pii_stats(cat), "asset_id", "left"))
     if downstream is not None:
         facts = facts.join(downstream.select("asset_id", "downstream_count"), "asset_id", "left")
     else:
         facts = facts.withColumn("downstream_count", F.lit(None).cast("bigint"))
+    # the domain dimension last, broadcast when its size allows
+    facts = facts.join(small_side(domains_clean(cat)), "domain_urn", "left")
     return facts.select(
         "*",
         F.coalesce("n_owners", F.lit(0)).alias("owner_count"),

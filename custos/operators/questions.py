@@ -19,28 +19,45 @@ def _lit_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def intent_columns(text: Column) -> dict[str, Column]:
-    """Intent, confidence and reason for a (stripped) question text."""
-    low = F.lower(text)
+def _hit(low: Column, keyword: str) -> Column:
+    return (F.instr(low, keyword) > 0).cast("int")
+
+
+def intent_scores(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``ranked``: per-intent (score, -rule order, intent) structs sorted
+    best first. Keyword hits are plain integer sums of ``instr`` tests (cheap,
+    codegen-friendly); the ranking is computed once, in its own projection."""
+    low = F.lower(F.col(text))
     scored = []
     for order, (intent, keywords, excludes, weight) in enumerate(fixed.INTENT_RULES):
-        hits = F.filter(_lit_array(keywords), lambda k: F.instr(low, k) > 0)
+        hits = sum((_hit(low, k) for k in keywords), F.lit(0))
         if excludes:
-            excluded = F.exists(_lit_array(excludes), lambda k: F.instr(low, k) > 0)
-            hits = F.when(excluded, F.array().cast("array<string>")).otherwise(hits)
-        scored.append(F.struct((F.size(hits) * weight).alias("score"), F.lit(-order).alias("neg_order"),
-                               F.lit(intent).alias("intent"), hits.alias("hits")))
-    arr = F.filter(F.array(*scored), lambda s: s["score"] > 0)
-    ranked = F.reverse(F.array_sort(arr))  # score desc, then earlier rule first
+            excluded = sum((_hit(low, k) for k in excludes), F.lit(0)) > 0
+            hits = F.when(excluded, F.lit(0)).otherwise(hits)
+        scored.append(F.struct((hits * weight).alias("score"), F.lit(-order).alias("neg_order"),
+                               F.lit(intent).alias("intent")))
+    ranked = F.reverse(F.array_sort(F.filter(F.array(*scored), lambda s: s["score"] > 0)))
+    return df.select("*", ranked.alias("ranked"))
+
+
+def intent_columns(ranked: Column, text: Column) -> dict[str, Column]:
+    """Intent, confidence and reason from the ranked scores of a (stripped) question."""
     best = F.try_element_at(ranked, F.lit(1))
     runner = F.coalesce(F.try_element_at(ranked, F.lit(2))["score"], F.lit(0))
-    has = F.size(arr) > 0
+    has = F.size(ranked) > 0
     blank = text.isNull()
+    low = F.lower(text)
+    # keywords of the winning intent that occur, in sorted order
+    matched = None
+    for intent, keywords, _excl, _w in fixed.INTENT_RULES:
+        hits = F.filter(_lit_array(sorted(keywords)), lambda k: F.instr(low, k) > 0)
+        matched = (F.when(best["intent"] == intent, hits) if matched is None
+                   else matched.when(best["intent"] == intent, hits))
     intent = F.when(blank | ~has, F.lit("unknown")).otherwise(best["intent"])
     confident = F.when(blank | ~has, F.lit(False)).otherwise((best["score"] >= 2) & (best["score"] > runner))
     reason = (F.when(blank, F.lit("Empty question."))
               .when(~has, F.lit("No governance keywords matched."))
-              .otherwise(F.concat(F.lit("Matched '"), F.array_join(F.array_sort(best["hits"]), ", "),
+              .otherwise(F.concat(F.lit("Matched '"), F.array_join(matched, ", "),
                                   F.lit("' → "), best["intent"], F.lit("."))))
     return {"intent": intent, "confident": confident, "reason": reason}
 
@@ -73,10 +90,10 @@ def plan_nodes(intent: Column, has_target: Column) -> Column:
 
 
 def classify_questions(questions: DataFrame) -> DataFrame:
-    """T1-T3 in one projection: intent, confident, reason, target, plan."""
-    text = C.clean_text("question")
-    q = questions.select("question_id", text.alias("text"))
-    ic = intent_columns(F.col("text"))
+    """Intent, confident, reason, target, plan - three narrow projections."""
+    q = questions.select("question_id", C.clean_text("question").alias("text"))
+    q = intent_scores(q)
+    ic = intent_columns(F.col("ranked"), F.col("text"))
     tc = target_columns(F.col("text"))
     q = q.select("question_id", "text", *[v.alias(k) for k, v in {**ic, **tc}.items()])
     has_target = F.col("target_urn").isNotNull() | F.col("target_name").isNotNull()
