@@ -612,3 +612,40 @@ SELECT asset_id, urn, strftime(last_modified, '%Y-%m-%dT%H:%M:%S') AS last_modif
  date_diff('day', CAST(last_modified AS DATE), CAST((SELECT max(last_modified) FROM ca) AS DATE)) AS days_stale
 FROM ca WHERE last_modified IS NOT NULL
  AND date_diff('day', CAST(last_modified AS DATE), CAST((SELECT max(last_modified) FROM ca) AS DATE)) > 30""")
+
+
+# --- remaining inventory keys --------------------------------------------------------
+REQ = """
+req AS (SELECT COALESCE(ca.urn, 'urn:li:dataset:missing_' || CAST(u.asset_id AS VARCHAR)) AS urn
+ FROM (SELECT DISTINCT asset_id FROM usage_events) u LEFT JOIN ca USING (asset_id))"""
+sql("dataset_detail", """
+SELECT req.urn AS requested_urn, f.urn IS NOT NULL AS found, f.asset_id, f.display_name AS name, f.platform, f.description,
+ f.domain_urn, f.domain_name, CAST(f.owner_count AS BIGINT) AS owner_count, f.owner, CAST(f.tag_count AS BIGINT) AS tag_count,
+ f.deprecated, strftime(f.last_modified, '%Y-%m-%dT%H:%M:%S') AS last_modified
+FROM (SELECT DISTINCT urn FROM req) req LEFT JOIN facts f ON f.urn = req.urn""", REQ)
+sql("dataset_schema", """
+SELECT ca.asset_id, ca.urn, s.pos, s.field_path, s.native_data_type
+FROM ca JOIN schema_fields s USING (asset_id) WHERE ca.urn IN (SELECT urn FROM req) AND s.field_path IS NOT NULL""", REQ)
+for _key, _rule_name in [("rule_missing_owner", "missing_owner"),
+                         ("rule_missing_documentation", "missing_documentation"),
+                         ("rule_untagged_pii", "untagged_pii"),
+                         ("rule_large_downstream", "large_downstream_impact"),
+                         ("rule_deprecated_in_use", "deprecated_in_use"),
+                         ("rule_schema_drift", "schema_drift")]:
+    sql(_key, f"""
+SELECT asset_id, asset_urn, asset_name, rule_order, rule, title, severity, CAST(points AS BIGINT) AS points, detail
+FROM fnd WHERE rule = '{_rule_name}'""")
+sql("pii_columns", f"""
+SELECT asset_id, pos, field_path FROM schema_fields WHERE regexp_matches(field_path, '(?i){PII_RE_SQL}')""")
+sql("pii_tagged_assets", """
+SELECT asset_id, urn FROM ca WHERE asset_id IN (SELECT asset_id FROM ts_ WHERE has_pii_tag)""")
+sql("score_reconcile", """
+SELECT s.asset_id, s.stored_score, CAST(COALESCE(r.recomputed, 0) AS BIGINT) AS recomputed FROM (
+ SELECT f.asset_id, CAST(least(100,
+   CASE WHEN r_missing_owner THEN 30 ELSE 0 END + CASE WHEN r_missing_documentation THEN 20 ELSE 0 END
+   + CASE WHEN COALESCE(pps.n_pii, 0) > 0 AND NOT f.pii_tagged THEN 40 ELSE 0 END
+   + CASE WHEN r_large_downstream_impact THEN 20 ELSE 0 END + CASE WHEN r_deprecated_in_use THEN 15 ELSE 0 END
+   + CASE WHEN r_schema_drift THEN 15 ELSE 0 END) AS BIGINT) AS stored_score
+ FROM fired f LEFT JOIN pps USING (asset_id)) s
+LEFT JOIN (SELECT asset_id, least(100, sum(points)) AS recomputed FROM fnd GROUP BY asset_id) r USING (asset_id)
+WHERE s.stored_score <> COALESCE(r.recomputed, 0)""", PREV)

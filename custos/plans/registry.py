@@ -523,3 +523,61 @@ def q_schema_diff(spark, sf_dir):
 @query("stale_assets")
 def q_stale_assets(spark, sf_dir):
     return H.stale_assets(cat_of(spark, sf_dir), 30)
+
+
+# --- remaining inventory keys ------------------------------------------------------------------
+
+def requested_urns(cat):
+    """URNs asked for in bulk: the assets referenced by usage events, plus a
+    placeholder URN for event asset ids that have no asset (the not-found case)."""
+    ids = cat.usage_events.select("asset_id").distinct()
+    a = A.clean_assets(cat).select("asset_id", "urn")
+    return ids.join(a, "asset_id", "left").select(
+        F.coalesce("urn", F.concat(F.lit("urn:li:dataset:missing_"), F.col("asset_id").cast("string"))).alias("urn"))
+
+
+@query("dataset_detail")
+def q_dataset_detail(spark, sf_dir):
+    cat = cat_of(spark, sf_dir)
+    return A.dataset_detail(cat, requested_urns(cat))
+
+
+@query("dataset_schema")
+def q_dataset_schema(spark, sf_dir):
+    cat = cat_of(spark, sf_dir)
+    return A.dataset_schema(cat, requested_urns(cat))
+
+
+def _rule(rule):
+    def run(spark, sf_dir):
+        cat, ds = _with_downstream(spark, sf_dir)
+        return R.rule_findings(cat, rule, ds)
+    return run
+
+
+for _key, _rule_name in [("rule_missing_owner", "missing_owner"),
+                         ("rule_missing_documentation", "missing_documentation"),
+                         ("rule_untagged_pii", "untagged_pii"),
+                         ("rule_large_downstream", "large_downstream_impact"),
+                         ("rule_deprecated_in_use", "deprecated_in_use"),
+                         ("rule_schema_drift", "schema_drift")]:
+    QUERIES[_key] = _rule(_rule_name)
+
+
+@query("pii_columns")
+def q_pii_columns(spark, sf_dir):
+    return R.pii_columns(cat_of(spark, sf_dir))
+
+
+@query("pii_tagged_assets")
+def q_pii_tagged_assets(spark, sf_dir):
+    return R.pii_tagged_assets(cat_of(spark, sf_dir))
+
+
+@query("score_reconcile")
+def q_score_reconcile(spark, sf_dir):
+    """Scores stored by the previous scan (previous schema snapshot) checked
+    against the scores recomputed from the current findings."""
+    cat, ds = _with_downstream(spark, sf_dir)
+    stored = R.asset_risk_score(cat.with_tables(schema_fields=cat.schema_fields_prev), ds)
+    return R.score_reconcile(cat, stored.select("asset_id", "score"), ds)

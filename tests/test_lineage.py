@@ -76,3 +76,17 @@ def test_graph_tables_are_star_shaped(spark):
     assert nodes.where("is_root").count() == 1 and nodes.count() == 4
     assert {(e.source, e.target) for e in edges.collect()} == {
         (urn(0), urn(1)), (urn(1), urn(2)), (urn(1), urn(3))}
+
+
+@pytest.mark.parametrize("max_hops", [None, 2, 4, 7])
+def test_rooted_jumps_equal_breadth_first(spark, max_hops):
+    import random
+    rnd = random.Random(11)
+    edges = sorted({(rnd.randrange(40), rnd.randrange(40)) for _ in range(90)})
+    cat = catalog(spark, [dict(asset_id=i, urn=urn(i), name=f"t{i}") for i in range(40)], edges=edges)
+    roots = spark.createDataFrame([(0,), (5,), (17,)], "root bigint")
+    want = sorted(map(tuple, G.reachability(cat, roots, "DOWNSTREAM", max_hops, hops_per_job=1)
+                      .select("root", "node", "degree").collect()))
+    got = sorted(map(tuple, G.rooted_reachability(cat, roots, "DOWNSTREAM", max_hops, rounds_per_job=2)
+                     .select("root", "node", "degree").collect()))
+    assert got == want
