@@ -105,12 +105,17 @@ class Catalog:
 
     def materialize(self, partitions: int | None = None) -> "Catalog":
         """Write every table once to reliable checkpoints (the cluster's shared
-        ``spark.checkpoint.dir``), hash-partitioned by ``asset_id`` (edges by
-        ``src``) into the same number of partitions.
-
-        Checkpointed frames keep their output partitioning, so per-asset
-        aggregates and asset-to-child joins afterwards run without an exchange:
-        the co-located layout bucketing would give a stored table."""
+        ``spark.checkpoint.dir``) so all later jobs start from balanced,
+        lineage-free inputs.
+
+        ``assets`` (one row per asset) is hash-partitioned by ``asset_id``;
+        checkpointed frames keep that partitioning, so every per-asset
+        aggregate - whose final exchange is on ``asset_id`` with the same
+        partition count - joins the asset table without another exchange.
+        Child tables and edges are spread round-robin instead: a hot asset or
+        hub node holding a third of a table is then split across all tasks,
+        its rows are combined map-side before any shuffle, and joins on hot
+        keys stay eligible for AQE's skew-join splitting."""
         from custos.session import ensure_checkpoint_dir
 
         spark = self.spark
@@ -125,10 +130,8 @@ class Catalog:
         try:
             for name in self.table_names():
                 df = getattr(self, name)
-                if "asset_id" in df.columns:
+                if name == "assets":
                     df = df.repartition(n, "asset_id")
-                elif name == "lineage_edges":
-                    df = df.repartition(n, "src")
                 else:
                     df = df.repartition(n)
                 out[name] = df.checkpoint(eager=True)
