@@ -103,40 +103,39 @@ class Catalog:
             _MATERIALIZED[key] = cat
         return cat
 
-    def materialize(self, partitions: int | None = None) -> "Catalog":
-        """Write every table once to reliable checkpoints (the cluster's shared
-        ``spark.checkpoint.dir``) so all later jobs start from balanced,
-        lineage-free inputs.
-
-        ``assets`` (one row per asset) is hash-partitioned by ``asset_id``;
-        checkpointed frames keep that partitioning, so every per-asset
-        aggregate - whose final exchange is on ``asset_id`` with the same
-        partition count - joins the asset table without another exchange.
-        Child tables and edges are spread round-robin instead: a hot asset or
-        hub node holding a third of a table is then split across all tasks,
-        its rows are combined map-side before any shuffle, and joins on hot
-        keys stay eligible for AQE's skew-join splitting."""
+    def materialize(self, partitions: int | None = None, root: str | None = None) -> "Catalog":
+        """Write every table once as Parquet under the cluster's shared
+        ``spark.checkpoint.dir`` (or ``root``) and read it back, so all later
+        jobs start from columnar, lineage-free inputs (column pruning and
+        pushed filters reach these scans).
+
+        ``assets`` (one row per asset) is a bucketed table on ``asset_id``:
+        every per-asset aggregate's single exchange on ``asset_id`` lines up
+        with the buckets, so the fact joins need no shuffle on the asset side.
+        Child tables and edges are written round-robin instead: a hot asset or
+        hub node holding a third of a table is spread over all tasks, combined
+        map-side before any shuffle, and joins on hot keys stay eligible for
+        AQE's skew-join splitting."""
+        import uuid
+
         from custos.session import ensure_checkpoint_dir
 
         spark = self.spark
-        ensure_checkpoint_dir(spark)
+        base = root or ensure_checkpoint_dir(spark)
         n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        # A checkpoint keeps its hash partitioning for the planner only when the
-        # writing job ran without AQE (AQE reports the partitioning of its final
-        # plan as unknown); the explicit repartition fixes n anyway.
-        previous = spark.conf.get("spark.sql.adaptive.enabled")
-        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        tag = uuid.uuid4().hex[:12]
         out = {}
-        try:
-            for name in self.table_names():
-                df = getattr(self, name)
-                if name == "assets":
-                    df = df.repartition(n, "asset_id")
-                else:
-                    df = df.repartition(n)
-                out[name] = df.checkpoint(eager=True)
-        finally:
-            spark.conf.set("spark.sql.adaptive.enabled", previous)
+        for name in self.table_names():
+            df = getattr(self, name)
+            path = f"{base.rstrip('/')}/custos-catalog-{tag}/{name}"
+            if name == "assets":
+                table = f"custos_{tag}_{name}"
+                (df.repartition(n, "asset_id").write.mode("overwrite").bucketBy(n, "asset_id")
+                 .sortBy("asset_id").option("path", path).format("parquet").saveAsTable(table))
+                out[name] = spark.table(table)
+            else:
+                df.repartition(n).write.mode("overwrite").parquet(path)
+                out[name] = spark.read.parquet(path)
         return replace(self, **out)
 
 
