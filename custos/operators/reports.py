@@ -46,15 +46,13 @@ def scan_summary(scored: DataFrame, findings: DataFrame) -> DataFrame:
         return t.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("first", "title", "n"))).alias("t")).select(
             *keys, F.array_join(F.transform("t", lambda x: F.concat(x["title"], F.lit(" ("), x["n"].cast("string"), F.lit(")"))), "; ").alias("breakdown"))
 
-    by_dom = per_asset.groupBy("domain").agg(
+    # per-domain rows and one catalogue row ('*'), then one equi-join on domain
+    both = per_asset.unionByName(per_asset.withColumn("domain", F.lit("*")))
+    rows = both.groupBy("domain").agg(
         F.count(F.lit(1)).alias("assets"), F.coalesce(F.max("score"), F.lit(0)).alias("score"),
-        F.sum("n_findings").alias("n_findings")).join(titled(f, ["domain"]), "domain", "left")
-    whole = per_asset.agg(
-        F.count(F.lit(1)).alias("assets"), F.coalesce(F.max("score"), F.lit(0)).alias("score"),
-        F.coalesce(F.sum("n_findings"), F.lit(0)).alias("n_findings")).select(
-        F.lit("*").alias("domain"), "*")
-    whole_t = titled(f.withColumn("domain", F.lit("*")), ["domain"])
-    rows = by_dom.unionByName(whole.join(whole_t, "domain", "left"))
+        F.sum("n_findings").alias("n_findings"))
+    f_both = f.unionByName(f.withColumn("domain", F.lit("*")))
+    rows = rows.join(titled(f_both, ["domain"]), "domain", "left")
     level = C.risk_level("score")
     none = F.coalesce(F.col("n_findings"), F.lit(0)) == 0
     summary = F.when(none, F.concat(

@@ -190,7 +190,7 @@ SELECT 'urn:li:tag:' || tag AS tag_urn, tag, count(DISTINCT asset_id) AS asset_c
 
 sql("asset_search", """
 SELECT asset_id, urn, display_name AS name, platform FROM ca
-WHERE instr(lower(concat_ws(' ', display_name, urn, description)), 'steel') > 0""")
+WHERE instr(lower(concat_ws(' ', display_name, urn, description)), 'bolt') > 0""")
 
 LEVELS = """lv(severity, level_order) AS (VALUES ('critical', 0), ('high', 1), ('medium', 2), ('low', 3)),
 sc AS (SELECT lv.severity, lv.level_order, CAST(COALESCE(c.n, 0) AS BIGINT) AS count

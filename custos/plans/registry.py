@@ -238,7 +238,7 @@ def q_tag_list(spark, sf_dir):
 
 @query("asset_search")
 def q_asset_search(spark, sf_dir):
-    return A.asset_search(cat_of(spark, sf_dir), "steel")
+    return A.asset_search(cat_of(spark, sf_dir), "Bolt")
 
 
 @query("severity_counts")
