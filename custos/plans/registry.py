@@ -581,3 +581,9 @@ def q_score_reconcile(spark, sf_dir):
     cat, ds = _with_downstream(spark, sf_dir)
     stored = R.asset_risk_score(cat.with_tables(schema_fields=cat.schema_fields_prev), ds)
     return R.score_reconcile(cat, stored.select("asset_id", "score"), ds)
+
+
+@query("downstream_counts_approx")
+def q_downstream_counts_approx(spark, sf_dir):
+    """G3 by HLL sketches merged along edges (approximate; no SQL oracle)."""
+    return G.downstream_counts_approx(cat_of(spark, sf_dir), 3)

@@ -90,3 +90,14 @@ def test_rooted_jumps_equal_breadth_first(spark, max_hops):
     got = sorted(map(tuple, G.rooted_reachability(cat, roots, "DOWNSTREAM", max_hops, rounds_per_job=2)
                      .select("root", "node", "degree").collect()))
     assert got == want
+
+
+def test_sketch_blast_radius_close_to_exact(spark):
+    from custos.sources.catalog import Catalog
+    from tests.conftest import SF_SMALL
+    cat = Catalog.from_testdata(spark, SF_SMALL)
+    exact = {r.asset_id: r.downstream_count for r in G.downstream_counts(cat, 3).collect()}
+    approx = {r.asset_id: r.downstream_count for r in G.downstream_counts_approx(cat, 3).collect()}
+    assert set(exact) == set(approx)
+    worst = max(abs(approx[k] - v) / v for k, v in exact.items())
+    assert worst < 0.05

@@ -27,7 +27,7 @@ def con():
 
 def test_every_query_is_registered_with_an_oracle_or_documented():
     without = set(QUERIES) - set(ORACLE)
-    assert without <= {"executive_report"}
+    assert without <= {"executive_report", "downstream_counts_approx"}
     assert set(ORACLE) <= set(QUERIES)
 
 
