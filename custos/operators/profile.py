@@ -39,14 +39,17 @@ def _as_text(c: str, dtype) -> "F.Column":
     return col.cast("string")
 
 
-def exact_medians(long_num: DataFrame, partitions: int | None = None) -> DataFrame:
-    """``long_num``: (column_name, v double) non-null cells -> (column_name, median).
+def exact_medians(long_num: DataFrame, partitions: int | None = None, counted: bool = False) -> DataFrame:
+    """``long_num``: (column_name, v double) non-null cells -> (column_name, median);
+    with ``counted`` the input is already (column_name, v, c) distinct values
+    with multiplicity.
 
     Interpolated median (mean of the two middle values for an even count),
     computed by distributed selection over distinct values."""
     spark = long_num.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dv = long_num.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("c"))
+    dv = (long_num.select("column_name", "v", "c") if counted
+          else long_num.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("c")))
     ranged = dv.repartitionByRange(partitions, "column_name", "v").withColumn(
         "pid", F.spark_partition_id())
     summary = ranged.groupBy("column_name", "pid").agg(F.sum("c").alias("pc"))
@@ -101,9 +104,11 @@ def column_profile(df: DataFrame, table_name: str, digits: int = 4) -> DataFrame
         F.struct(F.lit(n).alias("column_name"), _as_text(n, t).alias("value"),
                  (F.col(n).cast("double") if n in numeric else F.lit(None).cast("double")).alias("v"))
         for n, t in fields])).alias("x")).select("x.*").where(F.col("value").isNotNull())
-    distinct = (cells.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("c"))
-                .groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count")))
-    medians = exact_medians(cells.where(F.col("v").isNotNull()).select("column_name", "v"))
+    # one distinct-values table (map-side combined) feeds both the exact distinct
+    # counts and the exact medians
+    dv = cells.groupBy("column_name", "value", "v").agg(F.count(F.lit(1)).alias("c"))
+    distinct = dv.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
+    medians = exact_medians(dv.where(F.col("v").isNotNull()), counted=True)
 
     out = (per_col.join(distinct, "column_name", "left").join(medians, "column_name", "left"))
     rows_ = F.col("__rows")
