@@ -44,8 +44,17 @@ def ts_from_millis(ms) -> Column:
 
 
 def iso(c) -> Column:
-    """ISO-8601 text of a timestamp (JSON-safe, engine-independent)."""
-    return F.date_format(col_(c), "yyyy-MM-dd'T'HH:mm:ss")
+    """ISO-8601 text (to the second) of a timestamp_ntz, JSON-safe.
+
+    Built from the string cast, which is zone-free for timestamp_ntz;
+    ``date_format`` would route the value through the session time zone and
+    move wall-clock times that fall in a daylight-saving gap."""
+    return F.regexp_replace(F.substring(col_(c).cast("string"), 1, 19), " ", "T")
+
+
+def wall_clock(c) -> Column:
+    """'yyyy-MM-dd HH:mm:ss' text of a timestamp_ntz, zone-free (see ``iso``)."""
+    return F.substring(col_(c).cast("string"), 1, 19)
 
 
 def pct(covered, total) -> Column:

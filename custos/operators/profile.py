@@ -34,7 +34,9 @@ _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.D
 
 def _as_text(c: str, dtype) -> "F.Column":
     col = F.col(c)
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+    if isinstance(dtype, T.TimestampNTZType):
+        return C.wall_clock(col)
+    if isinstance(dtype, T.TimestampType):
         return F.date_format(col, "yyyy-MM-dd HH:mm:ss")
     return col.cast("string")
 
@@ -126,10 +128,7 @@ def column_profile(df: DataFrame, table_name: str, digits: int = 4) -> DataFrame
 
 
 def _text_of(c: str, dtype) -> "F.Column":
-    col = F.col(c)
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(col, "yyyy-MM-dd HH:mm:ss")
-    return col.cast("string")
+    return _as_text(c, dtype)
 
 
 def profile_tables(spark, sf_dir: str, tables=("customer", "orders", "lineitem")) -> DataFrame:

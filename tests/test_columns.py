@@ -54,3 +54,13 @@ def test_percent_rounds_half_up_and_null_on_empty(spark):
     df = spark.createDataFrame([(1, 8), (0, 0), (1, 3), (2, 3)], "c long, t long")
     out = [r[0] for r in df.select(C.pct("c", "t")).collect()]
     assert out == [13, None, 33, 67]
+
+
+def test_iso_is_zone_free_in_a_daylight_saving_gap(spark):
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        ms = 1704067200000 + 1658 * 3600000  # 2024-03-10 02:00 wall clock
+        assert one(spark, lambda c: C.iso(C.ts_from_millis(c)), ms, "bigint") == "2024-03-10T02:00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)
