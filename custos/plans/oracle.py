@@ -649,3 +649,7 @@ SELECT s.asset_id, s.stored_score, CAST(COALESCE(r.recomputed, 0) AS BIGINT) AS
  FROM fired f LEFT JOIN pps USING (asset_id)) s
 LEFT JOIN (SELECT asset_id, least(100, sum(points)) AS recomputed FROM fnd GROUP BY asset_id) r USING (asset_id)
 WHERE s.stored_score <> COALESCE(r.recomputed, 0)""", PREV)
+
+sql("raw_documents", """
+SELECT urn, name, display_name, platform, description, deprecated, domain_urn,
+ strftime(last_modified, '%Y-%m-%dT%H:%M:%S') AS last_modified FROM ca""")

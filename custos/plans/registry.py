@@ -587,3 +587,16 @@ def q_score_reconcile(spark, sf_dir):
 def q_downstream_counts_approx(spark, sf_dir):
     """G3 by HLL sketches merged along edges (approximate; no SQL oracle)."""
     return G.downstream_counts_approx(cat_of(spark, sf_dir), 3)
+
+
+@query("raw_documents")
+def q_raw_documents(spark, sf_dir):
+    """S2 over whole tables: documents rendered from the derived catalogue,
+    parsed back under the explicit schema, flattened and cleaned."""
+    from custos.functions.columns import iso
+    from custos.sources import raw as W
+
+    parsed = W.parse_raw(W.render_documents(cat_of(spark, sf_dir)))
+    a = A.clean_assets(W.catalog_from_raw(parsed))
+    return a.select("urn", "name", "display_name", "platform", "description", "deprecated",
+                    "domain_urn", iso("last_modified").alias("last_modified"))

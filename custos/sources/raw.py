@@ -192,3 +192,24 @@ def custom_properties(raw: DataFrame) -> DataFrame:
                                                  F.coalesce(p["value"], F.lit("")).alias("value"))),
                   lambda p: p["key"].isNotNull())
     return raw.where(urn.isNotNull()).select(urn.alias("urn"), F.map_from_entries(kv).alias("custom_properties"))
+
+
+def render_documents(cat: Catalog) -> DataFrame:
+    """One nested catalogue document (JSON text) per asset, rendered from the
+    catalogue's scalar aspects (properties, editable properties, platform,
+    domain, deprecation). Absent values are omitted, as a sparse source would."""
+    a = cat.assets
+    props = F.struct(F.col("name").alias("name"), F.col("description").alias("description"),
+                     F.struct(F.col("last_modified_ms").alias("time")).alias("lastModified"))
+    doc = F.struct(
+        F.col("urn").alias("urn"), F.lit("DATASET").alias("type"),
+        F.struct(F.col("platform").alias("name"),
+                 F.concat(F.lit("urn:li:dataPlatform:"), F.col("platform")).alias("urn")).alias("platform"),
+        props.alias("properties"),
+        F.when(F.col("editable_description").isNotNull(),
+               F.struct(F.col("editable_description").alias("description"))).alias("editableProperties"),
+        F.when(F.col("domain_urn").isNotNull(),
+               F.struct(F.struct(F.col("domain_urn").alias("urn")).alias("domain"))).alias("domain"),
+        F.when(F.col("deprecated").isNotNull(),
+               F.struct(F.col("deprecated").alias("deprecated"))).alias("deprecation"))
+    return a.select(F.to_json(doc).alias("doc"))
