@@ -26,29 +26,45 @@ from custos.sources.catalog import Catalog
 DEFAULT_MAX_HOPS = 3
 
 
+DIRECTIONS = ("DOWNSTREAM", "UPSTREAM")
+
+
 def _edges(cat: Catalog, direction: str) -> DataFrame:
+    """Distinct edges as (direction, src, dst): DOWNSTREAM as stored, UPSTREAM
+    reversed, BOTH the two tagged copies (disjoint graphs in one frame)."""
+    d = direction.upper()
+    if d not in DIRECTIONS + ("BOTH",):
+        raise ValueError(f"direction must be UPSTREAM, DOWNSTREAM or BOTH, not {direction!r}")
     e = cat.lineage_edges.select("src", "dst").where(
-        F.col("src").isNotNull() & F.col("dst").isNotNull())
-    if direction.upper() == "UPSTREAM":
-        e = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    elif direction.upper() != "DOWNSTREAM":
-        raise ValueError(f"direction must be UPSTREAM or DOWNSTREAM, not {direction!r}")
-    return e.distinct()
+        F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct()
+    down = e.select(F.lit("DOWNSTREAM").alias("direction"), "src", "dst")
+    up = e.select(F.lit("UPSTREAM").alias("direction"), F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return {"DOWNSTREAM": down, "UPSTREAM": up, "BOTH": down.unionByName(up)}[d]
+
+
+def _tag_roots(roots: DataFrame, direction: str) -> DataFrame:
+    """(direction, root) for each requested root and traversal direction."""
+    d = direction.upper()
+    dirs = DIRECTIONS if d == "BOTH" else (d,)
+    r = roots.select("root").distinct()
+    return r.select(F.explode(F.array(*[F.lit(x) for x in dirs])).alias("direction"), "root")
 
 
 HOPS_PER_JOB = 8
+K = ["direction", "root", "node"]
 
 
 def reachability(cat: Catalog, roots: DataFrame | None = None, direction: str = "DOWNSTREAM",
                  max_hops: int | None = DEFAULT_MAX_HOPS,
                  hops_per_job: int = HOPS_PER_JOB) -> DataFrame:
-    """G1: (root, node, degree) for every node reachable from each root.
+    """G1: (direction, root, node, degree) for every node reachable from each root.
 
     ``roots`` is a frame with a ``root`` column (asset ids); ``None`` means every
     asset with an edge is a root (the all-roots form needs a ``max_hops`` bound,
     because the closure can be far larger than the edge list). A rooted call may
     pass ``max_hops=None`` to run to the fixed point. The root itself is never
-    part of its own result.
+    part of its own result. ``direction`` BOTH traverses the two directions in
+    the same jobs (the direction is part of every key).
 
     Each Spark job expands up to ``hops_per_job`` levels: every level is a join
     of the previous level to the edges, de-duplicated and anti-joined against
@@ -64,26 +80,25 @@ def reachability(cat: Catalog, roots: DataFrame | None = None, direction: str =
     # Every hop re-reads the edge list: materialise its distinct form once.
     edges = _edges(cat, direction).checkpoint(eager=True)
     if roots is None:
-        frontier = edges.select(F.col("src").alias("root"), F.col("src").alias("node")).distinct()
+        frontier = edges.select("direction", F.col("src").alias("root"), F.col("src").alias("node")).distinct()
     else:
-        frontier = roots.select(F.col("root"), F.col("root").alias("node")).distinct()
+        frontier = _tag_roots(roots, direction).select("direction", "root", F.col("root").alias("node"))
     found: list[DataFrame] = []
     done = 0
     while max_hops is None or done < max_hops:
         k = hops_per_job if max_hops is None else min(hops_per_job, max_hops - done)
-        seen = (reduce(DataFrame.unionByName, [f.select("root", "node") for f in found])
-                if found else None)
-        level, levels = frontier.select("root", "node"), []
+        seen = reduce(DataFrame.unionByName, [f.select(*K) for f in found]) if found else None
+        level, levels = frontier.select(*K), []
         for i in range(1, k + 1):
-            level = (level.join(edges, level.node == edges.src, "inner")
-                     .select("root", F.col("dst").alias("node"))
+            level = (level.join(edges.withColumnRenamed("src", "node"), ["direction", "node"], "inner")
+                     .select("direction", "root", F.col("dst").alias("node"))
                      .where(F.col("root") != F.col("node"))
                      .distinct())
             if seen is not None:
-                level = level.join(seen, ["root", "node"], "left_anti")
+                level = level.join(seen, K, "left_anti")
             levels.append(level.withColumn("degree", F.lit(done + i)))
         batch = (reduce(DataFrame.unionByName, levels)
-                 .groupBy("root", "node").agg(F.min("degree").alias("degree"))
+                 .groupBy(*K).agg(F.min("degree").alias("degree"))
                  .checkpoint(eager=True))
         done += k
         if batch.isEmpty():
@@ -93,7 +108,7 @@ def reachability(cat: Catalog, roots: DataFrame | None = None, direction: str =
         if frontier.isEmpty():
             break
     if not found:
-        return spark.createDataFrame([], "root bigint, node bigint, degree int")
+        return spark.createDataFrame([], "direction string, root bigint, node bigint, degree int")
     return reduce(DataFrame.unionByName, found)
 
 
@@ -101,9 +116,9 @@ _CLOSURES: dict = {}
 
 
 def bounded_closure(cat: Catalog, direction: str = "DOWNSTREAM", k: int = DEFAULT_MAX_HOPS) -> DataFrame:
-    """All-roots reachability within ``k`` hops (root, node, degree), computed
-    once per edge table and direction and reused (checkpointed) by every
-    consumer: blast radius counts and the jump edges of rooted traversals."""
+    """All-roots reachability within ``k`` hops (direction, root, node, degree),
+    computed once per edge table and direction and reused (checkpointed) by
+    every consumer: blast radius counts and the jump edges of rooted traversals."""
     key = (id(cat.lineage_edges), direction.upper(), k)
     hit = _CLOSURES.get(key)
     if hit is None:
@@ -131,10 +146,10 @@ def rooted_reachability(cat: Catalog, roots: DataFrame, direction: str = "DOWNST
     spark = cat.spark
     ensure_checkpoint_dir(spark)
     R = bounded_closure(cat, direction, jump).select(
-        F.col("root").alias("u"), F.col("node").alias("v"), F.col("degree").alias("d"))
-    r = roots.select("root").distinct()
-    level = (r.join(R, r.root == R.u, "inner").where(F.col("root") != F.col("v"))
-             .select("root", F.col("v").alias("node"), F.col("d").alias("degree")))
+        "direction", F.col("root").alias("node"), F.col("node").alias("v"), F.col("degree").alias("d"))
+    r = _tag_roots(roots, direction).withColumn("node", F.col("root"))
+    level = (r.join(R, ["direction", "node"], "inner").where(F.col("root") != F.col("v"))
+             .select("direction", "root", F.col("v").alias("node"), F.col("d").alias("degree")))
     if max_hops is not None:
         level = level.where(F.col("degree") <= max_hops)
     level = level.checkpoint(eager=True)
@@ -145,12 +160,13 @@ def rooted_reachability(cat: Catalog, roots: DataFrame, direction: str = "DOWNST
             if max_hops is not None and limit >= max_hops:
                 break
             upper = limit + jump if max_hops is None else min(limit + jump, max_hops)
-            known = reduce(DataFrame.unionByName, [x.select("root", "node") for x in found + batch])
-            cand = (level.join(R, level.node == R.u, "inner")
-                    .select("root", F.col("v").alias("node"), (F.col("degree") + F.col("d")).alias("degree"))
+            known = reduce(DataFrame.unionByName, [x.select(*K) for x in found + batch])
+            cand = (level.join(R, ["direction", "node"], "inner")
+                    .select("direction", "root", F.col("v").alias("node"),
+                            (F.col("degree") + F.col("d")).alias("degree"))
                     .where((F.col("root") != F.col("node")) & (F.col("degree") <= upper))
-                    .groupBy("root", "node").agg(F.min("degree").alias("degree"))
-                    .join(known, ["root", "node"], "left_anti"))
+                    .groupBy(*K).agg(F.min("degree").alias("degree"))
+                    .join(known, K, "left_anti"))
             batch.append(cand)
             level, limit = cand, upper
         if not batch:
@@ -161,14 +177,14 @@ def rooted_reachability(cat: Catalog, roots: DataFrame, direction: str = "DOWNST
     return reduce(DataFrame.unionByName, found)
 
 
-def lineage_nodes(cat: Catalog, reach: DataFrame, direction: str) -> DataFrame:
+def lineage_nodes(cat: Catalog, reach: DataFrame, direction: str | None = None) -> DataFrame:
     """Reached nodes with shallow entity attributes (no owners)."""
     a = clean_assets(cat).select(
         F.col("asset_id").alias("node"), F.col("urn").alias("node_urn"),
         F.col("display_name").alias("node_name"), "platform", "deprecated")
     return reach.join(a, "node", "inner").select(
         "root", "node", "node_urn", "node_name", F.lit("DATASET").alias("entity_type"),
-        "platform", "degree", "deprecated", F.lit(direction.upper()).alias("direction"))
+        "platform", "degree", "deprecated", "direction")
 
 
 def lineage_root(cat: Catalog) -> DataFrame:
@@ -211,11 +227,10 @@ def lineage_from_root(cat: Catalog, direction: str = "DOWNSTREAM",
 
 def lineage_impact(cat: Catalog, max_hops: int | None = None,
                    root: DataFrame | None = None) -> DataFrame:
-    """Both directions for one root in one frame, with per-direction totals."""
+    """Both directions for one root in one frame, with per-direction
+    totals; the two directions are traversed in the same jobs."""
     root = lineage_root(cat).select("root") if root is None else root
-    up = lineage_from_root(cat, "UPSTREAM", max_hops, root)
-    down = lineage_from_root(cat, "DOWNSTREAM", max_hops, root)
-    both = up.unionByName(down)
+    both = lineage_nodes(cat, rooted_reachability(cat, root, "BOTH", max_hops))
     totals = both.groupBy("root", "direction").agg(F.count(F.lit(1)).alias("direction_total"))
     return both.join(totals, ["root", "direction"], "inner")
 

@@ -124,18 +124,23 @@ class Catalog:
         base = root or ensure_checkpoint_dir(spark)
         n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         tag = uuid.uuid4().hex[:12]
-        out = {}
-        for name in self.table_names():
+
+        def write(name: str):
             df = getattr(self, name)
             path = f"{base.rstrip('/')}/custos-catalog-{tag}/{name}"
             if name == "assets":
                 table = f"custos_{tag}_{name}"
                 (df.repartition(n, "asset_id").write.mode("overwrite").bucketBy(n, "asset_id")
                  .sortBy("asset_id").option("path", path).format("parquet").saveAsTable(table))
-                out[name] = spark.table(table)
-            else:
-                df.repartition(n).write.mode("overwrite").parquet(path)
-                out[name] = spark.read.parquet(path)
+                return name, spark.table(table)
+            df.repartition(n).write.mode("overwrite").parquet(path)
+            return name, spark.read.parquet(path)
+
+        # the tables are independent: submit their write jobs concurrently
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            out = dict(pool.map(write, self.table_names()))
         return replace(self, **out)
 
 
