@@ -119,6 +119,8 @@ def bounded_closure(cat: Catalog, direction: str = "DOWNSTREAM", k: int = DEFAUL
     """All-roots reachability within ``k`` hops (direction, root, node, degree),
     computed once per edge table and direction and reused (checkpointed) by
     every consumer: blast radius counts and the jump edges of rooted traversals."""
+    if direction.upper() == "BOTH":  # two disjoint tagged graphs: reuse each closure
+        return bounded_closure(cat, "DOWNSTREAM", k).unionByName(bounded_closure(cat, "UPSTREAM", k))
     key = (id(cat.lineage_edges), direction.upper(), k)
     hit = _CLOSURES.get(key)
     if hit is None:
