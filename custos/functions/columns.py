@@ -140,3 +140,19 @@ JSON_OPTIONS = {"ignoreNullFields": "false",
 def json_of(*cols) -> Column:
     """JSON object text of the given columns; nulls kept, timestamps ISO-8601."""
     return F.to_json(F.struct(*cols), JSON_OPTIONS)
+
+
+def template(text: str, **values) -> Column:
+    """Render a fixed sentence: each ``{name}`` becomes the given Column (or
+    value) cast to text, everything else stays literal; one ``concat``."""
+    import re
+
+    parts = []
+    for i, piece in enumerate(re.split(r"\{(\w+)\}", text)):
+        if i % 2 == 0:
+            if piece:
+                parts.append(F.lit(piece))
+        else:
+            v = values[piece]
+            parts.append((v if isinstance(v, Column) else F.lit(v)).cast("string"))
+    return F.concat(*parts) if parts else F.lit("")

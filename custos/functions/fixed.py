@@ -25,6 +25,7 @@ DETAIL_MISSING_DOCUMENTATION = ("No description, so consumers cannot tell what t
                                 "means or whether it fits their use case.")
 DETAIL_UNTAGGED_PII = ("Columns match personal-data patterns but carry no classification "
                        "tag: {shown}{more}.")
+DETAIL_PII_MORE = " (+{n} more)"
 DETAIL_LARGE_DOWNSTREAM = "{n} downstream assets consume this, so any defect propagates widely."
 DETAIL_DEPRECATED_IN_USE = ("Marked deprecated but still read by {n} asset(s), risking "
                             "silently stale data.")
@@ -196,3 +197,55 @@ BRIEF_ACTIONS = [
 
 # Usage time ranges in days.
 TIME_RANGE_DAYS = {"DAY": 1, "WEEK": 7, "MONTH": 30, "QUARTER": 90, "YEAR": 365}
+
+# --- Fixed sentences of the text outputs ({name} marks a value filled per row) --
+SUMMARY_CLEAN = "Examined {assets} asset(s) and found no rule violations. Risk level {level} (score {score})."
+SUMMARY_FINDINGS = ("Examined {assets} asset(s) and found {findings} rule violation(s): {breakdown}. "
+                    "Risk level {level} (score {score}). AI explanation was unavailable, so this summary "
+                    "is generated directly from the rule engine.")
+IMPACT_CLEAN = "No governance issues were detected in this scan."
+IMPACT_FINDINGS = ("Findings are listed below with the rule each one triggered. Review them directly — "
+                   "the narrative explanation could not be generated.")
+BREAKDOWN_ITEM = "{title} ({n})"
+
+BRIEF_HEADLINE_CRITICAL = ("I analysed {assets} and found {critical} at critical risk. Ownership and "
+                           "classification gaps are the largest contributors.")
+BRIEF_HEADLINE_UNOWNED = "I analysed {assets}. Nothing is at critical risk, but {missing} {have} no accountable owner."
+BRIEF_HEADLINE_DOCS = ("I analysed {assets}. Ownership is complete; documentation coverage is {doc}% and is "
+                       "now the weakest signal.")
+BRIEF_HEADLINE_CLEAN = "I analysed {assets} and found no critical governance gaps. Metadata health is {score}/100."
+BRIEF_CRITICAL_LABEL = "{critical} critical {risks}"
+BRIEF_CRITICAL_DETAIL = "Assets with health below 40 on the governance score"
+BRIEF_CRITICAL_NONE = "No asset has health below 40"
+BRIEF_OWNER_LABEL = "{missing} without an owner"
+BRIEF_OWNER_DETAIL = "No accountable responder when these break"
+BRIEF_OWNER_ALL = "All assets have an owner across {owners} people and groups"
+BRIEF_DOC_LABEL = "{doc}% documented"
+BRIEF_DOC_DETAIL = "Assets carrying a description · {domains} business {domain_word}"
+BRIEF_HEALTH_LABEL = "{score}/100 metadata health"
+BRIEF_HEALTH_DETAIL = "Composite of ownership, documentation, and classification · {healthy} assets above 80"
+
+NODE_DEPRECATED_TEXT = "Marked deprecated but still present in this lineage path."
+NODE_HOP_TEXT = "{entity_type} at hop {degree} from the traced asset."
+ROOT_NODE_TEXT = "The asset this lineage was traced from."
+
+RUN_STEP = "{label} ({ms}ms)"
+RUN_PARTIAL = "Partial evidence: {node} node failed"
+
+EVIDENCE_OWNED = "owned by {owner}"
+EVIDENCE_NO_OWNER = "no owner"
+EVIDENCE_UNDOCUMENTED = "undocumented"
+EVIDENCE_DOWNSTREAM = "{n} downstream"
+EVIDENCE_NOTHING = "no issues found"
+ALERT_DETAIL = "{asset} · {n} downstream"
+
+REPORT_TITLE = "# Governance Assessment"
+REPORT_DEMO = ("> **Demo data.** This report was generated from the built-in demonstration catalogue, "
+               "not from a live catalogue instance.")
+REPORT_LIVE = "> Generated from live catalogue metadata."
+REPORT_QUESTION = "**Question:** {question}"
+REPORT_FINDINGS_HEADING = "## Findings"
+REPORT_FINDINGS_NOTE = ("Scores are produced by a deterministic rule engine, not by a language model. Each "
+                        "rule contributes a fixed weight, so the arithmetic below can be checked by hand.")
+REPORT_TABLE_HEAD = "| Rule | Severity | Points | Detail |"
+REPORT_TABLE_RULE = "| --- | --- | ---: | --- |"

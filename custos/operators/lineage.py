@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custos.functions import columns as C
+from custos.functions import fixed
 from custos.operators.assets import clean_assets, owners_dedup
 from custos.session import ensure_checkpoint_dir
 from custos.sources.catalog import Catalog
@@ -262,17 +263,15 @@ def lineage_graph(cat: Catalog, max_hops: int | None = None,
         F.coalesce("platform", C.platform_from_urn("node_urn")).alias("platform"),
         C.asset_kind("entity_type", F.coalesce("platform", C.platform_from_urn("node_urn"))).alias("kind"),
         F.when(F.col("deprecated"), "high").otherwise("low").alias("severity"),
-        F.when(F.col("deprecated"),
-               F.lit("Marked deprecated but still present in this lineage path."))
-         .otherwise(F.concat(F.lower("entity_type"), F.lit(" at hop "),
-                             F.coalesce("degree", F.lit(1)).cast("string"),
-                             F.lit(" from the traced asset."))).alias("summary"),
+        F.when(F.col("deprecated"), F.lit(fixed.NODE_DEPRECATED_TEXT))
+         .otherwise(C.template(fixed.NODE_HOP_TEXT, entity_type=F.lower("entity_type"),
+                               degree=F.coalesce("degree", F.lit(1)))).alias("summary"),
         F.lit(False).alias("is_root"), "direction", "root")
     root_node = root.join(a, "root", "inner").select(
         F.col("root_urn").alias("id"), F.lit(1).alias("column"),
         C.short_name("root_urn").alias("name"), C.platform_from_urn("root_urn").alias("platform"),
         F.lit("dataset").alias("kind"), F.lit("medium").alias("severity"),
-        F.lit("The asset this lineage was traced from.").alias("summary"),
+        F.lit(fixed.ROOT_NODE_TEXT).alias("summary"),
         F.lit(True).alias("is_root"), F.lit(None).cast("string").alias("direction"), "root")
     nodes = side.unionByName(root_node)
     edges = impact.join(a, "root", "inner").select(

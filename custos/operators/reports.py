@@ -44,7 +44,8 @@ def scan_summary(scored: DataFrame, findings: DataFrame) -> DataFrame:
         t = frame.groupBy(*keys, "title").agg(
             F.count(F.lit(1)).alias("n"), F.min(F.struct("asset_id", "rule_order")).alias("first"))
         return t.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("first", "title", "n"))).alias("t")).select(
-            *keys, F.array_join(F.transform("t", lambda x: F.concat(x["title"], F.lit(" ("), x["n"].cast("string"), F.lit(")"))), "; ").alias("breakdown"))
+            *keys, F.array_join(F.transform("t", lambda x: C.template(fixed.BREAKDOWN_ITEM, title=x["title"], n=x["n"])),
+                                "; ").alias("breakdown"))
 
     # per-domain rows and one catalogue row ('*'), then one equi-join on domain
     both = per_asset.unionByName(per_asset.withColumn("domain", F.lit("*")))
@@ -55,16 +56,11 @@ def scan_summary(scored: DataFrame, findings: DataFrame) -> DataFrame:
     rows = rows.join(titled(f_both, ["domain"]), "domain", "left")
     level = C.risk_level("score")
     none = F.coalesce(F.col("n_findings"), F.lit(0)) == 0
-    summary = F.when(none, F.concat(
-        F.lit("Examined "), F.col("assets").cast("string"), F.lit(" asset(s) and found no rule violations. Risk level "),
-        level, F.lit(" (score "), F.col("score").cast("string"), F.lit(")."))).otherwise(F.concat(
-            F.lit("Examined "), F.col("assets").cast("string"), F.lit(" asset(s) and found "),
-            F.col("n_findings").cast("string"), F.lit(" rule violation(s): "), F.col("breakdown"),
-            F.lit(". Risk level "), level, F.lit(" (score "), F.col("score").cast("string"),
-            F.lit("). AI explanation was unavailable, so this summary is generated directly from the rule engine.")))
-    impact = F.when(none, F.lit("No governance issues were detected in this scan.")).otherwise(F.lit(
-        "Findings are listed below with the rule each one triggered. Review them directly — the "
-        "narrative explanation could not be generated."))
+    summary = F.when(none, C.template(fixed.SUMMARY_CLEAN, assets=F.col("assets"), level=level,
+                                      score=F.col("score"))).otherwise(
+        C.template(fixed.SUMMARY_FINDINGS, assets=F.col("assets"), findings=F.col("n_findings"),
+                   breakdown=F.col("breakdown"), level=level, score=F.col("score")))
+    impact = F.when(none, F.lit(fixed.IMPACT_CLEAN)).otherwise(F.lit(fixed.IMPACT_FINDINGS))
     return rows.select("domain", F.col("assets").cast("bigint").alias("assets"),
                        F.col("score").cast("bigint").alias("score"), level.alias("risk_level"),
                        F.coalesce("n_findings", F.lit(0)).cast("bigint").alias("findings"),
@@ -95,37 +91,28 @@ def scan_brief(gov: DataFrame, owners_per_domain: DataFrame, domain_count: Colum
                               F.col("documentation_coverage"), F.col("score"))
     total = F.col("total_assets")
     assets = F.concat(_fmt_int(total), F.lit(" "), _plural(total, "asset", "assets"))
-    headline = (F.when(crit > 0, F.concat(F.lit("I analysed "), assets, F.lit(" and found "), crit.cast("string"),
-                                          F.lit(" at critical risk. Ownership and classification gaps are the largest contributors.")))
-                .when(miss > 0, F.concat(F.lit("I analysed "), assets, F.lit(". Nothing is at critical risk, but "),
-                                         miss.cast("string"), F.lit(" "),
-                                         _plural(miss, "asset has", "assets have"), F.lit(" no accountable owner.")))
-                .when(doc < 80, F.concat(F.lit("I analysed "), assets,
-                                         F.lit(". Ownership is complete; documentation coverage is "),
-                                         doc.cast("string"), F.lit("% and is now the weakest signal.")))
-                .otherwise(F.concat(F.lit("I analysed "), assets,
-                                    F.lit(" and found no critical governance gaps. Metadata health is "),
-                                    score.cast("string"), F.lit("/100."))))
+    headline = (F.when(crit > 0, C.template(fixed.BRIEF_HEADLINE_CRITICAL, assets=assets, critical=crit))
+                .when(miss > 0, C.template(fixed.BRIEF_HEADLINE_UNOWNED, assets=assets, missing=miss,
+                                           have=_plural(miss, "asset has", "assets have")))
+                .when(doc < 80, C.template(fixed.BRIEF_HEADLINE_DOCS, assets=assets, doc=doc))
+                .otherwise(C.template(fixed.BRIEF_HEADLINE_CLEAN, assets=assets, score=score)))
     dc = domain_count
+    none = F.lit(None).cast("string")
     items = [
-        (F.lit("headline"), F.lit(0), headline, F.lit(None).cast("string"), F.lit(None).cast("string")),
+        (F.lit("headline"), F.lit(0), headline, none, none),
         (F.lit("finding"), F.lit(1),
-         F.concat(crit.cast("string"), F.lit(" critical "), _plural(crit, "risk", "risks")),
-         F.when(crit > 0, F.lit("Assets with health below 40 on the governance score"))
-          .otherwise(F.lit("No asset has health below 40")),
+         C.template(fixed.BRIEF_CRITICAL_LABEL, critical=crit, risks=_plural(crit, "risk", "risks")),
+         F.when(crit > 0, F.lit(fixed.BRIEF_CRITICAL_DETAIL)).otherwise(F.lit(fixed.BRIEF_CRITICAL_NONE)),
          F.when(crit > 0, F.lit("critical")).otherwise(F.lit("positive"))),
-        (F.lit("finding"), F.lit(2), F.concat(miss.cast("string"), F.lit(" without an owner")),
-         F.when(miss > 0, F.lit("No accountable responder when these break")).otherwise(
-             F.concat(F.lit("All assets have an owner across "), F.col("owner_count").cast("string"),
-                      F.lit(" people and groups"))),
+        (F.lit("finding"), F.lit(2), C.template(fixed.BRIEF_OWNER_LABEL, missing=miss),
+         F.when(miss > 0, F.lit(fixed.BRIEF_OWNER_DETAIL)).otherwise(
+             C.template(fixed.BRIEF_OWNER_ALL, owners=F.col("owner_count"))),
          F.when(miss > 0, F.lit("warning")).otherwise(F.lit("positive"))),
-        (F.lit("finding"), F.lit(3), F.concat(doc.cast("string"), F.lit("% documented")),
-         F.concat(F.lit("Assets carrying a description · "), dc.cast("string"), F.lit(" business "),
-                  _plural(dc, "domain", "domains")),
+        (F.lit("finding"), F.lit(3), C.template(fixed.BRIEF_DOC_LABEL, doc=doc),
+         C.template(fixed.BRIEF_DOC_DETAIL, domains=dc, domain_word=_plural(dc, "domain", "domains")),
          F.when(doc >= 80, F.lit("positive")).otherwise(F.lit("warning"))),
-        (F.lit("finding"), F.lit(4), F.concat(score.cast("string"), F.lit("/100 metadata health")),
-         F.concat(F.lit("Composite of ownership, documentation, and classification · "),
-                  F.col("healthy_assets").cast("string"), F.lit(" assets above 80")),
+        (F.lit("finding"), F.lit(4), C.template(fixed.BRIEF_HEALTH_LABEL, score=score),
+         C.template(fixed.BRIEF_HEALTH_DETAIL, healthy=F.col("healthy_assets")),
          F.when(score >= 80, F.lit("positive")).when(score >= 50, F.lit("warning")).otherwise(F.lit("critical"))),
     ]
     acts = fixed.BRIEF_ACTIONS
@@ -162,18 +149,15 @@ def executive_report(verdict: DataFrame, findings: DataFrame, recs: DataFrame, q
     the recommendations and footer close the document. Within a section the
     line number orders the lines."""
     hdr = verdict.select(F.explode(F.array(*[
-        F.lit("# Governance Assessment"), F.lit(""),
-        F.lit("> **Demo data.** This report was generated from the built-in demonstration catalogue, not from a live catalogue instance."
-              if source == "demo" else "> Generated from live catalogue metadata."),
-        F.lit(""), F.lit(f"**Question:** {question}"), F.lit(""), F.lit("| | |"), F.lit("| --- | --- |"),
+        F.lit(fixed.REPORT_TITLE), F.lit(""),
+        F.lit(fixed.REPORT_DEMO if source == "demo" else fixed.REPORT_LIVE),
+        F.lit(""), F.lit(fixed.REPORT_QUESTION.format(question=question)), F.lit(""), F.lit("| | |"), F.lit("| --- | --- |"),
         F.concat(F.lit("| Risk level | **"), F.upper("risk_level"), F.lit("** |")),
         F.concat(F.lit("| Risk score | "), F.col("score").cast("string"), F.lit(" / 100 |")),
         F.concat(F.lit("| Findings | "), F.col("total_findings").cast("string"), F.lit(" |")),
         F.concat(F.lit("| Assets with findings | "), F.col("assets_with_findings").cast("string"), F.lit(" |")),
         F.lit(f"| Intent classified as | `{intent}` |"), F.lit(""),
-        F.lit("## Findings"), F.lit(""),
-        F.lit("Scores are produced by a deterministic rule engine, not by a language model. Each rule "
-              "contributes a fixed weight, so the arithmetic below can be checked by hand."),
+        F.lit(fixed.REPORT_FINDINGS_HEADING), F.lit(""), F.lit(fixed.REPORT_FINDINGS_NOTE),
         F.lit("")])).alias("line"))
     hdr = hdr.select(F.lit(0).cast("bigint").alias("section_score"), F.lit(0).cast("bigint").alias("section_asset"),
                      F.monotonically_increasing_id().alias("_i"), "line")
@@ -194,7 +178,7 @@ def executive_report(verdict: DataFrame, findings: DataFrame, recs: DataFrame, q
         F.array(F.concat(F.lit("### "), F.coalesce("asset_name", F.lit("Catalogue-wide"))), F.lit("")),
         F.when(F.col("asset_urn").isNotNull(), F.array(F.concat(F.lit("`"), "asset_urn", F.lit("`")), F.lit("")))
          .otherwise(F.array().cast("array<string>")),
-        F.array(F.lit("| Rule | Severity | Points | Detail |"), F.lit("| --- | --- | ---: | --- |")),
+        F.array(F.lit(fixed.REPORT_TABLE_HEAD), F.lit(fixed.REPORT_TABLE_RULE)),
         rows, F.array(total_line, F.lit("")))
     sections = per.select(F.col("score").cast("bigint").alias("section_score"),
                           F.col("asset_id").cast("bigint").alias("section_asset"),
@@ -241,15 +225,14 @@ def run_steps(run_trace: DataFrame) -> DataFrame:
     'Partial evidence: ...' after the steps when the run is degraded."""
     labels = F.create_map(*[x for k, v in fixed.NODE_LABELS.items() for x in (F.lit(k), F.lit(v))])
     ok = run_trace.where(F.col("status") == "ok").select(
-        "run_id", "seq", F.concat(F.coalesce(F.element_at(labels, F.col("node")), F.col("node")),
-                                  F.lit(" ("), F.round("duration_ms", 0).cast("bigint").cast("string"),
-                                  F.lit("ms)")).alias("step"))
+        "run_id", "seq", C.template(fixed.RUN_STEP, label=F.coalesce(F.element_at(labels, F.col("node")), F.col("node")),
+                                    ms=F.round("duration_ms", 0).cast("bigint")).alias("step"))
     failed = run_trace.where(F.col("status") == "failed").groupBy("run_id").agg(
         F.min(F.struct("seq", "node")).alias("f"))
     last = run_trace.groupBy("run_id").agg(F.max("seq").alias("last_seq"))
     partial = failed.join(last, "run_id", "inner").select(
         "run_id", (F.col("last_seq") + 1).alias("seq"),
-        F.concat(F.lit("Partial evidence: "), F.col("f.node"), F.lit(" node failed")).alias("step"))
+        C.template(fixed.RUN_PARTIAL, node=F.col("f.node")).alias("step"))
     return ok.unionByName(partial)
 
 

@@ -319,7 +319,7 @@ def notification_feed(cat: Catalog, findings: DataFrame, gov: DataFrame) -> Data
         gov.select("asset_id", "downstream_count", "last_modified"), "asset_id", "inner").select(
         F.concat(F.lit("alert-"), F.col("asset_id").cast("string"), F.lit("-"), F.col("rule")).alias("id"),
         F.col("last_modified").alias("timestamp"), "title",
-        F.concat("asset_name", F.lit(" · "), F.col("downstream_count").cast("string"), F.lit(" downstream")).alias("detail"),
+        C.template(fixed.ALERT_DETAIL, asset=F.col("asset_name"), n=F.col("downstream_count")).alias("detail"),
         "severity", F.lit("finding").alias("kind"))
     act = cat.activity_events.select(
         F.concat(F.lit("activity-"), F.col("event_id").cast("string")).alias("id"),

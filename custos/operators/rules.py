@@ -63,21 +63,15 @@ def default_rules(threshold: int = fixed.DOWNSTREAM_THRESHOLD) -> list[Rule]:
     title = {k: (t, p, s) for k, t, p, s in fixed.RULES}
     n = F.col("downstream")
     more = F.when(F.col("pii_count") > fixed.PII_SHOWN,
-                  F.concat(F.lit(" (+"), (F.col("pii_count") - fixed.PII_SHOWN).cast("string"),
-                           F.lit(" more)"))).otherwise(F.lit(""))
-    pre, post = fixed.DETAIL_UNTAGGED_PII.split("{shown}{more}")
-    down_pre, down_post = fixed.DETAIL_LARGE_DOWNSTREAM.split("{n}")
-    dep_pre, dep_post = fixed.DETAIL_DEPRECATED_IN_USE.split("{n}")
+                  C.template(fixed.DETAIL_PII_MORE, n=F.col("pii_count") - fixed.PII_SHOWN)).otherwise(F.lit(""))
     conds = {
         "missing_owner": (F.col("owner_count") == 0, F.lit(fixed.DETAIL_MISSING_OWNER)),
         "missing_documentation": (F.col("description").isNull(),
                                   F.lit(fixed.DETAIL_MISSING_DOCUMENTATION)),
         "untagged_pii": ((F.col("pii_count") > 0) & ~F.col("pii_tagged"),
-                         F.concat(F.lit(pre), F.array_join("pii_shown", ", "), more, F.lit(post))),
-        "large_downstream_impact": (n >= F.lit(threshold),
-                                    F.concat(F.lit(down_pre), n.cast("string"), F.lit(down_post))),
-        "deprecated_in_use": (F.col("deprecated") & (n > 0),
-                              F.concat(F.lit(dep_pre), n.cast("string"), F.lit(dep_post))),
+                         C.template(fixed.DETAIL_UNTAGGED_PII, shown=F.array_join("pii_shown", ", "), more=more)),
+        "large_downstream_impact": (n >= F.lit(threshold), C.template(fixed.DETAIL_LARGE_DOWNSTREAM, n=n)),
+        "deprecated_in_use": (F.col("deprecated") & (n > 0), C.template(fixed.DETAIL_DEPRECATED_IN_USE, n=n)),
         "schema_drift": (F.coalesce(F.col("schema_drift"), F.col("stats_schema_drift"), F.lit(False)),
                          F.lit(fixed.DETAIL_SCHEMA_DRIFT)),
     }
@@ -196,13 +190,13 @@ def evidence(cat: Catalog, downstream: DataFrame | None = None,
                .withColumn("upstream_total", F.lit(None).cast("bigint")))
     parts = F.concat_ws(
         " · ",
-        F.when(F.col("owner_count") > 0, F.concat(F.lit("owned by "), F.coalesce("first_owner", F.lit("null"))))
-         .otherwise(F.lit("no owner")),
-        F.when(~F.col("has_description"), F.lit("undocumented")),
+        F.when(F.col("owner_count") > 0, C.template(fixed.EVIDENCE_OWNED, owner=F.coalesce("first_owner", F.lit("null"))))
+         .otherwise(F.lit(fixed.EVIDENCE_NO_OWNER)),
+        F.when(~F.col("has_description"), F.lit(fixed.EVIDENCE_UNDOCUMENTED)),
         F.when(F.col("downstream_total").isNotNull(),
-               F.concat(F.col("downstream_total").cast("string"), F.lit(" downstream"))))
+               C.template(fixed.EVIDENCE_DOWNSTREAM, n=F.col("downstream_total"))))
     return out.withColumn("description_line",
-                          F.when(parts == "", F.lit("no issues found")).otherwise(parts))
+                          F.when(parts == "", F.lit(fixed.EVIDENCE_NOTHING)).otherwise(parts))
 
 
 def unowned_first(cat: Catalog) -> DataFrame:
