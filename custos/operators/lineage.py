@@ -184,7 +184,7 @@ def lineage_nodes(cat: Catalog, reach: DataFrame, direction: str | None = None)
     """Reached nodes with shallow entity attributes (no owners)."""
     a = clean_assets(cat).select(
         F.col("asset_id").alias("node"), F.col("urn").alias("node_urn"),
-        F.col("display_name").alias("node_name"), "platform", "deprecated")
+        F.col("name").alias("node_name"), "platform", "deprecated")
     return reach.join(a, "node", "inner").select(
         "root", "node", "node_urn", "node_name", F.lit("DATASET").alias("entity_type"),
         "platform", "degree", "deprecated", "direction")
@@ -259,7 +259,7 @@ def lineage_graph(cat: Catalog, max_hops: int | None = None,
     side = impact.select(
         F.col("node_urn").alias("id"),
         F.when(F.col("direction") == "UPSTREAM", 0).otherwise(2).alias("column"),
-        F.col("node_name").alias("name"),
+        F.coalesce("node_name", C.short_name("node_urn")).alias("name"),
         F.coalesce("platform", C.platform_from_urn("node_urn")).alias("platform"),
         C.asset_kind("entity_type", F.coalesce("platform", C.platform_from_urn("node_urn"))).alias("kind"),
         F.when(F.col("deprecated"), "high").otherwise("low").alias("severity"),

@@ -177,7 +177,7 @@ def evidence(cat: Catalog, downstream: DataFrame | None = None,
     triggered = F.filter(F.array(*[F.when(F.col(f"r_{r.key}"), F.lit(r.key)) for r in rules]),
                          lambda x: x.isNotNull())
     out = f.select(
-        "asset_id", F.col("display_name").alias("name"), "urn", "platform",
+        "asset_id", "name", "urn", "platform",
         F.col("owner").alias("first_owner"), F.col("owner_count").cast("bigint").alias("owner_count"),
         F.col("description").isNotNull().alias("has_description"),
         F.col("tag_count").cast("bigint").alias("tag_count"),

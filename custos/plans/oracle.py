@@ -125,11 +125,11 @@ up(node, degree) AS (
  UNION
  SELECT e.src, r.degree + 1 FROM up r JOIN lineage_edges e ON e.dst = r.node JOIN droot ON e.src <> droot.root),
 dnodes AS (
- SELECT droot.root, d.node, ca.urn AS node_urn, ca.display_name AS node_name, 'DATASET' AS entity_type, ca.platform,
+ SELECT droot.root, d.node, ca.urn AS node_urn, ca.name AS node_name, 'DATASET' AS entity_type, ca.platform,
   d.degree, ca.deprecated, 'DOWNSTREAM' AS direction
  FROM (SELECT node, min(degree) AS degree FROM dn GROUP BY node) d JOIN ca ON ca.asset_id = d.node JOIN droot ON TRUE),
 unodes AS (
- SELECT droot.root, d.node, ca.urn AS node_urn, ca.display_name AS node_name, 'DATASET' AS entity_type, ca.platform,
+ SELECT droot.root, d.node, ca.urn AS node_urn, ca.name AS node_name, 'DATASET' AS entity_type, ca.platform,
   d.degree, ca.deprecated, 'UPSTREAM' AS direction
  FROM (SELECT node, min(degree) AS degree FROM up GROUP BY node) d JOIN ca ON ca.asset_id = d.node JOIN droot ON TRUE),
 impact AS (
@@ -145,7 +145,8 @@ KIND = """CASE WHEN lower({p}) IN ('dbt','airflow','spark','kafka') THEN 'pipeli
  WHEN lower({p}) IN ('looker','tableau','powerbi','superset') THEN 'dashboard' ELSE 'dataset' END"""
 
 sql("lineage_nodes", """
-SELECT node_urn AS id, CASE WHEN direction = 'UPSTREAM' THEN 0 ELSE 2 END AS "column", node_name AS name,
+SELECT node_urn AS id, CASE WHEN direction = 'UPSTREAM' THEN 0 ELSE 2 END AS "column",
+ COALESCE(node_name, string_split(string_split(regexp_extract(node_urn, '\\(([^)]*)\\)', 1), ',')[2], '.')[-1]) AS name,
  COALESCE(platform, 'unknown') AS platform, """ + KIND.format(p="COALESCE(platform, 'unknown')") + """ AS kind,
  CASE WHEN deprecated THEN 'high' ELSE 'low' END AS severity,
  CASE WHEN deprecated THEN 'Marked deprecated but still present in this lineage path.'
@@ -338,7 +339,7 @@ SELECT asset_id, urn, has_owner, row_number() OVER (ORDER BY has_owner, asset_id
 FROM (SELECT asset_id, urn, asset_id IN (SELECT asset_id FROM od) AS has_owner FROM ca)""")
 
 sql("evidence", """
-SELECT r.asset_id, r.display_name AS name, r.urn, r.platform, r.owner AS first_owner, CAST(r.owner_count AS BIGINT) AS owner_count,
+SELECT r.asset_id, r.name, r.urn, r.platform, r.owner AS first_owner, CAST(r.owner_count AS BIGINT) AS owner_count,
  r.description IS NOT NULL AS has_description, CAST(r.tag_count AS BIGINT) AS tag_count,
  list_filter([CASE WHEN r_missing_owner THEN 'missing_owner' END, CASE WHEN r_missing_documentation THEN 'missing_documentation' END,
   CASE WHEN r_untagged_pii THEN 'untagged_pii' END, CASE WHEN r_large_downstream_impact THEN 'large_downstream_impact' END,
