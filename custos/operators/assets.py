@@ -281,7 +281,7 @@ def catalogue_scan(cat: Catalog, query: str = "*") -> DataFrame:
     description, domain, tag count, deprecation); `*`/empty matches all."""
     f = asset_facts(cat)
     f = asset_search_filter(f, query)
-    return f.select("asset_id", "urn", F.col("display_name").alias("name"), "platform",
+    return f.select("asset_id", "urn", "name", "display_name", "platform",
                     "description", "domain_urn", "domain_name",
                     F.col("owner_count").cast("bigint").alias("owner_count"), "owner",
                     F.col("tag_count").cast("bigint").alias("tag_count"), "deprecated",
@@ -302,17 +302,17 @@ def dataset_detail(cat: Catalog, requested: DataFrame) -> DataFrame:
 
 def undocumented_assets(cat: Catalog) -> DataFrame:
     return (clean_assets(cat).where(F.col("description").isNull())
-            .select("asset_id", "urn", F.col("display_name").alias("name")))
+            .select("asset_id", "urn", "name"))
 
 
 def unowned_assets(cat: Catalog) -> DataFrame:
     return (clean_assets(cat).join(owners_dedup(cat).select("asset_id"), "asset_id", "left_anti")
-            .select("asset_id", "urn", F.col("display_name").alias("name")))
+            .select("asset_id", "urn", "name"))
 
 
 def owned_assets(cat: Catalog) -> DataFrame:
     return (clean_assets(cat).join(owners_dedup(cat).select("asset_id"), "asset_id", "left_semi")
-            .select("asset_id", "urn", F.col("display_name").alias("name")))
+            .select("asset_id", "urn", "name"))
 
 
 def asset_search_filter(df: DataFrame, query: str, name_cols=("display_name", "urn", "description")) -> DataFrame:
@@ -329,8 +329,7 @@ def asset_search(cat: Catalog, query: str, platforms: list[str] | None = None) -
     a = clean_assets(cat)
     if platforms:
         a = a.where(F.col("platform").isin(*platforms))
-    return asset_search_filter(a, query).select(
-        "asset_id", "urn", F.col("display_name").alias("name"), "platform")
+    return asset_search_filter(a, query).select("asset_id", "urn", "name", "platform")
 
 
 # --- L1 / L2: paging and sorting ---------------------------------------------------

@@ -48,7 +48,7 @@ FROM ca""")
 
 # --- phase 2 ---------------------------------------------------------------------
 sql("catalogue_scan", """
-SELECT asset_id, urn, display_name AS name, platform, description, domain_urn, domain_name,
+SELECT asset_id, urn, name, display_name, platform, description, domain_urn, domain_name,
  CAST(owner_count AS BIGINT) AS owner_count, owner, CAST(tag_count AS BIGINT) AS tag_count, deprecated,
  strftime(last_modified, '%Y-%m-%dT%H:%M:%S') AS last_modified FROM facts""")
 
@@ -66,9 +66,9 @@ sql("asset_tags", """
 SELECT ca.asset_id, ca.urn, CASE WHEN t.tag IS NOT NULL THEN 'urn:li:tag:' || t.tag END AS tag_urn, t.tag
 FROM ca LEFT JOIN asset_tags t USING (asset_id)""")
 
-sql("undocumented_assets", "SELECT asset_id, urn, display_name AS name FROM ca WHERE description IS NULL")
-sql("unowned_assets", "SELECT asset_id, urn, display_name AS name FROM ca WHERE asset_id NOT IN (SELECT asset_id FROM od)")
-sql("owned_assets", "SELECT asset_id, urn, display_name AS name FROM ca WHERE asset_id IN (SELECT asset_id FROM od)")
+sql("undocumented_assets", "SELECT asset_id, urn, name FROM ca WHERE description IS NULL")
+sql("unowned_assets", "SELECT asset_id, urn, name FROM ca WHERE asset_id NOT IN (SELECT asset_id FROM od)")
+sql("owned_assets", "SELECT asset_id, urn, name FROM ca WHERE asset_id IN (SELECT asset_id FROM od)")
 
 # --- phase 3 ---------------------------------------------------------------------
 sql("downstream_counts", "SELECT asset_id, downstream_count FROM ds")
@@ -190,7 +190,7 @@ sql("tag_list", """
 SELECT 'urn:li:tag:' || tag AS tag_urn, tag, count(DISTINCT asset_id) AS asset_count FROM asset_tags GROUP BY tag""")
 
 sql("asset_search", """
-SELECT asset_id, urn, display_name AS name, platform FROM ca
+SELECT asset_id, urn, name, platform FROM ca
 WHERE instr(lower(concat_ws(' ', display_name, urn, description)), 'bolt') > 0""")
 
 LEVELS = """lv(severity, level_order) AS (VALUES ('critical', 0), ('high', 1), ('medium', 2), ('low', 3)),
@@ -620,7 +620,7 @@ REQ = """
 req AS (SELECT COALESCE(ca.urn, 'urn:li:dataset:missing_' || CAST(u.asset_id AS VARCHAR)) AS urn
  FROM (SELECT DISTINCT asset_id FROM usage_events) u LEFT JOIN ca USING (asset_id))"""
 sql("dataset_detail", """
-SELECT req.urn AS requested_urn, f.urn IS NOT NULL AS found, f.asset_id, f.display_name AS name, f.platform, f.description,
+SELECT req.urn AS requested_urn, f.urn IS NOT NULL AS found, f.asset_id, f.name, f.display_name, f.platform, f.description,
  f.domain_urn, f.domain_name, CAST(f.owner_count AS BIGINT) AS owner_count, f.owner, CAST(f.tag_count AS BIGINT) AS tag_count,
  f.deprecated, strftime(f.last_modified, '%Y-%m-%dT%H:%M:%S') AS last_modified
 FROM (SELECT DISTINCT urn FROM req) req LEFT JOIN facts f ON f.urn = req.urn""", REQ)
