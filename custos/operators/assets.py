@@ -211,7 +211,8 @@ def dataset_schema(cat: Catalog, requested: DataFrame | None = None) -> DataFram
 
 # --- Facts: one row per asset with every governance input --------------------------
 
-def asset_facts(cat: Catalog, downstream: DataFrame | None = None) -> DataFrame:
+def asset_facts(cat: Catalog, downstream: DataFrame | None = None,
+                shared_downstream: int | None = None) -> DataFrame:
     """Assets joined to pre-aggregated owner, tag, PII-column, domain and
     downstream facts. Child aggregates are keyed by asset_id, so these left
     joins line up on the same hash partitioning."""
@@ -221,7 +222,11 @@ def asset_facts(cat: Catalog, downstream: DataFrame | None = None) -> DataFrame:
     facts = (a.join(owner_stats(cat), "asset_id", "left")
              .join(tag_stats(cat), "asset_id", "left")
              .join(pii_stats(cat), "asset_id", "left"))
-    if downstream is not None:
+    if shared_downstream is not None:
+        # parity mode: one traced root's total applied to every asset, as the
+        # reference's multi-asset scan does (the default is per-asset)
+        facts = facts.withColumn("downstream_count", F.lit(int(shared_downstream)).cast("bigint"))
+    elif downstream is not None:
         facts = facts.join(downstream.select("asset_id", "downstream_count"), "asset_id", "left")
     else:
         facts = facts.withColumn("downstream_count", F.lit(None).cast("bigint"))

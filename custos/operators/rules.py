@@ -82,10 +82,13 @@ def default_rules(threshold: int = fixed.DOWNSTREAM_THRESHOLD) -> list[Rule]:
 def scored_facts(cat: Catalog, downstream: DataFrame | None = None,
                  threshold: int = fixed.DOWNSTREAM_THRESHOLD,
                  rules: list[Rule] | None = None,
-                 stats_drift: DataFrame | None = None) -> DataFrame:
-    """The fact row plus one boolean per rule, raw total, capped score and band."""
+                 stats_drift: DataFrame | None = None,
+                 shared_downstream: int | None = None) -> DataFrame:
+    """The fact row plus one boolean per rule, raw total, capped score and band.
+    ``stats_drift`` (asset_id, schema_drift) is the statistics-borne drift
+    signal; ``shared_downstream`` applies one total to every asset (parity)."""
     rules = rules or default_rules(threshold)
-    f = asset_facts(cat, downstream)
+    f = asset_facts(cat, downstream, shared_downstream)
     if stats_drift is not None:
         f = f.join(stats_drift.select("asset_id", F.col("schema_drift").alias("stats_schema_drift")),
                    "asset_id", "left")

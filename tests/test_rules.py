@@ -115,3 +115,14 @@ def test_reproducible_under_shuffled_input(spark):
     a = sorted(map(tuple, R.findings(catalog(spark, assets)).collect()))
     b = sorted(map(tuple, R.findings(catalog(spark, list(reversed(assets)))).collect()))
     assert a == b
+
+
+def test_shared_downstream_parity_and_statistics_drift(spark):
+    assets = [dict(asset_id=i, urn=urn(i), name=f"t{i}", description="d") for i in (1, 2)]
+    own = [(i, 1, "urn:li:corpuser:a", "X") for i in (1, 2)]
+    cat = catalog(spark, assets, ownership=own)
+    shared = R.scored_facts(cat, shared_downstream=7).collect()
+    assert all(r.r_large_downstream_impact for r in shared)
+    drift = spark.createDataFrame([(2, True)], "asset_id bigint, schema_drift boolean")
+    got = {r.asset_id: r.r_schema_drift for r in R.scored_facts(cat, stats_drift=drift).collect()}
+    assert got == {1: False, 2: True}
