@@ -5,7 +5,8 @@ task. Here the sort is a range-partitioned ``orderBy``; each row learns its
 position inside its partition from ``monotonically_increasing_id`` (partition
 index in the high bits, record index in the low 33 bits), and the partition
 offsets come from a per-partition count - one row per partition, so the
-broadcast is bounded by the partition count, not by the data.
+broadcast is bounded by the partition count, not by the data. The numbered
+rows are written once to the shared checkpoint folder before both passes.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from custos.session import ensure_checkpoint_dir
+from custos.session import cut_lineage
 
 _LOW33 = (1 << 33) - 1
 
@@ -21,12 +22,10 @@ _LOW33 = (1 << 33) - 1
 def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """Return ``df`` plus a 1-based ``name`` column following ``order``.
 
-    ``order`` must be a total order (end it with a unique key). The sorted
-    frame is checkpointed so both passes see the same partitioning.
+    ``order`` must be a total order (end it with a unique key).
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    ordered = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
-    ordered = ordered.checkpoint(eager=True)
+    # the ids are materialised with the rows, so re-reading cannot change them
+    ordered = cut_lineage(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()), "ranked")
     pid = F.shiftright("_mid", 33)
     counts = ordered.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(

@@ -3,12 +3,13 @@
 Reachability is a semi-naive breadth-first expansion written as DataFrame
 joins: each hop joins the newest frontier to the edge table on
 ``frontier.node = edge.src``, removes (root, node) pairs already reached with
-a left-anti join, and checkpoints the new level (reliable checkpoint in the
-cluster's ``spark.checkpoint.dir``) so the plan never grows with the number of
-hops and a lost executor recomputes at most one hop. Breadth-first order means
-the first time a pair appears is its minimum degree; cycles and self-loops
-terminate because nothing is re-added. Hot hub nodes are handled by AQE's skew
-join split; every hop's distinct runs with map-side partial aggregation.
+a left-anti join, and each job's result is written once as Parquet to the
+cluster's shared ``spark.checkpoint.dir`` and re-read (``cut_lineage``), so the
+plan never grows with the number of hops and a lost executor recomputes at
+most one job. Breadth-first order means the first time a pair appears is its
+minimum degree; cycles and self-loops terminate because nothing is re-added.
+Hot hub nodes are handled by AQE's skew join split; every hop's distinct runs
+with map-side partial aggregation.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from custos.functions import columns as C
 from custos.functions import fixed
 from custos.operators.assets import clean_assets, owners_dedup
-from custos.session import ensure_checkpoint_dir
+from custos.session import cut_lineage, ensure_checkpoint_dir
 from custos.sources.catalog import Catalog
 
 DEFAULT_MAX_HOPS = 3
@@ -69,7 +70,7 @@ def reachability(cat: Catalog, roots: DataFrame | None = None, direction: str =
 
     Each Spark job expands up to ``hops_per_job`` levels: every level is a join
     of the previous level to the edges, de-duplicated and anti-joined against
-    all pairs already checkpointed. At the end of the job each new pair keeps
+    all pairs already materialised. At the end of the job each new pair keeps
     its minimum degree; pairs first reached at the job's last level are the
     frontier of the next job (pairs reached earlier were already expanded
     inside the job). The result equals a hop-by-hop breadth-first search.
@@ -79,7 +80,7 @@ def reachability(cat: Catalog, roots: DataFrame | None = None, direction: str =
     spark = cat.spark
     ensure_checkpoint_dir(spark)
     # Every hop re-reads the edge list: materialise its distinct form once.
-    edges = _edges(cat, direction).checkpoint(eager=True)
+    edges = cut_lineage(_edges(cat, direction), "edges")
     if roots is None:
         frontier = edges.select("direction", F.col("src").alias("root"), F.col("src").alias("node")).distinct()
     else:
@@ -98,9 +99,8 @@ def reachability(cat: Catalog, roots: DataFrame | None = None, direction: str =
             if seen is not None:
                 level = level.join(seen, K, "left_anti")
             levels.append(level.withColumn("degree", F.lit(done + i)))
-        batch = (reduce(DataFrame.unionByName, levels)
-                 .groupBy(*K).agg(F.min("degree").alias("degree"))
-                 .checkpoint(eager=True))
+        batch = cut_lineage(reduce(DataFrame.unionByName, levels)
+                            .groupBy(*K).agg(F.min("degree").alias("degree")), "reach")
         done += k
         if batch.isEmpty():
             break
@@ -118,7 +118,7 @@ _CLOSURES: dict = {}
 
 def bounded_closure(cat: Catalog, direction: str = "DOWNSTREAM", k: int = DEFAULT_MAX_HOPS) -> DataFrame:
     """All-roots reachability within ``k`` hops (direction, root, node, degree),
-    computed once per edge table and direction and reused (checkpointed) by
+    computed once per edge table and direction and reused (materialised) by
     every consumer: blast radius counts and the jump edges of rooted traversals."""
     if direction.upper() == "BOTH":  # two disjoint tagged graphs: reuse each closure
         return bounded_closure(cat, "DOWNSTREAM", k).unionByName(bounded_closure(cat, "UPSTREAM", k))
@@ -155,7 +155,7 @@ def rooted_reachability(cat: Catalog, roots: DataFrame, direction: str = "DOWNST
              .select("direction", "root", F.col("v").alias("node"), F.col("d").alias("degree")))
     if max_hops is not None:
         level = level.where(F.col("degree") <= max_hops)
-    level = level.checkpoint(eager=True)
+    level = cut_lineage(level, "rooted")
     found, limit = [level], jump
     while not level.isEmpty() and (max_hops is None or limit < max_hops):
         batch = []
@@ -174,7 +174,7 @@ def rooted_reachability(cat: Catalog, roots: DataFrame, direction: str = "DOWNST
             level, limit = cand, upper
         if not batch:
             break
-        done = reduce(DataFrame.unionByName, batch).checkpoint(eager=True)
+        done = cut_lineage(reduce(DataFrame.unionByName, batch), "rooted")
         found.append(done)
         level = done.where(F.col("degree") > limit - jump)
     return reduce(DataFrame.unionByName, found)
@@ -304,19 +304,18 @@ def downstream_counts_approx(cat: Catalog, max_hops: int = DEFAULT_MAX_HOPS,
     reach_{h+1}(u) = N(u) ∪ ⋃_{v in N(u)} reach_h(v), so each hop is one join of
     the edges to the per-node sketches and one ``hll_union_agg`` per node - work
     proportional to edges times sketch size (2^lg_config_k registers), never to
-    the number of reachable pairs. Each hop is checkpointed. Unlike the exact
+    the number of reachable pairs. Each hop is materialised. Unlike the exact
     form, a node on a cycle may count itself."""
     ensure_checkpoint_dir(cat.spark)
-    edges = _edges(cat, direction).where(F.col("src") != F.col("dst")).checkpoint(eager=True)
-    first = edges.groupBy(F.col("src").alias("node")).agg(
-        F.hll_sketch_agg("dst", lg_config_k).alias("sk")).checkpoint(eager=True)
+    edges = cut_lineage(_edges(cat, direction).where(F.col("src") != F.col("dst")), "edges")
+    first = cut_lineage(edges.groupBy(F.col("src").alias("node")).agg(
+        F.hll_sketch_agg("dst", lg_config_k).alias("sk")), "sketch")
     sk = first
     for _ in range(max_hops - 1):
         via = (edges.join(sk.select(F.col("node").alias("dst"), "sk"), "dst", "inner")
                .groupBy(F.col("src").alias("node")).agg(F.hll_union_agg("sk").alias("via")))
-        sk = (first.join(via, "node", "left")
-              .select("node", F.when(F.col("via").isNull(), F.col("sk"))
-                      .otherwise(F.hll_union("sk", "via")).alias("sk"))
-              .checkpoint(eager=True))
+        sk = cut_lineage(first.join(via, "node", "left")
+                         .select("node", F.when(F.col("via").isNull(), F.col("sk"))
+                                 .otherwise(F.hll_union("sk", "via")).alias("sk")), "sketch")
     return sk.select(F.col("node").alias("asset_id"),
                      F.hll_sketch_estimate("sk").alias("downstream_count"))

@@ -65,3 +65,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="custos-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir()
+
+
+def cut_lineage(df, name: str = "frame"):
+    """Materialise ``df`` once as Parquet in the shared checkpoint folder and
+    return the re-read frame: a fresh, short lineage that survives executor
+    loss. One job - unlike an eager ``checkpoint()`` of an unpersisted frame,
+    which computes the plan a second time to write the checkpoint."""
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/custos-cut/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -6,8 +6,8 @@ stops, so it can run as a scheduled batch), drops replayed records with
 ``dropDuplicatesWithinWatermark`` on (entity, aspect, version), and a
 ``foreachBatch`` upsert merges each micro-batch into the aspect table:
 the touched aspect partitions are re-derived as latest-per-key over the old
-rows plus the new ones, cut from their input by a reliable checkpoint, and
-written with dynamic partition overwrite. The streaming checkpoint makes
+rows plus the new ones, written once to the shared checkpoint folder (cut from
+their input), and then written with dynamic partition overwrite. The streaming checkpoint makes
 the whole pipeline restartable after a lost executor or driver.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from custos.session import ensure_checkpoint_dir
+from custos.session import cut_lineage, ensure_checkpoint_dir
 
 CHANGE_SCHEMA = T.StructType([
     T.StructField("entity_urn", T.StringType()),
@@ -53,8 +53,8 @@ def merge_batch(batch: DataFrame, table_path: str) -> None:
             merged = old.join(touched, "aspect", "left_semi").select(*new.columns).unionByName(new)
         except Exception:  # noqa: BLE001 - first batch: no table yet
             merged = new
-    # materialise before overwriting the partitions this frame reads from
-    out = _latest(merged).checkpoint(eager=True)
+    # materialise elsewhere before overwriting the partitions this frame reads from
+    out = cut_lineage(_latest(merged), "aspects")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     out.write.mode("overwrite").partitionBy("aspect").parquet(table_path)
 
