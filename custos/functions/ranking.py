@@ -6,7 +6,7 @@ position inside its partition from ``monotonically_increasing_id`` (partition
 index in the high bits, record index in the low 33 bits), and the partition
 offsets come from a per-partition count - one row per partition, so the
 broadcast is bounded by the partition count, not by the data. The numbered
-rows are written once to the shared checkpoint folder before both passes.
+rows are checkpointed once (shared checkpoint folder) before both passes.
 """
 
 from __future__ import annotations

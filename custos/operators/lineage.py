@@ -3,9 +3,9 @@
 Reachability is a semi-naive breadth-first expansion written as DataFrame
 joins: each hop joins the newest frontier to the edge table on
 ``frontier.node = edge.src``, removes (root, node) pairs already reached with
-a left-anti join, and each job's result is written once as Parquet to the
-cluster's shared ``spark.checkpoint.dir`` and re-read (``cut_lineage``), so the
-plan never grows with the number of hops and a lost executor recomputes at
+a left-anti join, and each job's result is checkpointed once (persisted, then
+a reliable checkpoint in the cluster's shared ``spark.checkpoint.dir``, see
+``cut_lineage``), so the plan never grows with the number of hops and a lost executor recomputes at
 most one job. Breadth-first order means the first time a pair appears is its
 minimum degree; cycles and self-loops terminate because nothing is re-added.
 Hot hub nodes are handled by AQE's skew join split; every hop's distinct runs

@@ -68,14 +68,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df, name: str = "frame"):
-    """Materialise ``df`` once as Parquet in the shared checkpoint folder and
-    return the re-read frame: a fresh, short lineage that survives executor
-    loss. One job - unlike an eager ``checkpoint()`` of an unpersisted frame,
-    which computes the plan a second time to write the checkpoint."""
-    import uuid
+    """Materialise ``df`` once into the shared checkpoint folder and return a
+    frame with a fresh, short lineage that survives executor loss.
 
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/custos-cut/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    The frame is persisted first, so the eager reliable checkpoint writes the
+    cached blocks instead of computing the plan a second time (an unpersisted
+    ``checkpoint()`` runs it twice); the cache is released afterwards."""
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
