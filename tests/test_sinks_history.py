@@ -51,3 +51,13 @@ def test_aspect_upsert_is_idempotent(spark, tmp_dir):
     first = sorted(map(tuple, spark.read.parquet(tmp_dir).collect()))
     H.upsert_aspects(ev, tmp_dir)
     assert sorted(map(tuple, spark.read.parquet(tmp_dir).collect())) == first
+
+
+def test_catalogue_round_trips_through_parquet_tables(spark, tmp_dir):
+    cat = Catalog.from_testdata(spark, SF_SMALL)
+    cat.write_parquet(tmp_dir)
+    back = Catalog.from_parquet(spark, tmp_dir)
+    assert set(back.table_names()) == set(cat.table_names())
+    a = sorted(map(tuple, R.findings(cat).collect()))
+    b = sorted(map(tuple, R.findings(back).collect()))
+    assert a == b
