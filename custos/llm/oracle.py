@@ -1,3 +1,65 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-ORACLE_SQL: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _level(name: str, path: list[str], weight: str, above: str) -> str:
+    """One level of top-down water-filling: CTE ``name`` with the share of each node."""
+    keys, up = ", ".join(path), path[:-1]
+    part = f"partition by {', '.join(up)} " if up else ""
+    join = " and ".join(f"c.{c} is not distinct from p.{c}" for c in up) or "true"
+    order = f"{part}order by cap::double / w::double, {path[-1]} nulls first"
+    return f"""
+{name}_c as (select {keys}, (sum(tokens) * 3)::hugeint cap, max({weight})::hugeint w from leaf group by {keys} having sum(tokens) > 0),
+{name}_s as (select c.*, p.share from {name}_c c join {above} p on {join}),
+{name}_o as (select *, coalesce(sum(cap) over ({order} rows between unbounded preceding and 1 preceding), 0)::hugeint before,
+    (sum(w) over ({order} rows between current row and unbounded following))::hugeint after from {name}_s),
+{name}_f as (select *, cap * after <= (share - before) * w as is_full from {name}_o),
+{name}_g as (select *, (sum(case when is_full then cap else 0 end) over ({part}))::hugeint full_cap,
+    (sum(case when is_full then 0 else w end) over ({part}))::hugeint open_w from {name}_f),
+{name} as (select {keys}, case when is_full then cap else ((share - full_cap) * w) // open_w end::hugeint share from {name}_g)"""
+
+
+_NUMBER = "coalesce(try_cast(nullif(regexp_extract({}, '([0-9]+)$', 1), '') as int), 0)"
+
+_MIX = f"""
+with d as (
+  select doc_id, lang, source, 'domain' || ({_NUMBER.format('source')} % 4) as domain, lang as language, source as origin,
+    len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) as tokens from documents),
+leaf as (select domain, language, origin, sum(tokens)::hugeint tokens,
+    {_NUMBER.format('domain')} + 1 as w_domain, case when language = 'en' then 4 when language in ('de', 'fr') then 2 else 1 end as w_language,
+    {_NUMBER.format('origin')} % 3 + 1 as w_origin from d group by domain, language, origin),
+root as (select (sum(tokens) * 70 // 100)::hugeint share from leaf),
+{_level('l1', ['domain'], 'w_domain', 'root')},
+{_level('l2', ['domain', 'language'], 'w_language', 'l1')},
+{_level('l3', ['domain', 'language', 'origin'], 'w_origin', 'l2')},
+plan as (select leaf.domain, leaf.language, leaf.origin, l3.share budget, l3.share // leaf.tokens whole, l3.share % leaf.tokens rest
+  from leaf join l3 on leaf.domain is not distinct from l3.domain and leaf.language is not distinct from l3.language
+    and leaf.origin is not distinct from l3.origin where leaf.tokens > 0),
+p as (select d.*, budget, whole, rest, md5('mix|' || whole || '|' || doc_id) place from d join plan
+  on d.domain is not distinct from plan.domain and d.language is not distinct from plan.language and d.origin is not distinct from plan.origin),
+q as (select *, sum(tokens) over (partition by domain, language, origin order by place) upto from p),
+z as (select *, min(case when upto > rest then place end) over (partition by domain, language, origin) stop from q)
+select doc_id, lang, source, tokens::bigint n_tokens,
+  (whole + case when rest > 0 and place < stop then 1 else 0 end)::bigint copies, budget::bigint leaf_budget
+from z where whole + case when rest > 0 and place < stop then 1 else 0 end > 0"""
+
+def _shingled(name: str, key: str, table: str) -> str:
+    """CTE ``name``: distinct five-word shingles of each row (its whole sequence if shorter)."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+{name}_w as (select {key}, regexp_extract_all({lower}, '{_WORD}') w from {table} where text is not null),
+{name} as (select distinct {key}, array_to_string(w[i:i + 4], ' ') s
+  from (select {key}, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) i from {name}_w where len(w) > 0))"""
+
+
+_CONTAINED = f"""
+with {_shingled('i', 'item_id', 'benchmark')}, {_shingled('d', 'doc_id', 'documents')},
+size as (select item_id, count(*) n from i group by item_id),
+hit as (select doc_id, item_id, count(*) found from i join d using (s) group by doc_id, item_id)
+select doc_id, item_id, n::bigint n_shingles, found::bigint n_found from hit join size using (item_id) where found * 100 >= n * 80"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontaminate": _CONTAINED,
+    "op8_mixing": _MIX,
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custos.llm import near, repeats
+from custos.llm import decontaminate, mixing, near, repeats, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,35 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "item_id", F.col("n_shingles").cast("bigint").alias("n_shingles"),
+        F.col("n_found").cast("bigint").alias("n_found"))
+
+
+def mixing_tree() -> tuple[dict, dict]:
+    """Levels and integer weights of the documents' tree: a domain is four sources by number."""
+    number = F.coalesce(F.regexp_extract(F.col("source"), "([0-9]+)$", 1).try_cast("int"), F.lit(0))
+    levels = {"domain": F.concat(F.lit("domain"), (number % 4).cast("string")),
+              "language": F.col("lang"), "origin": F.col("source")}
+    origin = F.coalesce(F.regexp_extract(F.col("origin"), "([0-9]+)$", 1).try_cast("int"), F.lit(0))
+    weights = {"domain": F.substring("domain", 7, 1).try_cast("int") + 1,
+               "language": F.when(F.col("language") == "en", 4).when(F.col("language").isin("de", "fr"), 2).otherwise(1),
+               "origin": origin % 3 + 1}
+    return levels, weights
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels, weights = mixing_tree()
+    out = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"),
+                     levels, weights, percent=70, max_epochs=3, seed="mix")
+    return out.select("doc_id", "lang", "source", "n_tokens", "copies", "leaf_budget")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near.near_groups(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
     return groups.select("doc_id", "n_shingles", "component_id",
@@ -30,5 +59,8 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op6_decontaminate": op6_decontaminate,
+    "op8_mixing": op8_mixing,
+    "op9_token_counts": op9_token_counts,
     "op10_near_duplicates": op10_near_duplicates,
 }
