@@ -59,7 +59,22 @@ size as (select item_id, count(*) n from i group by item_id),
 hit as (select doc_id, item_id, count(*) found from i join d using (s) group by doc_id, item_id)
 select doc_id, item_id, n::bigint n_shingles, found::bigint n_found from hit join size using (item_id) where found * 100 >= n * 80"""
 
+_LINKED = """
+with recursive c as (select conv_id, turn, role, text, conv_id || ':' || turn as call_id from conversations where role in ('system', 'user')),
+ids as (select distinct conv_id, turn, call_id from c),
+edge as (select distinct a.call_id child, b.call_id parent from ids a join ids b on a.conv_id = b.conv_id and b.turn in (a.turn - 1, a.turn - 2)),
+chain(call_id, level) as (select call_id, 0 from ids union select child, level + 1 from chain join edge on parent = call_id),
+lev as (select call_id, max(level) level from chain group by call_id),
+res as (select conv_id || ':' || (turn - 1) call_id, min(struct_pack(seq := turn, content := text)).content content, count(*) n
+  from conversations where role = 'assistant' group by 1)
+select conv_id conversation, c.call_id, role tool, level::int as level, coalesce(n, 0)::bigint n_results, text is not null valid,
+  case when text is null then 'missing text' else '' end problems,
+  '{"arguments":{' || case when text is null then '' else '"text":' || to_json(text) || ',' end || '"turn":' || turn || '},"id":' || to_json(c.call_id)
+  || ',"result":' || coalesce(to_json(content)::varchar, 'null') || ',"tool":' || to_json(role) || '}' message
+from c join lev using (call_id) left join res using (call_id)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op6_decontaminate": _CONTAINED,
+    "op7_tool_calls": _LINKED,
     "op8_mixing": _MIX,
 }

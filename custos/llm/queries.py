@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custos.llm import decontaminate, mixing, near, repeats, tokens
+from custos.llm import decontaminate, mixing, near, repeats, tokens, toolcalls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_found").cast("bigint").alias("n_found"))
 
 
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toolcalls.link(*toolcalls.calls_of(_table(spark, sf_dir, "conversations")))
+    return out.select("conversation", "call_id", "tool", "level", "n_results", "valid",
+                      F.array_join("problems", "; ").alias("problems"), "message")
+
+
 def mixing_tree() -> tuple[dict, dict]:
     """Levels and integer weights of the documents' tree: a domain is four sources by number."""
     number = F.coalesce(F.regexp_extract(F.col("source"), "([0-9]+)$", 1).try_cast("int"), F.lit(0))
@@ -60,6 +66,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op6_decontaminate": op6_decontaminate,
+    "op7_tool_calls": op7_tool_calls,
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_near_duplicates": op10_near_duplicates,
