@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from custos.llm import words as W
 from custos.llm.components import connected
-from custos.llm.scratch import Scratch, fresh, text_mark
+from custos.llm.scratch import Scratch, fresh, map_arrow, text_mark
 
 POSITIONS, BITS, CHUNK, ERRORS = 40, 16, 4, 1
 STAR_ROUNDS = 2
@@ -106,7 +106,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, positions:
     """(doc_id, mark, n_shingles, component_id) of every row of ``docs``."""
     docs = docs.select("doc_id", text_mark().alias("mark"), "text")
     with Scratch(docs.sparkSession) as s:
-        sketch = s.table(docs.mapInArrow(_sketches(shingle, positions, bits), _SKETCH), keep=True)
+        sketch = s.table(map_arrow(docs, _sketches(shingle, positions, bits), _SKETCH), keep=True)
         full = sketch.where("doc_id is not null and n_shingles > 0")
         # one row for each different set; id is the smallest doc_id that has it
         sets = s.table(full.groupBy("set_a", "set_b").agg(
@@ -125,8 +125,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, positions:
             """``label`` after the links that hold among ``pairs`` (a, b)."""
             ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
             tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-            links = pairs.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b").mapInArrow(
-                _confirm(shingle, percent), "a bigint, b bigint")
+            links = map_arrow(pairs.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b"),
+                              _confirm(shingle, percent), "a bigint, b bigint")
             la, lb = (label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
             links = links.join(la, "a").join(lb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
             up = connected(links).select(F.col("node").alias("component"), F.col("component").alias("up"))

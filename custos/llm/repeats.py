@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custos.llm import words as W
-from custos.llm.scratch import Scratch, fresh, text_mark
+from custos.llm.scratch import Scratch, fresh, map_arrow, text_mark
 
 WINDOW = 35
 SEED = 6
@@ -119,7 +119,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     docs = docs.select("doc_id", text_mark().alias("mark"), "text").where("text is not null")
     key = ["doc_id", "mark"]
     with Scratch(docs.sparkSession) as s:
-        blocks = s.table(docs.mapInArrow(_blocks(window, seed), _BLOCKS))
+        blocks = s.table(map_arrow(docs, _blocks(window, seed), _BLOCKS))
         known = blocks.groupBy("anchor").count().where("count > 1").select("anchor")
         blocks = s.table(blocks.join(known, "anchor"))
         # the index: one row for each different block, and how many blocks each anchor has
@@ -131,8 +131,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
             "one.*", "anchor", (F.col("copies") == 1).alias("single"))
         ends = ends.groupBy("doc_id", "mark").agg(
             F.collect_list(F.struct("anchor", "first", "windows", "single")).alias("blocks"))
-        checked = s.table(docs.join(ends, _same(docs, ends)).select(
-            docs["doc_id"], docs["mark"], "text", "blocks").mapInArrow(_windows(window), _CHECKED))
+        ends = docs.join(ends, _same(docs, ends)).select(docs["doc_id"], docs["mark"], "text", "blocks")
+        checked = s.table(map_arrow(ends, _windows(window), _CHECKED))
         met = checked.groupBy("anchor", "win").count().where("count > 1").select("anchor", "win")
         found = checked.where("single").join(met, ["anchor", "win"])
         spans = copied.select(*key, "first", (F.col("first") + F.col("windows") + window - 1).alias("last")).unionByName(
@@ -177,6 +177,6 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Dat
     both = one.join(spans, one["_rest.doc_id"].eqNullSafe(spans["_id"]) & (one["_mark_"] == spans["_mark"]), "left")
     text = both.select("text", "spans", "_rest")
     kind = one.schema["_rest"].dataType.simpleString()
-    out = text.mapInArrow(_cut, f"text string, n_words bigint, n_removed bigint, _rest {kind}")
+    out = map_arrow(text, _cut, f"text string, n_words bigint, n_removed bigint, _rest {kind}")
     return out.select(*[F.col("text") if c == "text" else F.col("_rest")[c].alias(c) for c in docs.columns],
                       F.col("n_words").alias(n_words), F.col("n_removed").alias(n_removed))

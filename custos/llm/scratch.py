@@ -8,12 +8,36 @@ then), those that the returned frame still reads when the session ends.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
+import custos
+from custos.session import ensure_checkpoint_dir
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custos.session import ensure_checkpoint_dir
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable on the executors, once a session: Spark hands the archive out."""
+    sc = spark.sparkContext
+    if getattr(sc, "_custos_shipped", False):
+        return
+    root = Path(custos.__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="custos-"), "custos.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._custos_shipped = True
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand on every executor."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
 
 
 class Scratch:
