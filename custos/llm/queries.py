@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custos.llm import decontaminate, mixing, near, quality, repeats, tokens, toolcalls
+from custos.llm import decontaminate, language, mixing, near, quality, repeats, tokens, toolcalls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.identify(docs.select("doc_id", "text"), language.learn(docs)).drop("runs")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select(
         "doc_id", "item_id", F.col("n_shingles").cast("bigint").alias("n_shingles"),
@@ -70,6 +75,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_language": op3_language,
     "op6_decontaminate": op6_decontaminate,
     "op7_tool_calls": op7_tool_calls,
     "op8_mixing": op8_mixing,
