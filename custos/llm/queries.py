@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custos.llm import decontaminate, language, mixing, near, pages, quality, repeats, tokens, toolcalls
+from custos.llm import decontaminate, language, mixing, near, neighbours, pages, quality, repeats, tokens, toolcalls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,11 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), language.learn(docs)).drop("runs")
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(_table(spark, sf_dir, "pages"))
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_language": op3_language,
+    "op4_neighbours": op4_neighbours,
     "op5_main_text": op5_main_text,
     "op6_decontaminate": op6_decontaminate,
     "op7_tool_calls": op7_tool_calls,
