@@ -18,9 +18,13 @@ group is a connected component of links.
    member only, the least under an order that changes from round to round; each
    set takes its most frequent partner first. Pairs are confirmed on the full
    shingle sets of the whole texts, and confirmed links are merged to components.
-   After the star rounds, keys whose members lie in more than one component are
-   left; there all pairs *across* components are confirmed, so no link
-   between different texts is lost that the index has found.
+4. *Across components.* After the star rounds, keys whose members lie in more than
+   one component are left. Their members' shingles are ordered by rarity; sets
+   that are similar enough share one of the rarest n - ceil(percent * n / 100) + 1 of
+   each, so only pairs across components that share such a shingle are formed
+   (documents that merely share a common line are not), pairs whose signatures
+   differ in more than ``reach`` positions go, and the rest is confirmed. No link between different
+   texts is lost that the index has found.
 
 Hot groups: keys are counted with map-side aggregation; joins have one row a key on one side, so that
 skewed keys split; copies are one row. Nothing is collected to the driver but
@@ -38,7 +42,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from custos.llm import words as W
@@ -46,6 +50,8 @@ from custos.llm.components import connected
 from custos.llm.scratch import Scratch, fresh, map_arrow, text_mark
 
 POSITIONS, BITS, CHUNK, ERRORS = 40, 16, 4, 1
+# signatures of sets with similarity 0.8 differ in 8 of 40 positions on average, in more than 24 with probability 1e-8
+REACH = 0.6
 STAR_ROUNDS = 2
 
 _SKETCH = "doc_id bigint, mark bigint, n_shingles bigint, set_a bigint, set_b bigint, signature array<int>"
@@ -85,6 +91,22 @@ def chunk_keys(positions: int, chunk: int, errors: int) -> list[tuple[int, ...]]
             for kept in combinations(range(c, c + chunk), chunk - errors)]
 
 
+def _grams(shingle: int):
+    """Arrow batches of (id, mark, component, text) to one row for each shingle of the text."""
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(W.shingle_sets(batch.column("text"), shingle))
+            n = np.array([len(x) for x in found], np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            for lo in range(0, len(row), 1 << 18):
+                at = pa.array(row[lo:lo + (1 << 18)])
+                yield pa.RecordBatch.from_arrays([
+                    *(batch.column(c).take(at) for c in ("id", "mark", "component")), pa.array(n.astype(np.int32)).take(at),
+                    pa.array(np.concatenate(found).view(np.int64)[lo:lo + (1 << 18)]),
+                ], names=["id", "mark", "component", "n", "gram"])
+    return explode
+
+
 def _confirm(shingle: int, percent: int):
     """Arrow batches of (a, b, text_a, text_b) to the pairs whose sets are similar enough."""
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,11 +136,12 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, positions:
         keys = F.array(*[F.xxhash64(F.lit(i), *[F.col("signature")[p] for p in kept])
                          for i, kept in enumerate(chunk_keys(positions, chunk, errors))])
         keyed = sets.select("id", F.explode(keys).alias("key"))
-        shared = keyed.groupBy("key").count().where("count > 1").select("key")
+        # counts are tables of their own, so that the joins with them can split a hot key
+        shared = s.table(keyed.groupBy("key").count().where("count > 1").select("key"))
         # the part of the index that joins anything: members of keys with more than one
         member = s.table(keyed.join(shared, "key"))
         texts = s.table(docs.join(member.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi")
-                        .select("doc_id", "text"))
+                        .select("doc_id", "mark", "text"))
         label = s.table(member.select(F.col("id").alias("node")).distinct().withColumn("component", F.col("node")))
 
         def merged(pairs: DataFrame, label: DataFrame) -> DataFrame:
@@ -136,18 +159,31 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, positions:
         for turn in range(STAR_ROUNDS):
             at = member.join(label.withColumnRenamed("node", "id"), "id")
             order = F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.lit(0), F.col("id"), F.col("component"))
-            first = at.groupBy("key").agg(F.min(order).alias("lead"), F.min("component").alias("lo"),
-                                          F.max("component").alias("hi")).where("lo < hi")
+            first = s.table(at.groupBy("key").agg(F.min(order).alias("lead"), F.min("component").alias("lo"),
+                                                  F.max("component").alias("hi")).where("lo < hi"))
             stars = (at.join(first, "key").where("component <> lead.component")
                      .groupBy("id", F.col("lead.id").alias("other")).count())
             best = stars.groupBy(F.col("id").alias("a")).agg(
                 F.max(F.struct("count", F.col("other"))).alias("best")).select("a", F.col("best.other").alias("b"))
             label = merged(best, label)
         at = s.table(member.join(label.withColumnRenamed("node", "id"), "id"))
-        split = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        at = s.table(at.join(split.select("key"), "key"))
-        x, y = (at.select("key", F.col("id").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
-        label = merged(x.join(y, "key").where("ca < cb").select("a", "b").distinct(), label)
+        split = s.table(at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi"))
+        left = s.table(at.join(split.select("key"), "key").select("id", "component").distinct())
+        grams = texts.join(left, texts["doc_id"] == left["id"]).select("id", "mark", "component", "text")
+        grams = s.table(map_arrow(grams, _grams(shingle), "id bigint, mark bigint, component bigint, n int, gram bigint"))
+        often = s.table(grams.groupBy("gram").count().where("count > 1"))
+        # a shingle that only one set has can't be shared: it takes a place among the rarest but is no key
+        alone = grams.join(often, "gram").groupBy("id", "mark").agg(F.count(F.lit(1)).alias("others"))
+        prefix = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) - (F.col("n") - F.col("others"))
+        rare = grams.join(often, "gram").join(alone, ["id", "mark"]).where(prefix > 0).withColumn(
+            "nth", F.row_number().over(Window.partitionBy("id", "mark").orderBy("count", "gram")))
+        rare = s.table(rare.where(F.col("nth") <= prefix).select("gram", "id", "component", "n"))
+        x, y = (rare.select("gram", F.col("id").alias(v), F.col("component").alias(f"c{v}"), F.col("n").alias(f"n{v}")) for v in "ab")
+        pairs = x.join(y, (x["gram"] == y["gram"]) & (x["ca"] < y["cb"]) & (x["na"] * 100 >= y["nb"] * percent)
+                       & (y["nb"] * 100 >= x["na"] * percent)).select("a", "b").distinct()
+        sa, sb = (sets.select(F.col("id").alias(v), F.col("signature").alias(f"s{v}")) for v in "ab")
+        apart = F.size(F.filter(F.zip_with("sa", "sb", lambda p, q: p != q), lambda d: d))
+        label = merged(pairs.join(sa, "a").join(sb, "b").where(apart <= positions * REACH).select("a", "b"), label)
     group = sets.join(label.withColumnRenamed("node", "id"), "id", "left").select(
         "set_a", "set_b", F.coalesce("component", "id").alias("group"))
     linked = full.join(group, ["set_a", "set_b"]).select("doc_id", "group").groupBy("doc_id").agg(F.min("group").alias("group"))
