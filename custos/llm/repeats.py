@@ -120,12 +120,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     key = ["doc_id", "mark"]
     with Scratch(docs.sparkSession) as s:
         blocks = s.table(map_arrow(docs, _blocks(window, seed), _BLOCKS))
-        known = blocks.groupBy("anchor").count().where("count > 1").select("anchor")
+        # counts are tables of their own, so that the joins with them can split a hot key
+        known = s.table(blocks.groupBy("anchor").count().where("count > 1").select("anchor"))
         blocks = s.table(blocks.join(known, "anchor"))
         # the index: one row for each different block, and how many blocks each anchor has
         index = s.table(blocks.groupBy("anchor", "content").agg(
             F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "mark", "first", "windows")).alias("one")))
-        several = index.groupBy("anchor").count().where("count > 1").select("anchor")
+        several = s.table(index.groupBy("anchor").count().where("count > 1").select("anchor"))
         copied = blocks.join(index.where("copies > 1").select("anchor", "content"), ["anchor", "content"])
         ends = index.join(several, "anchor").select(
             "one.*", "anchor", (F.col("copies") == 1).alias("single"))
@@ -133,7 +134,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
             F.collect_list(F.struct("anchor", "first", "windows", "single")).alias("blocks"))
         ends = docs.join(ends, _same(docs, ends)).select(docs["doc_id"], docs["mark"], "text", "blocks")
         checked = s.table(map_arrow(ends, _windows(window), _CHECKED))
-        met = checked.groupBy("anchor", "win").count().where("count > 1").select("anchor", "win")
+        met = s.table(checked.groupBy("anchor", "win").count().where("count > 1").select("anchor", "win"))
         found = checked.where("single").join(met, ["anchor", "win"])
         spans = copied.select(*key, "first", (F.col("first") + F.col("windows") + window - 1).alias("last")).unionByName(
             found.select(*key, "first", (F.col("first") + window).alias("last")))
