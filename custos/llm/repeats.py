@@ -29,6 +29,7 @@ told apart by their text; equal rows repeat each other; other columns pass.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -141,7 +142,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
         return s.table(spans.groupBy(*key).agg(F.collect_list(F.struct("first", "last")).alias("spans")), keep=True)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(tidy: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace ``text`` by its kept words, and say how many words there were and went."""
     for batch in batches:
         texts = batch.column(0)
@@ -156,7 +157,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     edge[r["first"]] += 1
                     edge[r["last"]] -= 1
                 parts = [p for p, c in zip(parts, np.cumsum(edge[:-1]), strict=True) if not c]
-            kept.append(b" ".join(parts).decode() if text is not None else None)
+            kept.append(text if text is None or not (tidy or ranges) else b" ".join(parts).decode())
             total.append(n)
             gone.append(n - len(parts))
         yield pa.RecordBatch.from_arrays(
@@ -164,10 +165,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["text", "n_words", "n_removed", *batch.schema.names[2:]])
 
 
-def drop_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+def drop_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, tidy: bool = True) -> DataFrame:
     """The documents with every repeated passage taken out.
 
-    ``text`` becomes the kept words joined by one space (null stays null);
+    ``text`` becomes the kept words joined by one space (null stays null; with
+    ``tidy`` False a text without repeats stays as it is);
     ``n_words`` and ``n_removed`` are added (under other names if the input has
     these: see ``fresh``). Every input row and all other columns stay.
     """
@@ -178,6 +180,6 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Dat
     both = one.join(spans, one["_rest.doc_id"].eqNullSafe(spans["_id"]) & (one["_mark_"] == spans["_mark"]), "left")
     text = both.select("text", "spans", "_rest")
     kind = one.schema["_rest"].dataType.simpleString()
-    out = map_arrow(text, _cut, f"text string, n_words bigint, n_removed bigint, _rest {kind}")
+    out = map_arrow(text, partial(_cut, tidy), f"text string, n_words bigint, n_removed bigint, _rest {kind}")
     return out.select(*[F.col("text") if c == "text" else F.col("_rest")[c].alias(c) for c in docs.columns],
                       F.col("n_words").alias(n_words), F.col("n_removed").alias(n_removed))
