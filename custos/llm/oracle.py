@@ -46,7 +46,7 @@ from z where whole + case when rest > 0 and place < stop then 1 else 0 end > 0""
 
 def _shingled(name: str, key: str, table: str) -> str:
     """CTE ``name``: distinct five-word shingles of each row (its whole sequence if shorter)."""
-    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    lower = "lower(text)"
     return f"""
 {name}_w as (select {key}, regexp_extract_all({lower}, '{_WORD}') w from {table} where text is not null),
 {name} as (select distinct {key}, array_to_string(w[i:i + 4], ' ') s
