@@ -1,7 +1,9 @@
 """Metadata change records (S8) and scan history.
 
-* S8: change records ``(entity_urn, aspect, version, payload)``; the current
-  state is the latest version per (entity, aspect) - an aggregate of
+* S8: change records ``(entity_urn, aspect, item, version, payload)``; an aspect that
+  holds a list (owners, tags, schema fields) has one record per item, named by
+  ``item``, so no item replaces another. The current state is the latest
+  version per (entity, aspect, item) - an aggregate of
   ``max(struct(version, payload))`` that combines map-side, so a hot entity
   with millions of changes costs one partial row per task. Writing is an
   idempotent dynamic-partition overwrite by aspect.
@@ -28,12 +30,13 @@ from custos.sources.catalog import Catalog
 
 def aspect_events(cat: Catalog) -> DataFrame:
     """Change records derived from the catalogue tables: one properties record
-    per asset, one ownership record per ownership entry, one tags record per
-    tag, one schema record per field (version = position / change stamp)."""
+    per asset (item ''), one ownership record per ownership entry (item: owner and
+    type), one tags record per tag, one schema record per field (item: its path);
+    version = position / change stamp."""
     a = clean_assets(cat)
     raw = cat.assets
     props = raw.select(
-        C.clean_text("urn").alias("entity_urn"), F.lit("datasetProperties").alias("aspect"),
+        C.clean_text("urn").alias("entity_urn"), F.lit("datasetProperties").alias("aspect"), F.lit("").alias("item"),
         F.coalesce(F.col("last_modified_ms").cast("bigint"), F.lit(0).cast("bigint")).alias("version"),
         C.json_of(C.clean_text("name").alias("name"),
                            F.coalesce(C.clean_text("editable_description"),
@@ -42,23 +45,24 @@ def aspect_events(cat: Catalog) -> DataFrame:
     ).where(F.col("entity_urn").isNotNull())
     urn_of = a.select("asset_id", "urn")
     own = cat.ownership.join(urn_of, "asset_id", "inner").select(
-        F.col("urn").alias("entity_urn"), F.lit("ownership").alias("aspect"), F.col("pos").alias("version"),
+        F.col("urn").alias("entity_urn"), F.lit("ownership").alias("aspect"),
+        F.concat_ws("|", "owner_urn", "ownership_type").alias("item"), F.col("pos").alias("version"),
         C.json_of("owner_urn", "ownership_type").alias("payload"))
     tags = tags_clean(cat).join(urn_of, "asset_id", "inner").select(
-        F.col("urn").alias("entity_urn"), F.lit("globalTags").alias("aspect"), F.lit(0).cast("bigint").alias("version"),
+        F.col("urn").alias("entity_urn"), F.lit("globalTags").alias("aspect"), F.col("tag").alias("item"), F.lit(0).cast("bigint").alias("version"),
         C.json_of("tag").alias("payload"))
     fields = schema_clean(cat).join(urn_of, "asset_id", "inner").select(
-        F.col("urn").alias("entity_urn"), F.lit("schemaMetadata").alias("aspect"), F.col("pos").cast("bigint").alias("version"),
+        F.col("urn").alias("entity_urn"), F.lit("schemaMetadata").alias("aspect"), F.col("field_path").alias("item"), F.col("pos").cast("bigint").alias("version"),
         C.json_of("field_path", "native_data_type").alias("payload"))
     return reduce(DataFrame.unionByName, [props, own, tags, fields])
 
 
 def latest_aspects(events: DataFrame) -> DataFrame:
-    """Current value per (entity, aspect): highest version, ties by payload."""
-    return events.groupBy("entity_urn", "aspect").agg(
+    """Current value per (entity, aspect, item): highest version, ties by payload."""
+    return events.groupBy("entity_urn", "aspect", "item").agg(
         F.max(F.struct("version", "payload")).alias("l"),
         F.count(F.lit(1)).alias("changes")).select(
-        "entity_urn", "aspect", F.col("l.version").alias("version"), F.col("l.payload").alias("payload"), "changes")
+        "entity_urn", "aspect", "item", F.col("l.version").alias("version"), F.col("l.payload").alias("payload"), "changes")
 
 
 def upsert_aspects(events: DataFrame, path: str) -> None:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from custos.functions import columns as C
+from custos.session import cut_lineage
 from custos.sources.catalog import Catalog
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -52,8 +53,9 @@ def exact_medians(long_num: DataFrame, partitions: int | None = None, counted: b
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dv = (long_num.select("column_name", "v", "c") if counted
           else long_num.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("c")))
-    ranged = dv.repartitionByRange(partitions, "column_name", "v").withColumn(
-        "pid", F.spark_partition_id())
+    # range bounds are sampled at each execution: both uses below must see one partitioning
+    ranged = cut_lineage(dv.repartitionByRange(partitions, "column_name", "v").withColumn(
+        "pid", F.spark_partition_id()), "ranged")
     summary = ranged.groupBy("column_name", "pid").agg(F.sum("c").alias("pc"))
     w = Window.partitionBy("column_name").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     wn = Window.partitionBy("column_name")

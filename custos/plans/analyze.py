@@ -36,7 +36,7 @@ class Answer:
     frames: dict[str, DataFrame] = field(default_factory=dict)
 
 
-def analyze(cat: Catalog, question: str, threshold: int = 5, max_hops: int = 3) -> Answer:
+def analyze(cat: Catalog, question: str, threshold: int = 5, max_hops: int | None = None) -> Answer:
     spark = cat.spark
     q = spark.createDataFrame([(0, question)], "question_id long, question string")
     row = Q.classify_questions(q).first()

@@ -566,16 +566,16 @@ SELECT to_json(struct_pack(asset_id := asset_id, asset_urn := asset_urn, asset_n
 
 # --- sinks and history --------------------------------------------------------------
 sql("aspect_upsert", """
-SELECT entity_urn, aspect, (list(version ORDER BY version DESC, payload DESC))[1] AS version,
+SELECT entity_urn, aspect, item, (list(version ORDER BY version DESC, payload DESC))[1] AS version,
  (list(payload ORDER BY version DESC, payload DESC))[1] AS payload, count(*) AS changes FROM (
- SELECT NULLIF(trim(urn), '') AS entity_urn, 'datasetProperties' AS aspect, COALESCE(CAST(last_modified_ms AS BIGINT), 0) AS version,
+ SELECT NULLIF(trim(urn), '') AS entity_urn, 'datasetProperties' AS aspect, '' AS item, COALESCE(CAST(last_modified_ms AS BIGINT), 0) AS version,
   to_json(struct_pack(name := NULLIF(trim(name), ''), description := COALESCE(NULLIF(trim(editable_description), ''), NULLIF(trim(description), '')),
    platform := NULLIF(trim(platform), ''))) AS payload FROM assets WHERE NULLIF(trim(urn), '') IS NOT NULL
- UNION ALL SELECT ca.urn, 'ownership', o.pos, to_json(struct_pack(owner_urn := o.owner_urn, ownership_type := o.ownership_type))
+ UNION ALL SELECT ca.urn, 'ownership', concat_ws('|', o.owner_urn, o.ownership_type), o.pos, to_json(struct_pack(owner_urn := o.owner_urn, ownership_type := o.ownership_type))
   FROM ownership o JOIN ca USING (asset_id)
- UNION ALL SELECT ca.urn, 'globalTags', 0, to_json(struct_pack(tag := t.tag)) FROM asset_tags t JOIN ca USING (asset_id)
- UNION ALL SELECT ca.urn, 'schemaMetadata', s.pos, to_json(struct_pack(field_path := s.field_path, native_data_type := s.native_data_type))
-  FROM schema_fields s JOIN ca USING (asset_id)) GROUP BY entity_urn, aspect""")
+ UNION ALL SELECT ca.urn, 'globalTags', t.tag, 0, to_json(struct_pack(tag := t.tag)) FROM asset_tags t JOIN ca USING (asset_id)
+ UNION ALL SELECT ca.urn, 'schemaMetadata', s.field_path, s.pos, to_json(struct_pack(field_path := s.field_path, native_data_type := s.native_data_type))
+  FROM schema_fields s JOIN ca USING (asset_id)) GROUP BY entity_urn, aspect, item""")
 
 PREV = """
 pps AS (SELECT asset_id, count(*) AS n_pii, array_to_string(list(field_path ORDER BY pos, field_path)[1:5], ', ') AS shown

@@ -34,7 +34,7 @@ def cat_of(spark: SparkSession, sf_dir: str) -> Catalog:
 
 def _with_downstream(spark, sf_dir):
     cat = cat_of(spark, sf_dir)
-    return cat, G.downstream_counts(cat, max_hops=3)
+    return cat, G.downstream_counts(cat)
 
 
 # --- phase 1: cleaning -------------------------------------------------------------
@@ -586,7 +586,7 @@ def q_score_reconcile(spark, sf_dir):
 @query("downstream_counts_approx")
 def q_downstream_counts_approx(spark, sf_dir):
     """G3 by HLL sketches merged along edges (approximate; no SQL oracle)."""
-    return G.downstream_counts_approx(cat_of(spark, sf_dir), 3)
+    return G.downstream_counts_approx(cat_of(spark, sf_dir))
 
 
 @query("raw_documents")

@@ -78,12 +78,10 @@ class Catalog:
         """A catalogue stored as one Parquet folder per table (missing -> None)."""
         loaded = {}
         for name in TABLES:
-            path = os.path.join(root, name)
-            if os.path.exists(path) or "://" in root:
-                try:
-                    loaded[name] = spark.read.parquet(path)
-                except Exception:  # noqa: BLE001 - an absent optional table
-                    loaded[name] = None
+            path = f"{root.rstrip('/')}/{name}"
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+            loaded[name] = spark.read.parquet(path) if there else None
         return cls(**loaded)
 
     def write_parquet(self, root: str, mode: str = "overwrite") -> None:
@@ -204,7 +202,7 @@ def derive_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         (F.col("s_acctbal") > 0).alias("active"),
     )
 
-    ownership = lineitem.where(F.col("l_orderkey") % 20 == 0).select(
+    ownership = lineitem.select(
         F.col("l_partkey").alias("asset_id"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
         _owner_urn(F.col("l_suppkey")).alias("owner_urn"),
@@ -228,8 +226,7 @@ def derive_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
             pk.alias("asset_id"), F.lit(2).alias("pos"), F.lit("legacy_code").alias("field_path"),
             F.lit("VARCHAR").alias("native_data_type"))))
 
-    li = lineitem.where(F.col("l_orderkey") % 15 == 0).select(
-        "l_partkey", (F.col("l_partkey") + F.col("l_linenumber") * 13).alias("target"))
+    li = lineitem.select("l_partkey", (F.col("l_partkey") * 2 + F.col("l_linenumber") * 13).alias("target"))
     lineage_edges = (li.join(part.select("p_partkey"), li.target == F.col("p_partkey"), "inner")
                      .select(F.col("l_partkey").alias("src"), F.col("p_partkey").alias("dst"))
                      .distinct())

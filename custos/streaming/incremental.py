@@ -2,18 +2,19 @@
 
 Change records land as JSON files in a folder. A streaming query reads new
 files (``trigger(availableNow=True)`` processes everything pending and
-stops, so it can run as a scheduled batch), drops replayed records with
-``dropDuplicatesWithinWatermark`` on (entity, aspect, version), and a
-``foreachBatch`` upsert merges each micro-batch into the aspect table:
-the touched aspect partitions are re-derived as latest-per-key over the old
-rows plus the new ones, written once to the shared checkpoint folder (cut from
-their input), and then written with dynamic partition overwrite. The streaming checkpoint makes
+stops, so it can run as a scheduled batch) and a ``foreachBatch`` upsert merges
+each micro-batch into the aspect table. The merge keeps the highest version of
+every (entity, aspect, item), so replayed and late records need no watermark: a
+replay changes nothing and a record of any age that is the newest of its key
+counts. The table is partitioned by aspect and a hash bucket of the entity; a
+batch reads and rewrites only the partitions it touches (dynamic overwrite, from a
+copy in the shared checkpoint folder). The streaming checkpoint makes
 the whole pipeline restartable after a lost executor or driver.
 """
 
 from __future__ import annotations
 
-import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,49 +25,60 @@ from custos.session import cut_lineage, ensure_checkpoint_dir
 CHANGE_SCHEMA = T.StructType([
     T.StructField("entity_urn", T.StringType()),
     T.StructField("aspect", T.StringType()),
+    T.StructField("item", T.StringType()),  # the item of a list-valued aspect; absent: the whole aspect
     T.StructField("version", T.LongType()),
     T.StructField("payload", T.StringType()),
     T.StructField("ts", T.TimestampType()),
 ])
+BUCKETS = 64
+_KEY = ["entity_urn", "aspect", "item"]
 
 
 def _latest(df: DataFrame) -> DataFrame:
-    return (df.groupBy("entity_urn", "aspect")
+    return (df.groupBy(*_KEY, "bucket")
             .agg(F.max(F.struct("version", "payload")).alias("l"))
-            .select("entity_urn", F.col("l.version").alias("version"),
-                    F.col("l.payload").alias("payload"), "aspect"))
+            .select("entity_urn", "item", F.col("l.version").alias("version"),
+                    F.col("l.payload").alias("payload"), "aspect", "bucket"))
 
 
-def merge_batch(batch: DataFrame, table_path: str) -> None:
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there, by the file system it names (or the default one)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def merge_batch(batch: DataFrame, table_path: str, buckets: int = BUCKETS) -> None:
     """Upsert one micro-batch of change records into the aspect table."""
     spark = batch.sparkSession
-    if batch.isEmpty():
-        return
     ensure_checkpoint_dir(spark)
-    new = batch.select("entity_urn", "version", "payload", "aspect").where(
-        F.col("entity_urn").isNotNull() & F.col("aspect").isNotNull())
+    new = cut_lineage(batch.where(F.col("entity_urn").isNotNull() & F.col("aspect").isNotNull()).select(
+        "entity_urn", F.coalesce("item", F.lit("")).alias("item"), "version", "payload", "aspect",
+        F.pmod(F.xxhash64("entity_urn"), F.lit(buckets)).cast("int").alias("bucket")), "changes")
+    if new.isEmpty():
+        return
     merged = new
-    if os.path.exists(table_path) or "://" in table_path:
-        try:
-            old = spark.read.parquet(table_path)
-            touched = new.select("aspect").distinct()
-            merged = old.join(touched, "aspect", "left_semi").select(*new.columns).unionByName(new)
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            merged = new
+    if _exists(spark, table_path):
+        # one row per touched partition: at most aspects x buckets, so the join prunes partitions by broadcast
+        touched = F.broadcast(new.select("aspect", "bucket").distinct())
+        old = spark.read.parquet(table_path).join(touched, ["aspect", "bucket"], "left_semi")
+        merged = old.select(*new.columns).unionByName(new)
     # materialise elsewhere before overwriting the partitions this frame reads from
     out = cut_lineage(_latest(merged), "aspects")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    out.write.mode("overwrite").partitionBy("aspect").parquet(table_path)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("aspect", "bucket").parquet(table_path)
 
 
 def incremental_scan(spark: SparkSession, source_dir: str, table_path: str, checkpoint_location: str,
-                     watermark: str = "1 day"):
-    """Process every pending change file once and stop; returns the finished query."""
-    changes = (spark.readStream.schema(CHANGE_SCHEMA).json(source_dir)
-               .withWatermark("ts", watermark)
-               .dropDuplicatesWithinWatermark(["entity_urn", "aspect", "version"]))
-    query = (changes.writeStream
-             .foreachBatch(lambda df, _epoch: merge_batch(df, table_path))
+                     on_touched: Callable[[DataFrame], None] | None = None):
+    """Process every pending change file once and stop; returns the finished query.
+
+    ``on_touched`` gets the entity_urn of every entity that a batch changed (to rescore just these)."""
+    def apply(batch: DataFrame, _epoch: int) -> None:
+        merge_batch(batch, table_path)
+        if on_touched is not None:
+            on_touched(batch.where(F.col("entity_urn").isNotNull()).select("entity_urn").distinct())
+
+    query = (spark.readStream.schema(CHANGE_SCHEMA).json(source_dir).writeStream
+             .foreachBatch(apply)
              .option("checkpointLocation", checkpoint_location)
              .trigger(availableNow=True)
              .start())

@@ -79,25 +79,65 @@ def test_graph_tables_are_star_shaped(spark):
 
 
 @pytest.mark.parametrize("max_hops", [None, 2, 4, 7])
-def test_rooted_jumps_equal_breadth_first(spark, max_hops):
-    import random
-    rnd = random.Random(11)
-    edges = sorted({(rnd.randrange(40), rnd.randrange(40)) for _ in range(90)})
+def test_rooted_equals_hop_by_hop(spark, max_hops):
+    edges = random_edges(40, 90, 11)
     cat = catalog(spark, [dict(asset_id=i, urn=urn(i), name=f"t{i}") for i in range(40)], edges=edges)
     roots = spark.createDataFrame([(0,), (5,), (17,)], "root bigint")
     want = sorted(map(tuple, G.reachability(cat, roots, "DOWNSTREAM", max_hops, hops_per_job=1)
                       .select("root", "node", "degree").collect()))
-    got = sorted(map(tuple, G.rooted_reachability(cat, roots, "DOWNSTREAM", max_hops, rounds_per_job=2)
+    got = sorted(map(tuple, G.rooted_reachability(cat, roots, "DOWNSTREAM", max_hops)
                      .select("root", "node", "degree").collect()))
     assert got == want
 
 
-def test_sketch_blast_radius_close_to_exact(spark):
+def random_edges(nodes, n, seed):
+    import random
+    rnd = random.Random(seed)
+    return sorted({(rnd.randrange(nodes), rnd.randrange(nodes)) for _ in range(n)})
+
+
+def descendants(edges):
+    out = {}
+    for s, d in edges:
+        out.setdefault(s, set()).add(d)
+    reach = {}
+    for root in out:
+        todo, seen = [root], set()
+        while todo:
+            for d in out.get(todo.pop(), ()):
+                if d not in seen:
+                    seen.add(d)
+                    todo.append(d)
+        reach[root] = seen - {root}
+    return {k: len(v) for k, v in reach.items() if v}
+
+
+def test_long_chain_is_counted_to_its_end(spark):
+    cat = catalog(spark, [dict(asset_id=i, urn=urn(i)) for i in range(12)], edges=[(i, i + 1) for i in range(11)])
+    got = {r.asset_id: r.downstream_count for r in G.downstream_counts(cat).collect()}
+    assert got == {i: 11 - i for i in range(11)}
+
+
+@pytest.mark.parametrize("most", [1, 3, 5])
+def test_threshold_is_exact_on_cyclic_graphs(spark, most):
+    edges = random_edges(40, 60, 3) + [(100, 101), (101, 102), (102, 100), (103, 103)]
+    cat = catalog(spark, [dict(asset_id=0, urn=urn(0))], edges=edges)
+    got = {r.node: r.n for r in G.some_descendants(cat, most).collect()}
+    assert got == {k: min(v, most) for k, v in descendants(edges).items()}
+
+
+def test_blast_radius_whole_depth_on_the_fixture(spark):
     from custos.sources.catalog import Catalog
     from tests.conftest import SF_SMALL
     cat = Catalog.from_testdata(spark, SF_SMALL)
-    exact = {r.asset_id: r.downstream_count for r in G.downstream_counts(cat, 3).collect()}
-    approx = {r.asset_id: r.downstream_count for r in G.downstream_counts_approx(cat, 3).collect()}
-    assert set(exact) == set(approx)
-    worst = max(abs(approx[k] - v) / v for k, v in exact.items())
-    assert worst < 0.05
+    want = descendants([tuple(r) for r in cat.lineage_edges.select("src", "dst").collect()])
+    assert {r.asset_id: r.downstream_count for r in G.downstream_counts(cat).collect()} == want
+    approx = {r.asset_id: r.downstream_count for r in G.downstream_counts_approx(cat).collect()}
+    assert set(approx) == set(want)
+    assert max(abs(approx[k] - v) / v for k, v in want.items()) < 0.05
+
+
+def test_explicit_hop_bound(spark):
+    cat = catalog(spark, [dict(asset_id=0, urn=urn(0))], edges=[(i, i + 1) for i in range(6)])
+    got = {r.asset_id: r.downstream_count for r in G.downstream_counts(cat, max_hops=2).collect()}
+    assert got == {0: 2, 1: 2, 2: 2, 3: 2, 4: 2, 5: 1}

@@ -58,3 +58,15 @@ def test_exact_median_matches_brute_force(spark):
     got = {r.column_name: r.median for r in P.exact_medians(df, partitions=7).collect()}
     for k, vs in vals.items():
         assert got[k] == pytest.approx(statistics.median(vs))
+
+
+def test_median_does_not_rest_on_exchange_reuse(spark):
+    from tests.conftest import SF_SMALL
+    v = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").selectExpr("'k' column_name", "cast(l_extendedprice as double) v")
+    want = P.exact_medians(v, partitions=7).collect()
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        assert P.exact_medians(v, partitions=7).collect() == want
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert want[0].median == pytest.approx(v.selectExpr("percentile(v, 0.5)").first()[0])

@@ -61,3 +61,12 @@ def test_catalogue_round_trips_through_parquet_tables(spark, tmp_dir):
     a = sorted(map(tuple, R.findings(cat).collect()))
     b = sorted(map(tuple, R.findings(back).collect()))
     assert a == b
+
+
+def test_every_item_of_a_list_aspect_survives(spark):
+    cat = Catalog.from_testdata(spark, SF_SMALL)
+    now = H.latest_aspects(H.aspect_events(cat))
+    n = {r.aspect: r["count"] for r in now.groupBy("aspect").count().collect()}
+    assert n["schemaMetadata"] == cat.schema_fields.count()
+    assert n["globalTags"] == cat.asset_tags.distinct().count()
+    assert n["ownership"] == cat.ownership.select("asset_id", "owner_urn", "ownership_type").distinct().count()

@@ -29,3 +29,20 @@ def test_incremental_scan_upserts_latest(spark, tmp_dir):
     # nothing new: a re-run changes nothing
     incremental_scan(spark, src, table, ck)
     assert spark.read.parquet(table).count() == 2
+
+
+def test_late_records_items_and_scheme_less_paths(spark, tmp_dir):
+    src, table, ck = (os.path.join(tmp_dir, x) for x in ("src", "table", "ck"))
+    os.makedirs(src)
+    touched = []
+    write(os.path.join(src, "a.json"), [
+        {"entity_urn": "u1", "aspect": "ownership", "item": "o1", "version": 1, "payload": "p1", "ts": "2024-06-01T00:00:00"},
+        {"entity_urn": "u1", "aspect": "ownership", "item": "o2", "version": 1, "payload": "p2", "ts": "2024-06-01T00:00:00"}])
+    incremental_scan(spark, src, table, ck, lambda df: touched.extend(r[0] for r in df.collect()))
+    # five days before the newest record seen, and the newest of its key
+    write(os.path.join(src, "b.json"), [
+        {"entity_urn": "u2", "aspect": "ownership", "item": "o1", "version": 1, "payload": "late", "ts": "2024-05-27T00:00:00"}])
+    incremental_scan(spark, src, table, ck, lambda df: touched.extend(r[0] for r in df.collect()))
+    state = {(r.entity_urn, r.item): r.payload for r in spark.read.parquet(table).collect()}
+    assert state == {("u1", "o1"): "p1", ("u1", "o2"): "p2", ("u2", "o1"): "late"}
+    assert touched == ["u1", "u2"]
