@@ -6,13 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Broadcast a dimension only while it holds at most this many rows.
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_ROWS = 500_000
+# Parts that the child rows of one key are dealt to.
+SALTS = 16
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``broadcast(df)`` when a count proves it small, else ``df`` unchanged (a
     normal shuffle join, still re-planned by AQE). The count is one cheap job
-    over a dimension table; the bound, not a guess, decides the strategy."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    over a dimension table, summed up from partial counts; the bound, not a
+    guess, decides the strategy."""
+    return F.broadcast(df) if df.count() <= max_rows else df
 
+
+def to_many(one: DataFrame, many: DataFrame, key: str, how: str = "left", salts: int = SALTS) -> DataFrame:
+    """Join rows that are unique by ``key`` to any number of child rows each.
+
+    A hot key's child rows are dealt to ``salts`` parts by their content and the
+    parent row is repeated for each part, so no task holds all children of a
+    key, whatever the physical layout of the parent (a bucketed scan has no
+    shuffle that could be split at run time). With ``how`` "left" the parents without
+    children follow, found by an anti-join with the distinct keys."""
+    rest = [c for c in many.columns if c != key]
+    dealt = many.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
+    parent = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    matched = parent.join(dealt, [key, "_salt"], "inner").drop("_salt")
+    if how == "inner":
+        return matched
+    alone = one.join(many.select(key).distinct(), key, "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True)

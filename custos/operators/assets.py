@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custos.functions import columns as C
-from custos.functions.joins import small_side
+from custos.functions.joins import small_side, to_many
 from custos.functions.ranking import global_rank
 from custos.sources.catalog import Catalog
 
@@ -116,7 +116,7 @@ def asset_owners(cat: Catalog) -> DataFrame:
     row with null owner columns. Dangling owners keep their URN, kind from prefix."""
     a = clean_assets(cat).select("asset_id", "urn")
     owners = owners_dedup(cat).join(small_side(principals_clean(cat).drop("kind")), "owner_urn", "left")
-    return a.join(owners, "asset_id", "left").select(
+    return to_many(a, owners, "asset_id").select(
         "asset_id", "urn", "owner_urn", "pos", "ownership_type",
         F.when(F.col("owner_urn").isNotNull(), C.owner_kind("owner_urn")).alias("kind"),
         "name", "display_name", "active")
@@ -149,7 +149,7 @@ def tags_clean(cat: Catalog) -> DataFrame:
 def asset_tags(cat: Catalog) -> DataFrame:
     """Assets with their tags (left: untagged assets keep one null row)."""
     a = clean_assets(cat).select("asset_id", "urn")
-    return a.join(tags_clean(cat), "asset_id", "left").select("asset_id", "urn", "tag_urn", "tag")
+    return to_many(a, tags_clean(cat), "asset_id").select("asset_id", "urn", "tag_urn", "tag")
 
 
 def tag_stats(cat: Catalog) -> DataFrame:
@@ -200,12 +200,13 @@ def schema_field_counts(cat: Catalog) -> DataFrame:
 
 
 def dataset_schema(cat: Catalog, requested: DataFrame | None = None) -> DataFrame:
-    """Schema-only extract (column-pruned scan), optionally for a set of URNs."""
+    """Schema-only extract (column-pruned scan), optionally for a set of URNs; an
+    asset without a schema keeps one row with null field columns (an empty schema)."""
     s = schema_clean(cat)
     a = clean_assets(cat).select("asset_id", "urn")
     if requested is not None:
         a = a.join(requested.select("urn").distinct(), "urn", "left_semi")
-    return a.join(s, "asset_id", "inner").select("asset_id", "urn", "pos", "field_path",
+    return to_many(a, s, "asset_id").select("asset_id", "urn", "pos", "field_path",
                                                  "native_data_type")
 
 

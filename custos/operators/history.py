@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from custos.functions import columns as C
 from custos.functions import fixed
+from custos.functions.joins import to_many
 from custos.operators.assets import clean_assets, schema_clean, tags_clean
 from custos.sources.catalog import Catalog
 
@@ -44,14 +45,14 @@ def aspect_events(cat: Catalog) -> DataFrame:
                            C.clean_text("platform").alias("platform")).alias("payload")
     ).where(F.col("entity_urn").isNotNull())
     urn_of = a.select("asset_id", "urn")
-    own = cat.ownership.join(urn_of, "asset_id", "inner").select(
+    own = to_many(urn_of, cat.ownership, "asset_id", "inner").select(
         F.col("urn").alias("entity_urn"), F.lit("ownership").alias("aspect"),
         F.concat_ws("|", "owner_urn", "ownership_type").alias("item"), F.col("pos").alias("version"),
         C.json_of("owner_urn", "ownership_type").alias("payload"))
-    tags = tags_clean(cat).join(urn_of, "asset_id", "inner").select(
+    tags = to_many(urn_of, tags_clean(cat), "asset_id", "inner").select(
         F.col("urn").alias("entity_urn"), F.lit("globalTags").alias("aspect"), F.col("tag").alias("item"), F.lit(0).cast("bigint").alias("version"),
         C.json_of("tag").alias("payload"))
-    fields = schema_clean(cat).join(urn_of, "asset_id", "inner").select(
+    fields = to_many(urn_of, schema_clean(cat), "asset_id", "inner").select(
         F.col("urn").alias("entity_urn"), F.lit("schemaMetadata").alias("aspect"), F.col("field_path").alias("item"), F.col("pos").cast("bigint").alias("version"),
         C.json_of("field_path", "native_data_type").alias("payload"))
     return reduce(DataFrame.unionByName, [props, own, tags, fields])

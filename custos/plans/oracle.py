@@ -626,7 +626,7 @@ SELECT req.urn AS requested_urn, f.urn IS NOT NULL AS found, f.asset_id, f.name,
 FROM (SELECT DISTINCT urn FROM req) req LEFT JOIN facts f ON f.urn = req.urn""", REQ)
 sql("dataset_schema", """
 SELECT ca.asset_id, ca.urn, s.pos, s.field_path, s.native_data_type
-FROM ca JOIN schema_fields s USING (asset_id) WHERE ca.urn IN (SELECT urn FROM req) AND s.field_path IS NOT NULL""", REQ)
+FROM ca LEFT JOIN (SELECT * FROM schema_fields WHERE field_path IS NOT NULL) s USING (asset_id) WHERE ca.urn IN (SELECT urn FROM req)""", REQ)
 for _key, _rule_name in [("rule_missing_owner", "missing_owner"),
                          ("rule_missing_documentation", "missing_documentation"),
                          ("rule_untagged_pii", "untagged_pii"),

@@ -56,3 +56,18 @@ def test_overview_and_entities(spark, gov):
     assert m.documentation_coverage == 50 and m.owners == 1 and m.domain_count == 2
     ents = {r.label: r["count"] for r in U.entity_counts(cat).collect()}
     assert ents["Datasets"] == 4 and ents["Platforms"] == 1
+
+
+def test_a_hot_asset_is_spread_over_tasks(spark):
+    """One asset with a third of all child rows: no joining task gets far more than its share."""
+    from pyspark.sql import functions as F
+
+    from custos.functions.joins import to_many
+    one = spark.range(2000).withColumnRenamed("id", "asset_id")
+    many = spark.range(60000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 1500).alias("asset_id"),
+                                     F.col("id").alias("item"))
+    out = to_many(one, many, "asset_id")
+    assert out.count() == 60000 + 500 and out.where("item is null").count() == 500
+    parts = to_many(one, many, "asset_id", "inner", salts=16).groupBy(F.pmod(F.hash("asset_id", F.xxhash64("item") % 16), F.lit(8))).count()
+    sizes = [r["count"] for r in parts.collect()]
+    assert max(sizes) <= 2 * sum(sizes) / 8
