@@ -14,17 +14,18 @@ group is a connected component of links.
    key, and a pair beyond it does so with high probability: with the defaults
    (10 chunks of 4, one error) a pair of similarity exactly 0.8 is missed with
    probability 0.18 ** 10 < 4e-8.
-3. *Candidates without all pairs.* Within a key every member is paired with one
-   member only, the least under an order that changes from round to round; each
-   set takes its most frequent partner first. Pairs are confirmed on the full
+3. *Candidates without all pairs.* A pair is plausible if the sizes allow the
+   similarity and the signatures differ in at most ``REACH`` of the positions; members of
+   a key without a plausible partner there go (a semi-join, which forms no pairs). Within a
+   key every member is paired with one lead only, the first under an order that changes from
+   round to round; each set takes its most frequent leads. Pairs are confirmed on the full
    shingle sets of the whole texts, and confirmed links are merged to components.
 4. *Across components.* After the star rounds, keys whose members lie in more than
    one component are left. Their members' shingles are ordered by rarity; sets
    that are similar enough share one of the rarest n - ceil(percent * n / 100) + 1 of
-   each, so only pairs across components that share such a shingle are formed
-   (documents that merely share a common line are not), pairs whose signatures
-   differ in more than ``reach`` positions go, and the rest is confirmed. No link between different
-   texts is lost that the index has found.
+   each, so only pairs across components that share such a shingle, far enough from
+   the end, are formed (documents that merely share a common line are not), and the
+   plausible ones are confirmed. No link between different texts is lost that the index has found.
 
 Hot groups: keys are counted with map-side aggregation; joins have one row a key on one side, so that
 skewed keys split; copies are one row. Nothing is collected to the driver but
@@ -38,11 +39,12 @@ Rows that share a doc_id are one node. Every row of the input is returned.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from custos.llm import words as W
@@ -52,7 +54,8 @@ from custos.llm.scratch import Scratch, fresh, map_arrow, text_mark
 POSITIONS, BITS, CHUNK, ERRORS = 40, 16, 4, 1
 # signatures of sets with similarity 0.8 differ in 8 of 40 positions on average, in more than 24 with probability 1e-8
 REACH = 0.6
-STAR_ROUNDS = 2
+# how many leads each set is confirmed against in each star round
+STAR_PARTNERS = (1, 3)
 
 _SKETCH = "doc_id bigint, mark bigint, n_shingles bigint, set_a bigint, set_b bigint, signature array<int>"
 
@@ -91,6 +94,28 @@ def chunk_keys(positions: int, chunk: int, errors: int) -> list[tuple[int, ...]]
             for kept in combinations(range(c, c + chunk), chunk - errors)]
 
 
+def packed(signature: Column, positions: int) -> list[Column]:
+    """The low four bits of each position, sixteen positions to a number."""
+    out = []
+    for lo in range(0, positions, 16):
+        parts = [F.shiftleft(signature[p].cast("bigint").bitwiseAND(F.lit(15)), 4 * (p - lo)) for p in range(lo, min(lo + 16, positions))]
+        out.append(reduce(Column.bitwiseOR, parts).alias(f"p{lo // 16}"))
+    return out
+
+
+def plausible(a: DataFrame, b: DataFrame, positions: int, percent: int) -> Column:
+    """Sizes allow the similarity and the packed signatures differ in at most ``REACH`` of the positions
+    (columns n, p0, p1 ... of ``a`` against _n, _p0, _p1 ... of ``b``)."""
+    def differ(x: Column) -> Column:
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+    apart = sum((differ(a[f"p{i}"].bitwiseXOR(b[f"_p{i}"])) for i in range(-(-positions // 16))), F.lit(0))
+    return ((a["n"] * 100 >= b["_n"] * percent) & (b["_n"] * 100 >= a["n"] * percent)
+            & (apart <= int(positions * REACH)))
+
+
 def _grams(shingle: int):
     """Arrow batches of (id, mark, component, text) to one row for each shingle of the text."""
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,15 +156,18 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, positions:
         sketch = s.table(map_arrow(docs, _sketches(shingle, positions, bits), _SKETCH), keep=True)
         full = sketch.where("doc_id is not null and n_shingles > 0")
         # one row for each different set; id is the smallest doc_id that has it
-        sets = s.table(full.groupBy("set_a", "set_b").agg(
+        sets = s.table(full.groupBy("set_a", "set_b", F.col("n_shingles").alias("n")).agg(
             F.min("doc_id").alias("id"), F.first("signature").alias("signature")), keep=True)
         keys = F.array(*[F.xxhash64(F.lit(i), *[F.col("signature")[p] for p in kept])
                          for i, kept in enumerate(chunk_keys(positions, chunk, errors))])
-        keyed = sets.select("id", F.explode(keys).alias("key"))
+        keyed = sets.select("id", "n", *packed(F.col("signature"), positions), F.explode(keys).alias("key"))
         # counts are tables of their own, so that the joins with them can split a hot key
         shared = s.table(keyed.groupBy("key").count().where("count > 1").select("key"))
-        # the part of the index that joins anything: members of keys with more than one
         member = s.table(keyed.join(shared, "key"))
+        # the part of the index that can join anything: members with a plausible partner under the same key
+        other = member.select(*[F.col(c).alias(f"_{c}") for c in member.columns])
+        near = plausible(member, other, positions, percent) & (member["id"] != other["_id"])
+        member = s.table(member.join(other, (member["key"] == other["_key"]) & near, "left_semi"))
         texts = s.table(docs.join(member.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi")
                         .select("doc_id", "mark", "text"))
         label = s.table(member.select(F.col("id").alias("node")).distinct().withColumn("component", F.col("node")))
@@ -156,34 +184,45 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, positions:
             return s.table(label.join(up, "component", "left").select(
                 "node", F.coalesce("up", "component").alias("component")), keep=True)
 
-        for turn in range(STAR_ROUNDS):
+        for turn, partners in enumerate(STAR_PARTNERS):
             at = member.join(label.withColumnRenamed("node", "id"), "id")
-            order = F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.lit(0), F.col("id"), F.col("component"))
-            first = s.table(at.groupBy("key").agg(F.min(order).alias("lead"), F.min("component").alias("lo"),
-                                                  F.max("component").alias("hi")).where("lo < hi"))
-            stars = (at.join(first, "key").where("component <> lead.component")
-                     .groupBy("id", F.col("lead.id").alias("other")).count())
-            best = stars.groupBy(F.col("id").alias("a")).agg(
-                F.max(F.struct("count", F.col("other"))).alias("best")).select("a", F.col("best.other").alias("b"))
-            label = merged(best, label)
+            # the first round leads by id, so that a group's keys agree; the next by chance, so that they don't
+            order = F.xxhash64("id", "key") if turn else F.lit(0).cast("bigint")
+            lead = F.min(F.struct(order.alias("order"), *member.drop("key").columns, "component"))
+            first = s.table(at.groupBy("key").agg(lead.alias("lead"), F.min("component").alias("lo"),
+                                                  F.max("component").alias("hi")).where("lo < hi").select(
+                "key", *[F.col(f"lead.{c}").alias(f"_{c}") for c in (*member.drop("key").columns, "component")]))
+            stars = at.join(first, "key").where(plausible(at, first, positions, percent) & (F.col("component") != F.col("_component")))
+            stars = stars.groupBy("id", "_id").agg(F.count(F.lit(1)).alias("keys"))
+            nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("keys"), "_id"))
+            label = merged(stars.withColumn("nth", nth).where(F.col("nth") <= partners).select(
+                F.col("id").alias("a"), F.col("_id").alias("b")), label)
         at = s.table(member.join(label.withColumnRenamed("node", "id"), "id"))
         split = s.table(at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi"))
-        left = s.table(at.join(split.select("key"), "key").select("id", "component").distinct())
+        at = s.table(at.join(split.select("key"), "key"))
+        other = at.select(*[F.col(c).alias(f"_{c}") for c in at.columns])
+        near = plausible(at, other, positions, percent) & (at["component"] != other["_component"])
+        left = s.table(at.join(other, (at["key"] == other["_key"]) & near, "left_semi").select("id", "component").distinct())
         grams = texts.join(left, texts["doc_id"] == left["id"]).select("id", "mark", "component", "text")
         grams = s.table(map_arrow(grams, _grams(shingle), "id bigint, mark bigint, component bigint, n int, gram bigint"))
         often = s.table(grams.groupBy("gram").count().where("count > 1"))
-        # a shingle that only one set has can't be shared: it takes a place among the rarest but is no key
-        alone = grams.join(often, "gram").groupBy("id", "mark").agg(F.count(F.lit(1)).alias("others"))
-        prefix = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) - (F.col("n") - F.col("others"))
-        rare = grams.join(often, "gram").join(alone, ["id", "mark"]).where(prefix > 0).withColumn(
-            "nth", F.row_number().over(Window.partitionBy("id", "mark").orderBy("count", "gram")))
-        rare = s.table(rare.where(F.col("nth") <= prefix).select("gram", "id", "component", "n"))
-        x, y = (rare.select("gram", F.col("id").alias(v), F.col("component").alias(f"c{v}"), F.col("n").alias(f"n{v}")) for v in "ab")
-        pairs = x.join(y, (x["gram"] == y["gram"]) & (x["ca"] < y["cb"]) & (x["na"] * 100 >= y["nb"] * percent)
-                       & (y["nb"] * 100 >= x["na"] * percent)).select("a", "b").distinct()
-        sa, sb = (sets.select(F.col("id").alias(v), F.col("signature").alias(f"s{v}")) for v in "ab")
-        apart = F.size(F.filter(F.zip_with("sa", "sb", lambda p, q: p != q), lambda d: d))
-        label = merged(pairs.join(sa, "a").join(sb, "b").where(apart <= positions * REACH).select("a", "b"), label)
+        # shingles that one set alone has are its rarest: they take the first places, but are no keys
+        alone = s.table(grams.join(often, "gram").groupBy("id", "mark").agg(F.count(F.lit(1)).alias("others")))
+        nth = F.row_number().over(Window.partitionBy("id", "mark").orderBy("count", "gram"))
+        rare = grams.join(often, "gram").join(alone, ["id", "mark"]).withColumn("place", F.col("n") - F.col("others") + nth)
+        rare = s.table(rare.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select(
+            "gram", "id", "component", "n", "place"))
+        x, y = (rare.select("gram", *[F.col(c).alias(f"{c}_{v}") for c in ("id", "component", "n", "place")]) for v in "ab")
+        # the first shingle in order that two sets share leaves room for one more than the rest of the shorter tail
+        room = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+        fits = (room * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))) & (F.col("component_a") < F.col("component_b"))
+        sized = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+        pairs = x.join(y, (x["gram"] == y["gram"]) & fits & sized).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+        pa_, pb = (sets.select(F.col("id").alias(f"{u}id"), F.col("n").alias(f"{u}n"),
+                               *[c.alias(f"{u}p{i}") for i, c in enumerate(packed(F.col("signature"), positions))]) for u in ("", "_"))
+        pairs = pairs.join(pa_, F.col("a") == F.col("id")).join(pb, F.col("b") == F.col("_id")).where(
+            plausible(pa_, pb, positions, percent)).select("a", "b")
+        label = merged(pairs, label)
     group = sets.join(label.withColumnRenamed("node", "id"), "id", "left").select(
         "set_a", "set_b", F.coalesce("component", "id").alias("group"))
     linked = full.join(group, ["set_a", "set_b"]).select("doc_id", "group").groupBy("doc_id").agg(F.min("group").alias("group"))
