@@ -187,8 +187,10 @@ def asset_domain(cat: Catalog) -> DataFrame:
 
 def schema_clean(cat: Catalog, table: str = "schema_fields") -> DataFrame:
     s = getattr(cat, table)
+    text = C.clean_text("field_description") if "field_description" in s.columns else F.lit(None).cast("string")
     return s.select("asset_id", "pos", C.clean_text("field_path").alias("field_path"),
-                    C.clean_text("native_data_type").alias("native_data_type")).where(
+                    C.clean_text("native_data_type").alias("native_data_type"),
+                    text.alias("field_description")).where(
         F.col("field_path").isNotNull())
 
 

@@ -148,7 +148,7 @@ def executive_report(verdict: DataFrame, findings: DataFrame, recs: DataFrame, q
     its own section (sections sort by score, worst first, then scan order);
     the recommendations and footer close the document. Within a section the
     line number orders the lines."""
-    hdr = verdict.select(F.explode(F.array(*[
+    hdr = verdict.select(F.posexplode(F.array(*[
         F.lit(fixed.REPORT_TITLE), F.lit(""),
         F.lit(fixed.REPORT_DEMO if source == "demo" else fixed.REPORT_LIVE),
         F.lit(""), F.lit(fixed.REPORT_QUESTION.format(question=question)), F.lit(""), F.lit("| | |"), F.lit("| --- | --- |"),
@@ -158,9 +158,9 @@ def executive_report(verdict: DataFrame, findings: DataFrame, recs: DataFrame, q
         F.concat(F.lit("| Assets with findings | "), F.col("assets_with_findings").cast("string"), F.lit(" |")),
         F.lit(f"| Intent classified as | `{intent}` |"), F.lit(""),
         F.lit(fixed.REPORT_FINDINGS_HEADING), F.lit(""), F.lit(fixed.REPORT_FINDINGS_NOTE),
-        F.lit("")])).alias("line"))
+        F.lit("")])).alias("_i", "line"))
     hdr = hdr.select(F.lit(0).cast("bigint").alias("section_score"), F.lit(0).cast("bigint").alias("section_asset"),
-                     F.monotonically_increasing_id().alias("_i"), "line")
+                     "_i", "line")
 
     # per-asset sections: bounded (one row per triggered rule, at most six)
     per = findings.groupBy("asset_id", "asset_urn", "asset_name").agg(
@@ -183,11 +183,11 @@ def executive_report(verdict: DataFrame, findings: DataFrame, recs: DataFrame, q
     sections = per.select(F.col("score").cast("bigint").alias("section_score"),
                           F.col("asset_id").cast("bigint").alias("section_asset"),
                           F.posexplode(lines).alias("_i", "line"))
-    tail_lines = recs.select(F.explode(F.array(
+    tail_lines = recs.select(F.posexplode(F.array(
         F.concat(F.col("rank").cast("string"), F.lit(". **"), F.col("action"), F.lit("** — _"), F.col("priority"), F.lit("_")),
-        F.concat(F.lit("   "), F.col("rationale")))).alias("line"), "rank")
+        F.concat(F.lit("   "), F.col("rationale")))).alias("_i", "line"), "rank")
     recs_lines = tail_lines.select(F.lit(-1).cast("bigint").alias("section_score"), F.col("rank").cast("bigint").alias("section_asset"),
-                                   F.monotonically_increasing_id().alias("_i"), "line")
+                                   "_i", "line")
     doc = hdr.unionByName(sections).unionByName(recs_lines)
     # order: header (0), asset sections by score desc / asset id, recommendations
     return doc.select(
@@ -213,7 +213,8 @@ def data_dictionary(cat) -> DataFrame:
         "asset_id", F.col("x.line_no").alias("line_no"), F.col("x.line").alias("line"))
     fields = schema_clean(cat).select(
         "asset_id", F.col("pos").cast("int").alias("line_no"),
-        F.concat(F.lit("| "), "field_path", F.lit(" | "), F.coalesce("native_data_type", F.lit("")), F.lit(" |  | "),
+        F.concat(F.lit("| "), _esc_pipes("field_path"), F.lit(" | "), F.coalesce(_esc_pipes("native_data_type"), F.lit("")),
+                 F.lit(" | "), F.coalesce(_esc_pipes("field_description"), F.lit("")), F.lit(" | "),
                  F.when(C.looks_like_pii("field_path"), F.lit("yes")).otherwise(F.lit("no")), F.lit(" |")).alias("line"))
     return head.unionByName(fields)
 

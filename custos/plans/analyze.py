@@ -21,6 +21,7 @@ from custos.operators import reports as T
 from custos.operators import rollups as U
 from custos.operators import rules as R
 from custos.operators import usage as S
+from custos.functions.joins import small_side
 from custos.sources.catalog import Catalog
 
 
@@ -36,6 +37,16 @@ class Answer:
     frames: dict[str, DataFrame] = field(default_factory=dict)
 
 
+CHILDREN = ("ownership", "asset_tags", "schema_fields", "schema_fields_prev", "profiles", "usage_events")
+
+
+def narrowed(cat: Catalog, assets: DataFrame) -> Catalog:
+    """The catalogue of some assets: every child table cut to them before anything is aggregated."""
+    ids = small_side(assets.select("asset_id").distinct())
+    tables = {n: getattr(cat, n).join(ids, "asset_id", "left_semi") for n in CHILDREN if getattr(cat, n) is not None}
+    return cat.with_tables(assets=assets, **tables)
+
+
 def analyze(cat: Catalog, question: str, threshold: int = 5, max_hops: int | None = None) -> Answer:
     spark = cat.spark
     q = spark.createDataFrame([(0, question)], "question_id long, question string")
@@ -43,22 +54,30 @@ def analyze(cat: Catalog, question: str, threshold: int = 5, max_hops: int | Non
     plan = row.plan.split(",")
     frames: dict[str, DataFrame] = {}
 
-    assets = A.clean_assets(cat)
+    named = None
     if row.target_urn:
-        assets = assets.where(F.col("urn") == row.target_urn)
+        # one precise lookup: the plain comparison reaches the scan
+        named = cat.assets.where(F.col("urn") == row.target_urn)
     elif row.target_name:
+        # a probable name: search for it, but a guess that matches nothing must not give an
+        # empty, confidently wrong answer - then the whole catalogue is scanned
         t = row.target_name.lower()
-        assets = assets.where((F.lower("name") == t) | (F.lower("urn").contains(t)))
-    target = assets.select("asset_id")
+        found = cat.assets.where((F.lower(F.trim("name")) == t) | F.lower("urn").contains(t))
+        named = None if found.isEmpty() else found
+    scoped = cat if named is None else narrowed(cat, named)
+    assets = A.clean_assets(scoped)
     frames["datasets"] = assets
-    scoped = cat.with_tables(assets=cat.assets.join(target, "asset_id", "left_semi"))
 
     downstream = None
     if "lineage" in plan:
-        downstream = G.downstream_counts(cat, max_hops)
-        root = target.select(F.col("asset_id").alias("root")) if (row.target_urn or row.target_name) \
-            else G.lineage_root(scoped).select("root")
-        frames["lineage"] = G.lineage_impact(cat, None, root)
+        roots = assets.select(F.col("asset_id").alias("root"))
+        if named is None:
+            downstream = G.downstream_counts(cat, max_hops)
+            roots = G.lineage_root(scoped).select("root")
+        else:  # only what the named assets reach
+            downstream = G.reachability(cat, roots, "DOWNSTREAM", max_hops).groupBy(
+                F.col("root").alias("asset_id")).agg(F.count(F.lit(1)).alias("downstream_count"))
+        frames["lineage"] = G.lineage_impact(cat, None, roots)
     if "owners" in plan:
         frames["owners"] = A.asset_owners(scoped)
     if "statistics" in plan:

@@ -38,3 +38,15 @@ def test_top_users_are_ranked_by_count(spark):
     for ranks in by.values():
         counts = [c for _, c in sorted(ranks)]
         assert counts == sorted(counts, reverse=True) and len(counts) <= 3
+
+
+def test_data_dictionary_prints_descriptions_and_escapes_pipes(spark):
+    from pyspark.sql import functions as F
+
+    from custos.operators import reports as T
+    from tests.helpers import catalog, urn
+    cat = catalog(spark, [dict(asset_id=1, urn=urn(1), name="t1")], fields=[(1, 1, "a|b", "INT")])
+    cat = cat.with_tables(schema_fields=cat.schema_fields.withColumn("field_description", F.lit(" what it | means ")),
+                          profiles=spark.createDataFrame([], "asset_id bigint, profiled_at timestamp, row_count bigint, size_in_bytes bigint"))
+    lines = [r.line for r in T.data_dictionary(cat).collect()]
+    assert any("what it \\| means" in x and "a\\|b" in x for x in lines)
