@@ -112,7 +112,7 @@ def test_leaf_takes_whole_epochs_and_the_longest_prefix(spark, monkeypatch):
 def test_mixing_hard_rows(spark, documents, nothing):
     levels, weights = {"a": F.col("lang"), "b": F.col("source")}, {"a": F.lit(2), "b": F.lit(1)}
     out = mixing.mix(documents, levels, weights, percent=300, max_epochs=3)
-    assert out.columns == [*documents.columns, "n_tokens", "_copies", "leaf_budget"]
+    assert out.columns == [*documents.columns, "_n_tokens", "_copies", "leaf_budget"]
     some = documents.join(out.select("lang", "source").distinct(), documents["lang"].eqNullSafe(out["lang"])
                           & documents["source"].eqNullSafe(out["source"]), "left_semi")
     assert out.count() == some.count() and {r["_copies"] for r in out.collect()} == {3}
