@@ -180,7 +180,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, positions:
                               _confirm(shingle, percent), "a bigint, b bigint")
             la, lb = (label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
             links = links.join(la, "a").join(lb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-            up = connected(links).select(F.col("node").alias("component"), F.col("component").alias("up"))
+            up = connected(links, s).select(F.col("node").alias("component"), F.col("component").alias("up"))
             return s.table(label.join(up, "component", "left").select(
                 "node", F.coalesce("up", "component").alias("component")), keep=True)
 

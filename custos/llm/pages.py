@@ -267,5 +267,5 @@ def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html)."""
     model = model or fit(labelled_pages())
     one = pages.select("html", F.struct("page_id", "url").alias("row"))
-    out = map_arrow(one, _extract(model), f"text string, n_chars bigint, row {one.schema['row'].dataType.simpleString()}")
+    out = map_arrow(one, _extract(model), "text string, n_chars bigint", "row")
     return out.select("row.page_id", "row.url", "text", "n_chars")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custos.llm import words as W
-from custos.llm.scratch import Scratch, map_arrow
+from custos.llm.scratch import Scratch, map_arrow, packed_rest
 
 MAX_ROWS = 10_000
 PAIRS_EACH = 4
@@ -152,9 +152,9 @@ def score(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataF
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """The rows of ``docs`` at or above the threshold, unchanged."""
-    one = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    one = docs.select("text", packed_rest(docs, docs.columns).alias("row"))
     known = map_arrow(docs.select("text", "doc_id"), _figure_rows, "figures array<double>, doc_id bigint")
     with Scratch(docs.sparkSession) as s:
         model = learn(s.table(known), labels, max_rows)
-    rows = map_arrow(one, _figure_rows, f"figures array<double>, row {one.schema['row'].dataType.simpleString()}")
+    rows = map_arrow(one, _figure_rows, "figures array<double>", "row")
     return rows.where(model.score(F.col("figures")) >= THRESHOLD).select("row.*")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custos.llm import words as W
-from custos.llm.scratch import Scratch, fresh, map_arrow, text_mark
+from custos.llm.scratch import Scratch, fresh, map_arrow, packed_rest, text_mark
 
 WINDOW = 35
 SEED = 6
@@ -174,12 +174,11 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, tidy:
     these: see ``fresh``). Every input row and all other columns stay.
     """
     spans = repeated_spans(docs, window, seed).withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rest = [c for c in docs.columns if c != "text"]
     n_words, n_removed = fresh(docs, "n_words", "n_removed")
-    one = docs.select("text", text_mark().alias("_mark_"), F.struct(*rest).alias("_rest"))
+    one = docs.select("text", text_mark().alias("_mark_"), packed_rest(docs, rest).alias("_rest"))
     both = one.join(spans, one["_rest.doc_id"].eqNullSafe(spans["_id"]) & (one["_mark_"] == spans["_mark"]), "left")
     text = both.select("text", "spans", "_rest")
-    kind = one.schema["_rest"].dataType.simpleString()
-    out = map_arrow(text, partial(_cut, tidy), f"text string, n_words bigint, n_removed bigint, _rest {kind}")
+    out = map_arrow(text, partial(_cut, tidy), "text string, n_words bigint, n_removed bigint", "_rest")
     return out.select(*[F.col("text") if c == "text" else F.col("_rest")[c].alias(c) for c in docs.columns],
                       F.col("n_words").alias(n_words), F.col("n_removed").alias(n_removed))

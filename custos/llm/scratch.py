@@ -16,8 +16,9 @@ from pathlib import Path
 
 import custos
 from custos.session import ensure_checkpoint_dir
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def ship(spark: SparkSession) -> None:
@@ -34,10 +35,17 @@ def ship(spark: SparkSession) -> None:
     sc._custos_shipped = True
 
 
-def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand on every executor."""
+def map_arrow(df: DataFrame, function: Callable, schema: str, passed: str | None = None) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand on every executor; the column ``passed`` of ``df``, if named,
+    comes last in the result, as it is."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    kind = StructType.fromDDL(schema)
+    return df.mapInArrow(function, kind if passed is None else StructType([*kind.fields, df.schema[passed]]))
+
+
+def packed_rest(df: DataFrame, columns: list[str]) -> Column:
+    """The columns as one struct, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in columns])
 
 
 class Scratch:

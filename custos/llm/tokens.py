@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custos.llm import words as W
-from custos.llm.scratch import fresh, map_arrow
+from custos.llm.scratch import fresh, map_arrow, packed_rest
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 START = "▁".encode()  # the vocabulary's mark before the first piece of a word
@@ -128,8 +128,7 @@ def count_tokens(docs: DataFrame, keep: list[str] | None = None, path: str = VOC
     (under other names if the input has these)."""
     keep = docs.columns if keep is None else keep
     n_words, n_tokens = fresh(docs, "n_words", "n_tokens")
-    one = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_rest"))
-    kind = one.schema["_rest"].dataType.simpleString()
-    out = map_arrow(one, _counter(automaton(vocabulary(path))), f"n_words bigint, n_tokens bigint, _rest {kind}")
+    one = docs.select("text", packed_rest(docs, keep).alias("_rest"))
+    out = map_arrow(one, _counter(automaton(vocabulary(path))), "n_words bigint, n_tokens bigint", "_rest")
     return out.select(*[F.col("_rest")[c].alias(c) for c in keep],
                       F.col("n_words").alias(n_words), F.col("n_tokens").alias(n_tokens))

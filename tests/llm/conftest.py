@@ -24,9 +24,9 @@ def documents(spark):
         (16, "Was ist das, été ñandú"), (16, "another text of the same id"),
     ]
     kind = ("doc_id bigint, text string, lang string, source string, n_chars bigint, n_words int, n_tokens string, mark string, "
-            "component_id string, score double, copies int, figures string, leader string, hit_id int, row string")
+            "component_id string, score double, copies int, figures string, leader string, hit_id int, row string, `odd name.``x` int")
     return spark.createDataFrame(
-        [(i, t, ["en", "de", None][k % 3], [None, "src1", "src2", "src0"][k % 4], len(t or ""), k, "x", "m", "c", 0.5, 7, "f", "l", 1, "r")
+        [(i, t, ["en", "de", None][k % 3], [None, "src1", "src2", "src0"][k % 4], len(t or ""), k, "x", "m", "c", 0.5, 7, "f", "l", 1, "r", 3)
          for k, (i, t) in enumerate(rows)], kind)
 
 
