@@ -157,10 +157,12 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, positions:
         full = sketch.where("doc_id is not null and n_shingles > 0")
         # one row for each different set; id is the smallest doc_id that has it
         sets = s.table(full.groupBy("set_a", "set_b", F.col("n_shingles").alias("n")).agg(
-            F.min("doc_id").alias("id"), F.first("signature").alias("signature")), keep=True)
+            F.min("doc_id").alias("id"), F.first("signature").alias("signature")).select(
+            "*", *packed(F.col("signature"), positions)), keep=True)
+        lanes = [c for c in sets.columns if c[0] == "p"]
         keys = F.array(*[F.xxhash64(F.lit(i), *[F.col("signature")[p] for p in kept])
                          for i, kept in enumerate(chunk_keys(positions, chunk, errors))])
-        keyed = sets.select("id", "n", *packed(F.col("signature"), positions), F.explode(keys).alias("key"))
+        keyed = sets.select("id", "n", *lanes, F.explode(keys).alias("key"))
         # counts are tables of their own, so that the joins with them can split a hot key
         shared = s.table(keyed.groupBy("key").count().where("count > 1").select("key"))
         member = s.table(keyed.join(shared, "key"))
@@ -218,10 +220,9 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, positions:
         fits = (room * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))) & (F.col("component_a") < F.col("component_b"))
         sized = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
         pairs = x.join(y, (x["gram"] == y["gram"]) & fits & sized).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-        pa_, pb = (sets.select(F.col("id").alias(f"{u}id"), F.col("n").alias(f"{u}n"),
-                               *[c.alias(f"{u}p{i}") for i, c in enumerate(packed(F.col("signature"), positions))]) for u in ("", "_"))
-        pairs = pairs.join(pa_, F.col("a") == F.col("id")).join(pb, F.col("b") == F.col("_id")).where(
-            plausible(pa_, pb, positions, percent)).select("a", "b")
+        one, two = (sets.select(*[F.col(c).alias(f"{u}{c}") for c in ("id", "n", *lanes)]) for u in ("", "_"))
+        pairs = pairs.join(one, F.col("a") == F.col("id")).join(two, F.col("b") == F.col("_id")).where(
+            plausible(one, two, positions, percent)).select("a", "b")
         label = merged(pairs, label)
     group = sets.join(label.withColumnRenamed("node", "id"), "id", "left").select(
         "set_a", "set_b", F.coalesce("component", "id").alias("group"))
