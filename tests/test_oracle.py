@@ -10,11 +10,13 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "scripts"))
 
 import __spark_entry__ as E  # noqa: E402
+from custos.plans.oracle import oracle_sql  # noqa: E402
+from custos.plans.registry import queries  # noqa: E402
 from oracle_check import TABLES, digest  # noqa: E402
 from tests.conftest import SF_SMALL  # noqa: E402
 
-ORACLE = E.oracle_sql()
-QUERIES = E.queries()
+ORACLE = oracle_sql()
+QUERIES = queries()
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +31,20 @@ def test_every_query_is_registered_with_an_oracle_or_documented():
     without = set(QUERIES) - set(ORACLE)
     assert without <= {"executive_report", "downstream_counts_approx"}
     assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
+
+
+def test_entry_without_the_training_data_operators(tmp_path):
+    """The entry module imports and keeps every other query when that subpackage and the pipeline are gone."""
+    import shutil
+    import subprocess
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    shutil.copytree(os.path.join(root, "custos"), tmp_path / "custos", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as E; print(len(E.queries()), len(E.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    assert out.stdout.split() == [str(len(QUERIES)), str(len(ORACLE))], out.stderr
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
