@@ -43,6 +43,10 @@ def clean_assets(cat: Catalog) -> DataFrame:
         C.clean_text(opt("domain_urn")).alias("domain_urn"),
         opt("schema_drift", dtype="boolean").alias("schema_drift"),
         C.ts_from_millis(opt("last_modified_ms", dtype="bigint")).alias("last_modified"),
+        C.ts_from_millis(opt("last_ingested_ms", dtype="bigint")).alias("last_ingested"),
+        C.clean_text(opt("qualified_name")).alias("qualified_name"),
+        C.clean_text(opt("external_url")).alias("external_url"),
+        C.clean_text(opt("sub_types")).alias("sub_types"),
     )
     return out.where(F.col("urn").isNotNull())
 
@@ -277,7 +281,7 @@ def governance_assets(cat: Catalog, downstream: DataFrame | None = None) -> Data
         health.cast("bigint").alias("health"),
         C.health_severity(health).alias("severity"),
         F.col("downstream").cast("bigint").alias("downstream_count"),
-        C.iso("last_modified").alias("last_modified"),
+        C.iso(F.coalesce("last_modified", "last_ingested")).alias("last_modified"),
         "description",
     )
 
@@ -293,7 +297,8 @@ def catalogue_scan(cat: Catalog, query: str = "*") -> DataFrame:
                     "description", "domain_urn", "domain_name",
                     F.col("owner_count").cast("bigint").alias("owner_count"), "owner",
                     F.col("tag_count").cast("bigint").alias("tag_count"), "deprecated",
-                    C.iso("last_modified").alias("last_modified"))
+                    C.iso("last_modified").alias("last_modified"), C.iso("last_ingested").alias("last_ingested"),
+                    "qualified_name", "external_url", "sub_types")
 
 
 def dataset_detail(cat: Catalog, requested: DataFrame) -> DataFrame:

@@ -134,7 +134,7 @@ def derived_schema_drift(cat: Catalog) -> DataFrame:
 def stale_assets(cat: Catalog, limit_days: int = 30, as_of=None) -> DataFrame:
     """Assets whose last change is more than ``limit_days`` before ``as_of``
     (default: the newest change in the catalogue, a scalar sub-query)."""
-    a = clean_assets(cat)
+    a = clean_assets(cat).withColumn("last_modified", F.coalesce("last_modified", "last_ingested"))
     end = (a.select(F.max("last_modified")).scalar() if as_of is None
            else F.lit(as_of).cast("timestamp_ntz"))
     days = F.datediff(F.to_date(end), F.to_date("last_modified"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from custos.functions import fixed
-from custos.operators.assets import clean_assets
+from custos.operators.assets import clean_assets, schema_field_counts
 from custos.operators.profile import profile_latest
 from custos.sources.catalog import Catalog
 
@@ -88,10 +88,14 @@ def statistics_summary(cat: Catalog, time_range: str = "MONTH", as_of=None) -> D
                .withColumn("row_count", F.lit(None).cast("bigint"))
                .withColumn("size_in_bytes", F.lit(None).cast("bigint")))
     out = out.join(usage.drop("time_range"), "asset_id", "left")
+    if cat.schema_fields is not None:
+        out = out.join(schema_field_counts(cat).select("asset_id", F.col("field_count").alias("column_count")), "asset_id", "left")
+    else:
+        out = out.withColumn("column_count", F.lit(None).cast("bigint"))
     available = cat.usage_events is not None
     return out.select(
         "asset_id", "urn",
-        F.col("profiled_at").isNotNull().alias("profiled"),
+        F.col("profiled_at").isNotNull().alias("profiled"), "column_count",
         "row_count", "size_in_bytes", "profiled_at",
         F.lit(available).alias("usage_available"),
         (F.coalesce("total_queries", F.lit(0)) if available else F.col("total_queries")).alias("total_queries"),

@@ -16,7 +16,8 @@ def sql(name: str, body: str, extra: str = "") -> None:
 # --- phase 1 ---------------------------------------------------------------------
 sql("clean_assets", """
 SELECT asset_id, urn, name, display_name, platform, description, deprecated, domain_urn, schema_drift,
- strftime(last_modified, '%Y-%m-%dT%H:%M:%S') AS last_modified FROM ca""")
+ strftime(last_modified, '%Y-%m-%dT%H:%M:%S') AS last_modified, strftime(last_ingested, '%Y-%m-%dT%H:%M:%S') AS last_ingested,
+ qualified_name, external_url, sub_types FROM ca""")
 
 sql("effective_description", "SELECT asset_id, urn, description FROM ca")
 
@@ -50,7 +51,8 @@ FROM ca""")
 sql("catalogue_scan", """
 SELECT asset_id, urn, name, display_name, platform, description, domain_urn, domain_name,
  CAST(owner_count AS BIGINT) AS owner_count, owner, CAST(tag_count AS BIGINT) AS tag_count, deprecated,
- strftime(last_modified, '%Y-%m-%dT%H:%M:%S') AS last_modified FROM facts""")
+ strftime(last_modified, '%Y-%m-%dT%H:%M:%S') AS last_modified, strftime(last_ingested, '%Y-%m-%dT%H:%M:%S') AS last_ingested,
+ qualified_name, external_url, sub_types FROM facts""")
 
 sql("asset_owners", """
 SELECT ca.asset_id, ca.urn, od.owner_urn, od.pos, od.ownership_type,
@@ -424,13 +426,14 @@ sql("usage_fields", """
 SELECT asset_id, field_name, count(*) AS count FROM rng WHERE field_name IS NOT NULL GROUP BY asset_id, field_name""", _range(30))
 
 sql("statistics_summary", """
-SELECT ca.asset_id, ca.urn, l.profiled_at IS NOT NULL AS profiled, l.row_count, l.size_in_bytes,
+SELECT ca.asset_id, ca.urn, l.profiled_at IS NOT NULL AS profiled, COALESCE(sc.column_count, 0) AS column_count, l.row_count, l.size_in_bytes,
  strftime(l.profiled_at, '%Y-%m-%dT%H:%M:%S') AS profiled_at, TRUE AS usage_available,
  COALESCE(u.total_queries, 0) AS total_queries, COALESCE(u.unique_users, 0) AS unique_users,
  CAST(NULL AS VARCHAR) AS usage_unavailable_reason, 'MONTH' AS time_range
 FROM ca LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY profiled_at IS NOT NULL DESC,
   profiled_at DESC, row_count DESC, size_in_bytes DESC) AS rn FROM profiles) WHERE rn = 1) l USING (asset_id)
-LEFT JOIN (SELECT asset_id, count(*) AS total_queries, count(DISTINCT user_urn) AS unique_users FROM rng GROUP BY asset_id) u USING (asset_id)""",
+LEFT JOIN (SELECT asset_id, count(*) AS total_queries, count(DISTINCT user_urn) AS unique_users FROM rng GROUP BY asset_id) u USING (asset_id)
+LEFT JOIN (SELECT asset_id, count(*) AS column_count FROM schema_fields WHERE NULLIF(trim(field_path), '') IS NOT NULL GROUP BY asset_id) sc USING (asset_id)""",
     _range(30))
 
 
@@ -609,10 +612,10 @@ SELECT * FROM (
 WHERE change IS NOT NULL""")
 
 sql("stale_assets", """
-SELECT asset_id, urn, strftime(last_modified, '%Y-%m-%dT%H:%M:%S') AS last_modified,
- date_diff('day', CAST(last_modified AS DATE), CAST((SELECT max(last_modified) FROM ca) AS DATE)) AS days_stale
-FROM ca WHERE last_modified IS NOT NULL
- AND date_diff('day', CAST(last_modified AS DATE), CAST((SELECT max(last_modified) FROM ca) AS DATE)) > 30""")
+SELECT asset_id, urn, strftime(seen, '%Y-%m-%dT%H:%M:%S') AS last_modified,
+ date_diff('day', CAST(seen AS DATE), CAST((SELECT max(COALESCE(last_modified, last_ingested)) FROM ca) AS DATE)) AS days_stale
+FROM (SELECT *, COALESCE(last_modified, last_ingested) AS seen FROM ca) WHERE seen IS NOT NULL
+ AND date_diff('day', CAST(seen AS DATE), CAST((SELECT max(COALESCE(last_modified, last_ingested)) FROM ca) AS DATE)) > 30""")
 
 
 # --- remaining inventory keys --------------------------------------------------------
@@ -622,7 +625,8 @@ req AS (SELECT COALESCE(ca.urn, 'urn:li:dataset:missing_' || CAST(u.asset_id AS
 sql("dataset_detail", """
 SELECT req.urn AS requested_urn, f.urn IS NOT NULL AS found, f.asset_id, f.name, f.display_name, f.platform, f.description,
  f.domain_urn, f.domain_name, CAST(f.owner_count AS BIGINT) AS owner_count, f.owner, CAST(f.tag_count AS BIGINT) AS tag_count,
- f.deprecated, strftime(f.last_modified, '%Y-%m-%dT%H:%M:%S') AS last_modified
+ f.deprecated, strftime(f.last_modified, '%Y-%m-%dT%H:%M:%S') AS last_modified, strftime(f.last_ingested, '%Y-%m-%dT%H:%M:%S') AS last_ingested,
+ f.qualified_name, f.external_url, f.sub_types
 FROM (SELECT DISTINCT urn FROM req) req LEFT JOIN facts f ON f.urn = req.urn""", REQ)
 sql("dataset_schema", """
 SELECT ca.asset_id, ca.urn, s.pos, s.field_path, s.native_data_type

@@ -43,7 +43,7 @@ def _with_downstream(spark, sf_dir):
 def q_clean_assets(spark, sf_dir):
     a = A.clean_assets(cat_of(spark, sf_dir))
     from custos.functions.columns import iso
-    return a.withColumn("last_modified", iso("last_modified"))
+    return a.withColumns({"last_modified": iso("last_modified"), "last_ingested": iso("last_ingested")})
 
 
 @query("effective_description")

@@ -186,6 +186,10 @@ def derive_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         F.when(pk % 17 == 0, True).when(pk % 17 == 1, False).alias("schema_drift"),
         F.when(pk % 6 == 0, F.lit(0).cast("bigint"))
          .otherwise(F.lit(1704067200000) + pk * 3600000).alias("last_modified_ms"),
+        F.when(pk % 7 != 0, F.lit(1704067200000) + pk * 7200000).alias("last_ingested_ms"),
+        F.when(pk % 10 != 0, F.concat(F.lower("p_type"), F.lit("."), under)).alias("qualified_name"),
+        F.when(pk % 3 == 0, F.concat(F.lit("https://catalogue.example/"), pk.cast("string"))).alias("external_url"),
+        F.when(F.col("p_size") % 2 == 0, "Table").otherwise("View").alias("sub_types"),
     )
 
     fixed_domains = spark.createDataFrame(
