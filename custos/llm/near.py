@@ -15,7 +15,7 @@ group is a connected component of links.
    (10 chunks of 4, one error) a pair of similarity exactly 0.8 is missed with
    probability 0.18 ** 10 < 4e-8.
 3. *Candidates without all pairs.* A pair is plausible if the sizes allow the
-   similarity and the signatures differ in at most ``REACH`` of the positions; members of
+   similarity and the signatures differ in at most ``reach`` positions; members of
    a key without a plausible partner there go (a semi-join, which forms no pairs). Within a
    key every member is paired with one lead only, the first under an order that changes from
    round to round; each set takes its most frequent leads. Pairs are confirmed on the full
@@ -38,6 +38,7 @@ Rows that share a doc_id are one node. Every row of the input is returned.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -52,8 +53,6 @@ from custos.llm.components import connected
 from custos.llm.scratch import Scratch, fresh, map_arrow, text_mark
 
 POSITIONS, BITS, CHUNK, ERRORS = 40, 16, 4, 1
-# signatures of sets with similarity 0.8 differ in 8 of 40 positions on average, in more than 24 with probability 1e-8
-REACH = 0.6
 # how many leads each set is confirmed against in each star round
 STAR_PARTNERS = (1, 3)
 
@@ -103,8 +102,15 @@ def packed(signature: Column, positions: int) -> list[Column]:
     return out
 
 
+def reach(positions: int, percent: int) -> int:
+    """In how many positions signatures at the similarity may differ: the mean and 6.3 standard deviations
+    (24 of 40 at 0.8, where the mean is 8; more differ with probability 1e-8)."""
+    p = percent / 100
+    return round(positions * (1 - p) + 6.3 * math.sqrt(positions * p * (1 - p)))
+
+
 def plausible(a: DataFrame, b: DataFrame, positions: int, percent: int) -> Column:
-    """Sizes allow the similarity and the packed signatures differ in at most ``REACH`` of the positions
+    """Sizes allow the similarity and the packed signatures differ in at most ``reach`` positions
     (columns n, p0, p1 ... of ``a`` against _n, _p0, _p1 ... of ``b``)."""
     def differ(x: Column) -> Column:
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
@@ -113,7 +119,7 @@ def plausible(a: DataFrame, b: DataFrame, positions: int, percent: int) -> Colum
 
     apart = sum((differ(a[f"p{i}"].bitwiseXOR(b[f"_p{i}"])) for i in range(-(-positions // 16))), F.lit(0))
     return ((a["n"] * 100 >= b["_n"] * percent) & (b["_n"] * 100 >= a["n"] * percent)
-            & (apart <= int(positions * REACH)))
+            & (apart <= reach(positions, percent)))
 
 
 def _grams(shingle: int):
