@@ -121,16 +121,19 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     key = ["doc_id", "mark"]
     with Scratch(docs.sparkSession) as s:
         blocks = s.table(map_arrow(docs, _blocks(window, seed), _BLOCKS))
-        # counts are tables of their own, so that the joins with them can split a hot key
-        known = s.table(blocks.groupBy("anchor").count().where("count > 1").select("anchor"))
+        # anchors that occur again; if they have one content only, all their blocks are copies.
+        # Counts are tables of their own, so that the joins with them can split a hot key
+        known = s.table(blocks.groupBy("anchor").agg(
+            F.count(F.lit(1)).alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")
+        ).where("n > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("alike")))
         blocks = s.table(blocks.join(known, "anchor"))
-        # the index: one row for each different block, and how many blocks each anchor has
-        index = s.table(blocks.groupBy("anchor", "content").agg(
+        unlike = blocks.where("not alike")
+        # the index of the other anchors: one row for each different block
+        index = s.table(unlike.groupBy("anchor", "content").agg(
             F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "mark", "first", "windows")).alias("one")))
-        several = s.table(index.groupBy("anchor").count().where("count > 1").select("anchor"))
-        copied = blocks.join(index.where("copies > 1").select("anchor", "content"), ["anchor", "content"])
-        ends = index.join(several, "anchor").select(
-            "one.*", "anchor", (F.col("copies") == 1).alias("single"))
+        copied = blocks.where("alike").drop("alike").unionByName(unlike.drop("alike").join(
+            index.where("copies > 1").select("anchor", "content"), ["anchor", "content"]))
+        ends = index.select("one.*", "anchor", (F.col("copies") == 1).alias("single"))
         ends = ends.groupBy("doc_id", "mark").agg(
             F.collect_list(F.struct("anchor", "first", "windows", "single")).alias("blocks"))
         ends = docs.join(ends, _same(docs, ends)).select(docs["doc_id"], docs["mark"], "text", "blocks")
