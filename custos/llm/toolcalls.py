@@ -9,7 +9,8 @@ the arguments of each tool; type is string, number, boolean, object or array.
 * A result belongs to the calls with its identifier. Results are reduced to one row an
   identifier first (the first by seq, and how many there are; map-side), then hash-joined,
   so a hot identifier is never a group in one task.
-* ``level`` is the length of the longest chain of known parents (0: none). Each round places
+* ``level`` is the length of the longest chain of known parents (0: none). Calls with one parent
+  are placed by pointer jumping, however long the chain; of the others, each round places
   the calls whose parents are all placed, one join and one aggregate over the edges, to the
   fixed point. Sorting a conversation by (level, call_id) is a topological order. Calls on a
   cycle, or after one, have no level and the problem 'cycle'.
@@ -43,12 +44,31 @@ def levels(calls: DataFrame) -> DataFrame:
             "child is not null and call_id is not null").distinct()
         edge = s.table(edge.join(known, "call_id").select("child", F.col("call_id").alias("parent")))
         need = s.table(edge.groupBy("child").agg(F.count(F.lit(1)).alias("need")))
-        rounds = [s.table(known.join(need, F.col("call_id") == F.col("child"), "left_anti").select(
+        # calls with one parent hang on it: pointer jumping gives each the first ancestor that doesn't, and how far
+        # it is, in rounds that double the distance, so a conversation of thousands of turns takes a dozen rounds
+        hang = s.table(edge.join(need.where("need = 1"), "child").select(
+            "child", F.col("parent").alias("top"), F.lit(1).alias("far")))
+        n = hang.count()
+        for _ in range(n.bit_length() + 1):
+            over = hang.select(F.col("child").alias("top"), F.col("top").alias("_top"), F.col("far").alias("_far"))
+            step = s.table(hang.join(over, "top", "left").select(
+                "child", F.coalesce("_top", "top").alias("top"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"),
+                F.col("_top").isNotNull().alias("moved")))
+            hang = step.drop("moved")
+            if step.where("moved").isEmpty():
+                break
+        # on a circle of such calls there is no such ancestor
+        hang = s.table(hang.join(hang.select(F.col("child").alias("top")), "top", "left_anti"), keep=True)
+        edge = edge.join(need.where("need > 1"), "child", "left_semi").join(
+            hang.select(F.col("child").alias("parent"), "top", "far"), "parent", "left")
+        edge = s.table(edge.select("child", F.coalesce("top", "parent").alias("parent"), F.coalesce("far", F.lit(0)).alias("far")))
+        every, need = need, s.table(need.where("need > 1"))
+        rounds = [s.table(known.join(every, F.col("call_id") == F.col("child"), "left_anti").select(
             "call_id", F.lit(0).alias("level")), keep=True)]
         reached = None  # parents placed so far and their greatest level, of calls that still wait
         while True:
             new = edge.join(rounds[-1].withColumnsRenamed({"call_id": "parent"}), "parent").select(
-                "child", F.lit(1).alias("done"), "level")
+                "child", F.lit(1).alias("done"), (F.col("level") + F.col("far")).alias("level"))
             both = new if reached is None else new.unionByName(reached)
             now = s.table(both.groupBy("child").agg(F.sum("done").cast("int").alias("done"), F.max("level").alias("level"))
                           .join(need, "child"))
@@ -58,7 +78,9 @@ def levels(calls: DataFrame) -> DataFrame:
                 break
             rounds.append(placed)
             reached = now.where("done < need").select("child", "done", "level")
-    return reduce(DataFrame.unionByName, rounds)
+    placed = reduce(DataFrame.unionByName, rounds)
+    return placed.unionByName(hang.join(placed.withColumnRenamed("call_id", "top"), "top").select(
+        F.col("child").alias("call_id"), (F.col("level") + F.col("far")).alias("level")))
 
 
 # what schema_of_variant says of values of each type
