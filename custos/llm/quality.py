@@ -4,13 +4,14 @@ Each document has a few figures of its whole text (below). A preference pair is
 document of label 1 and one of label 0; the probability that the first is
 preferred is the logistic of the difference of their scores, and a score is linear in
 the figures, so the logistic loss on figure differences gives the weights (Newton
-steps, ridge penalty). The threshold is a quantile of the training scores: the
-share of label 0. A document's ``score`` is a logistic of its distance from this
-threshold, which lies at 0.3, with the steepness of highest likelihood.
+steps, ridge penalty). The threshold is a quantile of the scores of all labelled rows: the
+share of label 0 among them. A document's ``score`` is a logistic of its distance from this
+threshold, which lies at 0.3, with the steepness of highest likelihood, again over all of them.
 
 Figures are computed once for all documents in one pass over the texts, with numpy per Arrow
-batch; scoring is a column expression. The fit takes at most ``max_rows`` labelled rows of each label
-(those of the least hash of doc_id) to the driver: 2 * 10,000 rows of figures, whatever the input.
+batch; scoring is a column expression. The weights are fitted on at most ``max_rows`` labelled rows of each
+label (those of the least hash of doc_id) on the driver: 2 * 10,000 rows of figures, whatever the input. If
+a label has more rows, threshold and steepness are found on Spark over all rows of both (``calibrate``).
 
 Rows: null and empty texts have all figures 0 and are scored like any other; rows whose label or doc_id is
 null are not learned from; a doc_id labelled twice counts twice; without labels of both kinds every
@@ -92,11 +93,14 @@ class Model:
     steepness: float
     constant: float | None = None  # the score of every document if nothing could be learned
 
+    def margin(self, x: Column) -> Column:
+        """The score before threshold and steepness."""
+        return sum((F.lit(w) * x[i] for i, w in enumerate(self.weights)), F.lit(0.0))
+
     def score(self, x: Column) -> Column:
         if self.constant is not None:
             return F.lit(self.constant)
-        margin = sum((F.lit(w) * x[i] for i, w in enumerate(self.weights)), F.lit(0.0)) - self.threshold
-        z = margin * self.steepness + math.log(THRESHOLD / (1 - THRESHOLD))
+        z = (self.margin(x) - self.threshold) * self.steepness + math.log(THRESHOLD / (1 - THRESHOLD))
         return 1 / (1 + F.exp(-z))
 
 
@@ -132,12 +136,54 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
+def nth(values: DataFrame, n: int, few: int = 10_000, buckets: int = 4096) -> float:
+    """The ``n``-th smallest (from 0) of the one column ``m``, exactly: each round counts equal ranges of
+    values and keeps the one with the rank, until few rows or one value are left."""
+    while True:
+        lo, hi, rows = values.agg(F.min("m"), F.max("m"), F.count(F.lit(1))).first()
+        if lo == hi:
+            return lo
+        if rows <= few:
+            return sorted(r[0] for r in values.select("m").collect())[n]
+        at = F.least(F.floor((F.col("m") - lo) / (hi - lo) * buckets), F.lit(buckets - 1))
+        for _, size, least, most in sorted(values.groupBy(at.alias("at")).agg(F.count(F.lit(1)), F.min("m"), F.max("m")).collect()):
+            if n < size:
+                break
+            n -= size
+        values = values.where(F.col("m").between(least, most))
+
+
+def calibrate(model: Model, marked: DataFrame, n_bad: int) -> Model:
+    """``model`` with threshold and steepness of highest likelihood over all rows of ``marked`` (figures, quality)."""
+    with Scratch(marked.sparkSession) as s:
+        rows = s.table(marked.select(model.margin(F.col("figures")).alias("m"), F.col("quality").cast("double").alias("y")))
+        # as many rows below the threshold as label 0 has
+        last = nth(rows.select("m"), n_bad - 1)
+        upto, after = rows.agg(F.count_if(F.col("m") <= last), F.min(F.when(F.col("m") > last, F.col("m")))).first()
+        threshold = last if upto > n_bad else (last + after) / 2
+        offset, k, m = math.log(THRESHOLD / (1 - THRESHOLD)), model.steepness, F.col("m") - threshold
+        exact = lambda x: F.sum(x.cast("decimal(28,16)")).cast("double")  # noqa: E731  the same in any order of rows
+        for _ in range(50):
+            p = 1 / (1 + F.exp(-F.least(F.greatest(m * k + offset, F.lit(-30.0)), F.lit(30.0))))
+            slope, bend = rows.agg(exact(m * (p - F.col("y"))), exact(m * m * p * (1 - p))).first()
+            was, k = k, float(np.clip(k - np.clip((slope + 1e-2 * k) / (bend + 1e-2), -1, 1), 0.05, 20))
+            if abs(k - was) < 1e-9:
+                break
+    return Model(model.weights, threshold, k)
+
+
 def learn(known: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Fit on rows of ``known`` (doc_id, figures) that ``labels`` (doc_id, quality) marks and that aren't held out."""
-    marked = known.where(~held_out(F.col("doc_id"))).join(labels.select("doc_id", "quality"), "doc_id")
-    sample = [np.array([r[0] for r in marked.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id")
-                        .limit(max_rows).select("figures").collect()]).reshape(-1, len(FIGURES)) for q in (1, 0)]
-    return fit(*sample)
+    marked = known.where(~held_out(F.col("doc_id"))).join(
+        labels.where(F.col("quality").isin(0, 1)).select("doc_id", "quality"), "doc_id")
+    with Scratch(known.sparkSession) as s:
+        marked = s.table(marked)
+        count = {r[0]: r[1] for r in marked.groupBy("quality").count().collect()}
+        sample = [np.array([r[0] for r in marked.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id")
+                            .limit(max_rows).select("figures").collect()]).reshape(-1, len(FIGURES)) for q in (1, 0)]
+        model = fit(*sample)
+        whole = model.constant is not None or max(count.values()) <= max_rows
+        return model if whole else calibrate(model, marked, count[0])
 
 
 def score(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:

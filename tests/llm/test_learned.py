@@ -29,6 +29,32 @@ def test_pairs_rank_good_above_bad():
     assert np.mean(margin < m.threshold) == pytest.approx(60 / 360, abs=0.01)
 
 
+def test_quality_threshold_is_of_all_labelled_rows(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    x = docs.toPandas().merge(labels.toPandas(), on="doc_id")
+    ids = spark.createDataFrame(x[["doc_id"]]).select("doc_id", quality.held_out(F.col("doc_id")).alias("held")).toPandas()
+    x = x[~ids.held.to_numpy()]
+    rows, good = quality.figures(pa.array(x.text, pa.string())), x.quality.to_numpy() == 1
+    known = spark.createDataFrame([(int(i), f.tolist()) for i, f in zip(x.doc_id, rows, strict=True)], "doc_id bigint, figures array<double>")
+    assert min(good.sum(), (~good).sum()) > 20
+    capped = quality.learn(known, labels, max_rows=20)
+    margin = rows @ np.array(capped.weights)
+    assert capped.threshold == pytest.approx(np.quantile(margin, (~good).mean(), method="midpoint"), abs=1e-9)
+    z = lambda k: (margin - capped.threshold) * k + np.log(0.3 / 0.7)
+    loss = lambda k: np.logaddexp(0, np.where(good, -z(k), z(k))).sum() + 0.005 * k * k
+    assert loss(capped.steepness) <= min(loss(capped.steepness * f) for f in (0.99, 1.01))
+    full = quality.learn(known, labels)
+    model = quality.calibrate(quality.Model(full.weights, 0.0, 1.0), known.join(labels, "doc_id"), int((~good).sum()))
+    assert (model.threshold, model.steepness) == pytest.approx((full.threshold, full.steepness), abs=1e-6)
+
+
+@pytest.mark.parametrize("few", [1, 5, 10_000])
+def test_nth_is_exact(spark, few):
+    values = [float(v) for v in np.random.Generator(np.random.PCG64(3)).normal(size=200)] + [0.25] * 100 + [1e9]
+    df = spark.createDataFrame([(v,) for v in values], "m double")
+    assert [quality.nth(df, n, few, 8) for n in (0, 120, 160, 299, 300)] == [sorted(values)[n] for n in (0, 120, 160, 299, 300)]
+
+
 def test_quality_hard_rows(spark, documents, nothing):
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0), (5, None, 0), (None, 1, 0), (9, 1, 1), (9, 1, 1), (11, 0, 0)],
                                    "doc_id bigint, quality int, toxic int")
