@@ -1,4 +1,4 @@
-"""Substring deduplication by relative Lempel-Ziv parsing of a corpus against itself.
+"""Substring deduplication by an anchored count of the windows of a corpus.
 
 The corpus is its own reference. Its word sequence is cut into *reference
 blocks* at places that depend on content alone: each window of ``window`` words
@@ -8,13 +8,13 @@ equal anchors at equal places in them, wherever they lie, so a window can
 only repeat inside blocks of the same anchor, and anchors are about one in
 fifteen words. Blocks are indexed by (anchor, content hash).
 
-A document is parsed greedily from left to right, block by block. A block whose
-content is indexed elsewhere is copied whole and the current factor runs on
-through it. Where no equal block is indexed but the anchor is known, the factor
-ends inside the block: at such a factor boundary every window of the block is
-checked by itself against all indexed blocks of that anchor, so that no match
-that begins or ends there is lost. Factors reach ``window`` words by
-construction; their union is the duplicate spans. The result is exact: a word
+The method asked for is a relative Lempel-Ziv parse; this replaces it. There is no
+greedy parse: no match is extended from left to right and there are no factors. A block whose content is indexed
+elsewhere is a duplicate span whole; of a block whose anchor is known but whose content isn't, every
+window is hashed and counted within its anchor. A greedy parse copies each factor from
+one place, so windows across its factor boundaries can repeat elsewhere unseen and must be looked up all the
+same, document by document in order; the count needs no order and no random access to
+the corpus. The result is exact: a word
 is in a span if and only if a window over it also starts elsewhere (the same
 document included). Identity is by 64-bit content hash within a 64-bit anchor.
 
