@@ -8,7 +8,8 @@ the arguments of each tool; type is string, number, boolean, object or array.
 
 * A result belongs to the calls with its identifier. Results are reduced to one row an
   identifier first (the first by seq, and how many there are; map-side), then hash-joined,
-  so a hot identifier is never a group in one task.
+  so a hot identifier is never a group in one task. ``link`` shows this digest beside each call;
+  ``result_messages`` gives every result as a row of its own, those of no call too.
 * ``level`` is the length of the longest chain of known parents (0: none). Calls with one parent
   are placed by pointer jumping, however long the chain; of the others, each round places
   the calls whose parents are all placed, one join and one aggregate over the edges, to the
@@ -135,6 +136,23 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
                     message.alias("message")).withColumn("valid", F.size("problems") == 0)
 
 
+def result_messages(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """(call_id, seq, problems, message), one row for each row of ``results``; sorting by (call_id, seq) gives the
+    results of a call in order. A result whose identifier is no call's has the problem 'no such call'."""
+    # one row a call on the right, results on the left, so that the results of a hot identifier can be split
+    known = calls.where("call_id is not null").select(F.col("call_id").alias("_id")).distinct()
+    r = results.select("call_id", "seq", "content")
+    both = r.where("call_id is not null").join(known.hint("shuffle_hash"), F.col("call_id") == F.col("_id"), "left").unionByName(
+        r.where("call_id is null").withColumn("_id", F.lit(None).cast("string")))
+    none = F.array().cast("array<string>")
+    message = F.concat(
+        F.lit('{"content":'), F.coalesce(_quoted(F.col("content")), F.lit("null")),
+        F.lit(',"id":'), F.coalesce(_quoted(F.col("call_id")), F.lit("null")),
+        F.lit(',"seq":'), F.coalesce(F.col("seq").cast("string"), F.lit("null")), F.lit("}"))
+    return both.select("call_id", "seq", F.when(F.col("_id").isNull(), F.array(F.lit("no such call"))).otherwise(none).alias("problems"),
+                       message.alias("message"))
+
+
 def _quoted(text: Column) -> Column:
     """A string as a JSON value; null stays null."""
     whole = F.to_json(F.struct(text.alias("x")))

@@ -148,6 +148,20 @@ def test_linking_order_and_validation(spark):
         assert list(json.loads(r.message)) == ["arguments", "id", "result", "tool"]
 
 
+def test_every_result_is_a_row(spark):
+    calls = spark.createDataFrame([(1, "a", "t", "{}", None), (2, "a", "t", "{}", None), (1, "b", "t", "{}", None)], CALLS)
+    results = [("a", 2, "late"), ("a", 1, 'fir"st'), ("b", 1, None), (None, 1, "lost"), ("none", 1, "orphan"), ("a", 1, 'fir"st')]
+    table = spark.createDataFrame(results, "call_id string, seq bigint, content string")
+    rows = toolcalls.result_messages(calls, table).collect()
+    assert [list(json.loads(r.message)) for r in rows] == [["content", "id", "seq"]] * len(results)
+    got = [(m["id"], m["seq"], m["content"], r.problems) for r in rows for m in [json.loads(r.message)]]
+    assert sorted(got, key=repr) == sorted([(*r, [] if r[0] in ("a", "b") else ["no such call"]) for r in results], key=repr)
+    assert toolcalls.result_messages(calls.where("false"), table.where("false")).count() == 0
+    # nothing of a hot identifier goes
+    hot = spark.range(5000).select(F.lit("a").alias("call_id"), F.col("id").alias("seq"), F.col("id").cast("string").alias("content"))
+    assert toolcalls.result_messages(calls, hot).select("message").distinct().count() == 5000
+
+
 def test_a_long_chain_and_empty_tables(spark):
     rows = linked(spark, [(1, str(i), "t", '{"x":1}', [str(i - 1)]) for i in range(9)] + [(1, "3", "t", '{"x":1}', ["2"])])
     assert {(r.call_id, r.level) for r in rows} == {(str(i), i) for i in range(9)} and len(rows) == 10
