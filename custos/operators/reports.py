@@ -245,11 +245,11 @@ def safe_name(*parts: Column) -> Column:
 
 
 def write_documents(lines: DataFrame, path: str, doc_key: str, order: list[str], line_col: str = "line") -> None:
-    """Write each document's lines, in order, as one text file per document
-    folder (``<path>/<doc_key>=<value>/part-*.txt``). Documents are hash
-    partitioned by key, so each lands whole in one task; the order inside a
-    document comes from a per-partition sort, not a global one."""
-    (lines.repartition(doc_key).sortWithinPartitions(doc_key, *order)
+    """Write each document's lines, in order, as numbered text files in one folder per
+    document (``<path>/<doc_key>=<value>/part-*.txt``); its files in the order of their names are
+    the document. Lines are range partitioned by document and place, so a large document is
+    split over tasks, and sorted inside each partition."""
+    (lines.repartitionByRange(doc_key, *order).sortWithinPartitions(doc_key, *order)
      .select(doc_key, line_col).write.mode("overwrite").partitionBy(doc_key).text(path))
 
 

@@ -18,6 +18,21 @@ def test_markdown_documents_written_in_order(spark, tmp_dir):
     assert text == "first\nsecond\n"
 
 
+def test_a_large_document_is_split_over_tasks(spark, tmp_dir):
+    n = 20_000
+    lines = spark.range(n, numPartitions=8).select(
+        F.lit("big").alias("doc"), (F.col("id") * 7919 % n).alias("line_no")).withColumn("line", F.concat(F.lit("line "), "line_no"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so little would be put together again
+    try:
+        T.write_documents(lines, tmp_dir, "doc", ["line_no"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    files = sorted(glob.glob(os.path.join(tmp_dir, "doc=big", "*.txt")))
+    assert len(files) > 1
+    assert "".join(open(f).read() for f in files).splitlines() == [f"line {i}" for i in range(n)]
+
+
 def test_report_filename_is_safe():
     assert T.report_filename("find_risky_datasets", "2025-01-02T03:04:05.123Z") == \
         "governance-find_risky_datasets-2025-01-02-03-04-05.md"
