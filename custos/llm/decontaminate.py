@@ -1,14 +1,14 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search.
+"""Benchmark decontamination: MinHash containment search by one bottom-k hash join.
 
 Which test items lie, to at least ``percent`` of their distinct five-word
 shingles, inside which documents? Items are short and documents long, so Jaccard
 signatures of whole documents don't work; containment is searched by bottom-k
-MinHash. Items are partitioned by size (number of shingles, powers of two). With
+MinHash. With
 q shingles an item keeps its q - ceil(percent * q) + 1 least shingle hashes:
 a document that contains ``percent`` of the item misses too few shingles to miss
-all of these, so candidate search loses nothing. Each partition also gives the
-greatest hash any of its sketches holds; document shingles above all of these
-bounds cannot match and go before they are exploded. Candidates are confirmed by
+all of these, so candidate search loses nothing, whatever the size of the item. Document shingles above the
+greatest hash of all sketches cannot match and go before the join. This one global bound replaces the
+size partitions of the dealt method: ``part`` is computed, but decides nothing. Candidates are confirmed by
 exact containment of the shingles' words, not hashes.
 
 DataFrame expressions only. The sketches and items are broadcast only if their
