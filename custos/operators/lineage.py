@@ -202,25 +202,33 @@ def descendant_sketches(cat: Catalog, direction: str = "DOWNSTREAM", max_hops: i
 
     reach(u) = N(u) and the reach of every v in N(u), so a round is one join of the
     edges to the sketches that grew in the round before and one sketch union per
-    node; it ends when none grows (or after ``max_hops``). Work is proportional to edges times
-    sketch size, never to reachable pairs. Estimates are exact up to about 1,500 descendants
+    node; it ends when none grows (or after ``max_hops``). A list has grown if its number has; past list mode
+    the estimate may stay or fall although registers grew, so the registers themselves are compared. Work is
+    proportional to edges times sketch size, never to reachable pairs. Estimates are exact up to about 1,500 descendants
     (the sketch is then a list) and have a relative standard error of 1.04 / sqrt(2 ** lg_config_k)
-    beyond (0.8 % by default). A node on a cycle counts itself."""
+    beyond (0.8 % by default). A node on a cycle is not counted itself as long as the sketch is a list
+    (then the list holds it if it would not grow by it); beyond, one is far below the error."""
     edges = cut_lineage(_edges(cat, direction).where(F.col("src") != F.col("dst")).select("src", "dst"), "edges")
     state = cut_lineage(edges.groupBy(F.col("src").alias("node")).agg(F.hll_sketch_agg("dst", lg_config_k).alias("sk"))
                         .withColumn("n", F.hll_sketch_estimate("sk")), "sketch")
+    # DataSketches layout: curMin in byte 6, the mode in the low bits of byte 7 (2: registers, from byte 40)
+    is_list = lambda sk: F.conv(F.hex(F.substring(sk, 8, 1)), 16, 10).cast("int").bitwiseAND(F.lit(3)) != 2
+    held = lambda sk: F.concat(F.substring(sk, 7, 1), F.substring(sk, 41, 1 << 21))
     grown, hops = state, 1
     while max_hops is None or hops < max_hops:
         via = (edges.join(grown.select(F.col("node").alias("dst"), "sk"), "dst", "inner")
                .groupBy(F.col("src").alias("node")).agg(F.hll_union_agg("sk").alias("via")))
         both = state.join(via, "node", "left").withColumn(
             "new", F.when(F.col("via").isNull(), F.col("sk")).otherwise(F.hll_union("sk", "via")))
-        both = cut_lineage(both.select("node", F.col("new").alias("sk"), F.col("n").alias("was"),
-                                       F.hll_sketch_estimate("new").alias("n")), "sketch")
-        state, grown, hops = both.select("node", "sk", "n"), both.where("n > was").select("node", "sk"), hops + 1
+        both = cut_lineage(both.select("node", F.col("new").alias("sk"), F.hll_sketch_estimate("new").alias("n"),
+                                       F.when(is_list("new"), F.hll_sketch_estimate("new") > F.col("n"))
+                                       .otherwise(held("new") != held("sk")).alias("more")), "sketch")
+        state, grown, hops = both.select("node", "sk", "n"), both.where("more").select("node", "sk"), hops + 1
         if grown.isEmpty():
             break
-    return state.select("node", "n")
+    self = edges.groupBy(F.col("src").alias("node")).agg(F.hll_sketch_agg("src", lg_config_k).alias("self"))
+    itself = is_list("sk") & (F.hll_sketch_estimate(F.hll_union("sk", "self")) == F.col("n"))
+    return state.join(self, "node").select("node", (F.col("n") - F.when(itself, 1).otherwise(0)).alias("n")).where("n > 0")
 
 
 _RADIUS: dict = {}

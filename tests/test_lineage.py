@@ -137,6 +137,27 @@ def test_blast_radius_whole_depth_on_the_fixture(spark):
     assert max(abs(approx[k] - v) / v for k, v in want.items()) < 0.05
 
 
+def test_nodes_on_cycles_do_not_count_themselves(spark):
+    edges = [*random_edges(40, 60, 3), (100, 101), (101, 102), (102, 100), (103, 103), (104, 100)]
+    cat = catalog(spark, [dict(asset_id=0, urn=urn(0))], edges=edges)
+    assert {r.node: r.n for r in G.descendant_sketches(cat).collect()} == descendants(edges)
+    assert {r.asset_id: r.downstream_count for r in G.downstream_counts(cat).collect()} == descendants(edges)
+
+
+def test_sketches_spread_as_long_as_registers_change(spark):
+    # a hub of many members past list mode, and members that come in late by a chain, one a round
+    from pyspark.sql import functions as F
+    late = list(range(1000, 1030))
+    edges = [(0, 1), (1, 2), (2, 3)] + [(3, 100 + i) for i in range(60)] + list(zip([3, *late], late, strict=False))
+    cat = catalog(spark, [dict(asset_id=0, urn=urn(0))], edges=edges)
+    got = {r.node: r.n for r in G.descendant_sketches(cat, lg_config_k=5).collect()}
+    found = spark.createDataFrame([(n % 2, n) for n in {d for _, d in edges if d > 3}], "part int, dst bigint")
+    for node in (2, 1, 0):  # the sketch of all descendants, merged from parts as in the rounds
+        found = found.union(spark.createDataFrame([(0, node + 1)], "part int, dst bigint"))
+        want = found.groupBy("part").agg(F.hll_sketch_agg("dst", 5).alias("sk")).agg(F.hll_sketch_estimate(F.hll_union_agg("sk")).alias("n"))
+        assert got[node] == want.first().n
+
+
 def test_explicit_hop_bound(spark):
     cat = catalog(spark, [dict(asset_id=0, urn=urn(0))], edges=[(i, i + 1) for i in range(6)])
     got = {r.asset_id: r.downstream_count for r in G.downstream_counts(cat, max_hops=2).collect()}
