@@ -2,7 +2,7 @@
 
 A page is parsed once, tag by tag, with the usual forgiveness (unclosed and stray
 tags, implied ends of paragraphs, list items and cells, raw script and style
-text, truncated pages). A leaf block is the text between two boundaries of
+text, drawings, truncated pages; formulas and embedded objects are text like any other). A leaf block is the text between two boundaries of
 block-level elements, with its character references decoded and its white space
 turned into single spaces. The blocks of a page, in order, are a chain with two
 labels, main text or not. Features are the tags and the words of class, id and
@@ -43,7 +43,8 @@ _BLOCK = frozenset("""address article aside blockquote body button caption cente
  figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav noscript ol optgroup option p pre
  section select summary table tbody td tfoot th thead title tr ul""".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "textarea", "template", "iframe", "svg", "math", "object")}
+_RAW = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "textarea", "template", "iframe", "svg")}
+_OPEN_VALUE = re.compile(r"=\s*[^\s\"'>]+\Z")  # a slash after this is part of an unquoted value
 # an opening tag ends an open element of these kinds, not looking past the containers
 _ENDS = {**{t: ({"p"}, {"body", "article", "section", "div", "td", "li", "button"}) for t in _BLOCK},
          "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}),
@@ -105,9 +106,12 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag == "br":
             pieces.append(" ")
+        if tag in ("svg", "math") and m[3].endswith("/") and not _OPEN_VALUE.search(m[3]):
+            continue  # embedded XML: the slash ends the element
         if tag in _RAW:
             close = _RAW[tag].search(page, at)
-            at = close.end() if close else end
+            # a drawing that is never closed does not take the rest of the page with it
+            at = close.end() if close else at if tag == "svg" else end
             continue
         if tag in _BLOCK:
             flush()
@@ -140,7 +144,7 @@ def features(b: Block) -> list[str]:
     return [*_path_features(b.path), "any", f"words {min(words.bit_length(), 6)}", f"linked {min(int(share * 3), 2)}",
             f"end {text[-1] if text[-1] in '.!?:…»”' else '-'}",
             *(["mark"] if any(c in text for c in "©®|»›") else []),
-            *(["digits"] if sum(c.isdigit() for c in text[:200]) * 4 > len(text[:200]) else [])]
+            *(["digits"] if sum(map(str.isdigit, text)) * 4 > len(text) else [])]
 
 
 @dataclass

@@ -174,6 +174,27 @@ def test_page_parts(page_model):
                                      "and more of them.\n\nThird paragraph, which ends the text here.")
 
 
+@pytest.mark.parametrize("part", ["<svg width=9 />", "<svg/>", "<math/>", "<math display='block'/>", "<object data=x.swf>", "<svg class=icon>"])
+def test_an_embedded_part_does_not_end_the_page(page_model, part):
+    page = ("<body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>A long enough title</h1><p>First paragraph of the text, "
+            f"long enough. {part}</p><p>Second paragraph, which ends the text here.</p></article><footer>&copy; us</footer>")
+    assert page_model.text(page) == ("A long enough title\n\nFirst paragraph of the text, long enough.\n\n"
+                                     "Second paragraph, which ends the text here.")
+
+
+def test_formulas_are_text_and_drawings_are_not(page_model):
+    page = ("<article><h1>A long enough title</h1><p>The sum is <math><mi>a</mi><mspace/><mo>+</mo><mi>b</mi></math> for all of them, "
+            "as was said.<svg><text>label</text></svg></p><p>Second paragraph <svg href=a/>gone</svg>, which ends the text here.</p></article>")
+    assert page_model.text(page) == ("A long enough title\n\nThe sum is a+b for all of them, as was said.\n\n"
+                                     "Second paragraph , which ends the text here.")
+
+
+def test_digit_share_is_of_the_whole_block():
+    block = lambda text: pages.Block((("p",),), text, 0, False)
+    assert "digits" not in pages.features(block("7" * 200 + " word" * 400))
+    assert "digits" in pages.features(block("word " * 40 + "7" * 400))
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<", "<<p>", "no tags", "<p", "<script>x", "<!-- open", "</p></div>", "<p>" * 3000, "<a 'x" * 500])
 def test_broken_pages_do_not_fail(page_model, html):
     assert isinstance(page_model.text(html), str)
