@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custos.llm import decontaminate, language, mixing, near, neighbours, pages, quality, repeats, tokens, toolcalls
+from custos.llm import (
+    decontaminate,
+    infill,
+    language,
+    mixing,
+    near,
+    neighbours,
+    pages,
+    quality,
+    repeats,
+    resample,
+    tokens,
+    toolcalls,
+    urls,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,6 +95,29 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10, least_words=20,
+                            ngrams=1, buckets=10_000, seed="2024", keep=["doc_id"])
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = infill.Plan(unit="line", percent=100, spm_percent=50, seed="7")
+    return infill.digests(_table(spark, sf_dir, "documents"), plan)
+
+
+URL_RULES = [urls.Rule("allow", "com", "/"), urls.Rule("block", "example.com", "/en/"), urls.Rule("allow", "www.example.com", "/en/"),
+             urls.Rule("block", "net", "/es/"), urls.Rule("block", "net", "/fr/")]
+# No list of URLs is given; these labels of a host make a page's address stand on it.
+LISTED_LABELS = r"(^|\.)(spam|casino)[^.]*\."
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages_ = _table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages_.where(urls.host_of("url").rlike(LISTED_LABELS)).select("url")
+    return urls.judge(pages_, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
@@ -92,4 +129,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_resample": op11_resample,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_url_filter": op13_url_filter,
 }
