@@ -195,6 +195,33 @@ sql("asset_search", """
 SELECT asset_id, urn, name, platform FROM ca
 WHERE instr(lower(concat_ws(' ', display_name, urn, description)), 'bolt') > 0""")
 
+_SEARCHED = """ent AS (
+ SELECT 'DATASET' AS entity_type, urn AS entity_urn, asset_id, display_name AS name, platform, urn, description FROM ca
+ UNION ALL SELECT 'DOMAIN', domain_urn, NULL, domain_name, NULL, domain_urn, NULL FROM dc
+ UNION ALL SELECT DISTINCT 'TAG', 'urn:li:tag:' || tag, NULL, tag, NULL, 'urn:li:tag:' || tag, NULL FROM asset_tags
+ UNION ALL SELECT CASE WHEN starts_with(owner_urn, 'urn:li:corpGroup:') THEN 'CORP_GROUP' ELSE 'CORP_USER' END, owner_urn, NULL, display_name, NULL, owner_urn, NULL FROM pc),
+say AS (
+ SELECT entity_type, entity_urn, w, unnest(list_filter(regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS token
+ FROM (SELECT entity_type, entity_urn, 4 AS w, name AS t FROM ent UNION ALL SELECT entity_type, entity_urn, 2, description FROM ent UNION ALL SELECT entity_type, entity_urn, 1, urn FROM ent)),
+len AS (SELECT entity_type, entity_urn, count(*) AS length FROM say GROUP BY ALL),
+tok AS (SELECT token, entity_type, entity_urn, sum(w)::DOUBLE AS tf FROM say WHERE token IN ({words}) GROUP BY ALL),
+n AS (SELECT (SELECT count(*) FROM ent)::DOUBLE AS docs, (SELECT count(*) FROM say)::DOUBLE AS total),
+df AS (SELECT token, count(*)::DOUBLE AS d FROM tok GROUP BY token),
+bm AS (SELECT entity_type, entity_urn, sum(ln(1 + (docs - d + 0.5) / (d + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (total / docs)))) AS score
+ FROM tok JOIN df USING (token) JOIN len USING (entity_type, entity_urn), n GROUP BY ALL),
+found AS (SELECT ent.entity_type, ent.entity_urn, asset_id, name, platform, round(coalesce(score, 0.0), 6) AS score FROM ent LEFT JOIN bm USING (entity_type, entity_urn)
+ WHERE instr(lower(concat_ws(' ', name, urn, description)), '{query}') > 0 AND ent.entity_type IN ({types}))"""
+
+
+def _ranked(query: str, words: list[str], types: list[str]) -> str:
+    quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    return _SEARCHED.format(query=query, words=quoted(words), types=quoted(types))
+
+
+_RANK = """SELECT row_number() OVER (ORDER BY score DESC, entity_urn, entity_type) AS position, entity_type, entity_urn, asset_id, name, platform, score FROM found"""
+sql("asset_search_ranked", _RANK, _ranked("blue bolt", ["blue", "bolt"], ["DATASET"]))
+sql("entity_search_ranked", _RANK, _ranked("team supplier#0", ["0", "supplier", "team"], ["CORP_USER", "CORP_GROUP", "DOMAIN", "TAG", "DATASET"]))
+
 LEVELS = """lv(severity, level_order) AS (VALUES ('critical', 0), ('high', 1), ('medium', 2), ('low', 3)),
 sc AS (SELECT lv.severity, lv.level_order, CAST(COALESCE(c.n, 0) AS BIGINT) AS count
  FROM lv LEFT JOIN (SELECT severity, count(*) AS n FROM govr GROUP BY severity) c ON c.severity = lv.severity)"""
@@ -601,6 +628,37 @@ SELECT COALESCE(p.asset_id, c.asset_id) AS asset_id, COALESCE(p.rule, c.rule) AS
  CASE WHEN p.asset_id IS NULL THEN 'new' WHEN c.asset_id IS NULL THEN 'resolved' ELSE 'persisting' END AS status
 FROM prevf p FULL OUTER JOIN fnd c ON p.asset_id = c.asset_id AND p.rule = c.rule""", PREV)
 
+SCANS = """seen AS (SELECT DISTINCT l_partkey AS asset_id, CAST(year(l_shipdate) AS VARCHAR) || '-12-31' AS scan FROM lineitem WHERE l_shipdate IS NOT NULL),
+scans AS (SELECT scan, row_number() OVER (ORDER BY scan) AS n, lead(scan) OVER (ORDER BY scan) AS next FROM (SELECT DISTINCT scan FROM seen)),
+fld AS (
+ SELECT asset_id, 'id' AS field_path, CASE WHEN asset_id % 8 = 0 AND scan < '1998' THEN 'INT' ELSE 'BIGINT' END AS native_data_type, scan FROM assets, scans
+ UNION ALL SELECT asset_id, field_path, native_data_type, scan FROM schema_fields JOIN seen USING (asset_id) WHERE pos = 2
+ UNION ALL SELECT asset_id, 'legacy_code', 'VARCHAR', scan FROM assets, scans WHERE asset_id % 10 = 0 AND scan < '1997'),
+isl AS (SELECT *, n - row_number() OVER (PARTITION BY asset_id, field_path, native_data_type ORDER BY n) AS island FROM fld JOIN scans USING (scan)),
+sh AS (SELECT asset_id, field_path, native_data_type, min(scan) AS valid_from, arg_max(next, n) AS last_next, max(n) AS last_n FROM isl
+ GROUP BY asset_id, field_path, native_data_type, island),
+shist AS (SELECT asset_id, field_path, native_data_type, valid_from,
+  CASE WHEN last_n < (SELECT max(n) FROM scans) THEN (SELECT scan FROM scans WHERE n = last_n + 1) END AS valid_to FROM sh)"""
+sql("schema_history", "SELECT asset_id, field_path, native_data_type, valid_from, valid_to FROM shist", SCANS)
+sql("schema_as_of", """SELECT asset_id, field_path, native_data_type FROM fld
+WHERE scan = (SELECT max(scan) FROM scans WHERE scan <= '1997-06-30')""", SCANS)
+sql("drift_history", """
+SELECT COALESCE(a.asset_id, b.asset_id) AS asset_id, COALESCE(a.field_path, b.field_path) AS field_path, COALESCE(a.scan, b.next) AS at,
+ CASE WHEN b.asset_id IS NULL THEN 'added' WHEN a.asset_id IS NULL THEN 'removed' ELSE 'changed' END AS change,
+ b.native_data_type AS before, a.native_data_type AS after
+FROM (SELECT * FROM fld JOIN scans USING (scan) WHERE n > 1) a
+FULL OUTER JOIN (SELECT * FROM fld JOIN scans USING (scan) WHERE next IS NOT NULL) b ON a.asset_id = b.asset_id AND a.field_path = b.field_path AND a.scan = b.next
+WHERE a.native_data_type IS DISTINCT FROM b.native_data_type""", SCANS)
+sql("risk_trend_history", """
+SELECT scan, (SELECT count(*) FROM fld f WHERE f.scan = s.scan AND regexp_matches(field_path, '(?i)""" + PII_RE_SQL + """')
+  AND field_path NOT IN ('id', 'legacy_code') AND NOT EXISTS (SELECT 1 FROM ts_ WHERE ts_.asset_id = f.asset_id AND has_pii_tag)) AS critical,
+ (SELECT count(*) FROM assets) - (SELECT count(*) FROM seen JOIN assets USING (asset_id) WHERE seen.scan = s.scan) AS high,
+ 0::BIGINT AS medium, 0::BIGINT AS low FROM scans s""", SCANS)
+sql("profile_schema_as_of", """
+SELECT p.asset_id, strftime(p.profiled_at, '%Y-%m-%d') AS day, p.row_count, f.native_data_type, f.field_path
+FROM profiles p LEFT JOIN fld f ON f.asset_id = p.asset_id AND f.field_path NOT IN ('id', 'legacy_code')
+ AND f.scan = (SELECT max(scan) FROM scans WHERE scan <= strftime(p.profiled_at, '%Y-%m-%d'))""", SCANS)
+
 sql("schema_diff", """
 SELECT * FROM (
  SELECT COALESCE(p.asset_id, c.asset_id) AS asset_id, COALESCE(p.field_path, c.field_path) AS field_path,

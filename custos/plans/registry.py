@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from custos.operators import assets as A
 from custos.operators import lineage as G
 from custos.operators import rules as R
+from custos.operators import search
 from custos.sources.catalog import Catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -241,6 +242,16 @@ def q_asset_search(spark, sf_dir):
     return A.asset_search(cat_of(spark, sf_dir), "Bolt")
 
 
+@query("asset_search_ranked")
+def q_asset_search_ranked(spark, sf_dir):
+    return search.ranked(search.index_of(cat_of(spark, sf_dir)), "Blue Bolt")
+
+
+@query("entity_search_ranked")
+def q_entity_search_ranked(spark, sf_dir):
+    return search.ranked(search.index_of(cat_of(spark, sf_dir)), "Team Supplier#0", ["CORP_USER", "CORP_GROUP", "DOMAIN", "TAG", "DATASET"])
+
+
 @query("severity_counts")
 def q_severity_counts(spark, sf_dir):
     return U.severity_counts(_gov(spark, sf_dir)[2])
@@ -490,6 +501,7 @@ def q_findings_json(spark, sf_dir):
 # --- phase 8: sinks and history ----------------------------------------------------------------
 
 from custos.operators import history as H  # noqa: E402
+from custos.operators import intervals  # noqa: E402
 
 
 @query("aspect_upsert")
@@ -515,6 +527,73 @@ def q_finding_diff(spark, sf_dir):
     return H.finding_diff(*_two_scans(spark, sf_dir))
 
 
+def _scans(spark, sf_dir):
+    """Yearly scans derived from the line items: (scans, schema fields seen, findings seen).
+
+    A part's second field is seen in the years in which it was shipped, its id is an INT until 1997 for every eighth part, and every
+    tenth has a legacy code until 1996. In a year without shipments it has no owner; a personal-data column without a
+    sensitivity tag is a finding as long as it is seen."""
+    from custos.functions import columns as C
+
+    cat = cat_of(spark, sf_dir)
+    year = F.year("l_shipdate")
+    seen = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_shipdate is not null").select(
+        F.col("l_partkey").alias("asset_id"), F.concat(year.cast("string"), F.lit("-12-31")).alias("scan")).distinct()
+    scans = seen.select("scan").distinct()
+    ids = cat.assets.select("asset_id")
+    years = F.array(*[F.lit(r[0]) for r in scans.orderBy("scan").collect()]).cast("array<string>")  # one a scan
+    every = ids.withColumn("scan", F.explode(years))
+    first = every.select("asset_id", F.lit("id").alias("field_path"), F.when(
+        (F.col("asset_id") % 8 == 0) & (F.col("scan") < "1998"), "INT").otherwise("BIGINT").alias("native_data_type"), "scan")
+    second = cat.schema_fields.where("pos = 2").select("asset_id", "field_path", "native_data_type").join(seen, "asset_id")
+    legacy = every.where((F.col("asset_id") % 10 == 0) & (F.col("scan") < "1997")).select(
+        "asset_id", F.lit("legacy_code").alias("field_path"), F.lit("VARCHAR").alias("native_data_type"), "scan")
+    unowned = every.join(seen, ["asset_id", "scan"], "left_anti").select(
+        "asset_id", "scan", F.lit("missing_owner").alias("rule"), F.lit("high").alias("severity"))
+    tagged = A.tag_stats(cat).where("has_pii_tag").select("asset_id")
+    personal = second.where(C.looks_like_pii("field_path")).join(tagged, "asset_id", "left_anti").select(
+        "asset_id", "scan", F.lit("untagged_pii").alias("rule"), F.lit("critical").alias("severity"))
+    return scans, first.unionByName(second).unionByName(legacy), unowned.unionByName(personal)
+
+
+def _schema_history(spark, sf_dir):
+    scans, fields, _ = _scans(spark, sf_dir)
+    return intervals.from_scans(fields, scans, ["asset_id", "field_path"], ["native_data_type"])
+
+
+@query("schema_history")
+def q_schema_history(spark, sf_dir):
+    return _schema_history(spark, sf_dir)
+
+
+@query("schema_as_of")
+def q_schema_as_of(spark, sf_dir):
+    return intervals.as_of(_schema_history(spark, sf_dir), "1997-06-30")
+
+
+@query("drift_history")
+def q_drift_history(spark, sf_dir):
+    return intervals.changes(_schema_history(spark, sf_dir), ["asset_id", "field_path"], ["native_data_type"]).select(
+        "asset_id", "field_path", "at", "change", F.col("before.native_data_type").alias("before"), F.col("after.native_data_type").alias("after"))
+
+
+@query("risk_trend_history")
+def q_risk_trend_history(spark, sf_dir):
+    from custos.functions import fixed
+
+    scans, _, found = _scans(spark, sf_dir)
+    history = intervals.from_scans(found, scans, ["asset_id", "rule"], ["severity"])
+    return intervals.risk_by_scan(history, scans, fixed.SEVERITY_LEVELS)
+
+
+@query("profile_schema_as_of")
+def q_profile_schema_as_of(spark, sf_dir):
+    """Each profile with the type that the asset's second field had when it was made."""
+    rows = cat_of(spark, sf_dir).profiles.select("asset_id", F.date_format("profiled_at", "yyyy-MM-dd").alias("day"), "row_count")
+    second = _schema_history(spark, sf_dir).where("field_path not in ('id', 'legacy_code')")
+    return intervals.as_of_join(rows, second, ["asset_id"], "day")
+
+
 @query("schema_diff")
 def q_schema_diff(spark, sf_dir):
     return H.schema_diff(cat_of(spark, sf_dir))
