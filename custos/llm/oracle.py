@@ -67,11 +67,15 @@ chain(call_id, level) as (select call_id, 0 from ids union select child, level +
 lev as (select call_id, max(level) level from chain group by call_id),
 res as (select conv_id || ':' || (turn - 1) call_id, min(struct_pack(seq := turn, content := text)).content content, count(*) n
   from conversations where role = 'assistant' group by 1)
-select conv_id conversation, c.call_id, role tool, level::int as level, coalesce(n, 0)::bigint n_results, text is not null valid,
+select 'call' kind, conv_id conversation, c.call_id, null::bigint seq, role tool, level::int as level, coalesce(n, 0)::bigint n_results, text is not null valid,
   case when text is null then 'missing text' else '' end problems,
   '{"arguments":{' || case when text is null then '' else '"text":' || to_json(text) || ',' end || '"turn":' || turn || '},"id":' || to_json(c.call_id)
   || ',"result":' || coalesce(to_json(content)::varchar, 'null') || ',"tool":' || to_json(role) || '}' message
-from c join lev using (call_id) left join res using (call_id)"""
+from c join lev using (call_id) left join res using (call_id)
+union all
+select 'result', null, r.call_id, r.turn, null, null, null, ids.call_id is not null, case when ids.call_id is null then 'no such call' else '' end,
+  '{"content":' || coalesce(to_json(text)::varchar, 'null') || ',"id":' || to_json(r.call_id) || ',"seq":' || r.turn || '}'
+from (select conv_id || ':' || (turn - 1) call_id, turn, text from conversations where role = 'assistant') r left join ids on r.call_id = ids.call_id"""
 
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FEATURE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -61,8 +61,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = toolcalls.link(*toolcalls.calls_of(_table(spark, sf_dir, "conversations")))
-    return out.select("conversation", "call_id", "tool", "level", "n_results", "valid",
+    out = toolcalls.linked(*toolcalls.calls_of(_table(spark, sf_dir, "conversations")))
+    return out.select("kind", "conversation", "call_id", "seq", "tool", "level", "n_results", "valid",
                       F.array_join("problems", "; ").alias("problems"), "message")
 
 

@@ -9,8 +9,10 @@ the arguments of each tool; type is string, number, boolean, object or array.
 * A result belongs to the calls with its identifier. Results are reduced to one row an
   identifier first (the first by seq, and how many there are; map-side), then hash-joined,
   so a hot identifier is never a group in one task. ``link`` shows this digest beside each call;
-  ``result_messages`` gives every result as a row of its own, those of no call too.
-* ``level`` is the length of the longest chain of known parents (0: none). Calls with one parent
+  ``result_messages`` gives every result as a row of its own, those of no call too; ``linked`` is both.
+* ``level`` is the length of the longest chain of known parents (0: none). A parent that is also
+  a parent of another parent decides nothing (the longest chain goes through the other) and goes first, so that
+  turns which name all of their last few predecessors become plain chains. Calls with one parent
   are placed by pointer jumping, however long the chain; of the others, each round places
   the calls whose parents are all placed, one join and one aggregate over the edges, to the
   fixed point. Sorting a conversation by (level, call_id) is a topological order. Calls on a
@@ -36,6 +38,25 @@ from pyspark.sql import functions as F
 from custos.llm.decontaminate import small
 from custos.llm.scratch import Scratch
 
+# Pairs of parents are formed for calls with at most so many; of others all edges stay.
+PAIRED_PARENTS = 8
+
+
+def needed_edges(edge: DataFrame, need: DataFrame) -> DataFrame:
+    """``edge`` (child, parent) without edges to a parent that is a parent of another parent; ``need`` (child, need) has
+    the number of parents. Both are tables.
+
+    Identifiers are ordered by length, then text, as numbers are, and an edge goes only if the other parent lies between its
+    ends in that order. So each edge that goes is replaced by two shorter ones, and what is reachable, cycles included, stays as it
+    is; without cycles the longest chains stay too, as none of them takes a short cut."""
+    some = edge.join(need.where(F.col("need").between(2, PAIRED_PARENTS)).select("child"), "child", "left_semi")
+    order = lambda c: F.struct(F.length(c), F.col(c))
+    pair = some.join(some.withColumnRenamed("parent", "between"), "child").where(
+        (order("parent") < order("between")) & (order("between") < order("child")))
+    step = edge.select(F.col("child").alias("between"), "parent")
+    short = pair.join(step, ["between", "parent"]).select("child", "parent").distinct()
+    return edge.join(short, ["child", "parent"], "left_anti")
+
 
 def levels(calls: DataFrame) -> DataFrame:
     """(call_id, level) of every identifier that can be placed; call_id and parents as in ``calls``."""
@@ -44,6 +65,7 @@ def levels(calls: DataFrame) -> DataFrame:
         edge = calls.select(F.col("call_id").alias("child"), F.explode("parents").alias("call_id")).where(
             "child is not null and call_id is not null").distinct()
         edge = s.table(edge.join(known, "call_id").select("child", F.col("call_id").alias("parent")))
+        edge = s.table(needed_edges(edge, s.table(edge.groupBy("child").agg(F.count(F.lit(1)).alias("need")))))
         need = s.table(edge.groupBy("child").agg(F.count(F.lit(1)).alias("need")))
         # calls with one parent hang on it: pointer jumping gives each the first ancestor that doesn't, and how far
         # it is, in rounds that double the distance, so a conversation of thousands of turns takes a dozen rounds
@@ -153,6 +175,14 @@ def result_messages(calls: DataFrame, results: DataFrame) -> DataFrame:
                        message.alias("message"))
 
 
+def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
+    """Calls and results as rows of one table: ``kind`` says which; a result has its call's identifier, its ``seq``, its own
+    message and problems, and null in the columns that only a call has."""
+    of_calls = link(calls, results, schemas).withColumns({"kind": F.lit("call"), "seq": F.lit(None).cast("bigint")})
+    of_results = result_messages(calls, results).withColumns({"kind": F.lit("result"), "valid": F.size("problems") == 0})
+    return of_calls.unionByName(of_results, allowMissingColumns=True)
+
+
 def _quoted(text: Column) -> Column:
     """A string as a JSON value; null stays null."""
     whole = F.to_json(F.struct(text.alias("x")))

@@ -1,6 +1,7 @@
 """Decontamination, tool calls and mixing: brute force, hard rows, and no Python in their plans."""
 
 import json
+import random
 from collections import defaultdict
 
 import pytest
@@ -168,7 +169,36 @@ def test_a_long_chain_and_empty_tables(spark):
     assert linked(spark, []) == [] and linked(spark, [], [("a", 1, "x")], []) == []
 
 
-@pytest.mark.parametrize("name", ["op6_decontaminate", "op7_tool_calls", "op8_mixing"])
+def test_thousands_of_turns_in_few_rounds(spark, monkeypatch):
+    """Each turn names the three before it; the levels take few tables, however long the conversation."""
+    made = []
+    table = toolcalls.Scratch.table
+    monkeypatch.setattr(toolcalls.Scratch, "table", lambda self, *a, **k: made.append(1) or table(self, *a, **k))
+    calls = spark.range(5000).select(F.concat(F.lit("9:"), "id").alias("call_id"), F.transform(
+        F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.concat(F.lit("9:"), F.col("id") - k)).alias("parents"))
+    got = {r.call_id: r.level for r in toolcalls.levels(calls).collect()}
+    assert got == {f"9:{i}": i for i in range(5000)} and len(made) < 40
+
+
+def test_levels_equal_longest_paths(spark):
+    """Random graphs with short cuts, with and without cycles, against longest paths by definition."""
+    rng = random.Random(3)
+    rows = []
+    for g in range(40):
+        n = rng.randint(2, 9)
+        for c in range(n):
+            others = range(n) if g % 3 == 0 else range(c)
+            rows.append((f"{g}:{c}", [f"{g}:{p}" for p in others if rng.random() < 0.5]))
+    parents = {c: set(p) & {c for c, _ in rows} for c, p in rows}
+    want, level = {}, 0
+    while new := {c for c in parents if c not in want and parents[c] <= set(want)}:
+        want |= dict.fromkeys(new, level)
+        level += 1
+    got = toolcalls.levels(spark.createDataFrame(rows, "call_id string, parents array<string>")).collect()
+    assert {r.call_id: r.level for r in got} == want and len(got) == len(want) < len(rows)
+
+
+@pytest.mark.parametrize("name", ["op6_decontaminate", "op7_tool_calls", "op8_mixing", "op13_url_filter"])
 def test_plans_have_no_python(spark, name):
     from custos.llm.queries import QUERIES
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
