@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from custos.llm import words as W
 from custos.llm.components import connected
-from custos.llm.scratch import Scratch, fresh, map_arrow, text_mark
+from custos.llm.scratch import Scratch, map_arrow, packed_rest, text_mark
 
 POSITIONS, BITS, CHUNK, ERRORS = 40, 16, 4, 1
 # how many leads each set is confirmed against in each star round
@@ -155,15 +155,24 @@ def _confirm(shingle: int, percent: int):
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, positions: int = POSITIONS,
-                bits: int = BITS, chunk: int = CHUNK, errors: int = ERRORS) -> DataFrame:
-    """(doc_id, mark, n_shingles, component_id) of every row of ``docs``."""
-    docs = docs.select("doc_id", text_mark().alias("mark"), "text")
+                bits: int = BITS, chunk: int = CHUNK, errors: int = ERRORS, by_text: bool = False) -> DataFrame:
+    """(doc_id, mark, n_shingles, component_id) of every row of ``docs``. A node of the graph is a doc_id, with all texts that
+    have it; rows without one are linked with nothing. With ``by_text`` a node is a doc_id, or none, with one text, and
+    component_id is the number of a node: numbers rise with doc_id (none comes last), then mark, a 64-bit hash of the text."""
+    docs = docs.select("doc_id", (F.xxhash64("text") if by_text else text_mark()).alias("mark"), "text")
     with Scratch(docs.sparkSession) as s:
         sketch = s.table(map_arrow(docs, _sketches(shingle, positions, bits), _SKETCH), keep=True)
-        full = sketch.where("doc_id is not null and n_shingles > 0")
-        # one row for each different set; id is the smallest doc_id that has it
+        if by_text:
+            order = [F.col("doc_id").asc_nulls_last(), F.col("mark")]
+            number = s.table(sketch.select("doc_id", "mark").distinct().orderBy(*order).withColumn("node", F.monotonically_increasing_id()))
+            of = number.withColumnsRenamed({"doc_id": "_doc_id", "mark": "_mark"})
+            sketch = s.table(sketch.join(of, sketch["doc_id"].eqNullSafe(of["_doc_id"]) & (sketch["mark"] == of["_mark"])).drop("_doc_id", "_mark"), keep=True)
+        else:
+            sketch = sketch.withColumn("node", F.col("doc_id"))
+        full = sketch.where("node is not null and n_shingles > 0")
+        # one row for each different set; id is the smallest node that has it
         sets = s.table(full.groupBy("set_a", "set_b", F.col("n_shingles").alias("n")).agg(
-            F.min("doc_id").alias("id"), F.first("signature").alias("signature")).select(
+            F.min("node").alias("id"), F.first("signature").alias("signature")).select(
             "*", *packed(F.col("signature"), positions)), keep=True)
         lanes = [c for c in sets.columns if c[0] == "p"]
         keys = F.array(*[F.xxhash64(F.lit(i), *[F.col("signature")[p] for p in kept])
@@ -176,8 +185,13 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, positions:
         other = member.select(*[F.col(c).alias(f"_{c}") for c in member.columns])
         near = plausible(member, other, positions, percent) & (member["id"] != other["_id"])
         member = s.table(member.join(other, (member["key"] == other["_key"]) & near, "left_semi"))
-        texts = s.table(docs.join(member.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi")
-                        .select("doc_id", "mark", "text"))
+        if by_text:
+            of = of.join(member.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+            texts = docs.join(of, docs["doc_id"].eqNullSafe(of["_doc_id"]) & (docs["mark"] == of["_mark"])).select(
+                F.col("node").alias("doc_id"), "mark", "text").dropDuplicates(["doc_id"])  # equal rows are one node
+        else:
+            texts = docs.join(member.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "mark", "text")
+        texts = s.table(texts)
         label = s.table(member.select(F.col("id").alias("node")).distinct().withColumn("component", F.col("node")))
 
         def merged(pairs: DataFrame, label: DataFrame) -> DataFrame:
@@ -232,17 +246,21 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, positions:
         label = merged(pairs, label)
     group = sets.join(label.withColumnRenamed("node", "id"), "id", "left").select(
         "set_a", "set_b", F.coalesce("component", "id").alias("group"))
-    linked = full.join(group, ["set_a", "set_b"]).select("doc_id", "group").groupBy("doc_id").agg(F.min("group").alias("group"))
-    return sketch.select("doc_id", "mark", "n_shingles").join(linked, "doc_id", "left").select(
-        "doc_id", "mark", "n_shingles", F.coalesce("group", "doc_id").alias("component_id"))
+    linked = full.join(group, ["set_a", "set_b"]).select("node", "group").groupBy("node").agg(F.min("group").alias("group"))
+    return sketch.select("doc_id", "mark", "n_shingles", "node").join(linked, "node", "left").select(
+        "doc_id", "mark", "n_shingles", F.coalesce("group", "node").alias("component_id"), *(["node"] if by_text else []))
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without near duplicates: of each group the row whose doc_id is
-    the group's smallest; of rows that repeat this doc_id, one. Rows without
-    doc_id all stay. All columns stay as they are."""
-    leader, = fresh(docs, "leader")
-    lead = near_groups(docs, shingle, percent).where("doc_id = component_id").select(
-        F.col("doc_id").alias(leader)).distinct()
-    kept = docs.join(lead, docs["doc_id"] == lead[leader], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """The documents without near duplicates: of each group one row stays, that with the smallest doc_id (none comes
+    last), then the smallest hash of its text. Rows are compared by their own texts, whatever their ids: those that share
+    an id, or have none, go only if a near duplicate stays. Rows equal in id and text are one, that with the least hash of all
+    its columns; texts without words have no other duplicates. All columns stay as they are."""
+    lead = near_groups(docs, shingle, percent, by_text=True).where("node = component_id").select(
+        F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    rows = docs.select(packed_rest(docs, docs.columns).alias("row"))
+    mark = F.xxhash64("row.text")
+    kept = rows.join(lead, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (mark == F.col("_mark")), "left_semi")
+    plain = [F.col("row")[f.name] for f in docs.schema.fields if f.dataType.typeName() != "map"]
+    kept = kept.groupBy(F.col("row.doc_id").alias("_id"), mark.alias("_mark")).agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

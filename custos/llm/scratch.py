@@ -43,9 +43,14 @@ def map_arrow(df: DataFrame, function: Callable, schema: str, passed: str | None
     return df.mapInArrow(function, kind if passed is None else StructType([*kind.fields, df.schema[passed]]))
 
 
+def column(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def packed_rest(df: DataFrame, columns: list[str]) -> Column:
     """The columns as one struct, whatever their names."""
-    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in columns])
+    return F.struct(*[column(c) for c in columns])
 
 
 class Scratch:

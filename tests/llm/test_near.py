@@ -77,7 +77,19 @@ def test_one_document_of_each_group_stays(spark, documents):
     kept = near.keep_first(documents, shingle=2)
     assert kept.columns == documents.columns
     ids = sorted((r.doc_id for r in kept.collect()), key=lambda i: -1 if i is None else i)
-    assert ids == [None, None, 1, 4, 6, 7, 8, 9, 11, 12, 13, 15, 16]
+    # both texts of 16 are unlike all others, so both stay
+    assert ids == [None, None, 1, 4, 6, 7, 8, 9, 11, 12, 13, 15, 16, 16]
+
+
+def test_rows_are_compared_by_text_not_by_id(spark):
+    """Ids that repeat or are missing lose no unique text and keep no copy; the row that stays is defined."""
+    long = " ".join(f"w{i}" for i in range(30))
+    rows = [(7, long, 1), (5, long + " more", 2), (None, long, 3), (7, "quite another text of this id", 4), (None, "alone and without id", 5),
+            (None, "alone and without id", 6), (8, "alone and without id", 7), (7, None, 8), (7, None, 9), (None, "", 10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n int")
+    kept = [sorted(r.n for r in near.keep_first(d, shingle=2).collect()) for d in (docs, docs.repartition(4, "n"))]
+    # 8 and 9 are equal in id and text: one stays, always the same
+    assert kept[0] == kept[1] and set(kept[0]) - {8, 9} == {2, 4, 7, 10} and len(kept[0]) == 5
 
 
 def test_empty_table(spark, nothing):
