@@ -10,10 +10,14 @@ from blocks of the shard's distance matrix, which a shard's size bounds. The gra
 stored as flat arrays in one table row a shard: vectors, and per level
 the members and an n by 2m (level 0) or m matrix of neighbours, padded with -1.
 
-A query descends greedily from the entry point to level 1 and widens to the ``ef``
-best on level 0. Queries are dealt in blocks of ``block_rows`` and each block meets
-each shard once; its candidates get exact distances in double precision from the original
-vectors, and shard results are merged by a ranked window.
+Graph and search work on vectors that are centred and scaled by the shard's own mean and range, in double precision, so that
+neither a common offset nor the magnitude of the components matters; distances returned are of the original vectors.
+
+A query descends greedily from the entry point to level 1 and widens to the ``ef`` best on level 0. A shard's graph is sent
+once, to the task that searches it; the queries follow it there in one sorted stream, so that a task holds a graph and a batch of
+queries, and nothing is copied for each block of queries. Candidates get exact distances in double precision from the original
+vectors, and shard results are merged by a ranked window. Every query meets every shard: for N vectors, Q queries and shards of
+S vectors the search costs Q * N / S visits of a graph, and a graph is sent once for every ``block_rows`` queries.
 
 Rows: vectors that are null, empty, all zero, or that hold null or non-finite components take no part,
 nor do rows without vec_id. Equal vectors are one node with its ``k`` + 1 smallest ids, so
@@ -24,7 +28,9 @@ Vectors of different length never meet. Fewer than k candidates give fewer rows.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +39,7 @@ from pyspark.sql import functions as F
 
 from custos.llm.scratch import Scratch, map_arrow, ship
 
-SHARD_ROWS, BLOCK_ROWS = 4096, 256
+SHARD_ROWS, BLOCK_ROWS = 4096, 1 << 16
 M, EF_BUILD, EF = 16, 64, 128
 
 
@@ -138,6 +144,43 @@ def search(x: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], q: np.nda
     return np.array([j for _, j in found])
 
 
+@dataclass(frozen=True)
+class Frame:
+    """Maps vectors to about [-1, 1]: divide by ``scale``, take off ``centre``, divide by ``spread``. Two steps, so that no
+    step overflows or loses what an offset common to all vectors hides."""
+
+    scale: float
+    centre: np.ndarray
+    spread: float
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Frame:
+        scale = float(np.abs(x).max()) or 1.0
+        y = x / scale
+        centre = y.mean(0)
+        return cls(scale, centre, float(np.abs(y - centre).max()) or 1.0)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        # a query may lie far outside its shard's range; its squares must stay finite
+        with np.errstate(over="ignore"):
+            return np.clip((x / self.scale - self.centre) / self.spread, -1e120, 1e120)
+
+
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of ``x`` to ``q``; rescaled where plain squares would leave the range of doubles."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        gap = x - q
+        plain = np.sqrt((gap ** 2).sum(1))
+        most = np.abs(gap).max(1)
+        odd = ~np.isfinite(plain) | ((plain < 1e-140) & (most > 0))
+        if odd.any():
+            # halves, as a difference of two finite numbers may itself be out of range
+            half = x[odd] / 2 - q / 2
+            most = np.maximum(np.abs(half).max(1), math.ulp(0.0))
+            plain[odd] = most * np.sqrt(((half / most[:, None]) ** 2).sum(1)) * 2
+    return plain
+
+
 _INDEX = "shard bigint, dim int, n int, vectors binary, ids array<array<bigint>>, members array<binary>, flats array<binary>"
 
 
@@ -146,38 +189,41 @@ def _build(pdf):
     import pandas as pd
 
     pdf = pdf.iloc[np.argsort(pdf["place"].to_numpy(), kind="stable")]
-    x = np.stack(pdf["vector"].to_numpy())
-    levels = build(x.astype(np.float32))
+    x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
+    levels = build(Frame.of(x)(x))
     return pd.DataFrame([{
-        "shard": int(pdf["shard"].iloc[0]), "dim": x.shape[1], "n": len(x), "vectors": x.astype(np.float64).tobytes(),
+        "shard": int(pdf["shard"].iloc[0]), "dim": x.shape[1], "n": len(x), "vectors": x.tobytes(),
         "ids": [list(map(int, v)) for v in pdf["ids"]], "members": [a.tobytes() for a, _ in levels], "flats": [b.tobytes() for _, b in levels]}])
 
 
 def _search(k: int, ef: int):
-    """Arrow batches of an index row with a block of queries to (query_id, query_hash, vec_id, score)."""
+    """Sorted rows, a shard's index row before its queries, to (query_id, mark, vec_id, score)."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = frame = exact = x = levels = ids = None
         for batch in batches:
-            for r in range(batch.num_rows):
-                row = {c: batch.column(c)[r] for c in batch.schema.names}
-                n, dim = row["n"].as_py(), row["dim"].as_py()
-                exact = np.frombuffer(row["vectors"].as_buffer(), np.float64).reshape(n, dim)
-                x = exact.astype(np.float32)
-                members = [np.frombuffer(b.as_buffer(), np.int32) for b in row["members"].values]
-                levels = [(a, np.frombuffer(b.as_buffer(), np.int32).reshape(len(a), -1))
-                          for a, b in zip(members, row["flats"].values, strict=True)]
-                ids = row["ids"].as_py()
-                out: list[tuple[int, int, int, float]] = []
-                for q in row["queries"].values:
-                    me, mark = q["vec_id"].as_py(), q["mark"].as_py()
-                    v = np.array(q["vector"].as_py(), np.float64)
-                    at = search(x, levels, v.astype(np.float32), max(ef, 2 * k))
-                    score = np.sqrt(((exact[at] - v) ** 2).sum(1))
+            column = {c: batch.column(c) for c in batch.schema.names}
+            out: list[tuple[int, int, int, float]] = []
+            for r, at_shard in enumerate(column["shard"].to_pylist()):
+                if column["vectors"][r].is_valid:
+                    shard, n, dim = at_shard, column["n"][r].as_py(), column["dim"][r].as_py()
+                    exact = np.frombuffer(column["vectors"][r].as_buffer(), np.float64).reshape(n, dim).copy()
+                    frame = Frame.of(exact)
+                    x = frame(exact)
+                    members = [np.frombuffer(b.as_buffer(), np.int32).copy() for b in column["members"][r].values]
+                    levels = [(a, np.frombuffer(b.as_buffer(), np.int32).reshape(len(a), -1).copy())
+                              for a, b in zip(members, column["flats"][r].values, strict=True)]
+                    ids = column["ids"][r].as_py()
+                elif at_shard == shard:
+                    me, mark = column["vec_id"][r].as_py(), column["mark"][r].as_py()
+                    v = column["vector"][r].values.to_numpy(zero_copy_only=False).astype(np.float64)
+                    at = search(x, levels, frame(v), max(ef, 2 * k))
+                    score = distances(exact[at], v)
                     best = sorted(((float(s), i) for s, p in zip(score, at, strict=True) for i in ids[p] if i != me))[:k]
                     out += [(me, mark, i, s) for s, i in best]
-                cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.float64())],
-                    names=["query_id", "mark", "vec_id", "score"])
+            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.float64())],
+                names=["query_id", "mark", "vec_id", "score"])
     return find
 
 
@@ -203,15 +249,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, ef: int = EF, s
         index = s.table(dealt.select("shard", "place", "vector", "ids").repartition(max(n_shards, 1), "shard").groupBy(
             "shard").applyInPandas(_build, _INDEX))
         asked = clean(queries).select("vec_id", F.xxhash64("vector").alias("mark"), "vector", F.size("vector").alias("dim"))
+        sent = asked.join(sizes, asked["dim"] == sizes["d"]).select(
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)).alias("number"), "dim", "vec_id", "mark", "vector").select(
+            (F.col("dim") * F.lit(1 << 32) + F.col("number")).alias("shard"), "vec_id", "mark", "vector")
+        # one stream for a shard and a block of queries: the graph, then the queries
         n_blocks = -(-asked.count() // block_rows) or 1
-        blocks = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "mark"), F.lit(n_blocks))).groupBy("dim", "block").agg(
-            F.collect_list(F.struct("vec_id", "mark", "vector")).alias("queries"))
-        met = blocks.join(sizes, blocks["dim"] == sizes["d"]).select(
-            "block", "queries", "dim", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)).alias("shard")).withColumn(
-            "shard", F.col("dim") * F.lit(1 << 32) + F.col("shard")).drop("dim")
-        pairs = index.join(met, "shard").repartition(max(n_shards * n_blocks, 1), "shard", "block").select(
-            "n", "dim", "vectors", "ids", "members", "flats", "queries")
-        hits = s.table(map_arrow(pairs, _search(k, ef), "query_id bigint, mark bigint, vec_id bigint, score double"), keep=True)
+        sent = sent.withColumns({"block": F.pmod(F.xxhash64("vec_id", "mark"), F.lit(n_blocks)), "after": F.lit(1)})
+        graphs = index.withColumns({"block": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))), "after": F.lit(0)})
+        stream = graphs.unionByName(sent, allowMissingColumns=True).repartition(max(n_shards * n_blocks, 1), "shard", "block")
+        stream = stream.sortWithinPartitions("shard", "block", "after").drop("block", "after")
+        hits = s.table(map_arrow(stream, _search(k, ef), "query_id bigint, mark bigint, vec_id bigint, score double"), keep=True)
     best = Window.partitionBy("query_id", "mark").orderBy("score", "vec_id")
     return hits.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
