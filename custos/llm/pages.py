@@ -24,7 +24,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -54,16 +54,63 @@ _ENDS = {**{t: ({"p"}, {"body", "article", "section", "div", "td", "li", "button
 
 @dataclass
 class Block:
-    path: tuple[tuple[str, ...], ...]  # of each ancestor its tag and the words of its attributes
+    path: tuple[str, ...]  # features of the ancestors: their tags, words of their attributes, the innermost block tags
     text: str
     linked: int   # characters inside links
     main: bool    # only in labelled pages: inside an element marked data-main
 
 
-def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order."""
+@dataclass(slots=True)
+class _Element:
+    """An open element. ``features`` are those of it and its ancestors, shared with its parent if it adds none."""
+
+    tag: str
+    features: frozenset[str]
+    main: bool
+
+
+class _Open:
+    """The open elements, innermost last; for each tag, and for block elements, where they lie, so that no step walks the stack."""
+
+    def __init__(self, known: frozenset[str] | None):
+        self.known = known
+        self.stack: list[_Element] = []
+        self.at: dict[str, list[int]] = {}
+        self.block_at: list[int] = []
+
+    def push(self, tag: str, names: list[str], main: bool | None) -> None:
+        top = self.stack[-1] if self.stack else None
+        have = top.features if top else frozenset()
+        new = [f for f in (f"in {tag}", *(f"named {w}" for w in names)) if f not in have and (self.known is None or f in self.known)]
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag in _BLOCK:
+            self.block_at.append(len(self.stack))
+        self.stack.append(_Element(tag, have.union(new) if new else have, (top.main if top else False) if main is None else main))
+
+    def cut(self, i: int) -> None:
+        """Element ``i`` and all inside it end."""
+        for e in reversed(self.stack[i:]):
+            self.at[e.tag].pop()
+            if e.tag in _BLOCK:
+                self.block_at.pop()
+        del self.stack[i:]
+
+    def nearest(self, tags) -> int:
+        """The place of the innermost open element of these tags, or -1."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def path(self) -> tuple[str, ...]:
+        if not self.stack:
+            return ("leaf ",)
+        own = [self.stack[i].tag for i in self.block_at[-2:]]
+        return (*self.stack[-1].features, *dict.fromkeys((f"leaf {'/'.join(own[-1:])}", f"leaf {'/'.join(own)}")))
+
+
+def blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page in order; with ``known`` only these features of ancestors are kept, so that a block takes no
+    more than a model has, however deep it lies. Time and memory are linear in the page."""
     out: list[Block] = []
-    stack: list[tuple[tuple[str, ...], bool]] = []
+    open_ = _Open(known)
     pieces: list[str] = []
     linked = 0
 
@@ -71,7 +118,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(pieces).split()) if pieces else ""
         if text:
-            out.append(Block(tuple(x for x, _ in stack), text, linked, bool(stack) and stack[-1][1]))
+            out.append(Block(open_.path(), text, linked, bool(open_.stack) and open_.stack[-1].main))
         pieces.clear()
         linked = 0
 
@@ -80,7 +127,7 @@ def blocks(page: str) -> list[Block]:
         if raw:
             text = html.unescape(raw)
             pieces.append(text)
-            if any(x[0] == "a" for x, _ in stack):
+            if open_.at.get("a"):
                 linked += len(text.strip())
 
     at, end = 0, len(page)
@@ -97,12 +144,10 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if tag in _BLOCK:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0][0] == tag:
-                    del stack[i:]
-                    break
-                if tag not in _BLOCK and stack[i][0][0] in _BLOCK:
-                    break  # the end of an inline element doesn't end blocks
+            i = open_.nearest([tag])
+            # the end of an inline element doesn't end blocks
+            if i >= 0 and (tag in _BLOCK or not open_.block_at or open_.block_at[-1] < i):
+                open_.cut(i)
             continue
         if tag == "br":
             pieces.append(" ")
@@ -116,32 +161,20 @@ def blocks(page: str) -> list[Block]:
         if tag in _BLOCK:
             flush()
             which, inside = _ENDS[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0][0] in which:
-                    del stack[i:]
-                    break
-                if stack[i][0][0] in inside:
-                    break
+            i = open_.nearest(which)
+            if i > open_.nearest(inside - which):
+                open_.cut(i)
         if tag not in _VOID:  # a slash at the end of other tags means nothing
             names = [w for a in _ATTRIBUTE.finditer(m[3]) for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower())]
-            mark = True if "data-main" in m[3] else False if "data-not" in m[3] else bool(stack) and stack[-1][1]
-            stack.append(((tag, *names), mark))
+            open_.push(tag, names, True if "data-main" in m[3] else False if "data-not" in m[3] else None)
     flush()
     return out
 
 
-@lru_cache(maxsize=100_000)
-def _path_features(path: tuple[tuple[str, ...], ...]) -> tuple[str, ...]:
-    own = [x[0] for x in path if x[0] in _BLOCK]
-    f = {f"in {x[0]}" for x in path} | {f"named {w}" for x in path for w in x[1:]}
-    f |= {f"leaf {'/'.join(own[-1:])}", f"leaf {'/'.join(own[-2:])}"}
-    return tuple(f)
-
-
 def features(b: Block) -> list[str]:
     words, text = b.text.count(" ") + 1, b.text
     share = b.linked / max(len(text), 1)
-    return [*_path_features(b.path), "any", f"words {min(words.bit_length(), 6)}", f"linked {min(int(share * 3), 2)}",
+    return [*b.path, "any", f"words {min(words.bit_length(), 6)}", f"linked {min(int(share * 3), 2)}",
             f"end {text[-1] if text[-1] in '.!?:…»”' else '-'}",
             *(["mark"] if any(c in text for c in "©®|»›") else []),
             *(["digits"] if sum(map(str.isdigit, text)) * 4 > len(text) else [])]
@@ -152,6 +185,10 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)  # for main against not
     transition: tuple[tuple[float, float], tuple[float, float]] = ((0.0, 0.0), (0.0, 0.0))
 
+    @cached_property
+    def known(self) -> frozenset[str]:
+        return frozenset(self.weights)
+
     def labels(self, chain: list[Block]) -> list[bool]:
         """Viterbi: the likeliest labels of a page's blocks."""
         (nn, nm), (mn, mm) = self.transition
@@ -168,7 +205,7 @@ class Model:
         return out[::-1]
 
     def text(self, page: str | None) -> str:
-        chain = blocks(page or "")
+        chain = blocks(page or "", self.known)
         return "\n\n".join(b.text for b, main in zip(chain, self.labels(chain), strict=True) if main)
 
 

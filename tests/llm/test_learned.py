@@ -210,3 +210,23 @@ def test_page_rows(spark, page_model):
 def test_figures_of_empty_texts():
     x = quality.figures(pa.array(["", None, "a"], pa.string()))
     assert x.shape == (3, len(quality.FIGURES)) and not x[:2].any()
+
+
+def test_deep_pages_take_linear_time_and_memory():
+    """Unclosed elements nested fifty thousand deep, with text, names, links and stray ends at every level."""
+    import time
+    import tracemalloc
+
+    model = pages.Model({"any": 9.0, "in div": 0.1, "named x": 0.2, "in a": -0.1, "leaf div/p": 0.3}, ((0.0, 0.0), (0.0, 0.0)))
+
+    def cost(n):
+        page = "".join(f"<div class=x{i}>a </span></article>" + ("<a><b><p>t" if i % 3 == 0 else "<li>u") for i in range(n))
+        begun = time.process_time()
+        tracemalloc.start()
+        text = model.text(page)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return time.process_time() - begun, most, text.count("a")
+
+    small, large = cost(5_000), cost(50_000)
+    assert large[2] == 50_000 and large[0] < 30 * small[0] and large[1] < 20 * small[1]
