@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from custos.llm import decontaminate, mixing, near, quality, repeats
 from custos.llm.queries import mixing_tree
-from custos.llm.scratch import Scratch, fresh
+from custos.llm.scratch import Scratch, column, fresh
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -36,7 +36,7 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     removed, = fresh(docs, "n_removed")
     cut = repeats.drop_repeats(docs, tidy=False)
     length = F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", length.cast("bigint")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return cut.withColumn("n_chars", length.cast("bigint")).select(*[column(c) for c in docs.columns])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
