@@ -67,7 +67,32 @@ def test_a_hot_asset_is_spread_over_tasks(spark):
     many = spark.range(60000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 1500).alias("asset_id"),
                                      F.col("id").alias("item"))
     out = to_many(one, many, "asset_id")
-    assert out.count() == 60000 + 500 and out.where("item is null").count() == 500
+    # ids not divisible by 3 leave 1,000 different remainders by 1,500; 7 is one of them
+    assert out.count() == 60000 + 1000 and out.where("item is null").count() == 1000
     parts = to_many(one, many, "asset_id", "inner", salts=16).groupBy(F.pmod(F.hash("asset_id", F.xxhash64("item") % 16), F.lit(8))).count()
     sizes = [r["count"] for r in parts.collect()]
     assert max(sizes) <= 2 * sum(sizes) / 8
+
+
+def test_equal_child_rows_of_a_hot_asset_are_spread(spark):
+    """A third of the children are one row repeated on one asset; others have none, or null for a key."""
+    from pyspark.sql import functions as F
+
+    from custos.functions.joins import to_many
+    one = spark.range(2000).withColumnRenamed("id", "asset_id")
+    many = spark.range(60000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 100 == 1, None).otherwise(F.col("id") % 1500).alias("asset_id"),
+                                     F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string")).alias("item"))
+    plain = one.join(many, "asset_id", "left")
+    for how in ("left", "inner"):
+        out = to_many(one, many, "asset_id", how, hot_rows=100)
+        want = plain if how == "left" else plain.where("item is not null")
+        assert out.groupBy("asset_id", "item").count().exceptAll(want.groupBy("asset_id", "item").count()).isEmpty() and out.count() == want.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = to_many(one, many, "asset_id", "inner", hot_rows=100).where("asset_id = 7 and item = 'same'")
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 20000 and len(sizes) >= 8 and max(sizes) <= 2 * sum(sizes) / 8
