@@ -17,13 +17,14 @@ Keys are compared with nulls equal. A key that a scan has twice must have the sa
 
 from __future__ import annotations
 
-import json
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from custos.functions.tables import CommitLog
+
 BUCKETS = 16
 
 
@@ -105,36 +106,16 @@ class HistoryTable:
     time: str = "string"  # type of the scan's time
     buckets: int = BUCKETS
 
-    def _path(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
-
-    def _fs(self):
-        p = self._path(self.root)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    @property
+    def log(self) -> CommitLog:
+        return CommitLog(self.spark, self.root)
 
     def state(self) -> dict:
         """The newest commit: {"number", "scan", "open": {bucket: folder}, "closed": [folder, ...]}."""
-        fs, log = self._fs(), self._path(f"{self.root}/_commits")
-        if not fs.exists(log):
-            return {"number": 0, "scan": None, "open": {}, "closed": []}
-        names = sorted(s.getPath().getName() for s in fs.listStatus(log) if s.getPath().getName().endswith(".json"))
-        if not names:
-            return {"number": 0, "scan": None, "open": {}, "closed": []}
-        return json.loads(self.spark.read.text(f"{self.root}/_commits/{names[-1]}", wholetext=True).first()[0])
+        return self.log.newest() or {"number": 0, "scan": None, "open": {}, "closed": []}
 
     def _commit(self, state: dict) -> None:
-        """Write the state beside its place and rename it there: the rename is the commit, and fails if that number exists."""
-        fs = self._fs()
-        fs.mkdirs(self._path(f"{self.root}/_commits"))
-        temporary = self._path(f"{self.root}/_commits/{uuid.uuid4().hex}.tmp")
-        out = fs.create(temporary, True)
-        try:
-            out.write(bytearray(json.dumps(state), "utf-8"))
-        finally:
-            out.close()
-        final = self._path(f"{self.root}/_commits/{state['number']:08d}.json")
-        if fs.exists(final) or not fs.rename(temporary, final):
-            raise RuntimeError(f"another writer has committed number {state['number']}")
+        self.log.commit(state)
 
     def _read(self, folders: list[str]) -> DataFrame:
         ddl = f"{self.schema}, valid_from {self.time}, valid_to {self.time}"
@@ -163,9 +144,9 @@ class HistoryTable:
             *[F.when(F.col("_new").isNotNull(), F.col(c)).otherwise(F.col(f"_k_{c}")).alias(c) for c in k], "_new", "_old")
         stays = F.col("_old").isNotNull() & F.col("_new").eqNullSafe(F.struct(*[F.col("_old")[c].alias(c) for c in v]))
         both = both.withColumns({"bucket": bucket, "_stays": F.coalesce(stays, F.lit(False))})
-        work = f"{self.root}/_work/{state['number'] + 1:08d}-{tag}"
-        both.where("not _stays").write.parquet(work)  # what opens or closes: as large as the change, and all that later steps need
-        moved = self.spark.read.schema(both.schema).parquet(work)
+        work = f"_work/{state['number'] + 1:08d}-{tag}"
+        both.where("not _stays").write.parquet(f"{self.root}/{work}")  # what opens or closes: all that later steps need
+        moved = self.spark.read.schema(both.schema).parquet(f"{self.root}/{work}")
         touched = [r[0] for r in moved.select("bucket").distinct().collect()]  # a row a bucket
         done = {"number": state["number"] + 1, "scan": scan, "open": dict(state["open"]), "closed": list(state["closed"])}
         time = F.lit(scan).cast(self.time)
@@ -182,14 +163,13 @@ class HistoryTable:
             stay = before.join(gone, [before[c].eqNullSafe(gone[f"_k_{c}"]) for c in k], "left_anti").withColumn("bucket", bucket)
             base = f"open/{done['number']:08d}-{tag}"
             stay.unionByName(opened).write.partitionBy("bucket").parquet(f"{self.root}/{base}")
-            fs = self._fs()
             for b in touched:
                 folder = f"{base}/bucket={b}"
                 done["open"].pop(str(b), None)
-                if fs.exists(self._path(f"{self.root}/{folder}")):
+                if self.log.fs().exists(self.log.path(folder)):
                     done["open"][str(b)] = folder
         self._commit(done)
-        self._fs().delete(self._path(work), True)
+        self.log.fs().delete(self.log.path(work), True)
         return {"opened": counts[0], "closed": counts[1], "buckets": len(touched)}
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from custos.functions import columns as C
 from custos.functions import fixed
 from custos.functions.joins import small_side
+from custos.operators import condense
 from custos.operators.assets import clean_assets, owners_dedup
 from custos.session import cut_lineage, ensure_checkpoint_dir
 from custos.sources.catalog import Catalog
@@ -240,7 +241,8 @@ def downstream_counts(cat: Catalog, max_hops: int | None = None, direction: str
 
     ``downstream_count`` is exact below ``threshold`` and never below it otherwise, so that "has
     any" and "has at least ``threshold``" are exact for every graph; above, it is the
-    sketch estimate of ``descendant_sketches``. With ``max_hops`` (only if the caller names it) it is
+    number of ``condense.blast_radius``: one sketch a strongly connected component, made level by level
+    over the acyclic quotient. With ``max_hops`` (only if the caller names it) it is
     the exact number within that many hops. Assets with no consumers are absent (callers
     left-join and coalesce to 0). Computed once per edge table and reused."""
     key = (id(cat.lineage_edges), direction.upper(), max_hops, threshold, lg_config_k)
@@ -251,7 +253,7 @@ def downstream_counts(cat: Catalog, max_hops: int | None = None, direction: str
                 F.count(F.lit(1)).alias("downstream_count"))
         else:
             few = some_descendants(cat, threshold, direction).withColumnRenamed("n", "few")
-            counts = few.join(descendant_sketches(cat, direction, None, lg_config_k), "node").select(
+            counts = few.join(condense.blast_radius(_edges(cat, direction).select("src", "dst"), lg_config_k), "node").select(
                 F.col("node").alias("asset_id"), F.when(F.col("few") < threshold, F.col("few")).otherwise(
                     F.greatest(F.col("n"), F.lit(threshold))).cast("bigint").alias("downstream_count"))
         hit = (cat.lineage_edges, cut_lineage(counts, "radius"))
@@ -309,5 +311,7 @@ def lineage_neighbours(cat: Catalog, node: DataFrame | None = None) -> DataFrame
 def downstream_counts_approx(cat: Catalog, max_hops: int | None = None,
                              direction: str = "DOWNSTREAM", lg_config_k: int = 12) -> DataFrame:
     """G3 from small sketches alone (1.6 % relative standard error)."""
-    return descendant_sketches(cat, direction, max_hops, lg_config_k).select(
+    found = (condense.blast_radius(_edges(cat, direction).select("src", "dst"), lg_config_k) if max_hops is None
+             else descendant_sketches(cat, direction, max_hops, lg_config_k))
+    return found.select(
         F.col("node").alias("asset_id"), F.col("n").alias("downstream_count"))
