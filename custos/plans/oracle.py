@@ -628,6 +628,9 @@ SELECT COALESCE(p.asset_id, c.asset_id) AS asset_id, COALESCE(p.rule, c.rule) AS
  CASE WHEN p.asset_id IS NULL THEN 'new' WHEN c.asset_id IS NULL THEN 'resolved' ELSE 'persisting' END AS status
 FROM prevf p FULL OUTER JOIN fnd c ON p.asset_id = c.asset_id AND p.rule = c.rule""", PREV)
 
+sql("risk_incremental", """
+SELECT asset_id, urn, display_name AS name, CAST(raw_total AS BIGINT) AS raw_total, CAST(score AS BIGINT) AS score, risk_level, CAST(n_findings AS BIGINT) AS n_findings FROM risk""")
+
 SCANS = """seen AS (SELECT DISTINCT l_partkey AS asset_id, CAST(year(l_shipdate) AS VARCHAR) || '-12-31' AS scan FROM lineitem WHERE l_shipdate IS NOT NULL),
 scans AS (SELECT scan, row_number() OVER (ORDER BY scan) AS n, lead(scan) OVER (ORDER BY scan) AS next FROM (SELECT DISTINCT scan FROM seen)),
 fld AS (

@@ -561,6 +561,25 @@ def _schema_history(spark, sf_dir):
     return intervals.from_scans(fields, scans, ["asset_id", "field_path"], ["native_data_type"])
 
 
+@query("risk_incremental")
+def q_risk_incremental(spark, sf_dir):
+    """Scores after two batches on a table that began with the previous schema and the edges of the first line numbers:
+    first the other edges come, then the current schema."""
+    import uuid
+
+    from custos.session import ensure_checkpoint_dir
+    from custos.streaming.rescore import ScoreTable
+
+    cat = cat_of(spark, sf_dir)
+    first = F.col("dst") - 2 * F.col("src") <= 39
+    table = ScoreTable(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/custos-scores-{uuid.uuid4().hex[:12]}")
+    before = cat.with_tables(schema_fields=cat.schema_fields_prev)
+    table.start(before.with_tables(lineage_edges=cat.lineage_edges.where(first)))
+    table.apply(before, cat.assets.select("asset_id").where(F.lit(False)), cat.lineage_edges.where(~first))
+    table.apply(cat, H.schema_diff(cat).select("asset_id").distinct())
+    return table.scores().drop("findings")
+
+
 @query("schema_history")
 def q_schema_history(spark, sf_dir):
     return _schema_history(spark, sf_dir)
