@@ -628,6 +628,53 @@ SELECT COALESCE(p.asset_id, c.asset_id) AS asset_id, COALESCE(p.rule, c.rule) AS
  CASE WHEN p.asset_id IS NULL THEN 'new' WHEN c.asset_id IS NULL THEN 'resolved' ELSE 'persisting' END AS status
 FROM prevf p FULL OUTER JOIN fnd c ON p.asset_id = c.asset_id AND p.rule = c.rule""", PREV)
 
+DETAIL = """pd AS (SELECT pc.*, COALESCE(CASE WHEN s_suppkey % 6 = 0 THEN 'team' || s_suppkey || '@example.com' END,
+  CASE WHEN s_suppkey % 2 = 0 THEN lower(replace(s_name, '#', '.')) || '@example.com' END) AS email, CASE WHEN s_suppkey % 3 = 1 THEN 'Data steward' END AS title
+ FROM pc JOIN supplier ON pc.name = CAST(s_suppkey AS VARCHAR)),
+tm AS (SELECT p_partkey AS asset_id, 1 AS pos, 'urn:li:glossaryTerm:' || lower(p_type) AS term_urn,
+  CASE WHEN p_partkey % 4 <> 0 THEN p_type ELSE lower(p_type) END AS term, 'Parts of type ' || p_type AS description FROM part
+ UNION ALL SELECT p_partkey, 2, 'urn:li:glossaryTerm:personal', 'Personal', NULL FROM part WHERE p_size % 7 = 0 AND p_partkey % 9 <> 0),
+lk AS (SELECT p_partkey AS asset_id, 1 AS pos, 'https://wiki.example/' || p_partkey AS url, p_name AS description FROM part WHERE p_partkey % 3 <> 0
+ UNION ALL SELECT p_partkey, 2, 'https://runbook.example/', NULL FROM part WHERE p_partkey % 5 = 0),
+pr AS (SELECT p_partkey AS asset_id, 'size' AS key, CASE WHEN p_partkey % 10 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END AS value FROM part
+ UNION ALL SELECT p_partkey, 'brand', p_brand FROM part WHERE p_partkey % 13 <> 0
+ UNION ALL SELECT p_partkey, 'note', '' FROM part WHERE p_partkey % 10 <> 0),
+dow AS (SELECT 'urn:li:domain:brand_' || (s_suppkey % 25 + 1) AS domain_urn, CASE WHEN s_suppkey % 50 % 3 = 0 THEN 'urn:li:corpGroup:' ELSE 'urn:li:corpuser:' END || (s_suppkey % 50) AS owner_urn,
+  min(s_suppkey) AS pos, arg_min(CASE WHEN s_suppkey % 2 = 0 THEN 'TECHNICAL_OWNER' ELSE 'BUSINESS_OWNER' END, s_suppkey) AS ownership_type FROM supplier GROUP BY 1, 2)"""
+_KIND = "CASE WHEN starts_with({0}, 'urn:li:corpuser:') THEN 'USER' ELSE 'GROUP' END"
+sql("principal_details", "SELECT owner_urn, " + _KIND.format("owner_urn") + " AS kind, name, display_name, email, title, active FROM pd", DETAIL)
+sql("asset_terms", "SELECT asset_id, urn, pos, term_urn, term, tm.description FROM tm JOIN ca USING (asset_id)", DETAIL)
+sql("asset_links", "SELECT asset_id, urn, pos, url, lk.description FROM lk JOIN ca USING (asset_id)", DETAIL)
+sql("asset_properties", "SELECT asset_id, urn, key, value FROM pr JOIN ca USING (asset_id)", DETAIL)
+_STAMP = "strftime(epoch_ms({0}), '%Y-%m-%dT%H:%M:%S')"
+sql("asset_deprecations", """SELECT asset_id, urn, assets.deprecated, CASE WHEN asset_id % 2 = 0 THEN 'Use ' || p_brand END AS note,
+ CASE WHEN asset_id % 3 = 0 THEN """ + _STAMP.format("1735689600000 + asset_id * 1000") + """ END AS decommission_time
+FROM assets JOIN part ON p_partkey = asset_id WHERE assets.deprecated IS NOT NULL""", DETAIL)
+sql("schema_detail", """SELECT asset_id, urn, pos, field_path, CASE WHEN pos = 1 THEN 'Identifier' END AS label, CASE WHEN pos = 1 THEN 'NUMBER' ELSE 'STRING' END AS type, native_data_type,
+ CASE WHEN pos = 1 THEN FALSE WHEN asset_id % 5 <> 0 THEN TRUE END AS nullable, pos = 1 AS is_part_of_key,
+ CASE WHEN pos = 1 AND asset_id % 7 <> 0 THEN 1 END AS key_pos, NULL AS description FROM schema_fields JOIN (SELECT asset_id, urn FROM ca) USING (asset_id)""", DETAIL)
+sql("asset_detail", """SELECT asset_id, urn, name, platform, description, deprecated, domain_urn, qualified_name, external_url, sub_types,
+ strftime(last_modified, '%Y-%m-%dT%H:%M:%S') AS last_modified, strftime(last_ingested, '%Y-%m-%dT%H:%M:%S') AS last_ingested,
+ CASE WHEN asset_id % 12 <> 5 THEN """ + _STAMP.format("1672531200000 + asset_id * 60000") + """ END AS created,
+ CASE WHEN deprecated AND asset_id % 2 = 0 THEN 'Use ' || p_brand END AS deprecation_note,
+ (SELECT count(*) FROM od WHERE od.asset_id = ca.asset_id) AS n_owners, (SELECT count(*) FROM asset_tags t WHERE t.asset_id = ca.asset_id) AS n_tags,
+ (SELECT count(*) FROM tm WHERE tm.asset_id = ca.asset_id) AS n_terms, (SELECT count(*) FROM schema_fields s WHERE s.asset_id = ca.asset_id) AS n_fields,
+ CASE WHEN asset_id % 7 <> 0 THEN 1 ELSE 0 END AS n_keys, (SELECT count(*) FROM lk WHERE lk.asset_id = ca.asset_id) AS n_links,
+ (SELECT count(*) FROM pr WHERE pr.asset_id = ca.asset_id) AS n_properties, TRUE AS found
+FROM ca JOIN part ON p_partkey = asset_id""", DETAIL)
+sql("tag_vocabulary", """SELECT COALESCE(v.tag_urn, u.tag_urn) AS tag_urn, COALESCE(v.name, u.tag) AS name, v.description, v.color_hex, CAST(COALESCE(u.n, 0) AS BIGINT) AS asset_count
+FROM (SELECT 'urn:li:tag:tier-1' AS tag_urn, 'Tier 1' AS name, 'Most important' AS description, '#ff0000' AS color_hex
+ UNION ALL SELECT 'urn:li:tag:PII', NULL, 'Personal data', NULL UNION ALL SELECT 'urn:li:tag:legacy', 'Legacy', NULL, '#cccccc'
+ UNION ALL SELECT DISTINCT 'urn:li:tag:' || lower(p_brand), p_brand, NULL, NULL FROM part) v
+FULL OUTER JOIN (SELECT 'urn:li:tag:' || tag AS tag_urn, tag, count(DISTINCT asset_id) AS n FROM asset_tags GROUP BY tag) u ON u.tag_urn = v.tag_urn""", DETAIL)
+sql("domain_detail", """SELECT dc.domain_urn, CASE dc.domain_urn WHEN 'urn:li:domain:empty' THEN NULL WHEN 'urn:li:domain:unnamed' THEN 'unnamed' ELSE lower(domain_name) END AS id,
+ domain_name AS name, CASE WHEN dc.domain_urn NOT IN ('urn:li:domain:empty', 'urn:li:domain:unnamed') THEN 'Parts of ' || domain_name END AS description,
+ (SELECT count(*) FROM ca WHERE ca.domain_urn = dc.domain_urn) AS entity_count, (SELECT count(*) FROM dow WHERE dow.domain_urn = dc.domain_urn) AS owner_count FROM dc""", DETAIL)
+sql("domain_owners", "SELECT domain_urn, dow.pos, dow.owner_urn, " + _KIND.format("dow.owner_urn") + """ AS kind,
+ COALESCE(display_name, split_part(dow.owner_urn, ':', 4)) AS display_name, ownership_type FROM dow LEFT JOIN pc ON pc.owner_urn = dow.owner_urn""", DETAIL)
+sql("dataset_owners", "SELECT od.asset_id, urn, od.pos, od.owner_urn, " + _KIND.format("od.owner_urn") + """ AS kind, ownership_type, pd.name, pd.display_name, email, title
+FROM od JOIN ca ON ca.asset_id = od.asset_id AND ca.deprecated LEFT JOIN pd ON pd.owner_urn = od.owner_urn""", DETAIL)
+
 sql("risk_incremental", """
 SELECT asset_id, urn, display_name AS name, CAST(raw_total AS BIGINT) AS raw_total, CAST(score AS BIGINT) AS score, risk_level, CAST(n_findings AS BIGINT) AS n_findings FROM risk""")
 

@@ -500,6 +500,7 @@ def q_findings_json(spark, sf_dir):
 
 # --- phase 8: sinks and history ----------------------------------------------------------------
 
+from custos.operators import detail  # noqa: E402
 from custos.operators import history as H  # noqa: E402
 from custos.operators import intervals  # noqa: E402
 
@@ -561,6 +562,26 @@ def _schema_history(spark, sf_dir):
     return intervals.from_scans(fields, scans, ["asset_id", "field_path"], ["native_data_type"])
 
 
+def _detail(name, operator):
+    def run(spark, sf_dir):
+        return operator(cat_of(spark, sf_dir))
+    QUERIES[name] = run
+
+
+for _name, _operator in (("principal_details", detail.principal_details), ("asset_terms", detail.asset_terms), ("asset_links", detail.asset_links),
+                         ("asset_properties", detail.asset_properties), ("asset_deprecations", detail.deprecations), ("schema_detail", detail.schema_detail),
+                         ("asset_detail", detail.asset_detail), ("tag_vocabulary", detail.tag_vocabulary), ("domain_detail", detail.domain_detail),
+                         ("domain_owners", detail.domain_owner_list)):
+    _detail(_name, _operator)
+
+
+@query("dataset_owners")
+def q_dataset_owners(spark, sf_dir):
+    """Owners of the deprecated datasets, asked for by URN."""
+    cat = cat_of(spark, sf_dir)
+    return detail.dataset_owners(cat, A.clean_assets(cat).where("deprecated").select("urn"))
+
+
 @query("risk_incremental")
 def q_risk_incremental(spark, sf_dir):
     """Scores after two batches on a table that began with the previous schema and the edges of the first line numbers:

@@ -16,6 +16,15 @@ Tables (long, one row per fact; nothing nested that can grow without bound):
 * ``questions``         question_id, question
 * ``run_trace``         run_id, seq, node, status, duration_ms
 * ``activity_events``   event_id, ts, kind, title
+* ``glossary_terms``    asset_id, pos, term_urn, name, description
+* ``links``             asset_id, pos, url, description
+* ``custom_properties`` asset_id, pos, key, value
+* ``primary_keys``      asset_id, pos, field_path
+* ``tags``              tag_urn, name, description, color_hex (the vocabulary, used or not)
+* ``domain_owners``     domain_urn, pos, owner_urn, ownership_type
+
+Optional columns: ``assets`` created_ms, deprecation_note, decommission_ms; ``schema_fields`` label, type, nullable,
+is_part_of_key; ``domains`` id, description; ``principals`` email, editable_email, title.
 
 ``Catalog.from_testdata`` derives all of them from the TPC-H-style test tables
 with a fixed deterministic rule (the modulo expressions pick synthetic
@@ -33,7 +42,7 @@ from pyspark.sql import functions as F
 
 TABLES = ("assets", "domains", "principals", "ownership", "asset_tags", "schema_fields",
           "schema_fields_prev", "lineage_edges", "profiles", "usage_events", "questions",
-          "run_trace", "activity_events")
+          "run_trace", "activity_events", "glossary_terms", "links", "custom_properties", "primary_keys", "tags", "domain_owners")
 
 # FIXED VALUES: platform per p_size % 5, in residue order 0..4.
 PLATFORMS = ["snowflake", "postgres", "kafka", "dbt", "looker"]
@@ -56,6 +65,12 @@ class Catalog:
     questions: DataFrame | None = None
     run_trace: DataFrame | None = None
     activity_events: DataFrame | None = None
+    glossary_terms: DataFrame | None = None
+    links: DataFrame | None = None
+    custom_properties: DataFrame | None = None
+    primary_keys: DataFrame | None = None
+    tags: DataFrame | None = None
+    domain_owners: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -190,12 +205,16 @@ def derive_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         F.when(pk % 10 != 0, F.concat(F.lower("p_type"), F.lit("."), under)).alias("qualified_name"),
         F.when(pk % 3 == 0, F.concat(F.lit("https://catalogue.example/"), pk.cast("string"))).alias("external_url"),
         F.when(F.col("p_size") % 2 == 0, "Table").otherwise("View").alias("sub_types"),
+        F.when(pk % 12 != 5, F.lit(1672531200000) + pk * 60000).alias("created_ms"),
+        F.when(pk % 2 == 0, F.concat(F.lit(" Use "), "p_brand", F.lit(" "))).alias("deprecation_note"),
+        F.when(pk % 3 == 0, F.lit(1735689600000) + pk * 1000).alias("decommission_ms"),
     )
 
     fixed_domains = spark.createDataFrame(
-        [("urn:li:domain:empty", "Empty"), ("urn:li:domain:unnamed", None)],
-        "domain_urn string, name string")
-    domains = (part.select(domain_of_brand.alias("domain_urn"), F.col("p_brand").alias("name"))
+        [("urn:li:domain:empty", "Empty", None, " "), ("urn:li:domain:unnamed", None, "unnamed", None)],
+        "domain_urn string, name string, id string, description string")
+    domains = (part.select(domain_of_brand.alias("domain_urn"), F.col("p_brand").alias("name"), F.lower("p_brand").alias("id"),
+                           F.concat(F.lit("Parts of "), "p_brand").alias("description"))
                .distinct().unionByName(fixed_domains))
 
     sk = F.col("s_suppkey")
@@ -204,7 +223,13 @@ def derive_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         F.col("s_name").alias("display_name"),
         F.when(sk % 4 == 0, F.concat(F.lit("Team "), "s_name")).alias("editable_display_name"),
         (F.col("s_acctbal") > 0).alias("active"),
+        F.when(sk % 2 == 0, F.concat(F.lower(F.replace("s_name", F.lit("#"), F.lit("."))), F.lit("@example.com"))).alias("email"),
+        F.when(sk % 6 == 0, F.concat(F.lit("team"), sk.cast("string"), F.lit("@example.com"))).alias("editable_email"),
+        F.when(sk % 3 == 1, F.lit("Data steward")).alias("title"),
     )
+    domain_owners = supplier.select(
+        F.concat(F.lit("urn:li:domain:brand_"), (sk % 25 + 1).cast("string")).alias("domain_urn"), sk.alias("pos"),
+        _owner_urn(sk % 50).alias("owner_urn"), F.when(sk % 2 == 0, "TECHNICAL_OWNER").otherwise("BUSINESS_OWNER").alias("ownership_type"))
 
     ownership = lineitem.select(
         F.col("l_partkey").alias("asset_id"),
@@ -218,11 +243,33 @@ def derive_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
                   .unionByName(part.where(F.col("p_size") % 7 == 0).select(pk.alias("asset_id"), F.lit("PII").alias("tag")))
                   .unionByName(part.where(F.col("p_size") % 3 == 0).select(pk.alias("asset_id"), F.lit("certified").alias("tag"))))
 
+    none = F.lit(None).cast("string")
     schema_fields = (part.select(pk.alias("asset_id"), F.lit(1).alias("pos"), F.lit("id").alias("field_path"),
-                                 F.lit("BIGINT").alias("native_data_type"))
+                                 F.lit("BIGINT").alias("native_data_type"), F.lit("Identifier").alias("label"),
+                                 F.lit("NUMBER").alias("type"), F.lit(False).alias("nullable"), F.lit(True).alias("is_part_of_key"))
                      .unionByName(part.select(pk.alias("asset_id"), F.lit(2).alias("pos"),
                                               _by_residue(pk % 4, SECOND_FIELDS).alias("field_path"),
-                                              F.lit("VARCHAR").alias("native_data_type"))))
+                                              F.lit("VARCHAR").alias("native_data_type"), none.alias("label"), F.lit("STRING").alias("type"),
+                                              F.when(pk % 5 != 0, True).alias("nullable"), F.lit(None).cast("boolean").alias("is_part_of_key"))))
+    primary_keys = part.where(pk % 7 != 0).select(pk.alias("asset_id"), F.lit(1).alias("pos"), F.lit("id").alias("field_path"))
+    term = F.concat(F.lit("urn:li:glossaryTerm:"), F.lower("p_type"))
+    glossary_terms = (part.select(pk.alias("asset_id"), F.lit(1).alias("pos"), term.alias("term_urn"), F.when(pk % 4 != 0, F.col("p_type")).alias("name"),
+                                  F.concat(F.lit("Parts of type "), "p_type").alias("description"))
+                      .unionByName(part.where(F.col("p_size") % 7 == 0).select(
+                          pk.alias("asset_id"), F.lit(2).alias("pos"), F.when(pk % 9 != 0, "urn:li:glossaryTerm:personal").alias("term_urn"),
+                          F.lit("Personal").alias("name"), none.alias("description"))))
+    links = part.select(pk.alias("asset_id"), F.explode(F.array(
+        F.struct(F.lit(1).alias("pos"), F.when(pk % 3 != 0, F.concat(F.lit(" https://wiki.example/"), pk.cast("string"))).alias("url"), F.col("p_name").alias("description")),
+        F.struct(F.lit(2).alias("pos"), F.when(pk % 5 == 0, F.lit("https://runbook.example/")).otherwise("  ").alias("url"), none.alias("description")))).alias("l")).select("asset_id", "l.*")
+    custom_properties = part.select(pk.alias("asset_id"), F.explode(F.array(
+        F.struct(F.lit(1).alias("pos"), F.lit("size").alias("key"), F.col("p_size").cast("string").alias("value")),
+        F.struct(F.lit(2).alias("pos"), F.when(pk % 13 != 0, "brand").otherwise(" ").alias("key"), F.col("p_brand").alias("value")),
+        F.struct(F.lit(3).alias("pos"), F.when(pk % 10 == 0, " size ").otherwise("note").alias("key"), none.alias("value")))).alias("p")).select("asset_id", "p.*")
+    fixed_tags = spark.createDataFrame(
+        [("urn:li:tag:tier-1", "Tier 1", "Most important", "#ff0000"), ("urn:li:tag:PII", None, "Personal data", None), ("urn:li:tag:legacy", "Legacy", " ", "#cccccc")],
+        "tag_urn string, name string, description string, color_hex string")
+    tags = fixed_tags.unionByName(part.select(F.concat(F.lit("urn:li:tag:"), F.lower("p_brand")).alias("tag_urn"), F.col("p_brand").alias("name"),
+                                              none.alias("description"), none.alias("color_hex")).distinct())
     schema_fields_prev = (
         part.select(pk.alias("asset_id"), F.lit(1).alias("pos"), F.lit("id").alias("field_path"),
                     F.when(pk % 8 == 0, "INT").otherwise("BIGINT").alias("native_data_type"))
@@ -283,4 +330,5 @@ def derive_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
                    asset_tags=asset_tags, schema_fields=schema_fields,
                    schema_fields_prev=schema_fields_prev, lineage_edges=lineage_edges,
                    profiles=profiles, usage_events=usage_events, questions=questions,
-                   run_trace=run_trace, activity_events=activity_events)
+                   run_trace=run_trace, activity_events=activity_events, glossary_terms=glossary_terms, links=links,
+                   custom_properties=custom_properties, primary_keys=primary_keys, tags=tags, domain_owners=domain_owners)
