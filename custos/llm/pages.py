@@ -52,6 +52,9 @@ _ENDS = {**{t: ({"p"}, {"body", "article", "section", "div", "td", "li", "button
          "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
 
 
+MADE = 2000  # sets of features remembered for a page
+
+
 @dataclass
 class Block:
     path: tuple[str, ...]  # features of the ancestors: their tags, words of their attributes, the innermost block tags
@@ -77,15 +80,22 @@ class _Open:
         self.stack: list[_Element] = []
         self.at: dict[str, list[int]] = {}
         self.block_at: list[int] = []
+        self.made: dict[tuple, frozenset[str]] = {}  # of an element's parent, tag and names, as these return
 
     def push(self, tag: str, names: list[str], main: bool | None) -> None:
         top = self.stack[-1] if self.stack else None
         have = top.features if top else frozenset()
-        new = [f for f in (f"in {tag}", *(f"named {w}" for w in names)) if f not in have and (self.known is None or f in self.known)]
+        key = (have, tag, *names)
+        features = self.made.get(key)
+        if features is None:
+            new = [f for f in (f"in {tag}", *(f"named {w}" for w in names)) if f not in have and (self.known is None or f in self.known)]
+            features = have.union(new) if new else have
+            if len(self.made) < MADE:
+                self.made[key] = features
         self.at.setdefault(tag, []).append(len(self.stack))
         if tag in _BLOCK:
             self.block_at.append(len(self.stack))
-        self.stack.append(_Element(tag, have.union(new) if new else have, (top.main if top else False) if main is None else main))
+        self.stack.append(_Element(tag, features, (top.main if top else False) if main is None else main))
 
     def cut(self, i: int) -> None:
         """Element ``i`` and all inside it end."""
@@ -97,7 +107,12 @@ class _Open:
 
     def nearest(self, tags) -> int:
         """The place of the innermost open element of these tags, or -1."""
-        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+        best, at = -1, self.at
+        for t in tags:
+            places = at.get(t)
+            if places and places[-1] > best:
+                best = places[-1]
+        return best
 
     def path(self) -> tuple[str, ...]:
         if not self.stack:
@@ -144,7 +159,7 @@ def blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
         if m[1]:
             if tag in _BLOCK:
                 flush()
-            i = open_.nearest([tag])
+            i = open_.nearest((tag,))
             # the end of an inline element doesn't end blocks
             if i >= 0 and (tag in _BLOCK or not open_.block_at or open_.block_at[-1] < i):
                 open_.cut(i)
@@ -162,7 +177,7 @@ def blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
             flush()
             which, inside = _ENDS[tag]
             i = open_.nearest(which)
-            if i > open_.nearest(inside - which):
+            if i >= 0 and i > open_.nearest(inside - which):
                 open_.cut(i)
         if tag not in _VOID:  # a slash at the end of other tags means nothing
             names = [w for a in _ATTRIBUTE.finditer(m[3]) for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower())]
