@@ -675,6 +675,17 @@ sql("domain_owners", "SELECT domain_urn, dow.pos, dow.owner_urn, " + _KIND.forma
 sql("dataset_owners", "SELECT od.asset_id, urn, od.pos, od.owner_urn, " + _KIND.format("od.owner_urn") + """ AS kind, ownership_type, pd.name, pd.display_name, email, title
 FROM od JOIN ca ON ca.asset_id = od.asset_id AND ca.deprecated LEFT JOIN pd ON pd.owner_urn = od.owner_urn""", DETAIL)
 
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+# each column's figures by UNPIVOT; what is no number has none
+ORACLE["column_profile_merged"] = "\nUNION ALL ".join(
+    f"""SELECT '{t}' AS table_name, n.column_name, (SELECT count(*) FROM {t}) AS row_count, (SELECT count(*) FROM {t}) - n.v AS null_count,
+ CASE WHEN k.num THEN TRY_CAST(lo.v AS DOUBLE) + 0.0 END AS min, CASE WHEN k.num THEN TRY_CAST(hi.v AS DOUBLE) + 0.0 END AS max, CASE WHEN k.num THEN round(mean.v, 4) + 0.0 END AS mean
+FROM (UNPIVOT (SELECT count(COLUMNS(*)) FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE v) n
+LEFT JOIN (UNPIVOT (SELECT CAST(min(COLUMNS(*)) AS VARCHAR) FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE v) lo USING (column_name)
+LEFT JOIN (UNPIVOT (SELECT CAST(max(COLUMNS(*)) AS VARCHAR) FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE v) hi USING (column_name)
+LEFT JOIN (UNPIVOT (SELECT avg(TRY_CAST(CAST(COLUMNS(*) AS VARCHAR) AS DOUBLE)) FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE v) mean USING (column_name)
+JOIN (SELECT column_name, column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') AS num FROM (DESCRIBE {t})) k USING (column_name)""" for t in _TABLES)
+
 sql("risk_incremental", """
 SELECT asset_id, urn, display_name AS name, CAST(raw_total AS BIGINT) AS raw_total, CAST(score AS BIGINT) AS score, risk_level, CAST(n_findings AS BIGINT) AS n_findings FROM risk""")
 
