@@ -251,8 +251,8 @@ def asset_facts(cat: Catalog, downstream: DataFrame | None = None,
 
 # --- P10: governance row -----------------------------------------------------------
 
-def governance_assets(cat: Catalog, downstream: DataFrame | None = None) -> DataFrame:
-    f = asset_facts(cat, downstream)
+def governance_assets(cat: Catalog, downstream: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
+    f = facts if facts is not None else asset_facts(cat, downstream)
     has_owner = F.col("owner_count") > 0
     has_desc = F.col("description").isNotNull()
     has_tags = F.col("tag_count") > 0

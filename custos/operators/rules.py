@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from custos.functions import columns as C
 from custos.functions import fixed
+from custos.functions.tables import Workspace
 from custos.operators.assets import asset_facts, clean_assets, owners_dedup, schema_clean, tag_stats
 from custos.sources.catalog import Catalog
 
@@ -129,24 +130,38 @@ def findings(cat: Catalog, downstream: DataFrame | None = None,
         F.col("x.points").cast("bigint").alias("points"), F.col("x.detail").alias("detail"))
 
 
+def written_facts(cat: Catalog, downstream: DataFrame | None = None, threshold: int = fixed.DOWNSTREAM_THRESHOLD) -> DataFrame:
+    """``scored_facts`` as a table, computed once a catalogue and session. Everything that shows findings, scores or governance
+    rows reads it with ``facts=``, and only the columns it needs."""
+    key = (id(cat.assets), id(cat.schema_fields), id(downstream), threshold)
+    hit = _FACTS.get(key)
+    if hit is None:
+        table = Workspace(cat.spark).table(scored_facts(cat, downstream, threshold), keep=True)
+        hit = _FACTS[key] = (cat, downstream, table)
+    return hit[2]
+
+
+_FACTS: dict = {}
+
+
 def rule_findings(cat: Catalog, rule: str, downstream: DataFrame | None = None,
-                  threshold: int = fixed.DOWNSTREAM_THRESHOLD) -> DataFrame:
+                  threshold: int = fixed.DOWNSTREAM_THRESHOLD, facts: DataFrame | None = None) -> DataFrame:
     """One rule's findings only (R1-R6 individually)."""
-    return findings(cat, downstream, threshold).where(F.col("rule") == rule)
+    return findings(cat, downstream, threshold, facts=facts).where(F.col("rule") == rule)
 
 
 def asset_risk_score(cat: Catalog, downstream: DataFrame | None = None,
-                     threshold: int = fixed.DOWNSTREAM_THRESHOLD) -> DataFrame:
+                     threshold: int = fixed.DOWNSTREAM_THRESHOLD, facts: DataFrame | None = None) -> DataFrame:
     """A1 / A3: every asset's raw total, capped score and band (no findings -> 0, low)."""
-    f = scored_facts(cat, downstream, threshold)
+    f = facts if facts is not None else scored_facts(cat, downstream, threshold)
     return f.select("asset_id", "urn", F.col("display_name").alias("name"), "raw_total",
                     "score", "risk_level", "n_findings")
 
 
 def catalogue_verdict(cat: Catalog, downstream: DataFrame | None = None,
-                      threshold: int = fixed.DOWNSTREAM_THRESHOLD) -> DataFrame:
+                      threshold: int = fixed.DOWNSTREAM_THRESHOLD, facts: DataFrame | None = None) -> DataFrame:
     """A2: the catalogue score is the worst asset's score; findings accumulate."""
-    f = scored_facts(cat, downstream, threshold)
+    f = facts if facts is not None else scored_facts(cat, downstream, threshold)
     out = f.agg(F.coalesce(F.max("score"), F.lit(0)).cast("bigint").alias("score"),
                 F.count(F.lit(1)).alias("assets_examined"),
                 F.coalesce(F.sum("n_findings"), F.lit(0)).cast("bigint").alias("total_findings"),
@@ -155,10 +170,10 @@ def catalogue_verdict(cat: Catalog, downstream: DataFrame | None = None,
 
 
 def score_reconcile(cat: Catalog, stored: DataFrame, downstream: DataFrame | None = None,
-                    threshold: int = fixed.DOWNSTREAM_THRESHOLD) -> DataFrame:
+                    threshold: int = fixed.DOWNSTREAM_THRESHOLD, facts: DataFrame | None = None) -> DataFrame:
     """Recompute each asset's score from its findings' points and keep the
     rows that disagree with the stored score (``stored``: asset_id, score)."""
-    recomputed = (findings(cat, downstream, threshold).groupBy("asset_id")
+    recomputed = (findings(cat, downstream, threshold, facts=facts).groupBy("asset_id")
                   .agg(F.sum("points").alias("raw_total"))
                   .select("asset_id", F.least(F.lit(fixed.SCORE_CAP), "raw_total").alias("recomputed")))
     s = stored.select("asset_id", F.col("score").alias("stored_score"))
@@ -169,13 +184,13 @@ def score_reconcile(cat: Catalog, stored: DataFrame, downstream: DataFrame | Non
 
 def evidence(cat: Catalog, downstream: DataFrame | None = None,
              threshold: int = fixed.DOWNSTREAM_THRESHOLD,
-             root_totals: DataFrame | None = None) -> DataFrame:
+             root_totals: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
     """The compact evidence row per asset.
 
     Owner and tag lists stay in their long tables (J1, J3); the row carries the
     first owner, counts, the triggered rules (at most one per rule, so bounded)
     and - only on the traced root - the lineage totals."""
-    f = scored_facts(cat, downstream, threshold)
+    f = facts if facts is not None else scored_facts(cat, downstream, threshold)
     rules = default_rules(threshold)
     triggered = F.filter(F.array(*[F.when(F.col(f"r_{r.key}"), F.lit(r.key)) for r in rules]),
                          lambda x: x.isNotNull())

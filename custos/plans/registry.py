@@ -38,6 +38,11 @@ def _with_downstream(spark, sf_dir):
     return cat, G.downstream_counts(cat)
 
 
+def _facts(spark, sf_dir):
+    cat, ds = _with_downstream(spark, sf_dir)
+    return cat, R.written_facts(cat, ds)
+
+
 # --- phase 1: cleaning -------------------------------------------------------------
 
 @query("clean_assets")
@@ -125,26 +130,24 @@ def q_downstream_counts(spark, sf_dir):
 
 @query("findings")
 def q_findings(spark, sf_dir):
-    cat, ds = _with_downstream(spark, sf_dir)
-    return R.findings(cat, ds)
+    return _fnd(spark, sf_dir)[1]
 
 
 @query("asset_risk_score")
 def q_asset_risk_score(spark, sf_dir):
-    cat, ds = _with_downstream(spark, sf_dir)
-    return R.asset_risk_score(cat, ds)
+    cat, facts = _facts(spark, sf_dir)
+    return R.asset_risk_score(cat, facts=facts)
 
 
 @query("catalogue_verdict")
 def q_catalogue_verdict(spark, sf_dir):
-    cat, ds = _with_downstream(spark, sf_dir)
-    return R.catalogue_verdict(cat, ds)
+    cat, facts = _facts(spark, sf_dir)
+    return R.catalogue_verdict(cat, facts=facts)
 
 
 @query("governance_assets")
 def q_governance_assets(spark, sf_dir):
-    cat, ds = _with_downstream(spark, sf_dir)
-    return A.governance_assets(cat, ds)
+    return _gov(spark, sf_dir)[1]
 
 
 def queries() -> dict[str, Query]:
@@ -208,13 +211,13 @@ from custos.operators import rollups as U  # noqa: E402
 
 
 def _gov(spark, sf_dir):
-    cat, ds = _with_downstream(spark, sf_dir)
-    return cat, ds, A.governance_assets(cat, ds)
+    cat, facts = _facts(spark, sf_dir)
+    return cat, A.governance_assets(cat, facts=facts)
 
 
 def _fnd(spark, sf_dir):
-    cat, ds = _with_downstream(spark, sf_dir)
-    return cat, ds, R.findings(cat, ds)
+    cat, facts = _facts(spark, sf_dir)
+    return cat, R.findings(cat, facts=facts)
 
 
 @query("owner_facet")
@@ -254,28 +257,28 @@ def q_entity_search_ranked(spark, sf_dir):
 
 @query("severity_counts")
 def q_severity_counts(spark, sf_dir):
-    return U.severity_counts(_gov(spark, sf_dir)[2])
+    return U.severity_counts(_gov(spark, sf_dir)[1])
 
 
 @query("severity_share")
 def q_severity_share(spark, sf_dir):
-    return U.severity_share(_gov(spark, sf_dir)[2])
+    return U.severity_share(_gov(spark, sf_dir)[1])
 
 
 @query("severity_filter")
 def q_severity_filter(spark, sf_dir):
-    return U.severity_filter(_gov(spark, sf_dir)[2], "critical")
+    return U.severity_filter(_gov(spark, sf_dir)[1], "critical")
 
 
 @query("overview_metrics")
 def q_overview_metrics(spark, sf_dir):
-    cat, _ds, gov = _gov(spark, sf_dir)
+    cat, gov = _gov(spark, sf_dir)
     return U.overview_metrics(cat, gov)
 
 
 @query("facet_coverage")
 def q_facet_coverage(spark, sf_dir):
-    return U.facet_coverage(_gov(spark, sf_dir)[2])
+    return U.facet_coverage(_gov(spark, sf_dir)[1])
 
 
 @query("platform_counts")
@@ -290,58 +293,57 @@ def q_entity_counts(spark, sf_dir):
 
 @query("risk_breakdown")
 def q_risk_breakdown(spark, sf_dir):
-    return U.risk_breakdown(_fnd(spark, sf_dir)[2])
+    return U.risk_breakdown(_fnd(spark, sf_dir)[1])
 
 
 @query("findings_by_severity")
 def q_findings_by_severity(spark, sf_dir):
-    return U.findings_by_severity(_fnd(spark, sf_dir)[2])
+    return U.findings_by_severity(_fnd(spark, sf_dir)[1])
 
 
 @query("findings_by_title")
 def q_findings_by_title(spark, sf_dir):
-    return U.findings_by_title(_fnd(spark, sf_dir)[2])
+    return U.findings_by_title(_fnd(spark, sf_dir)[1])
 
 
 @query("top_findings")
 def q_top_findings(spark, sf_dir):
-    return U.top_findings(_fnd(spark, sf_dir)[2])
+    return U.top_findings(_fnd(spark, sf_dir)[1])
 
 
 @query("alert_count")
 def q_alert_count(spark, sf_dir):
-    return U.alert_count(_fnd(spark, sf_dir)[2])
+    return U.alert_count(_fnd(spark, sf_dir)[1])
 
 
 @query("critical_findings")
 def q_critical_findings(spark, sf_dir):
-    return U.critical_findings(_fnd(spark, sf_dir)[2])
+    return U.critical_findings(_fnd(spark, sf_dir)[1])
 
 
 @query("top_risk_assets")
 def q_top_risk_assets(spark, sf_dir):
-    return U.top_risk_assets(_gov(spark, sf_dir)[2])
+    return U.top_risk_assets(_gov(spark, sf_dir)[1])
 
 
 @query("business_impact")
 def q_business_impact(spark, sf_dir):
-    cat, ds = _with_downstream(spark, sf_dir)
-    return U.business_impact(R.scored_facts(cat, ds))
+    return U.business_impact(_facts(spark, sf_dir)[1])
 
 
 @query("finding_rule_docs")
 def q_finding_rule_docs(spark, sf_dir):
-    return U.finding_rule_docs(_fnd(spark, sf_dir)[2])
+    return U.finding_rule_docs(_fnd(spark, sf_dir)[1])
 
 
 @query("recommendations")
 def q_recommendations(spark, sf_dir):
-    return U.recommendations(_fnd(spark, sf_dir)[2])
+    return U.recommendations(_fnd(spark, sf_dir)[1])
 
 
 @query("name_to_urn")
 def q_name_to_urn(spark, sf_dir):
-    cat, _ds, f = _fnd(spark, sf_dir)
+    cat, f = _fnd(spark, sf_dir)
     names = A.clean_assets(cat).select(F.upper("display_name").alias("name")).distinct()
     return U.name_to_urn(names, f)
 
@@ -358,18 +360,18 @@ def q_evidence_totals(spark, sf_dir):
 
 @query("notification_feed")
 def q_notification_feed(spark, sf_dir):
-    cat, ds = _with_downstream(spark, sf_dir)
-    return U.notification_feed(cat, R.findings(cat, ds), A.governance_assets(cat, ds))
+    cat, facts = _facts(spark, sf_dir)
+    return U.notification_feed(cat, R.findings(cat, facts=facts), A.governance_assets(cat, facts=facts))
 
 
 @query("asset_page")
 def q_asset_page(spark, sf_dir):
-    return A.asset_page(_gov(spark, sf_dir)[2].select("asset_id", "urn", "name", "health"), 40, 25)
+    return A.asset_page(_gov(spark, sf_dir)[1].select("asset_id", "urn", "name", "health"), 40, 25)
 
 
 @query("governance_sorted")
 def q_governance_sorted(spark, sf_dir):
-    g = _gov(spark, sf_dir)[2].select("asset_id", "urn", "name", "owner", "health", "severity")
+    g = _gov(spark, sf_dir)[1].select("asset_id", "urn", "name", "owner", "health", "severity")
     return A.governance_sorted(g, "health", "asc")
 
 
@@ -380,9 +382,9 @@ def q_unowned_first(spark, sf_dir):
 
 @query("evidence")
 def q_evidence(spark, sf_dir):
-    cat, ds = _with_downstream(spark, sf_dir)
+    cat, facts = _facts(spark, sf_dir)
     totals = G.lineage_totals(cat, G.lineage_root(cat).select("root"), ROOTED_MAX_HOPS)
-    return R.evidence(cat, ds, root_totals=totals)
+    return R.evidence(cat, root_totals=totals, facts=facts)
 
 
 # --- phase 6: profiling and usage ------------------------------------------------------------
@@ -396,6 +398,25 @@ def q_column_profile(spark, sf_dir):
     return P.profile_tables(spark, sf_dir)
 
 
+ALL_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
+
+
+@query("column_profile_merged")
+def q_column_profile_merged(spark, sf_dir):
+    """Every column of all 14 tables, from the merged profiles of their files (the exact figures; the sketches' are in ``merge``)."""
+    import uuid
+
+    from custos.operators.sketch_profile import ProfileTable
+    from custos.session import ensure_checkpoint_dir
+
+    table = ProfileTable(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/custos-profiles-{uuid.uuid4().hex[:12]}")
+    for name in ALL_TABLES:
+        table.update(name, spark.read.parquet(f"{sf_dir}/{name}.parquet").inputFiles())
+    number = lambda c: F.when(F.col("kind").isin("integer", "real"), F.col(c) + 0.0).alias(c)
+    return table.profile().select("table_name", "column_name", "row_count", "null_count", number("min"), number("max"),
+                                  F.round(number("mean"), 4).alias("mean"))
+
+
 @query("profile_history")
 def q_profile_history(spark, sf_dir):
     return P.profile_history(cat_of(spark, sf_dir), 3)
@@ -458,8 +479,8 @@ from custos.operators import reports as T  # noqa: E402
 
 @query("scan_summary")
 def q_scan_summary(spark, sf_dir):
-    cat, ds = _with_downstream(spark, sf_dir)
-    return T.scan_summary(R.scored_facts(cat, ds), R.findings(cat, ds))
+    cat, facts = _facts(spark, sf_dir)
+    return T.scan_summary(facts, R.findings(cat, facts=facts))
 
 
 def owners_per_domain(cat, gov):
@@ -469,16 +490,16 @@ def owners_per_domain(cat, gov):
 
 @query("scan_brief")
 def q_scan_brief(spark, sf_dir):
-    cat, _ds, gov = _gov(spark, sf_dir)
+    cat, gov = _gov(spark, sf_dir)
     n_domains = A.domains_clean(cat).select(F.count(F.lit(1))).scalar()
     return T.scan_brief(gov, owners_per_domain(cat, gov), n_domains)
 
 
 @query("executive_report")
 def q_executive_report(spark, sf_dir):
-    cat, ds = _with_downstream(spark, sf_dir)
-    f = R.findings(cat, ds)
-    return T.executive_report(R.catalogue_verdict(cat, ds), f, U.recommendations(f),
+    cat, facts = _facts(spark, sf_dir)
+    f = R.findings(cat, facts=facts)
+    return T.executive_report(R.catalogue_verdict(cat, facts=facts), f, U.recommendations(f),
                               "Which datasets are highest risk?", "find_risky_datasets")
 
 
@@ -494,8 +515,7 @@ def q_run_steps(spark, sf_dir):
 
 @query("findings_json")
 def q_findings_json(spark, sf_dir):
-    cat, ds = _with_downstream(spark, sf_dir)
-    return T.to_json_lines(R.findings(cat, ds))
+    return T.to_json_lines(_fnd(spark, sf_dir)[1])
 
 
 # --- phase 8: sinks and history ----------------------------------------------------------------
@@ -514,7 +534,7 @@ def _two_scans(spark, sf_dir):
     """Findings of the previous scan (previous schema snapshot) and the current one."""
     cat, ds = _with_downstream(spark, sf_dir)
     prev = R.findings(cat.with_tables(schema_fields=cat.schema_fields_prev), ds)
-    return prev, R.findings(cat, ds)
+    return prev, _fnd(spark, sf_dir)[1]
 
 
 @query("risk_trend")
@@ -669,8 +689,8 @@ def q_dataset_schema(spark, sf_dir):
 
 def _rule(rule):
     def run(spark, sf_dir):
-        cat, ds = _with_downstream(spark, sf_dir)
-        return R.rule_findings(cat, rule, ds)
+        cat, facts = _facts(spark, sf_dir)
+        return R.rule_findings(cat, rule, facts=facts)
     return run
 
 
@@ -699,7 +719,7 @@ def q_score_reconcile(spark, sf_dir):
     against the scores recomputed from the current findings."""
     cat, ds = _with_downstream(spark, sf_dir)
     stored = R.asset_risk_score(cat.with_tables(schema_fields=cat.schema_fields_prev), ds)
-    return R.score_reconcile(cat, stored.select("asset_id", "score"), ds)
+    return R.score_reconcile(cat, stored.select("asset_id", "score"), facts=_facts(spark, sf_dir)[1])
 
 
 @query("downstream_counts_approx")
