@@ -249,3 +249,14 @@ REPORT_FINDINGS_NOTE = ("Scores are produced by a deterministic rule engine, not
                         "rule contributes a fixed weight, so the arithmetic below can be checked by hand.")
 REPORT_TABLE_HEAD = "| Rule | Severity | Points | Detail |"
 REPORT_TABLE_RULE = "| --- | --- | ---: | --- |"
+REPORT_SUMMARY_HEADING = "## Executive summary"
+REPORT_IMPACT_HEADING = "## Business impact"
+REPORT_WORST_NOTE = "> The catalogue score (**{score}**) is the worst asset's score, not the sum across assets."
+REPORT_RECOMMENDATIONS_HEADING = "## Recommendations"
+REPORT_NEXT_HEADING = "## Next steps"
+REPORT_STAGES_HEADING = "## How this was produced"
+REPORT_STAGE_HEAD = "| Stage | Status | Duration |"
+REPORT_STAGE_RULE = "| --- | --- | ---: |"
+REPORT_DEGRADED = "| Status | **Degraded — partial evidence** |"
+REPORT_ERRORS_HEADING = "### Errors encountered"
+REPORT_FOOTER = ("_Risk scores are deterministic and reproducible; narrative sections are model-generated from the evidence above._")

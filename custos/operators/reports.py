@@ -10,6 +10,8 @@ a catalogue has - is ever built as one string in one task.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -195,6 +197,67 @@ def executive_report(verdict: DataFrame, findings: DataFrame, recs: DataFrame, q
         (-F.col("section_score")).alias("neg_score"), "section_asset", F.col("_i").alias("line_in_section"), "line")
 
 
+@dataclass(frozen=True)
+class Run:
+    """What an assessment says about its own run."""
+
+    question: str
+    intent: str
+    generated: str  # ISO time; explicit, as jobs read no clock
+    duration_ms: float
+    provider: str | None = None
+    degraded: bool = False
+    summary: str | None = None
+    impact: str | None = None
+    errors: tuple[str, ...] = ()
+    source: str = "live"
+
+
+def assessment_report(verdict: DataFrame, findings: DataFrame, recs: DataFrame, trace: DataFrame, run: Run) -> DataFrame:
+    """T6 with all its parts, as (part, neg_score, section_asset, line_in_section, line) rows in the order of these columns.
+
+    Part 0 is the header with the table of the run, 1 summary and business impact, 2 the heading of the findings, 3 a section for each asset
+    (worst first), 4 the note on several assets, 5 recommendations, 6 next steps, 7 the stages (``trace``: seq, node, status,
+    duration_ms), 8 errors, 9 the footer. Parts without content have no rows."""
+    def fixed_part(part: int, lines: list, of: DataFrame = verdict) -> DataFrame:
+        rows = F.array(*[x if isinstance(x, Column) else F.lit(x) for x in lines])
+        return of.select(F.lit(part).alias("part"), F.lit(0).cast("bigint").alias("neg_score"), F.lit(0).cast("bigint").alias("section_asset"),
+                         F.posexplode(rows).alias("line_in_section", "line"))
+
+    row = lambda label, value: C.template("| {label} | {value} |", label=F.lit(label), value=value)
+    whole = lambda ms: F.floor(ms + 0.5).cast("bigint").cast("string")
+    head = [fixed.REPORT_TITLE, "", fixed.REPORT_DEMO if run.source == "demo" else fixed.REPORT_LIVE, "", fixed.REPORT_QUESTION.format(question=run.question), "",
+            "| | |", "| --- | --- |", row("Risk level", F.concat(F.lit("**"), F.upper("risk_level"), F.lit("**"))),
+            row("Risk score", F.concat(F.col("score").cast("string"), F.lit(" / 100"))), row("Findings", F.col("total_findings").cast("string")),
+            row("Assets with findings", F.col("assets_with_findings").cast("string")), f"| Intent classified as | `{run.intent}` |",
+            row("Analysis duration", F.concat(whole(F.lit(run.duration_ms)), F.lit(" ms"))), *([f"| Reasoning provider | {run.provider} |"] if run.provider else []),
+            f"| Generated | {run.generated} |", *([fixed.REPORT_DEGRADED] if run.degraded else []), ""]
+    told = [*([fixed.REPORT_SUMMARY_HEADING, "", run.summary, ""] if run.summary else []), *([fixed.REPORT_IMPACT_HEADING, "", run.impact, ""] if run.impact else [])]
+    sections = executive_report(verdict, findings, recs, run.question, run.intent, run.source).where("part = 1").select(
+        F.lit(3).alias("part"), "neg_score", "section_asset", "line_in_section", "line")
+    listed = lambda part, df, lines: df.select(F.lit(part).alias("part"), F.lit(0).cast("bigint").alias("neg_score"),
+                                               F.col("at").cast("bigint").alias("section_asset"), F.posexplode(lines).alias("line_in_section", "line"))
+    some = recs.where("rank = 1")  # a heading needs its list, a line needs an end
+    rec = F.concat(F.array(F.concat(F.col("rank").cast("string"), F.lit(". **"), F.col("action"), F.lit("** — _"), F.col("priority"), F.lit("_"))),
+                   F.when(F.coalesce("rationale", F.lit("")) != "", F.array(F.concat(F.lit("   "), F.col("rationale")))).otherwise(F.array().cast("array<string>")))
+    stage = F.concat(F.lit("| "), F.col("node"), F.lit(" | "), F.col("status"), F.lit(" | "), whole(F.col("duration_ms")), F.lit(" ms |"))
+    last = (1 << 62)  # after every list
+    end = lambda part, of: listed(part, of.withColumn("at", F.lit(last)), F.array(F.lit("")))
+    heading = lambda part, lines, of: listed(part, of.withColumn("at", F.lit(-1)), F.array(*map(F.lit, lines)))
+    step = recs.where("next_step")
+    parts = [
+        fixed_part(0, head), *([fixed_part(1, told)] if told else []),
+        fixed_part(2, [fixed.REPORT_FINDINGS_HEADING, "", fixed.REPORT_FINDINGS_NOTE, ""], verdict.where("total_findings > 0")), sections,
+        fixed_part(4, [C.template(fixed.REPORT_WORST_NOTE, score=F.col("score").cast("string")), ""], verdict.where("assets_with_findings > 1")),
+        heading(5, [fixed.REPORT_RECOMMENDATIONS_HEADING, ""], some), listed(5, recs.withColumn("at", F.col("rank")), rec), end(5, some),
+        heading(6, [fixed.REPORT_NEXT_HEADING, ""], some), listed(6, step.withColumn("at", F.col("rank")), F.array(F.concat(F.lit("- "), F.col("action")))), end(6, some),
+        heading(7, [fixed.REPORT_STAGES_HEADING, "", fixed.REPORT_STAGE_HEAD, fixed.REPORT_STAGE_RULE], verdict),
+        listed(7, trace.withColumn("at", F.col("seq")), F.array(stage)), end(7, verdict),
+        *([fixed_part(8, [fixed.REPORT_ERRORS_HEADING, "", *[f"- {e}" for e in run.errors], ""])] if run.errors else []),
+        fixed_part(9, ["---", "", fixed.REPORT_FOOTER, ""])]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- T7: data dictionary ------------------------------------------------------------------
 
 def data_dictionary(cat) -> DataFrame:

@@ -675,6 +675,43 @@ sql("domain_owners", "SELECT domain_urn, dow.pos, dow.owner_urn, " + _KIND.forma
 sql("dataset_owners", "SELECT od.asset_id, urn, od.pos, od.owner_urn, " + _KIND.format("od.owner_urn") + """ AS kind, ownership_type, pd.name, pd.display_name, email, title
 FROM od JOIN ca ON ca.asset_id = od.asset_id AND ca.deprecated LEFT JOIN pd ON pd.owner_urn = od.owner_urn""", DETAIL)
 
+def _report() -> str:
+    """The lines of the whole report, part by part."""
+    from custos.functions import fixed as X
+
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = lambda part, lines, of, at="0": (f"SELECT {part} AS part, 0::BIGINT AS neg_score, {at}::BIGINT AS section_asset, i - 1 AS line_in_section, ls[i] AS line "
+                                            f"FROM (SELECT *, [{', '.join(lines)}] AS ls FROM {of}) x, generate_series(1, {len(lines)}) g(i)")
+    head = [text(X.REPORT_TITLE), "''", text(X.REPORT_LIVE), "''", text(X.REPORT_QUESTION.format(question="Which datasets are highest risk?")), "''", "'| | |'", "'| --- | --- |'",
+            "'| Risk level | **' || upper(risk_level) || '** |'", "'| Risk score | ' || score || ' / 100 |'", "'| Findings | ' || total_findings || ' |'",
+            "'| Assets with findings | ' || assets_with_findings || ' |'", "'| Intent classified as | `find_risky_datasets` |'", "'| Analysis duration | 1116 ms |'",
+            "'| Reasoning provider | rules |'", "'| Generated | 2024-01-01T00:00:00.000Z |'", text(X.REPORT_DEGRADED), "''"]
+    told = [text(X.REPORT_SUMMARY_HEADING), "''", "'Governance needs attention.'", "''", text(X.REPORT_IMPACT_HEADING), "''", "'Defects spread downstream.'", "''"]
+    one, last = "(SELECT * FROM r WHERE rank = 1)", str(1 << 62)
+    note = text(X.REPORT_WORST_NOTE).replace("{score}", "' || score || '")
+    return f"""WITH v AS ({ORACLE['catalogue_verdict']}), f AS ({ORACLE['findings']}), r AS ({ORACLE['recommendations']}),
+t AS (SELECT event_id AS seq, CASE event_type WHEN 'click' THEN 'datasets' WHEN 'view' THEN 'owners' WHEN 'purchase' THEN 'lineage' WHEN 'error' THEN 'statistics' ELSE 'planner' END AS node,
+  CASE event_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'skipped' ELSE 'failed' END AS status, value FROM events WHERE user_id = (SELECT min(user_id) FROM events)),
+s AS (SELECT asset_id, any_value(asset_urn) AS urn, any_value(asset_name) AS name, sum(points)::BIGINT AS raw, least(100, sum(points))::BIGINT AS score,
+  list('| `' || rule || '` | ' || severity || ' | ' || points || ' | ' || replace(detail, '|', '\\|') || ' |' ORDER BY rule_order) AS fs,
+  string_agg(CAST(points AS VARCHAR), ' + ' ORDER BY rule_order) AS sums FROM f GROUP BY asset_id),
+sl AS (SELECT asset_id, score, list_concat(['### ' || name, '', '`' || urn || '`', '', {text(X.REPORT_TABLE_HEAD)}, {text(X.REPORT_TABLE_RULE)}], list_concat(fs, ['| | | **' || score || '** | ' || sums || ' = ' || raw ||
+  CASE WHEN raw > score THEN ' (capped at 100)' ELSE '' END || ' → **' || CASE WHEN score >= 70 THEN 'critical' WHEN score >= 40 THEN 'high' WHEN score >= 20 THEN 'medium' ELSE 'low' END || '** |', ''])) AS ls FROM s)
+{rows(0, head, 'v')} UNION ALL {rows(1, told, 'v')}
+UNION ALL {rows(2, [text(X.REPORT_FINDINGS_HEADING), "''", text(X.REPORT_FINDINGS_NOTE), "''"], '(SELECT * FROM v WHERE total_findings > 0)')}
+UNION ALL SELECT 3, -score, asset_id, i - 1, ls[i] FROM (SELECT *, unnest(generate_series(1, len(ls))) AS i FROM sl)
+UNION ALL {rows(4, [note, "''"], '(SELECT * FROM v WHERE assets_with_findings > 1)')}
+UNION ALL {rows(5, [text(X.REPORT_RECOMMENDATIONS_HEADING), "''"], one, '-1')}
+UNION ALL {rows(5, ["rank || '. **' || action || '** — _' || priority || '_'", "'   ' || rationale"], 'r', 'rank')}
+UNION ALL {rows(5, ["''"], one, last)} UNION ALL {rows(6, [text(X.REPORT_NEXT_HEADING), "''"], one, '-1')}
+UNION ALL {rows(6, ["'- ' || action"], '(SELECT * FROM r WHERE next_step)', 'rank')} UNION ALL {rows(6, ["''"], one, last)}
+UNION ALL {rows(7, [text(X.REPORT_STAGES_HEADING), "''", text(X.REPORT_STAGE_HEAD), text(X.REPORT_STAGE_RULE)], 'v', '-1')}
+UNION ALL {rows(7, ["'| ' || node || ' | ' || status || ' | ' || CAST(floor(value + 0.5) AS BIGINT) || ' ms |'"], 't', 'seq')} UNION ALL {rows(7, ["''"], 'v', last)}
+UNION ALL {rows(8, [text(X.REPORT_ERRORS_HEADING), "''", "'- lineage timed out'", "''"], 'v')} UNION ALL {rows(9, ["'---'", "''", text(X.REPORT_FOOTER), "''"], 'v')}"""
+
+
+ORACLE["assessment_report"] = _report()
+
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 # each column's figures by UNPIVOT; what is no number has none
 ORACLE["column_profile_merged"] = "\nUNION ALL ".join(

@@ -503,6 +503,17 @@ def q_executive_report(spark, sf_dir):
                               "Which datasets are highest risk?", "find_risky_datasets")
 
 
+@query("assessment_report")
+def q_assessment_report(spark, sf_dir):
+    """The whole assessment, with the stages of the run that has the smallest number."""
+    cat, facts = _facts(spark, sf_dir)
+    f = R.findings(cat, facts=facts)
+    first = cat.run_trace.select(F.min("run_id")).scalar()
+    run = T.Run("Which datasets are highest risk?", "find_risky_datasets", "2024-01-01T00:00:00.000Z", 1116.4, "rules", True,
+                "Governance needs attention.", "Defects spread downstream.", ("lineage timed out",))
+    return T.assessment_report(R.catalogue_verdict(cat, facts=facts), f, U.recommendations(f), cat.run_trace.where(F.col("run_id") == first), run)
+
+
 @query("data_dictionary")
 def q_data_dictionary(spark, sf_dir):
     return T.data_dictionary(cat_of(spark, sf_dir))
