@@ -36,7 +36,8 @@ def round_avg(col) -> "F.Column":
 def owner_facet(cat: Catalog, query: str = "*") -> DataFrame:
     """Distinct owners with the number of datasets each owns; dangling owners
     (no principal row) are kept with kind inferred from the URN."""
-    counts = owners_dedup(cat).groupBy("owner_urn").agg(F.count_distinct("asset_id").alias("asset_count"))
+    # rows are unique by asset and owner already
+    counts = owners_dedup(cat).groupBy("owner_urn").agg(F.count(F.lit(1)).alias("asset_count"))
     p = principals_clean(cat)
     out = counts.join(p, "owner_urn", "left").select(
         "owner_urn",
@@ -93,7 +94,7 @@ def severity_filter(gov: DataFrame, level: str = "critical") -> DataFrame:
 def overview_metrics(cat: Catalog, gov: DataFrame, domain_counts_as_lineage: bool = False) -> DataFrame:
     """The ten overview figures in one aggregate (plus two scalar sub-queries for
     the owner and domain vocabularies)."""
-    owners = owners_dedup(cat).select(F.count_distinct("owner_urn")).scalar()
+    owners = cat.ownership.select(F.count_distinct(C.clean_text("owner_urn"))).scalar()
     domains = domains_clean(cat).select(F.count(F.lit(1))).scalar()
     connected = F.col("downstream_count") > 0
     if domain_counts_as_lineage:
@@ -139,7 +140,7 @@ def platform_counts(cat: Catalog) -> DataFrame:
 def entity_counts(cat: Catalog) -> DataFrame:
     """Datasets, owners, domains, platforms; null when not measurable (zero platforms)."""
     a = clean_assets(cat)
-    owners = owners_dedup(cat).select(F.count_distinct("owner_urn")).scalar()
+    owners = cat.ownership.select(F.count_distinct(C.clean_text("owner_urn"))).scalar()
     domains = domains_clean(cat).select(F.count(F.lit(1))).scalar()
     one = a.agg(F.count(F.lit(1)).alias("datasets"), F.count_distinct("platform").alias("platforms"))
     items = [("Datasets", F.col("datasets")), ("Owners", owners), ("Domains", domains),
