@@ -141,10 +141,11 @@ def blast_radius(edges: DataFrame, lg_config_k: int = 14) -> DataFrame:
     """(node, n): distinct descendants of every node that has any. ``edges`` (src, dst): any graph, repeats, loops and nulls
     allowed. Exact while a sketch is a list (up to about 1,500 nodes outside the own component), beyond with a relative standard
     error of 1.04 / sqrt(2 ** lg_config_k)."""
-    return sketches(edges, lg_config_k).select("node", "n").where("n > 0")
+    return sketches(edges, lg_config_k, columns=("node", "n")).where("n > 0")
 
 
-def sketches(edges: DataFrame, lg_config_k: int = 14, known: DataFrame | None = None) -> DataFrame:
+def sketches(edges: DataFrame, lg_config_k: int = 14, known: DataFrame | None = None,
+             columns: tuple[str, ...] = ("node", "n", "sketch")) -> DataFrame:
     """(node, n, sketch) of every node: its number of descendants, and the sketch of all that lies at or below its component.
 
     ``known`` (node, sketch) are results for nodes whose edges aren't given (nor needed): only nodes with edges in ``edges`` are
@@ -192,4 +193,4 @@ def sketches(edges: DataFrame, lg_config_k: int = 14, known: DataFrame | None =
         count = _union([d.select("component", (F.col("size") - 1 + F.col("below")).alias("n"), "sketch") for d in done.values()])
         if known is not None:
             nodes = nodes.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
-        return w.table(nodes.join(count, "component").select("node", "n", "sketch"), keep=True)
+        return w.table(nodes.join(count, "component").select(*columns), keep=True)

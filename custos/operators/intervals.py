@@ -76,13 +76,13 @@ def changes(history: DataFrame, key: list[str], values: list[str]) -> DataFrame:
     """(key, at, change, before, after): every change of a key between scans: ``added`` when it is first seen or again after a
     break, ``removed`` when a break begins, ``changed`` when one interval follows another at once. What the first scan saw was
     there before, so it is no change."""
-    first = history.agg(F.min("valid_from").alias("_first"))
+    first = history.select(F.min("valid_from")).scalar()
     value = F.struct(*values)
     by_key = Window.partitionBy(*key).orderBy("valid_from")
     h = history.select(*key, "valid_from", "valid_to", value.alias("after"), F.lag("valid_to").over(by_key).alias("_ended"),
                        F.lag(value).over(by_key).alias("before"), F.lead("valid_from").over(by_key).alias("_next"))
     met = F.col("_ended") == F.col("valid_from")
-    opened = h.join(F.broadcast(first), F.col("valid_from") > F.col("_first"), "left_semi").select(
+    opened = h.where(F.col("valid_from") > first).select(
         *key, F.col("valid_from").alias("at"), F.when(met, "changed").otherwise("added").alias("change"),
         F.when(met, F.col("before")).alias("before"), "after")
     gone = h.where(F.col("valid_to").isNotNull() & ~F.col("valid_to").eqNullSafe(F.col("_next"))).select(
