@@ -37,21 +37,21 @@ def from_scans(observed: DataFrame, scans: DataFrame, key: list[str], values: li
     """(key, values, valid_from, valid_to) from ``observed`` (key, values, scan) and ``scans`` (scan), all scans there were,
     those that saw nothing included. A window holds one key's scans, never a whole table."""
     order = scans.select("scan").distinct().orderBy("scan").collect()  # one row a scan
-    numbers = scans.sparkSession.createDataFrame([(r[0], i, order[i + 1][0] if i + 1 < len(order) else None) for i, r in enumerate(order)],
-                                                 _typed(scans, "scan", "scan", "_n int", "_next"))
-    rows = _one_each(observed, key, values, "scan").join(F.broadcast(numbers), "scan")
+    kind = scans.schema["scan"].dataType.simpleString()
+    make = lambda rows, ddl: F.broadcast(scans.sparkSession.createDataFrame(rows, ddl))
+    numbers = make([(r[0], i) for i, r in enumerate(order)], f"scan {kind}, _n int")
+    begins = make([(i, r[0]) for i, r in enumerate(order)], f"_from int, valid_from {kind}")
+    ends = make([(i, order[i + 1][0] if i + 1 < len(order) else None) for i in range(len(order))], f"_to int, valid_to {kind}")
+    # only numbers of scans are shuffled and sorted, not scans; repeats combine before the shuffle, and of a key's rows of one scan,
+    # which differ in their values, the first in order stays. All windows have one order, so that rows are sorted once
+    rows = observed.join(numbers, "scan").select(*key, "_n", *values).distinct()
+    by_key = Window.partitionBy(*key).orderBy("_n", *values)
+    rows = rows.withColumn("_was", F.lag("_n").over(by_key)).where("_was is null or _was <> _n").drop("_was")
     same = F.struct(*values)
-    by_key = Window.partitionBy(*key).orderBy("_n")
     rows = rows.withColumn("_starts", ~(F.lag("_n").over(by_key) == F.col("_n") - 1) | ~F.lag(same).over(by_key).eqNullSafe(same))
     rows = rows.withColumn("_island", F.sum(F.coalesce(F.col("_starts"), F.lit(True)).cast("int")).over(by_key))
-    return rows.groupBy(*key, "_island").agg(F.first(same).alias("_v"), F.min("scan").alias("valid_from"),
-                                             F.max(F.struct("_n", "_next")).alias("_end")).select(
-        *key, *[F.col(f"_v.{v}").alias(v) for v in values], "valid_from", F.col("_end._next").alias("valid_to"))
-
-
-def _typed(df: DataFrame, column: str, *names: str) -> str:
-    kind = df.schema[column].dataType.simpleString()
-    return ", ".join(n if " " in n else f"{n} {kind}" for n in names)
+    runs = rows.groupBy(*key, "_island", *values).agg(F.min("_n").alias("_from"), F.max("_n").alias("_to"))
+    return runs.join(begins, "_from").join(ends, "_to").select(*key, *values, "valid_from", "valid_to")
 
 
 def valid_at(when: Column) -> Column:
