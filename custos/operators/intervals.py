@@ -45,6 +45,8 @@ def from_scans(observed: DataFrame, scans: DataFrame, key: list[str], values: li
     # only numbers of scans are shuffled and sorted, not scans; repeats combine before the shuffle, and of a key's rows of one scan,
     # which differ in their values, the first in order stays. All windows have one order, so that rows are sorted once
     rows = observed.join(numbers, "scan").select(*key, "_n", *values).distinct()
+    # as many tasks as the session has, not as few as a small shuffle would be merged into: what a task sorts stays small
+    rows = rows.repartition(int(scans.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
     by_key = Window.partitionBy(*key).orderBy("_n", *values)
     rows = rows.withColumn("_was", F.lag("_n").over(by_key)).where("_was is null or _was <> _n").drop("_was")
     same = F.struct(*values)
