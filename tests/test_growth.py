@@ -7,6 +7,7 @@ from custos.operators import assets as A
 from custos.operators import condense, intervals
 from custos.operators import lineage as G
 from custos.sources import catalog as S
+from custos.streaming import rescore
 from tests.helpers import catalog, urn
 
 
@@ -102,3 +103,31 @@ def test_edges_of_the_derived_catalogue(spark, tmp_dir):
         df.write.parquet(f"{tmp_dir}/{name}.parquet")
     edges = S.derive_catalog(spark, tmp_dir).lineage_edges
     assert sorted(map(tuple, edges.collect())) == [(1, 15), (1, 28)]
+
+
+def test_sketches_are_written_once_and_not_moved_to_score(spark, tmp_path, monkeypatch):
+    made, rows = [], []
+    table, newest = Workspace.table, rescore._newest
+    monkeypatch.setattr(Workspace, "table", lambda self, df, *a, **k: made.append(df.columns) or table(self, df, *a, **k))
+    monkeypatch.setattr(rescore, "_newest", lambda df, key: rows.append(df.columns) or newest(df, key))
+    scores = rescore.ScoreTable(spark, str(tmp_path / "t"))
+    scores.start(small(spark, [(1, 2), (2, 3), (3, 1), (4, 1), (4, 5)]))
+    assert any("sketch" in c for c in made) and not any("sketch" in c and "node" in c for c in made)
+    assert rows and not any("sketch" in c for c in rows)  # the numbers alone are looked up
+    assert "findings:" not in scores.scores(findings=False)._jdf.queryExecution().executedPlan().toString()
+    assert {r.node: r.n for r in condense.sketches(small(spark).lineage_edges).collect()} == {1: 2, 2: 1, 3: 0}
+    assert {r.node: r.n for r in condense.sketches(small(spark, [(1, 2), (2, 3), (3, 1), (4, 1), (4, 5)]).lineage_edges).collect()} == {
+        1: 2, 2: 2, 3: 2, 4: 4, 5: 0}
+
+
+def test_nodes_with_enough_descendants_are_left_alone(spark, monkeypatch):
+    asked = []
+    table = Workspace.table
+    monkeypatch.setattr(Workspace, "table", lambda self, df, *a, **k: asked.append(t := table(self, df, *a, **k)) or t)
+    edges = spark.createDataFrame([*[(0, i) for i in range(1, 7)], (10, 0), (20, 21), (30, 20), (20, 30)], "src bigint, dst bigint")
+    known = spark.createDataFrame([(21, [40, 41])], "node bigint, few array<bigint>")
+    with Workspace(spark) as w:
+        got = {r.node: r.few for r in rescore.few_descendants(edges, 5, w, known).collect()}
+        sources = [{r.src for r in t.collect()} for t in asked if t.columns == ["src", "dst"]]
+    assert len(got[0]) == len(got[10]) == 5 and got[20] == [21, 30, 40, 41] and got[30] == [20, 21, 40, 41]
+    assert sources and 0 not in sources[0] and 10 not in sources[1] and len(sources) <= 3
