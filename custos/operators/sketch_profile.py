@@ -33,25 +33,35 @@ def _kind(t: T.DataType) -> str:
     return "integer" if isinstance(t, _INTS) else "real" if isinstance(t, _REALS) else "text" if isinstance(t, T.StringType) else "other"
 
 
-def _column(i: int, f: T.StructField) -> list[Column]:
-    """The aggregates of one column, named by its position."""
+def _values(i: int, f: T.StructField) -> list[Column]:
+    """What the aggregates of one column read, named by its position: each is worked out once a row, in compiled code (a sketch
+    evaluates its argument by itself, row by row)."""
     c, kind = F.col("`" + f.name.replace("`", "``") + "`"), _kind(f.dataType)
     number = c.cast("double") if kind in ("integer", "real") else F.length(c).cast("double") if kind == "text" else F.lit(None).cast("double")
     text = c.cast("string") if kind != "other" else F.to_json(F.struct(c))
-    text = F.when(c.isNotNull(), text)
+    return [number.alias(f"x{i}"), F.when(c.isNotNull(), text).alias(f"t{i}"), *([c.cast("bigint").alias(f"i{i}")] if kind == "integer" else [])]
+
+
+def _column(i: int, f: T.StructField) -> list[Column]:
+    """The aggregates of one column, named by its position, over its ``_values``; ``s``: a text if it is short."""
+    number, text, kind = F.col(f"x{i}"), F.col(f"t{i}"), _kind(f.dataType)
     none = F.max(F.lit(None).cast("binary"))
-    return [F.count(c).alias(f"n{i}"), F.min(number).alias(f"lo{i}"), F.max(number).alias(f"hi{i}"), F.avg(number).alias(f"av{i}"),
+    return [F.count(text).alias(f"n{i}"), F.min(number).alias(f"lo{i}"), F.max(number).alias(f"hi{i}"), F.avg(number).alias(f"av{i}"),
             (F.var_pop(number) * F.count(number)).alias(f"m2{i}"), F.hll_sketch_agg(text, LG_K).alias(f"ds{i}"),
-            (F.kll_sketch_agg_bigint(c.cast("bigint"), KLL_K) if kind == "integer" else none).alias(f"ki{i}"),
+            (F.kll_sketch_agg_bigint(F.col(f"i{i}"), KLL_K) if kind == "integer" else none).alias(f"ki{i}"),
             (F.kll_sketch_agg_double(number, KLL_K) if kind in ("real", "text") else none).alias(f"kr{i}"),
-            F.call_function("approx_top_k_accumulate", F.when(F.length(text) <= TOP_LENGTH, text), F.lit(TOP_ITEMS)).alias(f"top{i}")]
+            F.call_function("approx_top_k_accumulate", F.col(f"s{i}"), F.lit(TOP_ITEMS)).alias(f"top{i}")]
 
 
 def profile_files(df: DataFrame, table_name: str) -> DataFrame:
     """One row for each file of ``df`` (a plain read of files) and column. One pass over the data; a file's rows meet as partial
     aggregates only."""
     fields = df.schema.fields
-    wide = df.select("*", F.col("_metadata.file_path").alias("_file")).groupBy("_file").agg(
+    values = df.select(F.col("_metadata.file_path").alias("_file"), *[v for i, f in enumerate(fields) for v in _values(i, f)])
+    # the text of a number is always short
+    values = values.select("*", *[(F.col(f"t{i}") if _kind(f.dataType) in ("integer", "real") else F.when(F.length(f"t{i}") <= TOP_LENGTH, F.col(f"t{i}"))).alias(f"s{i}")
+                                  for i, f in enumerate(fields)])
+    wide = values.groupBy("_file").agg(
         F.count(F.lit(1)).alias("_rows"), *[a for i, f in enumerate(fields) for a in _column(i, f)])
     rows = F.array(*[F.struct(
         F.lit(f.name).alias("column_name"), F.lit(i + 1).alias("pos"), F.lit(_kind(f.dataType)).alias("kind"), F.col(f"n{i}").alias("n"),

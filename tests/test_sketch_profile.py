@@ -72,3 +72,9 @@ def test_empty_file(spark, tmp_path):
     path = str(tmp_path / "e")
     spark.createDataFrame([], DDL).write.parquet(path)
     assert K.merge(K.profile_files(spark.read.parquet(path), "e")).count() == 0
+
+
+def test_a_value_is_converted_once_for_all_aggregates(spark, parts):
+    plan = K.profile_files(spark.read.parquet(*parts[0]), "t")._jdf.queryExecution().optimizedPlan().toString()
+    aggregate = next(line for line in plan.splitlines() if "hll_sketch_agg" in line and "Aggregate" in line)
+    assert "as string" not in aggregate and "length(" not in aggregate and "to_json" not in aggregate
