@@ -18,8 +18,10 @@ the corpus. The result is exact: a word
 is in a span if and only if a window over it also starts elsewhere (the same
 document included). Identity is by 64-bit content hash within a 64-bit anchor.
 
-Hot content: blocks are counted with map-side aggregation, equal blocks are one
-row of the index however often they occur, and joins have the occurrences on
+Hot content: equal blocks of one document are one row with the word ranges that
+they cover, so a few words over and over (every block the same) cost a row a
+document, not one a block. These rows are counted with map-side aggregation, equal blocks are one
+row of the index however often they occur, and joins have the documents' rows on
 one side only and one row a key on the other, so that skewed keys split.
 
 Rows: null texts have no words; documents that share a doc_id, or have none, are
@@ -42,7 +44,9 @@ from custos.llm.scratch import Scratch, fresh, map_arrow, packed_rest, text_mark
 WINDOW = 35
 SEED = 6
 
-_BLOCKS = "doc_id bigint, mark bigint, anchor bigint, content bigint, first int, windows int"
+_RANGES = pa.struct([("first", pa.int32()), ("last", pa.int32())])
+_BLOCKS = ("doc_id bigint, mark bigint, anchor bigint, content bigint, windows int, times int, "
+           "ranges array<struct<first: int, last: int>>")
 _CHECKED = "doc_id bigint, mark bigint, anchor bigint, win bigint, first int, single boolean"
 
 
@@ -51,7 +55,8 @@ def _int64(x: np.ndarray) -> pa.Array:
 
 
 def _blocks(window: int, seed: int):
-    """Arrow batches of (doc_id, mark, text) to rows of ``_BLOCKS``."""
+    """Arrow batches of (doc_id, mark, text) to rows of ``_BLOCKS``: one for all ``times`` that a block is in a
+    document, with the ``ranges`` of words that these cover, in order and apart."""
     width = window - seed + 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,13 +80,26 @@ def _blocks(window: int, seed: int):
                 lead = np.flatnonzero(new)
                 count = np.diff(np.append(lead, len(start)))
                 first, row = start[lead], doc[lead]
-                content = w.sequences(sums, first, first + count + window - 1)
-                rows = pa.array(row + w.first)
+                last = first + count + window - 1
+                content, anchor = w.sequences(sums, first, last), grams[place[lead]]
+                order = np.lexsort((content, anchor, row))  # stable: equal blocks stay in the order of the text
+                first, last, row, count, content, anchor = (x[order] for x in (first, last, row, count, content, anchor))
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
+                each = np.flatnonzero(new)
+                # equal blocks are equally long, so those that overlap or touch follow each other
+                new[1:] |= first[1:] > last[:-1]
+                begin = np.flatnonzero(new)
+                end = np.append(begin[1:], len(row)) - 1
+                ranges = pa.StructArray.from_arrays(
+                    [pa.array((x - w.bounds[row[begin]]).astype(np.int32)) for x in (first[begin], last[end])], fields=list(_RANGES))
+                edge = pa.array(np.append(np.searchsorted(begin, each), len(begin)).astype(np.int32))
+                rows = pa.array(row[each] + w.first)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").take(rows), batch.column("mark").take(rows),
-                    _int64(grams[place[lead]]), _int64(content),
-                    pa.array((first - w.bounds[row]).astype(np.int32)), pa.array(count.astype(np.int32)),
-                ], names=["doc_id", "mark", "anchor", "content", "first", "windows"])
+                    _int64(anchor[each]), _int64(content[each]), pa.array(count[each].astype(np.int32)),
+                    pa.array(np.diff(np.append(each, len(row))).astype(np.int32)), pa.ListArray.from_arrays(edge, ranges),
+                ], names=["doc_id", "mark", "anchor", "content", "windows", "times", "ranges"])
     return cut
 
 
@@ -124,13 +142,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
         # anchors that occur again; if they have one content only, all their blocks are copies.
         # Counts are tables of their own, so that the joins with them can split a hot key
         known = s.table(blocks.groupBy("anchor").agg(
-            F.count(F.lit(1)).alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")
+            F.sum("times").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")
         ).where("n > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("alike")))
         blocks = s.table(blocks.join(known, "anchor"))
         unlike = blocks.where("not alike")
         # the index of the other anchors: one row for each different block
         index = s.table(unlike.groupBy("anchor", "content").agg(
-            F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "mark", "first", "windows")).alias("one")))
+            F.sum("times").alias("copies"),
+            F.min(F.struct("doc_id", "mark", F.col("ranges")[0]["first"].alias("first"), "windows")).alias("one")))
         copied = blocks.where("alike").drop("alike").unionByName(unlike.drop("alike").join(
             index.where("copies > 1").select("anchor", "content"), ["anchor", "content"]))
         ends = index.select("one.*", "anchor", (F.col("copies") == 1).alias("single"))
@@ -140,9 +159,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
         checked = s.table(map_arrow(ends, _windows(window), _CHECKED))
         met = s.table(checked.groupBy("anchor", "win").count().where("count > 1").select("anchor", "win"))
         found = checked.where("single").join(met, ["anchor", "win"])
-        spans = copied.select(*key, "first", (F.col("first") + F.col("windows") + window - 1).alias("last")).unionByName(
-            found.select(*key, "first", (F.col("first") + window).alias("last")))
-        return s.table(spans.groupBy(*key).agg(F.collect_list(F.struct("first", "last")).alias("spans")), keep=True)
+        spans = copied.select(*key, "ranges").unionByName(
+            found.select(*key, F.array(F.struct("first", (F.col("first") + window).alias("last"))).alias("ranges")))
+        return s.table(spans.groupBy(*key).agg(F.flatten(F.collect_list("ranges")).alias("spans")), keep=True)
 
 
 def _cut(tidy: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from custos.llm import repeats
@@ -38,6 +39,33 @@ def test_random_texts_equal_brute_force(spark, window):
     assert got == dict(enumerate(brute(texts, window)))
 
 
+def test_equal_blocks_of_a_document_are_one_row():
+    passage = " ".join(f"w{i}" for i in range(80))
+    far = f"{passage} {' '.join(f'own{i}' for i in range(60))} {passage}"
+    texts = ["left right " * 400, "x " * 300, "left right " * 400, far, None, "short"]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int64()), pa.array(texts)],
+        names=["doc_id", "mark", "text"])
+    rows = [r for b in repeats._blocks(35, 6)([batch]) for r in b.to_pylist()]
+    assert len({(r["doc_id"], r["anchor"], r["content"]) for r in rows}) == len(rows)
+    assert sum(r["doc_id"] == 0 for r in rows) <= 3 and sum(r["doc_id"] == 1 for r in rows) == 1
+    for i, n in ((0, 800), (1, 300), (3, 220)):
+        mine = [r for r in rows if r["doc_id"] == i]
+        assert sum(r["windows"] * r["times"] for r in mine) == n - 34
+        assert {k for r in mine for g in r["ranges"] for k in range(g["first"], g["last"])} == set(range(n))
+    # blocks apart keep their ranges apart
+    assert any(len(r["ranges"]) == 2 and r["ranges"][1]["first"] - r["ranges"][0]["first"] == 140 for r in rows if r["doc_id"] == 3)
+
+
+def test_repeats_within_and_across_documents_equal_brute_force(spark):
+    passage, other = (" ".join(f"{x}{i}" for i in range(60)) for x in "po")
+    texts = [f"a {'left right ' * 90} {passage} b {passage}", f"c {'left right ' * 40}", "left right " * 17 + "left", "left right " * 17,
+             f"{other} d {'left right left ' * 30}", f"{passage} {other[:-4]} e", "x " * 100, "x " * 35, "y " * 36, "z " * 35]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.text or "") for r in repeats.drop_repeats(docs).collect()}
+    assert got == dict(enumerate(brute(texts, 35)))
+
+
 def test_hard_rows(spark, documents):
     out = repeats.drop_repeats(documents)
     assert out.columns[:len(documents.columns)] == documents.columns and out.columns[-2:] == ["_n_words", "n_removed"]
